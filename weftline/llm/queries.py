@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, secrets, sharding
+from pyspark.sql import functions as F
+
+from . import decontam, minhash, secrets, sharding
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -16,6 +18,13 @@ def op2_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
 
 
+def op8_minhash(spark, sf_dir):
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("_id").eqNullSafe(F.col("component")).alias("kept")
+    )
+
+
 def op9_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
