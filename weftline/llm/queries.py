@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, secrets, sharding
+from . import decontam, minhash, pieces, quality, secrets, sharding
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -18,6 +18,14 @@ def op2_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
 
 
+def op5_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_minhash(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
