@@ -1,7 +1,7 @@
 """Benchmark decontamination with a positional inverted index.
 
 Each item gives windows of consecutive words. The frequency of every benchmark word is counted over the whole
-corpus; a window's three rarest words are its anchors. Postings (word, document, position) of the anchors are
+corpus; a window's two rarest words are its anchors. Postings (word, document, position) of the anchors are
 stored, those of a window's rarest word with the words around it. Lists are intersected after each position is
 moved back by the word's offset in the window, and a match counts once the words around it equal the window.
 """
@@ -15,17 +15,28 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, small
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, ANCHORS = 10, 3
+#: What separates words: ASCII other than digits and letters.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WINDOW, ANCHORS = 10, 2
+#: A window's second list is merged only if at most so many times as long as its first; beyond that
+#: the phrase check settles a match more cheaply than the merge.
+SKIP = 2
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words with A-Z lowered and nothing else. A gap at either end gives an empty word there, which matches nothing."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.split(F.lower(text), GAP)).otherwise(F.transform(F.split(text, GAP), ascii_lower))
+
+
+def n_words(w: Column) -> Column:
+    """How many words an array of words() has."""
+    return (F.size(w) - (w[0] == "").cast("int") - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")).cast("long")
 
 
 def windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(window id, words) of the different windows, and (window id, item) pairs. Items without words give none."""
-    w = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
+    w = items.select(F.col(item_col).cast("string").alias("item"), F.filter(words(F.col(text_col)), lambda x: x != "").alias("w")).filter(F.size("w") > 0)
     every = w.select(
         "item", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))), lambda i: F.slice("w", i, size))).alias("w")
     ).distinct()
@@ -36,44 +47,45 @@ def windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text",
 def index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> dict:
     """The stored index: postings of the anchors, the windows with their anchors, and the item pairs."""
     wins, pairs = windows(items, text_col=text_col, size=size)
-    terms = cut(wins.select("wid", F.posexplode("w").alias("off", "term")), "bench-terms")
-    vocab = terms.select("term").distinct()
+    terms = cut(wins.select("wid", F.posexplode("w").alias("off", "term")).withColumn("t", F.xxhash64("term")), "bench-terms")
+    vocab = terms.select("t").distinct()
     n_vocab = vocab.count()
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), words(F.col(text_col)).alias("_w"))
     # how often the corpus has each benchmark word; a partial sum for each task is all that moves
-    freq = texts.select(F.explode("_w").alias("term")).join(small(vocab, n_vocab), "term").groupBy("term").agg(F.count("*").alias("cf"))
-    rare = Window.partitionBy("wid").orderBy("cf", "off")
+    freq = texts.select(F.explode("_w").alias("term")).select(F.xxhash64("term").alias("t")).join(small(vocab, n_vocab), "t").groupBy("t").agg(F.count("*").alias("cf"))
+    by_window = Window.partitionBy("wid")
     held = (
-        terms.join(freq, "term", "left")
-        .withColumn("least", F.min(F.coalesce("cf", F.lit(0))).over(Window.partitionBy("wid")))
+        terms.join(cut(freq, "bench-frequency"), "t", "left")
+        .withColumn("least", F.min(F.coalesce("cf", F.lit(0))).over(by_window))
         .filter("least > 0")  # a word that the corpus lacks rules its windows out
-        .withColumn("rank", F.row_number().over(rare))
-        .filter(F.col("rank") <= ANCHORS)
+        .withColumn("rank", F.row_number().over(by_window.orderBy("cf", "off")))
+        .filter((F.col("rank") == 1) | ((F.col("rank") <= ANCHORS) & (F.col("cf") <= SKIP * F.col("least"))))
     )
     anchors = cut(
-        held.join(wins, "wid").select("wid", "term", "off", "rank", F.size("w").alias("len"), F.when(F.col("rank") == 1, F.col("w")).alias("w"),
-                                      F.count("*").over(Window.partitionBy("wid")).alias("need")),
+        held.join(wins, "wid").select("wid", "t", "off", "rank", F.size("w").alias("len"), F.when(F.col("rank") == 1, F.col("w")).alias("w"),
+                                      F.count("*").over(by_window).alias("need")),
         "bench-anchors",
     )
-    lookup = anchors.groupBy("term").agg(F.min("rank").alias("best"))
+    lookup = anchors.groupBy("t").agg(F.min("rank").alias("best"))
     n_lookup = lookup.count()
     postings = cut(
         texts.select("_id", "_h", "_w", F.posexplode("_w").alias("pos", "term"))
-        .join(small(lookup, n_lookup), "term")
+        .select("_id", "_h", "_w", "pos", F.xxhash64("term").alias("t"))
+        .join(small(lookup, n_lookup), "t")
         .select(
-            "_id", "_h", "term", "pos",
+            "_id", "_h", "t", "pos",
             F.when(F.col("best") == 1, F.slice("_w", F.greatest(F.col("pos") - size + 2, F.lit(1)), F.least(F.col("pos"), F.lit(size - 1)) + size)).alias("around"),
         ),
         "bench-postings",
     )
-    return {"postings": postings, "anchors": anchors, "n_anchors": anchors.count(), "pairs": pairs, "size": size}
+    return {"texts": texts, "postings": postings, "anchors": anchors, "n_anchors": anchors.count(), "pairs": pairs, "size": size}
 
 
 def exact(ix: dict) -> DataFrame:
     """(_id, _h, wid, start, len) of every occurrence of a window."""
     size = ix["size"]
     moved = (
-        ix["postings"].join(small(ix["anchors"], ix["n_anchors"]), "term")
+        ix["postings"].join(small(ix["anchors"], ix["n_anchors"]), "t")
         .withColumn("start", F.col("pos") - F.col("off"))
         # 'around' begins size-1 words before the posting, or at the text's first word
         .withColumn("at", F.least(F.col("pos"), F.lit(size - 1)) - F.col("off") + 1)
@@ -92,7 +104,7 @@ def proximity(ix: dict, slop: int = 3) -> DataFrame:
 
     start is the least moved position in the neighbourhood, spread the most that two of them differ.
     """
-    moved = ix["postings"].join(small(ix["anchors"], ix["n_anchors"]), "term").withColumn("start", F.col("pos") - F.col("off"))
+    moved = ix["postings"].join(small(ix["anchors"], ix["n_anchors"]), "t").withColumn("start", F.col("pos") - F.col("off"))
     # each posting serves its own cell and the one before, so any group within slop meets in one cell
     cells = moved.withColumn("cell", F.explode(F.array(F.floor(F.col("start") / (slop + 1)), F.floor(F.col("start") / (slop + 1)) - 1)))
     near = (
@@ -123,8 +135,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = n_hit.join(by_item, reduce(lambda a, b: a & b, [n_hit[k].eqNullSafe(by_item[k]) for k in key])).select(
         n_hit["_id"].alias("_id2"), n_hit["_h"].alias("_h2"), "n_hit", "items"
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    all_docs = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+    all_docs = ix["texts"].select(*key, n_words(F.col("_w")).alias("n_words"))
     out = all_docs.join(found, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
