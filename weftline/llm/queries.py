@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, pieces, quality, secrets, sharding
+from . import decontam, htmltree, media, minhash, pieces, quality, secrets, sharding
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -26,6 +26,10 @@ def op6_quality(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_media(spark, sf_dir):
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -37,6 +41,11 @@ def op9_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltree.extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
