@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, htmltree, linededup, media, minhash, pieces, quality, secrets, sharding
+from . import decontam, htmltree, linededup, media, minhash, packing, pieces, quality, secrets, sharding
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -18,6 +18,10 @@ def op2_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
 
 
+def op3_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
