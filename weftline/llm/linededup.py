@@ -36,12 +36,16 @@ def fold(line: Column) -> Column:
 def _parts(w: Column) -> Column:
     """Hashes of the outer words that a line shares with a partner of as many words, one fewer or one more.
 
-    Of m words there are two parts, where 2m + 1 is at most the larger number; m is a power of two.
+    Of two partners the longer has n words, or both have; their first or their last (n - 1) div 2 words agree. Each
+    line is the longer one at its own length and the shorter one at the next.
     """
     n = F.size(w)
-    size = lambda m: F.pow(F.lit(2), F.floor(F.log2(F.greatest((m - 1) / 2, F.lit(1.0))))).cast("int")
-    sizes = F.array_distinct(F.array(size(n - 1), size(n), size(n + 1)))
-    return F.when(n >= LEAST_WORDS, F.flatten(F.transform(sizes, lambda m: F.array(F.xxhash64(F.lit("<"), m, F.slice(w, F.lit(1), m)), F.xxhash64(F.lit(">"), m, F.slice(w, -m, m))))))
+
+    def at(size: Column) -> Column:
+        m = F.floor((size - 1) / 2).cast("int")
+        return F.array(F.xxhash64(F.lit("<"), size, F.slice(w, F.lit(1), m)), F.xxhash64(F.lit(">"), size, F.slice(w, -m, m)))
+
+    return F.when(n >= LEAST_WORDS, F.concat(at(n), at(n + 1)))
 
 
 def word_hashes(line: str) -> np.ndarray:
@@ -118,7 +122,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     shared = cut(parts.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"), "line-parts")
     likely = cut(parts.join(shared, "key").select("h").distinct().join(first, "h").select("h", "at.*", "at"), "line-likely")
     homes = likely.select(F.col("_id").alias("_i2"), F.col("_h").alias("_h2")).distinct()
-    at_home = docs.join(small(homes, likely.count()), F.col("_id").eqNullSafe(F.col("_i2")) & (F.col("_h") == F.col("_h2")), "left_semi").distinct()
+    at_home = docs.join(small(homes, likely.count()), F.col("_id").eqNullSafe(F.col("_i2")) & (F.col("_h") == F.col("_h2")), "left_semi")
     lines = at_home.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line")).select(*place, fold(F.col("line")).alias("f"))
     texts = lines.join(likely.select(*(F.col(c).alias(f"{c}2") for c in place), "h"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")) & (F.col("pos") == F.col("pos2")))
     texts = cut(texts.select("h", "f"), "line-texts")
@@ -132,7 +136,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     partner = F.when(F.col("kind") == 2, F.least("a", "b")).otherwise(F.col("a"))
     pairs = dated.join(groups, "key").withColumn("p", partner).filter("p IS NOT NULL AND p.h <> h").filter(F.col("p.at") < F.col("at")).groupBy("h").agg(F.min("p").alias("p"))
     pairs = cut(pairs.select("h", F.col("p.h").alias("ph")), "line-pairs")
-    near = pairs.join(texts, "h").join(texts.select(F.col("h").alias("ph"), F.col("f").alias("pf")), "ph").select("h", "f", "pf").mapInArrow(_verify, "h bigint")
+    near = pairs.join(texts, "h").join(texts.select(F.col("h").alias("ph"), F.col("f").alias("pf")), "ph").select("h", "f", "pf").mapInArrow(_verify, "h bigint").distinct()  # rows that repeat a document repeat its lines
     late = cut(first.join(near.withColumn("near", F.lit(True)), "h", "left"), "line-late")
     return keyed.join(late, "h").filter(F.col("near").isNotNull() | (order != F.col("at"))).select(*place)
 
