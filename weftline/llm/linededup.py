@@ -163,3 +163,17 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         F.when(old.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
     )
+
+
+#: DuckDB: each different line against the earlier ones that share its first or its last word.
+SQL = f"""
+WITH l AS (SELECT doc_id, i - 1 AS pos, a[i] AS line, trim(lower(a[i])) AS f FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)),
+u AS (SELECT f, min((doc_id, pos)) AS at, string_split(f, ' ') AS w FROM l WHERE length(f) >= {MIN_CHARS} GROUP BY f),
+k AS (SELECT *, len(w) AS n FROM u WHERE len(w) >= {LEAST_WORDS}),
+p AS (SELECT x.w AS xw, y.w AS yw, x.n AS xn, y.n AS yn, y.f FROM k x JOIN k y ON x.w[1] = y.w[1] WHERE abs(x.n - y.n) <= 1 AND x.at < y.at
+  UNION ALL SELECT x.w, y.w, x.n, y.n, y.f FROM k x JOIN k y ON x.w[-1] = y.w[-1] AND x.w[1] <> y.w[1] WHERE abs(x.n - y.n) <= 1 AND x.at < y.at),
+q AS (SELECT f, xw, yw, xn, yn, coalesce(list_position(list_transform(range(1, least(xn, yn) + 1), lambda i: xw[i] <> yw[i]), true), least(xn, yn) + 1) AS c FROM p),
+near AS (SELECT DISTINCT f FROM q WHERE CASE WHEN xn = yn THEN xw[c + 1:] = yw[c + 1:] WHEN xn > yn THEN xw[c + 1:] = yw[c:] ELSE xw[c:] = yw[c + 1:] END),
+t AS (SELECT l.*, u.f IS NOT NULL AND (u.at <> (l.doc_id, l.pos) OR near.f IS NOT NULL) AS gone FROM l LEFT JOIN u ON u.f = l.f LEFT JOIN near ON near.f = l.f)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM t GROUP BY doc_id
+"""

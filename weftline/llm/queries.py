@@ -59,4 +59,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_sharding": sharding.SQL.format(limit=SHARD_BYTES), "op9_decontamination": decontam.SQL}
+    return {
+        "op1_secret_scan": secrets.SQL,
+        "op2_sharding": sharding.SQL.format(limit=SHARD_BYTES),
+        "op4_line_dedup": linededup.SQL,
+        "op8_minhash": minhash.SQL,
+        "op9_decontamination": decontam.SQL,
+    }

@@ -23,7 +23,8 @@ OWNED = "owned"
 
 #: Candidates of the added kind: 20 or more token characters with a digit, an upper-case and a lower-case letter.
 OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
-PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|x{6}|(.)\1{5}"
+#: Words of examples, or one letter or digit six times over.
+PLACEHOLDER = "(?i)example|sample|dummy|changeme|placeholder|" + "|".join(c + "{6}" for c in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 SPANS = "array<struct<s:int,e:int,k:int,v:bigint>>"
 
@@ -128,3 +129,27 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"),
     )
+
+
+def _sql_kind(k: int, pattern: str, group: int, keep: str) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, source, {k} AS k, m[i] AS m, v[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+      FROM (SELECT doc_id, source, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {group}) AS v, regexp_split_to_array(text, '{p}') AS g FROM d),
+      LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i) WHERE {keep}"""
+
+
+_OWN = f"regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Z]') AND regexp_matches(v[i], '[a-z]') AND NOT regexp_matches(v[i], '{PLACEHOLDER}')"
+#: DuckDB: matches and the pieces between them give positions; values are counted by distinct owners.
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents),
+base AS ({" UNION ALL ".join(_sql_kind(k, p, g, f"length(v[i]) >= {n}") for k, (_, p, g, n) in enumerate(BASE))}),
+more AS (SELECT * FROM ({_sql_kind(len(BASE), OPAQUE, 0, _OWN)}) o
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.s < o.s + length(o.m) AND o.s < b.s + length(b.m))),
+c AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+o AS (SELECT v, count(DISTINCT string_split(source, '/')[1]) AS n FROM c GROUP BY 1),
+j AS (SELECT c.*, o.n <= 1 AS live, list_extract([{", ".join(f"'{k}'" for k, *_ in BASE)}, '{OWNED}'], c.k + 1) || ':' || s || ':' || (s + length(m)) AS span FROM c JOIN o USING (v)),
+a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS base,
+  string_agg(span, ',' ORDER BY s, k) FILTER (k < 3 OR live) AS spans, count(*) FILTER (k = 3 AND live) AS n_owned, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_shared FROM j GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared FROM d LEFT JOIN a USING (doc_id)
+"""
