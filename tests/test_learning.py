@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT
 from weftline.operators import evaluation, learning, reporting, retrieval
+from weftline.operators.language_id import LanguageId, Registry
 from weftline.operators.predict import Analyzer
 
 
@@ -41,6 +42,7 @@ def test_explanation(spark, analyzer):
     r = terms.first()
     assert r["term"] == "docker" and r["sign"] == "for" and r["contribution"] > 0
     assert near.orderBy("rank").first()["label"] == "DevOps"
+    assert {r["category"] for r in analyzer.related(df.select("doc_id", "text")).collect()} == {"DevOps"}
     assert analyzer.health()["categories"] == ["Backend", "Datos", "DevOps"]
 
 
@@ -93,3 +95,15 @@ def test_measures(spark):
     s = spark.createDataFrame([(1, "a", "a", 0.6), (1, "a", "b", 0.4)], "doc_id int, actual string, label string, score double")
     assert evaluation.top_k_accuracy(s, 2).first()["top_k"] is None
     assert evaluation.drift_alert(0.5, [0.8, 0.8], 100)["alert"]
+
+
+def test_language_id_and_registry(spark):
+    es, en = "el perro de la casa come en el campo", "the dog of the house eats in the field"
+    df = spark.createDataFrame([(es, "es"), (en, "en")] * 5, "text string, lang string")
+    model = LanguageId.fit(df)
+    rows = model.detect(spark.createDataFrame([("la casa del campo",), ("the house in the field",), ("12",), (None,)], "text string")).collect()
+    assert [r["language"] for r in rows] == ["es", "en", "und", "und"] and rows[2]["language_method"] == "stop_words"
+    r = Registry()
+    assert "de" in r.get("es") and r.loaded == ["es"]
+    with pytest.raises(ValueError):
+        r.get("xx")

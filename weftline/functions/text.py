@@ -81,9 +81,9 @@ def words(c: Column) -> Column:
 
 def shingles(c: Column, n: int = DEFAULT.validation.shingle) -> Column:
     """The set of n-word windows in lower case; a shorter text is one shingle."""
-    w = words(F.lower(c))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.array_distinct(grams)
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    # the words are bound once; an expression inside a lambda is evaluated for every element
+    return F.array_distinct(F.transform(F.array(words(F.lower(c))), of)[0])
 
 
 def jaccard(a: Column, b: Column) -> Column:

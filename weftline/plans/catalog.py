@@ -25,7 +25,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: Columns that are INT here and BIGINT as DuckDB counts them, or wider.
 NARROW = {
     "validation_codes": "n_chars", "canonical_hashes": "n_words", "shingle_stats": "n", "section_carry": "place", "section_split": "part", "round_robin": "turn", "top_tokens": "rank",
-    "keyword_frequency": "rank", "tfidf_keywords": "rank", "knn": "rank", "related": "rank", "centroids": "i", "nearest_centroid": "rank", "label_encoding": "label_index",
+    "keyword_frequency": "rank", "tfidf_keywords": "rank", "knn": "rank", "related": "rank", "centroids": "i", "nearest_centroid": "rank", "label_encoding": "label_index", "filtered_search": "rank",
 }
 
 
@@ -347,12 +347,6 @@ def timing_rollup(spark, d):
     return reporting.timing(e).withColumn("seconds", F.round("seconds", 4))
 
 
-@query("SELECT lower(word) AS term, list_sort(list(DISTINCT doc_id)) AS ids FROM (SELECT doc_id, unnest(string_split(text, ' ')[1:5]) AS word FROM documents) GROUP BY 1")
-def inverted_index(spark, d):
-    k = corpus(spark, d).select("doc_id", F.explode(F.slice(F.split("body", " "), 1, 5)).alias("keyword"))
-    return reporting.inverted_index(k)
-
-
 @query("SELECT sum(n)::BIGINT AS n_docs, count(*) AS n_categories, min(n) AS least, max(n) AS most, count(*) >= 3 AND min(n) >= 2 AND sum(n) >= 30 AS fit FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")
 def corpus_health(spark, d):
     return reporting.corpus_health(corpus(spark, d)).drop("problems")
@@ -371,17 +365,22 @@ def outcome_counters(spark, d):
 # --- terms and keywords ------------------------------------------------------------------------------------------
 
 FREQUENT = ", ".join(f"'{w}'" for w in fixed.FREQUENCY_STOP_WORDS)
+FREQUENCY = f"""(SELECT doc_id, rank, keyword, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rank FROM (
+  SELECT doc_id, lower(w) AS l, count(*) AS n, min(p) AS p, arg_min(w, p) AS keyword FROM (
+    SELECT doc_id, unnest(range(1, len(a) + 1)) AS p, unnest(a) AS w FROM (SELECT doc_id, regexp_extract_all(source || ' ' || source || ' ' || text, '[\\p{{L}}\\p{{N}}+#]{{3,}}') AS a FROM documents))
+  WHERE lower(w) NOT IN ({FREQUENT}) GROUP BY 1, 2)) WHERE rank <= 5)"""
 
 
-@query(
-    f"""WITH w AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS p, unnest(a) AS w FROM (SELECT doc_id, regexp_extract_all(source || ' ' || source || ' ' || text, '[\\p{{L}}\\p{{N}}+#]{{3,}}') AS a FROM documents)),
-    c AS (SELECT doc_id, lower(w) AS l, count(*) AS n, min(p) AS p, arg_min(w, p) AS keyword FROM w WHERE lower(w) NOT IN ({FREQUENT}) GROUP BY 1, 2)
-    SELECT doc_id, rank, keyword, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rank FROM c) WHERE rank <= 5"""
-)
+@query(f"SELECT * FROM {FREQUENCY}")
 def keyword_frequency(spark, d):
     return keywords.frequency_keywords(corpus(spark, d))
 
 
+@query(f"SELECT lower(keyword) AS term, list_sort(list(DISTINCT doc_id)) AS ids FROM {FREQUENCY} GROUP BY 1")
+def inverted_index(spark, d):
+    return reporting.inverted_index(keywords.frequency_keywords(corpus(spark, d)))
+
+
 TFIDF = """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS a FROM documents),
 g AS (SELECT doc_id, unnest(a) AS term FROM t UNION ALL SELECT doc_id, a[i] || ' ' || a[i + 1] FROM t, LATERAL (SELECT unnest(range(1, len(a))) AS i)
   UNION ALL SELECT doc_id, a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] FROM t, LATERAL (SELECT unnest(range(1, len(a) - 1)) AS i)),
@@ -402,15 +401,14 @@ def tfidf_keywords(spark, d):
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS rank, unnest(a) AS term FROM (SELECT doc_id, string_split(text, ' ')[1:8] AS a FROM documents)),
-    s AS (SELECT doc_id, 'semantic' AS signal, rank, term FROM w UNION ALL SELECT doc_id, 'local', 9 - rank, term FROM w UNION ALL SELECT doc_id, 'entities', rank, term FROM w WHERE rank <= 2)
-    SELECT doc_id, trim(lower(term)) AS term, round(sum(CASE signal WHEN 'semantic' THEN 1.0 WHEN 'local' THEN 0.8 ELSE 2.5 END / (60 + rank)), 9) AS score FROM s WHERE length(trim(lower(term))) >= 3 GROUP BY 1, 2"""
+    TFIDF + f""", k AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 10) DESC, term) AS rank FROM x),
+    s AS (SELECT doc_id, 0.8 AS w, rank, term FROM k WHERE rank <= 10 UNION ALL SELECT doc_id, 1.0, rank, keyword FROM {FREQUENCY})
+    SELECT doc_id, trim(lower(term)) AS term, round(sum(w::DOUBLE / (60 + rank)), 9) AS score FROM s WHERE length(trim(lower(term))) >= 3 GROUP BY 1, 2"""
 )
 def rrf(spark, d):
-    w = corpus(spark, d).select("doc_id", F.posexplode(F.slice(F.split("body", " "), 1, 8)).alias("i", "term")).withColumn("rank", F.col("i") + 1)
-    s = w.select("doc_id", F.lit("semantic").alias("signal"), "rank", "term").unionByName(w.select("doc_id", F.lit("local").alias("signal"), (9 - F.col("rank")).alias("rank"), "term"))
-    s = s.unionByName(w.filter("rank <= 2").select("doc_id", F.lit("entities").alias("signal"), "rank", "term"))
-    return keywords.fuse(s).withColumn("score", F.round("score", 9))
+    s = keywords.tfidf_keywords(keywords.tfidf(table(spark, d, "documents")), k=10).select("doc_id", F.lit("tfidf").alias("signal"), "rank", "term")
+    f = keywords.frequency_keywords(corpus(spark, d)).select("doc_id", F.lit("semantic").alias("signal"), "rank", F.col("keyword").alias("term"))
+    return keywords.fuse(s.unionByName(f)).withColumn("score", F.round("score", 9))
 
 
 STOPS = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
@@ -465,11 +463,11 @@ def knn(spark, d):
 
 @query(
     f"""SELECT query_id, doc_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM (
-    SELECT q.vec_id AS query_id, i.vec_id AS doc_id, {COSINE.format(a='q.embedding', b='i.embedding')} AS similarity FROM embeddings q, embeddings i WHERE q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id)) WHERE rank <= 3"""
+    SELECT q.vec_id AS query_id, i.vec_id AS doc_id, {COSINE.format(a='q.embedding', b='i.embedding')} AS similarity FROM embeddings q, embeddings i WHERE i.vec_id <> q.vec_id)) WHERE rank <= 3"""
 )
 def related(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    q = e.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    q = e.select(F.col("doc_id").alias("query_id"), "vector")
     found = retrieval.search(q, e, DEFAULT.vectors.related + 1).filter("query_id <> doc_id")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("rank <= 3")
 
@@ -497,12 +495,17 @@ def text_embeddings(spark, d):
     return retrieval.embed(keywords.tfidf(table(spark, d, "documents"), low=1, high=1), dimension=64).withColumn("norm", F.round(vectors.norm(F.col("vector")), 6)).select("doc_id", "norm")
 
 
-@query("SELECT count(*) FILTER (doc_id % 2 = 0 OR text IN (SELECT text FROM documents WHERE doc_id % 2 = 0)) AS hits, count(*) FILTER (text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)) AS misses FROM documents")
+KNOWN = "(SELECT text FROM documents JOIN labels USING (doc_id))"
+
+
+@query(f"SELECT count(*) FILTER (text IN {KNOWN}) AS hits, count(*) FILTER (text NOT IN {KNOWN}) AS misses FROM documents")
 def embedding_cache(spark, d):
+    """The texts of labelled documents are cached already."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     encode = lambda m: m.select("cache_key", F.array(F.length("text").cast("double")).alias("vector"))
-    half = docs.filter("doc_id % 2 = 0").select(retrieval.cache_key("text").alias("cache_key"), "text").groupBy("cache_key").agg(F.min("text").alias("text"))
-    return retrieval.through_cache(docs, encode(half), encode)[2].select("hits", "misses")
+    known = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    cache = encode(known.select(retrieval.cache_key("text").alias("cache_key"), "text").groupBy("cache_key").agg(F.min("text").alias("text")))
+    return retrieval.through_cache(docs, cache, encode)[2].select("hits", "misses")
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------
@@ -619,6 +622,98 @@ def json_metrics(spark, d):
     return e.select(F.try_element_at(m, F.col("k")).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
 
+@query("SELECT actual, predicted, n, share FROM (SELECT actual, predicted, n, n::DOUBLE / sum(n) OVER (PARTITION BY actual) AS share FROM (SELECT actual, predicted, count(*) AS n FROM " + GUESS + " GROUP BY 1, 2)) WHERE actual <> predicted ORDER BY share DESC, actual, predicted LIMIT 5")
+def confused_pairs(spark, d):
+    return evaluation.confused_pairs(guesses(spark, d))
+
+
+@query("SELECT doc_id, quality, 1.0 * t / (k * n) AS class_weight FROM (SELECT doc_id, quality, count(*) OVER (PARTITION BY quality) AS n, count(*) OVER () AS t FROM labels), (SELECT count(DISTINCT quality) AS k FROM labels)")
+def class_weights(spark, d):
+    return learning.balanced_weights(table(spark, d, "labels").select("doc_id", "quality"), "quality").select("doc_id", "quality", "class_weight")
+
+
+@query(f"SELECT doc_id, label, score FROM (SELECT doc_id, label, round(score, 4) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM {SCORES}) WHERE r <= 3")
+def three_best(spark, d):
+    """The map of the three best categories of a response, as rows."""
+    lists = class_scores(spark, d).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "label"))), 1, 3).alias("x"))
+    return lists.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.label", F.round(-F.col("x.o"), 4).alias("score"))
+
+
+# --- stores and scalars ------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, regexp_replace(text, '(?i)the', ' ', 'g') AS without, regexp_replace(text, '(?i)the', ' ', 'g') <> text AS changed FROM documents")
+def term_removal(spark, d):
+    without = text.without_term(F.col("body"), F.lit("The"))
+    return corpus(spark, d).select("doc_id", without.alias("without"), (without != F.col("body")).alias("changed"))
+
+
+@query("SELECT doc_id, CASE lower(w) WHEN 'go' THEN 'Go' WHEN 'r' THEN 'R' ELSE w END AS term FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'GO' WHEN 1 THEN 'r' ELSE source END AS w FROM documents)")
+def canonical_terms(spark, d):
+    w = F.when(F.col("doc_id") % 3 == 0, "GO").when(F.col("doc_id") % 3 == 1, "r").otherwise(F.col("title"))
+    return corpus(spark, d).select("doc_id", text.canonical_case(w).alias("term"))
+
+
+@query("SELECT DISTINCT source AS term FROM documents")
+def dictionary_extension(spark, d):
+    docs = table(spark, d, "documents")
+    return keywords.extend_dictionary(docs.filter("lang = 'en'").select(F.col("source").alias("term")).distinct(), docs.select(F.col("source").alias("term")))
+
+
+@query(
+    """SELECT avg(len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> ''))) AS raw,
+    avg(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))) AS tokens FROM documents"""
+)
+def lexical_reduction(spark, d):
+    c = corpus(spark, d)
+    return c.agg(F.avg(F.size(text.words(F.col("body")))).alias("raw"), F.avg(F.size(text.tokens(F.col("body")))).alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE source END AS titulo FROM documents UNION ALL SELECT -1, 'new'")
+def store_upsert(spark, d):
+    """The final state of an upsert by key: rows of labelled documents and a new one replace, others stay."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("titulo"))
+    new = table(spark, d, "labels").select("doc_id").distinct().withColumn("titulo", F.lit("new")).unionByName(spark.createDataFrame([(-1, "new")], "doc_id bigint, titulo string"))
+    return new.unionByName(docs.join(new.select("doc_id"), "doc_id", "left_anti"))
+
+
+@query("SELECT list_sort(list_intersect(list_distinct(list(lang) FILTER (source < 'src2')), list_distinct(list(lang) FILTER (source > 'src1')))) AS shared, len(list_distinct(list(source))) AS sources FROM documents")
+def vocabulary_sets(spark, d):
+    docs = table(spark, d, "documents")
+    both = F.array_intersect(F.collect_set(F.when(F.col("source") < "src2", F.col("lang"))), F.collect_set(F.when(F.col("source") > "src1", F.col("lang"))))
+    return docs.agg(F.array_sort(both).alias("shared"), F.size(F.collect_set("source")).cast("long").alias("sources"))
+
+
+@query(
+    f"""SELECT query_id, doc_id, rank, similarity, category FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, i.vec_id AS doc_id, i.label AS category, {COSINE.format(a='q.embedding', b='i.embedding')} AS similarity FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0 AND i.label = 3)) WHERE rank <= 5"""
+)
+def filtered_search(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").alias("category"), F.lit("t").alias("title"), F.lit("x").alias("text"))
+    q = e.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    return retrieval.semantic_search(q, e, category=3).select("query_id", "doc_id", "rank", "similarity", "category")
+
+
+@query("SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS fecha, event_type AS categoria, (value < 0.25)::INT AS confianza_baja FROM events")
+def prediction_log(spark, d):
+    e = table(spark, d, "events")
+    low = (F.col("value") < DEFAULT.classification.low_confidence).cast("int")
+    return e.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("fecha"), F.col("event_type").alias("categoria"), low.alias("confianza_baja"))
+
+
+@query()
+def dataset_hash(spark, d):
+    return reporting.dataset_hash(table(spark, d, "documents"))
+
+
+@query()
+def language_id(spark, d):
+    from ..operators.language_id import LanguageId
+
+    docs = table(spark, d, "documents")
+    return LanguageId.fit(docs).detect(docs).groupBy("lang", "language").agg(F.count("*").alias("n"))
+
+
 # --- learning (rows only: iterative algorithms) --------------------------------------------------------------------
 
 

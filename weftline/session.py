@@ -31,8 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def workspace(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
+    if getattr(spark, "_weftline_workspace", None) != path:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+        spark._weftline_workspace = path
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing before it."""
-    path = f"{shared_dir(df.sparkSession)}/weftline/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
