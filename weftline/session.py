@@ -36,7 +36,9 @@ def workspace(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
     if getattr(spark, "_weftline_workspace", None) != path:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
         spark._weftline_workspace = path
     return path
 
