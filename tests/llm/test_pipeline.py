@@ -7,7 +7,6 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from weftline.llm import queries
-from weftline.llm.common import shared_dir
 
 DIR = "/root/testdata/sf0.001"
 
@@ -63,4 +62,3 @@ def test_query_equals_its_sql(spark, name):
 def test_registered(spark):
     names = entry.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
-    assert shared_dir(spark)

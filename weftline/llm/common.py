@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import workspace
+
 #: Rows a side may have, as counted, before a broadcast hint is given; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 
@@ -16,24 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset a temporary folder serves on a local master only; on a cluster that is an error.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or getattr(spark, "_weftline_shared", None)
-    if not found:
-        if not (conf.get("spark.master") or "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = spark._weftline_shared = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df as Parquet in the shared folder and returns a scan of it: recovery restarts from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
@@ -49,6 +37,14 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the bound of Arrow batches to 8 MiB, so that a Python worker's memory does not follow the texts' lengths."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    m = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(key).strip().lower())
+    if m is None or int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] > 8 << 20:
+        spark.conf.set(key, str(8 << 20))
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 # Elements of HTML by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe noembed noframes xmp svg math select canvas object audio video".split())
@@ -449,6 +451,7 @@ def extract(source: str, w: np.ndarray) -> str:
 
 def extract_pages(df: DataFrame, html_col: str = "html", out_col: str = "text", w: np.ndarray | None = None) -> DataFrame:
     """df with the main text of html_col in out_col: '' for null, empty and text-free pages. Every row is kept."""
+    bound_batches(df.sparkSession)
     w = weights() if w is None else w
 
     def texts(pages: pa.Array) -> pa.Array:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import bound_batches, cut, small
 from .textgrams import BASE, U, mix, powers, span_hashes
 
 #: Shorter lines (code points after folding) carry too little evidence and always stay; lines of fewer words than
@@ -108,6 +108,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(_id, _h, pos) of every line that goes, from docs (_id, _h, _t)."""
+    bound_batches(docs.sparkSession)
     place = ["_id", "_h", "pos"]
     order = F.struct(*place)
     folded = docs.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line")).select(*place, fold(F.col("line")).alias("f"))

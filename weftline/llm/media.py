@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import webp
+from .common import bound_batches
 
 
 def payload(text: bytes) -> bytes:
@@ -48,6 +49,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts are one row of zeros. Texts beyond 1 MiB take several files, one after another.
     """
 
+    bound_batches(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, small
+from .common import bound_batches, cut, drop_cut, small
 from .textgrams import U, chunks, mix, shingle_sets
 
 #: K coordinates; pairs of similarity 0.75 agree on 96 of them on average, with a deviation of 4.9, so that
@@ -193,6 +193,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null texts and texts without words have no shingles and stay alone; so does a row with a null id, unless its
     set equals or links with others'. Rows with equal sets are one group. An empty table gives no rows.
     """
+    bound_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"))
     id_type = docs.schema["_id"].dataType.simpleString()

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -101,6 +103,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc_ids[k] and offsets[k] say which ids of which document segment k is. Null and empty texts are one end token.
     Rows that repeat an id are packed as often as they occur. An empty table gives no rows.
     """
+    bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .textgrams import U, chunks, mix, span_hashes
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -218,6 +219,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     have no pieces. lossless says that decoding gave back the text's bytes.
     """
 
+    bound_batches(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model, alpha)
         for batch in batches:

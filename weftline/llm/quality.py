@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .textgrams import SPACE, chunks, span_hashes, word_bounds
 
 #: Words of a passage; labelled documents that a model is fitted on at most; decision threshold.
@@ -122,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows whose crc32(id) mod 5 is 0 and null labels are left out; an id with several labels takes the largest.
     With labels of one class, or none, the model is their smoothed share (one half without labels).
     """
+    bound_batches(docs.sparkSession)
     known = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
@@ -156,6 +158,7 @@ def scorer(model: dict):
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, held_out, score, predicted. Null and empty texts are a bag of one empty passage."""
+    bound_batches(docs.sparkSession)
     score = scorer(train(docs, labels, id_col, text_col))
     return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), score(F.coalesce(F.col(text_col), F.lit(""))).alias("score")).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")
