@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..config import DEFAULT, Config
 from ..functions import text, vectors
+from ..session import stored
 
 
 def frequency_keywords(df: DataFrame, title: str = "title", body: str = "body", key: str = "doc_id", k: int = 5) -> DataFrame:
@@ -31,6 +32,13 @@ def term_counts(df: DataFrame, key: str, text_col: str, low: int, high: int) ->
     return t.select(key, F.explode(text.ngrams(F.col("_t"), low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def known_counts(df: DataFrame, key: str, text_col: str, low: int, high: int, vocab: DataFrame) -> DataFrame:
+    """(key, term, tf and the columns of vocab) of the terms in a bounded vocabulary: the others are dropped before rows move."""
+    t = df.select(F.col(key), text.tokens(F.col(text_col)).alias("_t")).select(key, F.explode(text.ngrams(F.col("_t"), low, high)).alias("term"))
+    counts = t.join(F.broadcast(vocab.select("term")), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return counts.join(F.broadcast(vocab), "term")
+
+
 def vocabulary(tf: DataFrame, n_docs: Column | int, cfg: Config = DEFAULT) -> DataFrame:
     """(term, df, idf): terms within the limits of document frequency, at most max_features by corpus count, ties by term."""
     c = cfg.tfidf
@@ -46,9 +54,9 @@ def tfidf(df: DataFrame, key: str = "doc_id", text_col: str = "text", cfg: Confi
     The vocabulary has at most max_features terms, so it is broadcast.
     """
     c = cfg.tfidf
-    tf = term_counts(df, key, text_col, low or c.ngram_min, high or c.ngram_max)
-    vocab = vocabulary(tf, df.count(), cfg)
-    w = tf.join(F.broadcast(vocab), "term").withColumn("w", ((1 + F.log("tf")) if c.sublinear else F.col("tf")) * F.col("idf"))
+    low, high = low or c.ngram_min, high or c.ngram_max
+    vocab = stored(vocabulary(term_counts(df, key, text_col, low, high), df.count(), cfg), "vocabulary")
+    w = known_counts(df, key, text_col, low, high, vocab).withColumn("w", ((1 + F.log("tf")) if c.sublinear else F.col("tf")) * F.col("idf"))
     return w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).select(key, "term", "weight")
 
 

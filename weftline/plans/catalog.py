@@ -14,7 +14,7 @@ from .. import fixed
 from ..config import DEFAULT
 from ..functions import language, text, vectors
 from ..operators import dedup, evaluation, keywords, learning, reporting, retrieval, sections, validation
-from ..session import stored
+from ..session import spread, stored
 from ..sources import html, seeds, sinks
 
 QUERIES: dict = {}
@@ -53,7 +53,8 @@ def sql_query(name: str, sql: str) -> None:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:

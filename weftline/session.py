@@ -43,6 +43,13 @@ def workspace(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files give fewer partitions than there are; larger inputs stay as they lie."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing before it."""
     path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
