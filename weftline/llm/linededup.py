@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, small
-from .textgrams import BASE, U, mix, powers, span_hashes
+from .textgrams import BASE, U, give_back, mix, powers, span_hashes
 
 #: Shorter lines (code points after folding) carry too little evidence and always stay; lines of fewer words than
 #: LEAST_WORDS go only if an earlier line is equal.
@@ -82,6 +82,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts, size = [], 0
         if parts:
             yield _batch(parts)
+        give_back()
 
 
 def _batch(parts: list) -> pa.RecordBatch:

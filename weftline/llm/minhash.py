@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, drop_cut, small
-from .textgrams import U, chunks, mix, shingle_sets
+from .textgrams import U, chunks, give_back, mix, shingle_sets
 
 #: K coordinates; pairs of similarity 0.75 agree on 96 of them on average, with a deviation of 4.9, so that
 #: fewer than T agree in about 2 of a million such pairs. SCREEN of them are merged first; LEAST must be shared
@@ -72,6 +72,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["_id", "_h", "n", "cid", "sig"],
             )
             at += len(run)
+        give_back()
 
 
 def _unpack(batches: Iterator[pa.RecordBatch], upto: int) -> Iterator[pa.RecordBatch]:
@@ -87,6 +88,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [fine(s).tobytes() for run in chunks(t.encode() for t in batch.column(1).to_pylist()) for s in shingle_sets(run)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["cid", "fine"])
+        give_back()
 
 
 def coordinates(df: DataFrame, upto: int) -> DataFrame:
@@ -107,6 +109,7 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= 75 * (len(a) + len(b) - both))
             yield part.loc[keep, ["a", "b"]]
+        give_back()
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +159,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[r], cid[o])), pa.array(np.maximum(cid[r], cid[o]))], names=["a", "b"])
             at = upto
+        give_back()
 
 
 def _with_last(it: Iterator) -> Iterator[tuple[bool, pa.RecordBatch]]:

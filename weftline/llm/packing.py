@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
+from .textgrams import give_back
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that the vocabulary was made with.
@@ -150,6 +151,8 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     open_ids, open_doc, open_off, held = [], [], [], 0
         if open_ids:
             yield from flush(best_fit_decreasing([len(s) for s in open_ids], length))
+        open_ids.clear()
+        give_back()
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(
         run, f"n_ids int, ids array<int>, cu_seqlens array<int>, resets array<int>, doc_ids array<{kind}>, offsets array<bigint>"

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
-from .textgrams import U, chunks, mix, span_hashes
+from .textgrams import U, chunks, give_back, mix, span_hashes
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 class Pieces:
@@ -238,6 +238,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=[id_col, "n_bytes", "n_pieces", "ids", "lossless"],
                 )
                 at += len(part)
+            give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.xxhash64(F.col(id_col)).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).mapInArrow(

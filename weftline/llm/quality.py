@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
-from .textgrams import SPACE, chunks, span_hashes, word_bounds
+from .textgrams import SPACE, chunks, give_back, span_hashes, word_bounds
 
 #: Words of a passage; labelled documents that a model is fitted on at most; decision threshold.
 PASSAGE, TRAIN_DOCS, THRESHOLD = 64, 2000, 0.3
@@ -151,6 +151,7 @@ def scorer(model: dict):
                 out += [float(model["constant"])] * len(run)
             else:
                 out += forward(model, *passages(run))["y"].tolist()
+        give_back()
         return pa.array(out, pa.float64())
 
     return F.arrow_udf(score, "double")

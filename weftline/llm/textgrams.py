@@ -18,6 +18,19 @@ LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system; called between Arrow batches."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
