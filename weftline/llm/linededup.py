@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, small
+from .common import bound_batches, cut, drop_cut, small
 from .textgrams import BASE, U, give_back, mix, powers, span_hashes
 
 #: Shorter lines (code points after folding) carry too little evidence and always stay; lines of fewer words than
@@ -123,6 +123,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     parts = keyed.select("h", F.explode("k").alias("key"))
     shared = cut(parts.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"), "line-parts")
     likely = cut(parts.join(shared, "key").select("h").distinct().join(first, "h").select("h", "at.*", "at"), "line-likely")
+    drop_cut(shared)
     homes = likely.select(F.col("_id").alias("_i2"), F.col("_h").alias("_h2")).distinct()
     at_home = docs.join(small(homes, likely.count()), F.col("_id").eqNullSafe(F.col("_i2")) & (F.col("_h") == F.col("_h2")), "left_semi")
     lines = at_home.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line")).select(*place, fold(F.col("line")).alias("f"))
@@ -132,12 +133,17 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # keys of a single line join nothing
     met = cut(every.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"), "line-keys")
     dated = cut(every.join(met, "key").join(likely.select("h", "at"), "h"), "line-postings")
+    # nothing later reads these
+    drop_cut(every)
+    drop_cut(met)
     whole = F.col("kind") != 1
     groups = cut(dated.groupBy("key").agg(F.min(F.when(whole, F.struct("at", "h"))).alias("a"), F.min(F.when(~whole, F.struct("at", "h"))).alias("b")), "line-groups")
     # lines that meet by place, or are the variant itself, are partners; a variant alone only meets the line it is
     partner = F.when(F.col("kind") == 2, F.least("a", "b")).otherwise(F.col("a"))
     pairs = dated.join(groups, "key").withColumn("p", partner).filter("p IS NOT NULL AND p.h <> h").filter(F.col("p.at") < F.col("at")).groupBy("h").agg(F.min("p").alias("p"))
     pairs = cut(pairs.select("h", F.col("p.h").alias("ph")), "line-pairs")
+    drop_cut(groups)
+    drop_cut(dated)
     near = pairs.join(texts, "h").join(texts.select(F.col("h").alias("ph"), F.col("f").alias("pf")), "ph").select("h", "f", "pf").mapInArrow(_verify, "h bigint").distinct()  # rows that repeat a document repeat its lines
     late = cut(first.join(near.withColumn("near", F.lit(True)), "h", "left"), "line-late")
     return keyed.join(late, "h").filter(F.col("near").isNotNull() | (order != F.col("at"))).select(*place)
