@@ -107,3 +107,22 @@ def test_language_id_and_registry(spark):
     assert "de" in r.get("es") and r.loaded == ["es"]
     with pytest.raises(ValueError):
         r.get("xx")
+
+
+def test_the_sweep_fits_every_seed_of_every_k(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    from weftline.plans import catalog
+
+    rng = random.Random(7)
+    rows = [(i, [4.0 * (i % 10 % 4) + rng.gauss(0, 0.2), 5.0 * (i % 10 // 4) + rng.gauss(0, 0.2)]) for i in range(200)]
+    v = spark.createDataFrame(rows, "doc_id int, x array<double>").withColumn("features", array_to_vector("x")).cache()
+    table, best = learning.kmeans_sweep(v)
+    got = {r["k"]: r for r in table.collect()}
+    assert sorted(got) == list(range(2, 17)) and best == 10
+    m = KMeans(k=10, seed=1, initSteps=9).fit(v)
+    assert got[10]["inertia"] <= m.summary.trainingCost * 1.000001
+    if m.summary.trainingCost < got[10]["inertia"] * 1.000001:
+        assert got[10]["silhouette"] == pytest.approx(ClusteringEvaluator().evaluate(m.transform(v)), abs=1e-6)
+    assert [r["k"] for r in catalog.QUERIES["kmeans_sweep"](spark, "/root/testdata/sf0.001").orderBy("k").collect()] == list(range(2, 17))

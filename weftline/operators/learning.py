@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -132,18 +135,162 @@ def ablation(base: DataFrame, without: DataFrame, key: str = "doc_id") -> DataFr
     return c.select(key, "term", "contribution", F.when(F.col("contribution") > 0, "for").otherwise("against").alias("sign"), F.row_number().over(w).alias("rank"))
 
 
+def _partials(df: DataFrame, work) -> list:  # noqa: ANN001
+    """work(rows as a matrix, their hashes) for blocks of df (x, h): arrays that are added up in each task; one list of arrays for each task."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        total = None
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
+            h = b.column(1).to_numpy(zero_copy_only=False)
+            for i in range(0, b.num_rows, 1024):
+                part = work(x[i : i + 1024], h[i : i + 1024])
+                total = part if total is None else [p + q for p, q in zip(total, part, strict=True)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["p"])
+
+    return [pickle.loads(r[0]) for r in df.mapInArrow(run, "p binary").collect()]  # noqa: S301
+
+
+def _added(parts: list) -> list:
+    return [sum(p[1:], p[0]) for p in zip(*parts, strict=True)]
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1), 0)
+
+
+def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in [0, 1) that follow from a row's hash and the salt alone."""
+    with np.errstate(over="ignore"):
+        z = h.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ z >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / 2**53
+
+
+def _candidates(df: DataFrame, seeds: list[int], most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each seed (points, weights): k-means|| with two rounds and 2 * most points a round, all seeds in the same scans."""
+    first = df.agg(*[F.min_by("x", F.xxhash64("h", F.lit(s))).alias(f"s{s}") for s in seeds]).first()
+    found = [np.array([first[f"s{s}"]]) for s in seeds]
+    for step in range(2):
+        cost = _added(_partials(df, lambda x, _: [np.array([_squares(x, c).min(1).sum() for c in found])]))[0]
+
+        def draw(x, h, step=step, cost=cost):  # noqa: ANN001, ANN202
+            out = []
+            for i, s in enumerate(seeds):
+                d = _squares(x, found[i]).min(1)
+                out.append({x[j].tobytes() for j in np.flatnonzero(_uniform(h, 2 * s + step) * cost[i] < 2 * most * d)})
+            return [_Sets(out)]
+
+        parts = _partials(df, draw)
+        for i in range(len(seeds)):
+            more = sorted(set().union(*[p[0].sets[i] for p in parts]))
+            if more:
+                found[i] = np.vstack([found[i], *[np.frombuffer(m) for m in more]])
+    weigh = lambda x, _: [np.bincount(_squares(x, c).argmin(1), minlength=len(c)).astype(float) for c in found]
+    return list(zip(found, _added(_partials(df, weigh)), strict=True))
+
+
+class _Sets:
+    """Sets that are added up one by one."""
+
+    def __init__(self, sets):  # noqa: ANN001
+        self.sets = list(sets)
+
+    def __add__(self, other: _Sets) -> _Sets:
+        return _Sets([a | b for a, b in zip(self.sets, other.sets, strict=True)])
+
+
+def _start(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k centres by weighted k-means++ over candidates, then Lloyd steps among them."""
+    rng = np.random.default_rng([seed, k])
+    at = [int(rng.choice(len(points), p=weights / weights.sum()))]
+    while len(at) < k:
+        d = weights * _squares(points, points[at]).min(1)
+        at.append(int(rng.choice(len(points), p=d / d.sum())) if d.sum() > 0 else at[0])
+    c = points[at]
+    for _ in range(30):
+        near = _squares(points, c).argmin(1)
+        w = np.bincount(near, weights, k)
+        sums = np.stack([np.bincount(near, weights * col, k) for col in points.T], 1)
+        c = np.where(w[:, None] > 0, sums / np.maximum(w, 1e-300)[:, None], c)
+    return c
+
+
+def _assigned(centres: np.ndarray):  # noqa: ANN202
+    """Work for _partials: rows, sums, sums of squares and the inertia by cluster of (models, k, columns) centres."""
+    m, k, width = centres.shape
+
+    def work(x, _):  # noqa: ANN001, ANN202
+        d = _squares(x, centres.reshape(m * k, width)).reshape(len(x), m, k)
+        one = (d.argmin(2)[:, :, None] == np.arange(k)).reshape(len(x), m * k).astype(float)
+        return [one.sum(0).reshape(m, k), (one.T @ x).reshape(m, k, width), (one.T @ (x * x).sum(1)).reshape(m, k), d.min(2).sum(0)]
+
+    return work
+
+
+def _silhouettes(centres: dict, stats: dict):  # noqa: ANN202
+    """Work for _partials: the sum of squared-distance silhouettes for each k, from each cluster's rows, sum and sum of squares."""
+
+    def work(x, _):  # noqa: ANN001, ANN202
+        out, own = [], np.arange(len(x))
+        for k, c in centres.items():
+            n, sums, squares = stats[k]
+            a = _squares(x, c).argmin(1)
+            total = np.maximum((x * x).sum(1)[:, None] * n - 2 * (x @ sums.T) + squares, 0)  # to all rows of each cluster
+            inside = total[own, a] / np.maximum(n[a] - 1, 1)
+            other = np.where(n > 0, total / np.maximum(n, 1), np.inf)
+            other[own, a] = np.inf
+            outside = other.min(1)
+            most = np.maximum(inside, outside)
+            good = (n[a] > 1) & np.isfinite(outside) & (most > 0)
+            out.append(((outside - inside) / np.where(good, most, 1))[good].sum())
+        return [np.array(out)]
+
+    return work
+
+
 def kmeans_sweep(df: DataFrame, features: str = "features", cfg: Config = DEFAULT) -> tuple[DataFrame, int]:
-    """((k, inertia, silhouette), best k): every k the settings allow, the best of a few seeds by inertia."""
+    """((k, inertia, silhouette), best k): every k the settings allow, the best of n_init seeds by inertia.
+
+    The fits of all k and seeds take their steps in the same scans, each until its centres rest or 300 steps are done.
+    """
     c = cfg.clustering
-    df = df.persist()  # scanned once for every k and seed
-    n = df.count()
+    spark = df.sparkSession
+    x = df.select(vector_to_array(features).alias("x"))
+    x = x.select("x", F.xxhash64("x").alias("h")).coalesce(max(spark.sparkContext.defaultParallelism, 1)).persist()  # scanned once for every step
+    n = x.count()
+    ks = range(c.k_min, min(c.k_max, max(2, n // 5), n - 1) + 1)
+    seeds = [cfg.seed + s for s in range(max(1, c.n_init))]
+    start = _candidates(x, seeds, max(ks, default=2)) if len(ks) else []
+    centres = {k: np.stack([_start(*start[i], k, s) for i, s in enumerate(seeds)]) for k in ks}
+    moving = {k: np.arange(len(seeds)) for k in ks}
+    for _ in range(300):
+        moving = {k: m for k, m in moving.items() if len(m)}
+        if not moving:
+            break
+        works = [_assigned(centres[k][m]) for k, m in moving.items()]
+        got = iter(_added(_partials(x, lambda b, h, works=works: [a for w in works for a in w(b, h)])))
+        for k, m in moving.items():
+            size, sums, _, _ = (next(got) for _ in range(4))
+            new = np.where(size[:, :, None] > 0, sums / np.maximum(size, 1)[:, :, None], centres[k][m])
+            rest = ((new - centres[k][m]) ** 2).sum(2).max(1) <= 1e-8
+            centres[k][m] = new
+            moving[k] = m[~rest]
     rows = []
-    for k in range(c.k_min, min(c.k_max, max(2, n // 5), n - 1) + 1):
-        fits = [KMeans(k=k, seed=cfg.seed + s, featuresCol=features, maxIter=30).fit(df) for s in range(max(1, c.n_init // 5))]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        rows.append((k, float(best.summary.trainingCost), float(ClusteringEvaluator(featuresCol=features).evaluate(best.transform(df)))))
-    df.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double"), max(rows, key=lambda r: r[2])[0]
+    if len(ks):
+        works = [_assigned(centres[k]) for k in ks]
+        got = iter(_added(_partials(x, lambda b, h: [a for w in works for a in w(b, h)])))
+        best, stats, inertia = {}, {}, {}
+        for k in ks:
+            size, sums, squares, cost = (next(got) for _ in range(4))
+            i = int(cost.argmin())
+            best[k], stats[k], inertia[k] = centres[k][i], (size[i], sums[i], squares[i]), float(cost[i])
+        total = _added(_partials(x, _silhouettes(best, stats)))[0]
+        rows = [(k, inertia[k], float(t / n)) for k, t in zip(ks, total, strict=True)]
+    x.unpersist()
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double"), max(rows, key=lambda r: r[2])[0]
 
 
 def cluster(df: DataFrame, k: int, features: str = "features", cfg: Config = DEFAULT) -> DataFrame:

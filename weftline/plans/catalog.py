@@ -754,13 +754,7 @@ def topics(spark, d):
 @query()
 def kmeans_sweep(spark, d):
     v = vectors_of(spark, d)
-    return learning.kmeans_sweep(v, cfg=_quick())[0]
-
-
-def _quick():  # noqa: ANN202
-    from dataclasses import replace
-
-    return replace(DEFAULT, clustering=replace(DEFAULT.clustering, k_max=6, n_init=5))
+    return learning.kmeans_sweep(v)[0]
 
 
 @query()
