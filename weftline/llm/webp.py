@@ -1,15 +1,15 @@
 """Lossless WebP in numpy: a decoder for whole VP8L streams and an encoder that media columns are stored with.
 
 The decoder reads prefix codes, meta prefix images, back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Streams whose channels other than green are
-constant and whose green code has lengths n and 2n only, without back-references, are decoded at once: where
-a symbol begins follows from the parity of runs. The encoder's default writes such streams for samples of 8
-bits, behind a palette of the bytes in use; encode_argb() takes any transforms, cache and back-references.
+predictor, cross-colour, subtract-green and palette transforms. Images whose channels other than green are
+constant, without a cache, are decoded by tables over all bits. Stored files have 8-bit samples as green behind a
+palette or a predictor, with back-references and Huffman codes; encode_argb() takes any transforms and a cache.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 
@@ -28,7 +28,8 @@ NEAR = (
 )
 CACHE_FACTOR = 0x1E35A7BD
 MAX_SIDE, ROW = 16384, 64
-REV4 = np.array([int(f"{i:04b}"[::-1], 2) for i in range(16)], np.uint8)
+#: Bytes of a stream that are looked up at once; the least length of a back-reference in stored files, and the farthest.
+STRETCH, LEAST, FAR = 1 << 17, 6, (1 << 20) - 120
 
 
 class Reader:
@@ -132,49 +133,82 @@ def _value(r: Reader, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + r.bits(extra) + 1
 
 
-def _flat(codes: list[Code]) -> int:
-    """n if the green code's lengths are n and 2n with the shorter first, or all n, and the rest is constant; else 0."""
-    if any(c.only is None for c in codes[1:4]):
-        return 0
-    g = codes[0]
-    if g.only is not None:
-        return 0
-    kinds = sorted({n for n in g.lengths if n})
-    return kinds[0] if (len(kinds) == 1 or len(kinds) == 2 and kinds[1] == 2 * kinds[0]) and kinds[0] <= 8 and not any(g.lengths[256:]) else 0
-
-
-def _unit_values(r: Reader, n: int, most: int) -> np.ndarray:
-    """The next runs of n bits each, first bit most significant, at most so many."""
-    first = r.at >> 3
-    raw = np.frombuffer(r.data, np.uint8)[first : (r.at + n * most + 7) // 8 + 1]
-    bits = np.unpackbits(raw, bitorder="little")[r.at & 7 :]
-    bits = bits[: min(len(bits) // n, most) * n].reshape(-1, n)
-    return bits @ (1 << np.arange(n - 1, -1, -1))
-
-
-def _green_at_once(r: Reader, code: Code, n: int, count: int) -> np.ndarray:
-    order = sorted((m, s) for s, m in enumerate(code.lengths) if m)
-    symbols = np.array([s for _, s in order])
-    short = sum(m == n for m, _ in order)
-    unit = _unit_values(r, n, 2 * count)
-    if short == len(order):
-        if len(unit) < count:
+def _tables(code: Code) -> tuple[int, np.ndarray, np.ndarray]:
+    """(most bits, symbol and length by the next bits, first bit lowest)."""
+    if code.only is not None:
+        return 0, np.array([code.only]), np.zeros(1, np.int64)
+    most = max(code.lengths)
+    symbol, length = np.zeros(1 << most, np.int64), np.zeros(1 << most, np.int64)
+    for (n, c), s in code.table.items():
+        first = int(f"{c:0{n}b}"[::-1], 2)
+        symbol[first :: 1 << n] = s
+        length[first :: 1 << n] = n
+    return most, symbol, length
+
+
+def _value_at(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_value() of symbols before bits: (values, extra bits)."""
+    extra = np.where(symbol < 4, 0, symbol - 2 >> 1)
+    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + (window & ((1 << extra) - 1)) + 1), extra
+
+
+def _green_tokens(r: Reader, codes: list[Code], width: int, total: int) -> np.ndarray:
+    """Green of an image whose other channels are constant, with literals and back-references.
+
+    What a symbol would be and where the next begins is looked up for every bit; a walk then finds where symbols are.
+    """
+    (gm, gs, gl), (dm, ds, dl) = _tables(codes[0]), _tables(codes[4])
+    end = len(r.data) * 8
+    near = np.array([max(dx + dy * width, 1) for dx, dy in NEAR])
+    kinds, lengths, fars, done = [], [], [], 0
+    while done < total:
+        if r.at >= end:
             raise ValueError("the stream ends early")
-        r.at += n * count
-        return symbols[unit[:count]]
-    # a unit of a long code's first half is followed by its second, whatever that is: within a run of such units,
-    # which always begins where a symbol does or a second half ends, symbols begin at every other place
-    long = unit >= short
-    idx = np.arange(len(unit))
-    run_start = np.maximum.accumulate(np.where(np.concatenate(([True], ~long[:-1])), idx, 0))
-    begins = (idx - run_start) % 2 == 0
-    at = np.flatnonzero(begins)[:count]
-    if len(at) < count or (long[at[-1]] and at[-1] + 1 >= len(unit)):
+        first = r.at >> 3
+        raw = np.frombuffer(r.data[first : first + STRETCH + 16] + bytes(24), np.uint8).astype(np.uint32)
+        words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+        window = (words[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << 25) - 1)).astype(np.int32).ravel()
+        stop = min(STRETCH * 8, end - first * 8)
+        low = window[:stop] & ((1 << gm) - 1)
+        kind, step = gs[low], gl[low]
+        i = np.flatnonzero(kind >= 256)
+        length, e1 = _value_at(kind[i] - 256, window[i + step[i]])
+        at = i + step[i] + e1
+        d = window[at] & ((1 << dm) - 1)
+        far, e2 = _value_at(ds[d], window[at + dl[d]])
+        step[i] += e1 + dl[d] + e2
+        nxt = (np.arange(stop) + step).tolist()
+        here, at = [], r.at - first * 8
+        while at < stop:
+            here.append(at)
+            at = nxt[at]
+        here = np.array(here)
+        k = kind[here]
+        n, f = np.ones(len(here), np.int64), np.zeros(len(here), np.int64)
+        copy = k >= 256
+        w = np.searchsorted(i, here[copy])
+        n[copy] = length[w]
+        f[copy] = np.where(far[w] > 120, far[w] - 120, near[np.minimum(far[w], 120) - 1])
+        sums = done + np.cumsum(n)
+        used = int(np.searchsorted(sums, total)) + 1
+        kinds.append(k[:used])
+        lengths.append(n[:used])
+        fars.append(f[:used])
+        done = int(sums[min(used, len(sums)) - 1])
+        r.at = first * 8 + (nxt[here[used - 1]] if used <= len(here) else at)
+    if r.at > end:
         raise ValueError("the stream ends early")
-    wide = long[at]
-    nxt = unit[np.minimum(at + 1, len(unit) - 1)]
-    r.at += n * int(at[-1] + 1 + wide[-1])
-    return symbols[np.where(wide, short + ((unit[at] - short) << n) + nxt, unit[at])]
+    kinds, lengths, fars = (np.concatenate(x) for x in (kinds, lengths, fars))
+    start = np.cumsum(lengths) - lengths
+    if done > total or (fars > start).any():
+        raise ValueError("a back-reference leaves the image")
+    out = bytearray(total)
+    literal = kinds < 256
+    np.frombuffer(out, np.uint8)[start[literal]] = kinds[literal]
+    copy = ~literal
+    for s, n, f in zip(start[copy].tolist(), lengths[copy].tolist(), fars[copy].tolist(), strict=True):
+        out[s : s + n] = out[s - f : s - f + n] if f >= n else (out[s - f : s] * (n // f + 1))[:n]
+    return np.frombuffer(bytes(out), np.uint8)
 
 
 def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
@@ -190,8 +224,8 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(r, n) for n in sizes] for _ in range(groups)]
     total = width * height
-    if tiles is None and not cache_bits and (n := _flat(codes[0])):
-        g = _green_at_once(r, codes[0][0], n, total).astype(np.uint32)
+    if tiles is None and not cache_bits and total > 256 and codes[0][0].only is None and all(c.only is not None for c in codes[0][1:4]):
+        g = _green_tokens(r, codes[0], width, total).astype(np.uint32)
         red, blue, alpha = (c.only for c in codes[0][1:4])
         return (np.uint32(alpha << 24 | red << 16 | blue) | g << np.uint32(8)).reshape(height, width)
     if tiles is None and not cache_bits and all(c.only is not None for c in codes[0][:4]) and codes[0][0].only < 256:
@@ -278,6 +312,13 @@ def _predict(mode: int, left, top, top_left, top_right):  # noqa: ANN001, ANN202
 def _through_predictor(argb: np.ndarray, modes: np.ndarray, tile: int, inverse: bool) -> np.ndarray:
     """Residuals to pixels (inverse) or pixels to residuals."""
     h, w = argb.shape
+    if inverse and modes.flat[0] in (1, 2) and (modes == modes.flat[0]).all():
+        # left or top everywhere: sums along one edge, then away from it
+        p = _planes(argb)
+        p[0, 0, 0] += 255
+        edge = p[:, 0] if modes.flat[0] == 1 else p[0]
+        edge[:] = np.cumsum(edge, axis=0)
+        return _packed(np.cumsum(p, axis=1 if modes.flat[0] == 1 else 0))
     src = _planes(argb).tolist()
     out = [[None] * w for _ in range(h)]
     whole = out if inverse else src
@@ -575,11 +616,99 @@ def _bundled(index: np.ndarray, size: int) -> np.ndarray:
     return (full.reshape(h, wide, 1 << n) << (np.arange(1 << n) * (8 >> n)).astype(np.uint32)).sum(axis=2, dtype=np.uint32)
 
 
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> np.ndarray:
+    """Distance codes of short distances, 0 where there is none."""
+    near = {max(dx + dy * width, 1): k + 1 for k, (dx, dy) in reversed(list(enumerate(NEAR)))}
+    out = np.zeros(max(near) + 1, np.int64)
+    out[list(near)] = list(near.values())
+    return out
+
+
+def _prefixed_at(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefixed() of many."""
+    x = v - 1
+    less = np.maximum(np.frexp(np.maximum(x, 1).astype(np.float64))[1].astype(np.int64) - 2, 0)
+    second = x >> less & 1
+    short = v <= 4
+    return np.where(short, x, 2 * less + 2 + second), np.where(short, 0, x - ((2 + second) << less)), np.where(short, 0, less)
+
+
+def _copies(v: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references, greedily: to the latest place with the same LEAST values."""
+    if len(v) < 2 * LEAST:
+        return []
+    n = len(v) - LEAST + 1
+    x = v.astype(np.uint64)
+    key = sum(x[k : k + n] << np.uint64(8 * k) for k in range(LEAST))
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    prev = np.full(n + 1, -1)
+    prev[order[1:][same]] = order[:-1][same]
+    prev[np.arange(n + 1) - prev > FAR] = -1
+    # a match goes on while the next place has the match after it
+    ends = np.flatnonzero((np.diff(prev) != 1) | (prev[:-1] < 0))
+    length = LEAST + ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    has = np.flatnonzero(prev[:n] >= 0)
+    nxt = np.append(has, n)[np.searchsorted(has, np.arange(n + 1))].tolist()
+    out, i, prev, length = [], 0, prev.tolist(), length.tolist()
+    while i < n and (i := nxt[i]) < n:
+        m = min(length[i], 4096)
+        out.append((i, m, i - prev[i]))
+        i += m
+    return out
+
+
+def _write_greens(w: Writer, values: np.ndarray, width: int, rest: tuple[int, int, int]) -> bytes:
+    """The whole stream: what w has, then an image of these greens and constant red, blue and alpha."""
+    at, n, far = np.array(_copies(values), np.int64).reshape(-1, 3).T
+    cover = np.zeros(len(values) + 1, np.int64)
+    cover[at] += 1
+    np.subtract.at(cover, at + n, 1)
+    literal = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
+    near = _near_codes(width)
+    code = near[np.minimum(far, len(near) - 1)]
+    code = np.where((far < len(near)) & (code > 0), code, far + 120)
+    (ls, lx, lb), (fs, fx, fb) = _prefixed_at(n), _prefixed_at(code)
+    order = np.argsort(np.concatenate((literal, at)), kind="stable")
+    green = np.concatenate((values[literal].astype(np.int64), 256 + ls))[order]
+    spread = lambda x: np.concatenate((np.zeros(len(literal), np.int64), x))[order]
+    w.put(0, 2)
+    books = []
+    for symbols, size in ((green, 280), (rest[0], 256), (rest[1], 256), (rest[2], 256), (fs, 40)):
+        if isinstance(symbols, int):
+            write_code(w, [0] * symbols + [1])
+            continue
+        kinds, many = np.unique(symbols, return_counts=True)
+        depth = _huffman(Counter(dict(zip(kinds.tolist(), many.tolist(), strict=True)))) if len(kinds) > 1 else dict.fromkeys(kinds.tolist(), 1)
+        lengths = [depth.get(k, 0) for k in range(size)]
+        write_code(w, lengths)
+        bits, length = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        if len(kinds) > 1:
+            for k, (m, c) in canonical(lengths).items():
+                bits[k], length[k] = int(f"{c:0{m}b}"[::-1], 2), m
+        books.append((bits, length))
+    (gb, gl), (db, dl) = books
+    value = np.stack((gb[green], spread(lx), spread(db[fs]), spread(fx)), 1).ravel()
+    size = np.stack((gl[green], spread(lb), spread(dl[fs]), spread(fb)), 1).ravel()
+    value, size = value[size > 0], size[size > 0]
+    where = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    body = (np.repeat(value, size) >> where & 1).astype(np.uint8)
+    head = np.unpackbits(np.frombuffer(w.acc.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
+    return np.packbits(np.concatenate((head, body)), bitorder="little").tobytes()
+
+
+def _entropy(values: np.ndarray) -> float:
+    n = np.bincount(values.ravel())
+    n = n[n > 0]
+    return float((n * np.log2(values.size / n)).sum())
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
-    """8-bit samples, height x width, as the green of opaque pixels behind a palette.
+    """8-bit samples, height x width, as the green of opaque pixels, with back-references and Huffman codes.
 
-    The palette indices get codes of 4 bits for the most frequent and 8 bits for the others, filled up with
-    unused indices to a complete code.
+    They go behind a palette, or through the left or top predictor where the residuals promise fewer bits and the
+    file is indeed smaller. Red and blue are constant, so there is nothing for cross-colour to take away.
     """
     h, width = samples.shape
     counts = np.bincount(samples.ravel(), minlength=256)
@@ -608,47 +737,21 @@ def encode_samples(samples: np.ndarray) -> bytes:
     place = np.zeros(256, np.uint32)
     place[used] = np.arange(len(used))
     index = _bundled(place[samples], len(used))
-    w.put(0, 2)
-    values = index.ravel()
-    have = np.bincount(values, minlength=256)
-    kinds = np.flatnonzero(have)
-    if len(kinds) == 1:
-        write_code(w, [0] * int(kinds[0]) + [1])
-        units = None
-    else:
-        n = len(kinds)
-        short = min((256 - n) // 15, 15)
-        order = np.concatenate((kinds[np.argsort(-have[kinds], kind="stable")], np.flatnonzero(have == 0)))
-        lengths = np.zeros(280, np.int64)
-        lengths[order[:short]] = 4
-        lengths[order[short : short + 16 * (16 - short)]] = 8
-        write_code(w, lengths.tolist())
-        rank = np.lexsort((np.arange(280), lengths))
-        rank = rank[lengths[rank] > 0]
-        code = np.zeros(280, np.int64)
-        code[rank[:short]] = np.arange(short)
-        code[rank[short:]] = (short << 4) + np.arange(len(rank) - short)
-        wide = lengths[values] == 8
-        c = code[values]
-        units = np.stack((REV4[np.where(wide, c >> 4, c)], REV4[c & 15]), 1)
-        units = units[np.stack((np.ones(len(wide), bool), wide), 1)]
-    for only in (0, 0, 255, 0):
-        write_code(w, [0] * only + [1])
-    head = w.acc.to_bytes((w.n + 7) // 8, "little")
-    if units is None:
-        return _file(head)
-    # the rest of the stream is in units of 4 bits from any bit onward
-    if len(units) & 1:
-        units = np.append(units, np.uint8(0))
-    body = (units[::2] | units[1::2] << 4).astype(np.uint16)
-    shift = w.n & 7
-    if shift:
-        moved = np.zeros(len(body) + 1, np.uint16)
-        moved[:-1] = body << shift & 255
-        moved[1:] |= body >> (8 - shift)
-        moved[0] |= head[-1]
-        return _file(head[:-1] + moved.astype(np.uint8).tobytes())
-    return _file(head + body.astype(np.uint8).tobytes())
+    out = _write_greens(w, index.ravel(), index.shape[1], (0, 0, 255))
+    bits, wide = _entropy(index), samples.astype(np.int16)
+    for mode in (1, 2):
+        residual = np.diff(wide, axis=2 - mode, prepend=0)
+        edge = residual[:, 0] if mode == 1 else residual[0]
+        edge[:] = np.diff(wide[:, 0] if mode == 1 else wide[0], prepend=0)
+        residual = (residual & 255).astype(np.uint8)
+        if _entropy(residual) < bits:
+            w = _head(width, h)
+            w.put(1 | PREDICTOR << 1, 3)
+            w.put(7, 3)
+            write_image(w, np.full((-(-h >> 9), -(-width >> 9)), 0xFF000000 | mode << 8, np.uint32), False)
+            w.put(0, 1)
+            out = min(out, _write_greens(w, residual.ravel(), width, (0, 0, 0)), key=len)
+    return _file(out)
 
 
 def store(payload: bytes) -> bytes:
