@@ -78,3 +78,22 @@ def test_proximity_allows_inserted_words(spark):
     ix = decontam.index(docs, spark.createDataFrame([(5, item)], "item_id long, text string"), "doc_id", "text")
     assert {r["_id"] for r in decontam.exact(ix).collect()} == {1}
     assert {1, 2} <= {r["_id"] for r in decontam.proximity(ix).collect()}
+
+
+def test_proximity_needs_two_places(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = [(1, item), (2, item.replace("beta", "beta so very")), (3, "alpha beta"), (4, "kappa"), (5, "alpha " * 5), (6, "rose x rose"), (7, "rose")]
+    docs += [(10 + k, "beta gamma delta epsilon zeta eta theta iota kappa") for k in range(9)]
+    items = [(5, item), (6, "rose rose"), (7, item.replace("delta", "absent").replace("eta", "missing"))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.near_contamination(d, b).collect()}
+    assert len(got) == len(docs) and got[1]["n_near"] >= 1 and got[2]["n_near"] >= 1
+    assert got[4]["n_near"] == got[7]["n_near"] == 0 and got[6]["n_near"] == 1
+    assert got[5]["n_near"] == 0
+
+
+def test_a_shared_rare_word_is_no_proximity_match(spark):
+    item = "quark beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = [(1, item), (2, "a quark alone"), *[(10 + k, "beta gamma delta epsilon zeta eta theta iota kappa") for k in range(9)]]
+    ix = decontam.index(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"), "doc_id", "text", near=True)
+    assert {r["_id"] for r in decontam.proximity(ix).collect()} == {1}

@@ -44,8 +44,12 @@ def windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text",
     return pairs.select("wid", "w").distinct(), pairs.select("wid", "item")
 
 
-def index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> dict:
-    """The stored index: postings of the anchors, the windows with their anchors, and the item pairs."""
+def index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, size: int = WINDOW, near: bool = False) -> dict:
+    """The stored index: postings of the anchors, the windows with their anchors, and the item pairs.
+
+    near: for proximity(), every window of two words or more keeps both anchors, however frequent, and may have
+    words that the corpus lacks. Anchors are different words wherever a window has two.
+    """
     wins, pairs = windows(items, text_col=text_col, size=size)
     terms = cut(wins.select("wid", F.posexplode("w").alias("off", "term")).withColumn("t", F.xxhash64("term")), "bench-terms")
     vocab = terms.select("t").distinct()
@@ -54,13 +58,14 @@ def index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, size: i
     # how often the corpus has each benchmark word; a partial sum for each task is all that moves
     freq = texts.select(F.explode("_w").alias("term")).select(F.xxhash64("term").alias("t")).join(small(vocab, n_vocab), "t").groupBy("t").agg(F.count("*").alias("cf"))
     by_window = Window.partitionBy("wid")
-    held = (
+    known = (
         terms.join(cut(freq, "bench-frequency"), "t", "left")
         .withColumn("least", F.min(F.coalesce("cf", F.lit(0))).over(by_window))
-        .filter("least > 0")  # a word that the corpus lacks rules its windows out
-        .withColumn("rank", F.row_number().over(by_window.orderBy("cf", "off")))
-        .filter((F.col("rank") == 1) | ((F.col("rank") <= ANCHORS) & (F.col("cf") <= SKIP * F.col("least"))))
+        .withColumn("again", F.row_number().over(Window.partitionBy("wid", "t").orderBy("off")) > 1)
     )
+    # for exact matches, a word that the corpus lacks rules its windows out
+    known = known.filter("cf > 0" if near else "least > 0").withColumn("rank", F.row_number().over(by_window.orderBy("again", "cf", "off")))
+    held = known.filter(F.col("rank") <= ANCHORS) if near else known.filter((F.col("rank") == 1) | ((F.col("rank") <= ANCHORS) & (F.col("cf") <= SKIP * F.col("least"))))
     anchors = cut(
         held.join(wins, "wid").select("wid", "t", "off", "rank", F.size("w").alias("len"), F.when(F.col("rank") == 1, F.col("w")).alias("w"),
                                       F.count("*").over(by_window).alias("need")),
@@ -102,19 +107,33 @@ def exact(ix: dict) -> DataFrame:
 def proximity(ix: dict, slop: int = 3) -> DataFrame:
     """(_id, _h, item, start, spread): windows whose anchors all lie within slop words of where the phrase has them.
 
-    start is the least moved position in the neighbourhood, spread the most that two of them differ.
+    ix is an index with near set. start is the least moved position in the neighbourhood, spread the most that two of
+    them differ. Two anchors are two places in the text; a window of two words or more with one anchor matches nothing.
     """
-    moved = ix["postings"].join(small(ix["anchors"], ix["n_anchors"]), "t").withColumn("start", F.col("pos") - F.col("off"))
+    both = ix["anchors"].filter(F.col("need") >= F.least("len", F.lit(ANCHORS)))
+    moved = ix["postings"].join(small(both, ix["n_anchors"]), "t").withColumn("start", F.col("pos") - F.col("off"))
     # each posting serves its own cell and the one before, so any group within slop meets in one cell
     cells = moved.withColumn("cell", F.explode(F.array(F.floor(F.col("start") / (slop + 1)), F.floor(F.col("start") / (slop + 1)) - 1)))
     near = (
         cells.groupBy("_id", "_h", "wid", "cell", "need")
-        .agg(F.count_distinct("rank").alias("n"), F.min("start").alias("start"), (F.max("start") - F.min("start")).alias("spread"))
-        .filter((F.col("n") == F.col("need")) & (F.col("spread") <= 2 * slop + 1))
-    )
+        .agg(
+            F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"), F.min("start").alias("start"), (F.max("start") - F.min("start")).alias("spread"),
+            (F.max("pos") > F.min("pos")).alias("apart"),
+        )
+        .filter((F.expr("bit_count(met)") == F.col("need")) & (F.col("apart") | (F.col("need") == 1)) & (F.col("spread") <= 2 * slop + 1))
+    )
     return near.join(ix["pairs"], "wid").groupBy("_id", "_h", "item").agg(F.min("start").alias("start"), F.min("spread").alias("spread"))
 
 
+def near_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, slop: int = 3) -> DataFrame:
+    """One row for each row of docs: id, n_near (items that match by proximity), near_sha256 of their sorted ids, spread (the least, or null)."""
+    ix = index(docs, items, id_col, text_col, size, near=True)
+    found = proximity(ix, slop).groupBy(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).agg(F.sort_array(F.collect_list("item")).alias("items"), F.min("spread").alias("spread"))
+    out = ix["texts"].select("_id", "_h").join(found, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
+    items_ = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(F.col("_id").alias(id_col), F.size(items_).cast("long").alias("n_near"), F.sha2(F.array_join(items_, ","), 256).alias("near_sha256"), F.col("spread").cast("long").alias("spread"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
