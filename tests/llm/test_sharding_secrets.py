@@ -60,6 +60,15 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     assert back.count() == 100 and back.groupBy("shard_id").agg(F.sum(F.length("text")).alias("b")).filter("b > 500").count() == 0
 
 
+def test_written_shards_of_a_hot_key(spark, tmp_path):
+    rows = [("hot", f"{i:0100d}") for i in range(50)] + [("hot", f"{7:0100d}"), (None, "y" * 100), ("k", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    sharding.write_shards(df, str(tmp_path / "s"), max_bytes=1000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in back.collect()) == sorted((str(i), str(t)) for i, t in rows)
+    assert back.groupBy("shard_id").agg(F.sum(F.length("text")).alias("b")).filter("b > 1000").count() == 0
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 KINDS = [("assign", ASSIGN, 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
 

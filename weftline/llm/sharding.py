@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, same, small
+from .common import cut, small
 
 BITS, STEP = 60, 12
 
@@ -31,6 +31,11 @@ def assign_shards(df: DataFrame, key: str = "doc_id", content: str = "text", max
     agree in key and content cannot be told apart, so they share a shard; where such rows, or one row alone,
     exceed the limit, their shard has depth 60 and oversize is true. An empty table gives no rows.
     """
+    return _assigned(df, key, content, max_bytes).drop("_shard_hash")
+
+
+def _assigned(df: DataFrame, key: str, content: str, max_bytes: int) -> DataFrame:
+    """What assign_shards() gives, with the hash bits that a row's shard follows from."""
     rows = cut(
         df.select(
             F.col(key).alias("_k"),
@@ -43,7 +48,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", content: str = "text", max
     if total <= max_bytes:
         return rows.select(
             F.col("_k").alias(key), F.col("_n").alias("n_bytes"), F.lit("").alias("shard_id"),
-            F.lit(0).alias("shard_depth"), F.lit(total).cast("long").alias("shard_bytes"), F.lit(False).alias("oversize"),
+            F.lit(0).alias("shard_depth"), F.lit(total).cast("long").alias("shard_bytes"), F.lit(False).alias("oversize"), F.col("_h").alias("_shard_hash"),
         )
     open_rows, out, depth, n_open = rows, None, 0, 1
     while n_open:
@@ -84,14 +89,14 @@ def assign_shards(df: DataFrame, key: str = "doc_id", content: str = "text", max
     return out.select(
         F.col("_k").alias(key), F.col("_n").alias("n_bytes"),
         F.expr(f"lpad(bin(shiftright(_h, {BITS} - _d)), _d, '0')").alias("shard_id"),
-        F.col("_d").alias("shard_depth"), F.col("_b").alias("shard_bytes"), F.col("_o").alias("oversize"),
+        F.col("_d").alias("shard_depth"), F.col("_b").alias("shard_bytes"), F.col("_o").alias("oversize"), F.col("_h").alias("_shard_hash"),
     )
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", content: str = "text", max_bytes: int = 1 << 20) -> None:
     """Writes df as Parquet files under shard_id=...; each shard is written by one task and fits the limit."""
-    shards = assign_shards(df, key, content, max_bytes).select(F.col(key).alias("_k"), "shard_id").distinct()
-    kept = df.join(shards, same(df, shards, {key: "_k"}), "left").drop("_k")
+    shards = _assigned(df, key, content, max_bytes).select("_shard_hash", "shard_id").distinct()
+    kept = df.withColumn("_shard_hash", hash_bits(F.col(key), F.col(content))).join(shards, "_shard_hash").drop("_shard_hash")
     kept.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
 
 
