@@ -61,6 +61,16 @@ def test_local_and_semantic_keywords(spark):
     assert order == ["b", "c", "a"]
 
 
+def test_keywords_are_chosen_from_all_candidates(spark):
+    near = [f"alfabetizacion{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    far = "roble cumbre violín pizarra jungla mezquita fósforo tigre hueco nube desván kilo".split()
+    df = spark.createDataFrame([(1, ". ".join(near + far) + ".")], "doc_id int, text string")
+    assert [r["rank"] for r in keywords.local_keywords(df).orderBy("rank").collect()] == list(range(1, 11))
+    cand = spark.createDataFrame([*[(1, f"a{i}", [1.0, i / 1000]) for i in range(60)], (1, "z", [0.0, 1.0])], "doc_id int, term string, vector array<double>")
+    doc = spark.createDataFrame([(1, [1.0, 0.2])], "doc_id int, vector array<double>")
+    assert "z" in [r["term"] for r in keywords.semantic_keywords(cand, doc).filter("rank <= 2").collect()]
+
+
 def test_index_and_comparison(spark):
     k = spark.createDataFrame([(2, "Java"), (1, "java"), (1, "go")], "doc_id int, keyword string")
     assert {r["term"]: r["ids"] for r in reporting.inverted_index(k).collect()} == {"java": [1, 2], "go": [1]}

@@ -208,8 +208,7 @@ def local_keywords(df: DataFrame, key: str = "doc_id", text_col: str = "text", c
         F.product("h").alias("prod"), F.sum("h").alias("sum"), F.max_by("stop", F.array_position("g", F.col("w"))).alias("s1"), F.min_by("stop", F.array_position("g", F.col("w"))).alias("s0")
     )
     ok = phrase.filter("NOT s0 AND NOT s1").select(key, F.array_join("g", " ").alias("term"), (F.col("prod") / (F.col("n") * (1 + F.col("sum")))).alias("score")).filter(F.length("term") >= c.min_chars)
-    # the best few dozen are enough to choose from after near-equal terms go
-    best = ok.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.round("score", 12), "term"))).filter(F.col("r") <= 4 * c.candidates)
+    best = ok.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.round("score", 12), "term")))
     lists = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", "term", "score"))).alias("c"))
     like = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
     chosen = F.aggregate(
@@ -223,12 +222,12 @@ def semantic_keywords(candidates: DataFrame, documents: DataFrame, key: str = "d
     """(key, rank, term, score): maximal marginal relevance over (key, term, vector) candidates and (key, vector) documents.
 
     Each pick maximises (1 - diversity) * likeness to the document - diversity * greatest likeness to those picked;
-    ties go to the lesser term. Only a document's nearest 4 * candidates terms take part, fixed in number.
+    ties go to the lesser term.
     """
     c = cfg.keywords
     d = documents.select(key, F.col("vector").alias("dv"))
     near = candidates.join(d, key).withColumn("sim", vectors.cosine(F.col("vector"), F.col("dv")))
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("sim", 10)), "term"))).filter(F.col("r") <= 4 * c.candidates)
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("sim", 10)), "term")))
     lists = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", "term", "sim", "vector"))).alias("c"))
     lam = c.diversity
 
