@@ -43,6 +43,11 @@ def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, DIR).count() > 0
 
 
+def test_embeddings_are_whole_vectors(spark):
+    rows = catalog.QUERIES["text_embeddings"](spark, DIR).limit(20).collect()
+    assert all(len(r["vector"]) == 384 for r in rows) and len({tuple(r["vector"]) for r in rows}) > 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -493,7 +493,7 @@ def nearest_centroid(spark, d):
 
 @query()
 def text_embeddings(spark, d):
-    return retrieval.embed(keywords.tfidf(table(spark, d, "documents"), low=1, high=1), dimension=64).withColumn("norm", F.round(vectors.norm(F.col("vector")), 6)).select("doc_id", "norm")
+    return retrieval.embed(keywords.tfidf(table(spark, d, "documents")), dimension=DEFAULT.embeddings.dimension).select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 KNOWN = "(SELECT text FROM documents JOIN labels USING (doc_id))"
