@@ -126,3 +126,8 @@ def test_the_sweep_fits_every_seed_of_every_k(spark):
     if m.summary.trainingCost < got[10]["inertia"] * 1.000001:
         assert got[10]["silhouette"] == pytest.approx(ClusteringEvaluator().evaluate(m.transform(v)), abs=1e-6)
     assert [r["k"] for r in catalog.QUERIES["kmeans_sweep"](spark, "/root/testdata/sf0.001").orderBy("k").collect()] == list(range(2, 17))
+
+
+def test_training_has_the_configured_iterations(spark):
+    v = spark.createDataFrame([(i % 2, [float(i), 1.0]) for i in range(20)], "label_index int, x array<double>").withColumn("features", array_to_vector("x"))
+    assert learning.train(v).getMaxIter() == DEFAULT.classification.max_iter == 2000

@@ -46,7 +46,7 @@ def train(df: DataFrame, features: str = "features", label: str = "label_index",
     """Multinomial logistic regression with balanced classes; C becomes regParam = 1 / (C * rows)."""
     c = cfg.classification
     n = max(df.count(), 1)
-    lr = LogisticRegression(featuresCol=features, labelCol=label, weightCol="class_weight", family="multinomial", standardization=False, elasticNetParam=0.0, regParam=1 / (c.c * n), maxIter=min(c.max_iter, 200), tol=1e-6)
+    lr = LogisticRegression(featuresCol=features, labelCol=label, weightCol="class_weight", family="multinomial", standardization=False, elasticNetParam=0.0, regParam=1 / (c.c * n), maxIter=c.max_iter, tol=1e-6)
     return lr.fit(balanced_weights(df, label))
 
 
