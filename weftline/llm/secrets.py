@@ -8,7 +8,7 @@ tokens that look live are added as spans of kind `owned`; base spans always stay
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, same
@@ -27,6 +27,41 @@ OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
 PLACEHOLDER = "(?i)example|sample|dummy|changeme|placeholder|" + "|".join(c + "{6}" for c in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 SPANS = "array<struct<s:int,e:int,k:int,v:bigint>>"
+#: Matches that are folded at a time: a fold copies what it has at each step, so it runs over blocks, then over their totals.
+FOLD = 128
+
+
+def _walked(pairs: Column, kind: int, least: int) -> Column:
+    """Spans from matches and the gaps before them, in time proportional to their number for all but huge texts."""
+    none = F.from_json(F.lit("[]"), SPANS)
+
+    def block(part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["g"] + x["m"]).alias("at"),
+                F.when(
+                    _good(kind, x, least),
+                    F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["m"]).alias("e"), F.lit(kind).alias("k"), x["v"].alias("v")))),
+                ).otherwise(acc["out"]).alias("out"),
+            ),
+        )
+
+    def shifted(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["k"].alias("k"), x["v"].alias("v")))
+
+    # an array of one binds what a lambda uses many times, so that it is computed once
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    blocks = once(
+        pairs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / FOLD).cast("int")), lambda i: block(F.slice(p, i * FOLD + 1, FOLD)))
+    )
+    joined = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(shifted(x["out"], acc["at"]))).alias("out")),
+    )
+    return F.flatten(joined["out"])
 
 
 def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
@@ -40,19 +75,7 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
         value,
         lambda x, v: F.struct(x["g"].alias("g"), x["m"].alias("m"), F.length(v).alias("n"), F.xxhash64(v).alias("v"), v.alias("t")),
     )
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), SPANS).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"),
-            F.when(
-                _good(kind, x, least),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["m"]).alias("e"), F.lit(kind).alias("k"), x["v"].alias("v")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.from_json(F.lit("[]"), SPANS))
+    return F.when(text.rlike(pattern), _walked(pairs, kind, least)).otherwise(F.from_json(F.lit("[]"), SPANS))
 
 
 def _good(kind: int, x: Column, least: int) -> Column:
@@ -90,21 +113,25 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("_repo"),
             base.alias("_base"),
             _spans(text, len(BASE), OPAQUE, 0, 20).alias("_more"),
-        )
-        .withColumn("_more", F.expr("filter(_more, o -> NOT exists(_base, b -> b.s < o.e AND o.s < b.e))"))
-        .withColumns({"_base": _by_kind(F.col("_base")), "_more": _by_kind(F.col("_more"))}),
+        ).withColumns({"_base": _by_kind(F.col("_base")), "_more": _by_kind(F.col("_more"))}),
         "secret-spans",
     )
-    spans = (
-        found.filter((F.size("_base") > 0) | (F.size("_more") > 0))
-        .select("_id", "_h", "_repo", F.explode(F.concat("_base", "_more")).alias("x"))
-        .select("_id", "_h", "_repo", "x")
-        .distinct()
-    )
+    some = found.filter((F.size("_base") > 0) | (F.size("_more") > 0))
+    # spans follow from id and text alone, however many rows or repositories have both
+    every = some.select("_id", "_h", F.explode(F.concat("_base", "_more")).alias("x")).distinct()
+    is_base = F.col("x.k") < len(BASE)
+    by_start = Window.partitionBy("_id", "_h").orderBy("x.s")
+    ends = F.max(F.when(is_base, F.col("x.e"))).over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(is_base, F.col("x.s"))).over(by_start.rangeBetween(1, Window.unboundedFollowing))
+    apart = (F.coalesce(ends, F.lit(0)) <= F.col("x.s")) & (F.coalesce(after, F.col("x.e")) >= F.col("x.e"))
+    spans = cut(every.withColumn("_apart", apart).filter(is_base | F.col("_apart")).drop("_apart"), "secret-candidates")
     # distinct values by repository first, so that a value copied everywhere is one row for each repository
-    held = spans.select(F.col("x.v").alias("v"), "_repo").distinct().withColumn("_owner", F.substring_index("_repo", "/", 1))
+    repos = some.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "_repo").distinct()
+    held = (
+        spans.join(repos, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")))
+        .select(F.col("x.v").alias("v"), "_repo").distinct().withColumn("_owner", F.substring_index("_repo", "/", 1))
+    )
     owners = cut(held.groupBy("v").agg(F.count("*").alias("n_repos"), F.count_distinct("_owner").alias("n_owners")), "secret-owners")
-    spans = cut(spans, "secret-candidates")
     judged = cut(
         spans.select("_id", "_h", "x", F.col("x.v").alias("v")).join(owners, "v")
         .select("_id", "_h", "x", (F.col("n_owners") <= max_owners).alias("live")),
