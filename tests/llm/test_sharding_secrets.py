@@ -112,3 +112,36 @@ def test_added_spans_do_not_touch_base_ones(spark):
     t = "token = Zq8WmB2xKp4RtY7uLn3VcD and Xq8WmB2xKp4RtY7uLn3VcE"
     r = secrets.scan_secrets(spark.createDataFrame([(1, t, "a", 1, 2)], "doc_id long, text string, source string, _h int, v int")).first()
     assert r["spans"] == "assign:0:30,owned:35:57"
+
+
+def test_rows_repeated_in_two_repositories(spark):
+    t = "uses Zq8WmB2xKp4RtY7uLn3VcD and token = abcdefgh12"
+    rows = [(1, t, "a/one"), (1, t, "a/two"), (1, t, "a/two"), (None, t, None)]
+    got = secrets.scan_secrets(spark.createDataFrame(rows[:3], "doc_id long, text string, source string")).collect()
+    assert len(got) == 3 and {(r["spans"], r["n_owned"], r["n_live"]) for r in got} == {("owned:5:27,assign:32:50", 1, 2)}
+    assert len(secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()) == 4
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        text = "".join(f"token = abcdefgh{i:05d}\n" if i % 2 else f"Zq8WmB2xKp4RtY7uLn{i:05d}\n" for i in range(n))
+        df = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+        began = time.perf_counter()
+        r = secrets.scan_secrets(df).first()
+        assert r["n_assign"] == n // 2 and r["n_owned"] == n // 2
+        assert r["base_sha256"] == hashlib.sha256(base(text).encode()).hexdigest()
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(40_000) < 15 * max(seconds(4_000), 0.5)
+
+
+def test_written_shards_keep_columns_of_any_name(spark, tmp_path):
+    rows = [("hot", "x" * 100, i, "k", 5, "h") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, shard_id int, _k string, _shard_hash int, _row string")
+    name = sharding.write_shards(df, str(tmp_path / "s"), max_bytes=1000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert name == "shard_id_" and sorted(r["shard_id"] for r in back.collect()) == list(range(50))
+    assert set(df.columns) | {name} == set(back.columns)

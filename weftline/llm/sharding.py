@@ -61,11 +61,11 @@ def _assigned(df: DataFrame, key: str, content: str, max_bytes: int) -> DataFram
             .groupBy("_d", "_q").agg(F.sum("_b").alias("_b"), F.min("_p").alias("_lo"))
         )
         # the shallowest ancestor that fits; a bucket that never fits stays open at the lowest level
-        fits = levels.filter(F.col("_b") <= max_bytes)
+        fits = cut(levels.filter(F.col("_b") <= max_bytes).select("_d", "_q", "_b"), "shard-fits")
         per_fine = cut(
             fine.select("_p").withColumn("_d", F.explode(F.sequence(F.lit(depth + 1), F.lit(low))))
             .withColumn("_q", F.expr(f"shiftright(_p, {low} - _d)"))
-            .join(fits, ["_d", "_q"], "left")
+            .join(small(fits, fits.count()), ["_d", "_q"], "left")
             .groupBy("_p").agg(F.min(F.when(F.col("_b").isNotNull(), F.struct("_d", "_b"))).alias("_leaf")),
             "shard-directory",
         )
@@ -93,11 +93,20 @@ def _assigned(df: DataFrame, key: str, content: str, max_bytes: int) -> DataFram
     )
 
 
-def write_shards(df: DataFrame, path: str, key: str = "doc_id", content: str = "text", max_bytes: int = 1 << 20) -> None:
-    """Writes df as Parquet files under shard_id=...; each shard is written by one task and fits the limit."""
+def write_shards(df: DataFrame, path: str, key: str = "doc_id", content: str = "text", max_bytes: int = 1 << 20) -> str:
+    """Writes df as Parquet files under shard_id=...; each shard is written by one task and fits the limit.
+
+    Every row of df is written once, with all its columns. Returns the name of the partition column: shard_id, with
+    as many underscores behind it as df has columns of such names.
+    """
+    name = "shard_id"
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
     shards = _assigned(df, key, content, max_bytes).select("_shard_hash", "shard_id").distinct()
-    kept = df.withColumn("_shard_hash", hash_bits(F.col(key), F.col(content))).join(shards, "_shard_hash").drop("_shard_hash")
-    kept.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), hash_bits(F.col(f"`{key}`"), F.col(f"`{content}`")).alias("_hash"))
+    kept = rows.join(shards, F.col("_hash") == F.col("_shard_hash")).select("_row.*", F.col("shard_id").alias(name))
+    kept.repartition(name).write.partitionBy(name).parquet(path)
+    return name
 
 
 #: DuckDB: bytes of every prefix of up to 60 bits, then for each document the shallowest that fits.
