@@ -141,7 +141,7 @@ def test_a_hand_made_stream():
         w.put(0, 1)
         w.put(1, 1)
         w.put(s, 8)
-    data = webp._file(w.acc.to_bytes((w.n + 7) // 8, "little"))
+    data = webp._file(w.bytes())
     assert webp.decode(data).tolist() == [[0xFF020103]]
 
 
@@ -265,21 +265,3 @@ def test_page_table(spark):
     assert sorted(r["text"] for r in got) == ["", "", "", "Hola."]
     assert re.fullmatch(r"\S+", got[0].asDict()["x"])
     assert htmltree.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_stored_files_use_the_whole_coding(monkeypatch):
-    rng = random.Random(5)
-    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(300)]
-    text = media.payload(" ".join(rng.choice(words) for _ in range(3000)).encode())
-    lengths, predicted = [], []
-    code, through = webp.Code, webp._through_predictor
-    monkeypatch.setattr(webp, "Code", lambda x: (lengths.append(x), code(x))[1])
-    monkeypatch.setattr(webp, "_through_predictor", lambda *a: (predicted.append(a[3]), through(*a))[1])
-    assert webp.load(webp.store(text)).tobytes() == text and not predicted
-    green = [x for x in lengths if len(x) == 280][-1]
-    assert len({n for n in green if n}) > 4 and any(green[256:])
-    np_rng = np.random.default_rng(5)
-    for axis in (0, 1):
-        smooth = (128 + np.cumsum(np_rng.integers(-1, 2, (200, 64)), axis=axis)).astype(np.uint8).tobytes()
-        assert webp.load(webp.store(smooth)).tobytes() == smooth
-    assert predicted == [True, True]

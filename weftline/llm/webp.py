@@ -1,14 +1,14 @@
 """Lossless WebP in numpy: a decoder for whole VP8L streams and an encoder that media columns are stored with.
 
 The decoder reads prefix codes, meta prefix images, back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Images whose channels other than green are
-constant, without a cache, are decoded by tables over all bits. Stored files have 8-bit samples as green behind a
-palette or a predictor, with back-references and Huffman codes; encode_argb() takes any transforms and a cache.
+predictor, cross-colour, subtract-green and palette transforms. One loop reads every image: a token takes one
+window of the stream, and codes are tables over its lowest bits. Stored files hold four payload bytes in a pixel
+(red, green, blue, alpha, as readers give them out), with Huffman codes, back-references, a colour cache where it
+pays and the transform that promises the fewest bits.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -28,13 +28,19 @@ NEAR = (
 )
 CACHE_FACTOR = 0x1E35A7BD
 MAX_SIDE, ROW = 16384, 64
-#: Bytes of a stream that are looked up at once; the least length of a back-reference in stored files, and the farthest.
-STRETCH, LEAST, FAR = 1 << 17, 6, (1 << 20) - 120
+#: Bytes of a stream that are looked at at once; the least length of a back-reference in stored files, the farthest,
+#: the most bits of their codes and of their caches; tokens that are written at once.
+STRETCH, LEAST, FAR, DEEPEST, CACHE, RUN = 1 << 17, 3, (1 << 20) - 120, 13, 10, 1 << 16
+#: Table entries are a symbol's value above 6 bits of code length. Values of a pixel's channels lie where the
+#: channels do, so that four entries add up to a pixel; green symbols from 256 on are marked by MARK.
+MARK = 1 << 40
+_GREEN = np.concatenate((np.arange(256) << 14, (MARK + np.arange(24 + 2048)) << 6))
+_RED, _BLUE, _ALPHA, _PLAIN = (np.arange(256) << k for k in (22, 6, 30, 6))
 
 
 class Reader:
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+        self.data, self.at, self.end = data, 0, len(data) * 8
 
     def bits(self, n: int) -> int:
         if not n:
@@ -42,173 +48,128 @@ class Reader:
         first, last = self.at >> 3, (self.at + n + 7) >> 3
         x = int.from_bytes(self.data[first:last], "little") >> (self.at & 7) & ((1 << n) - 1)
         self.at += n
-        if self.at > len(self.data) * 8:
+        if self.at > self.end:
             raise ValueError("the stream ends early")
         return x
 
 
 class Writer:
+    """Bits, the lowest first: put() for single values, extend() for many."""
+
     def __init__(self):
-        self.acc = self.n = 0
+        self.acc, self.n, self.parts = 0, 0, []
 
     def put(self, x: int, n: int) -> None:
         self.acc |= x << self.n
         self.n += n
 
-
-def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """symbol -> (length, code as it is read bit by bit, most significant first)."""
-    out, code, prev = {}, 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - prev
-        out[s], prev = (n, code), n
-        code += 1
+    def _close(self) -> None:
+        if self.n:
+            self.parts.append(np.unpackbits(np.frombuffer(self.acc.to_bytes((self.n + 7) // 8, "little"), np.uint8), bitorder="little")[: self.n])
+            self.acc = self.n = 0
+
+    def extend(self, value: np.ndarray, size: np.ndarray) -> None:
+        self._close()
+        for i in range(0, len(value), 4 * RUN):
+            v, s = value[i : i + 4 * RUN], size[i : i + 4 * RUN]
+            ends = np.cumsum(s)
+            where = np.arange(ends[-1]) - np.repeat(ends - s, s)
+            self.parts.append((np.repeat(v, s) >> where & 1).astype(np.uint8))
+
+    def bytes(self) -> bytes:
+        self._close()
+        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+
+
+@lru_cache(maxsize=16)
+def _turned(n: int) -> np.ndarray:
+    """The numbers below 2**n with their n bits in the opposite order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate((out * 2, out * 2 + 1))
     return out
 
 
-class Code:
-    """A prefix code for reading."""
-
-    def __init__(self, lengths: list[int]):
-        self.lengths = lengths
-        used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else None
-        self.table = {(n, c): s for s, (n, c) in canonical(lengths).items()} if self.only is None else {}
-        if self.only is None and sum(2.0**-n for n in lengths if n) != 1:
-            raise ValueError("a prefix code is not complete")
-
-    def read(self, r: Reader) -> int:
-        if self.only is not None:
-            return self.only
-        code, n, table, data, at, end = 0, 0, self.table, r.data, r.at, len(r.data) * 8
-        while at < end:
-            code = code << 1 | (data[at >> 3] >> (at & 7) & 1)
-            at += 1
-            n += 1
-            s = table.get((n, code))
-            if s is not None:
-                r.at = at
-                return s
-        raise ValueError("the stream ends early")
+def _sorted_code(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a canonical code by length, then value, and their lengths."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    return used, lengths[used]
+
 
+def lookup(lengths: np.ndarray, values: np.ndarray) -> tuple[int, list[int]]:
+    """(mask, table): what the next bits of a stream stand for."""
+    used, n = _sorted_code(lengths)
+    if len(used) <= 1:
+        return 0, [int(values[used[0]]) if len(used) else 0]
+    most = int(n[-1])
+    many = 1 << (most - n)
+    if many.sum() != 1 << most:
+        raise ValueError("a prefix code is not complete")
+    return (1 << most) - 1, np.repeat(values[used] + n, many)[_turned(most)].tolist()
 
-def read_code(r: Reader, size: int) -> Code:
+
+def read_lengths(r: Reader, size: int) -> np.ndarray:
+    """Code lengths of a prefix code."""
     lengths = [0] * size
     if r.bits(1):
         two = r.bits(1)
         lengths[r.bits(8 if r.bits(1) else 1)] = 1
         if two:
             lengths[r.bits(8)] = 1
-        return Code(lengths)
+        return np.array(lengths)
     n = 4 + r.bits(4)
-    meta = [0] * 19
+    meta = np.zeros(19, np.int64)
     for k in LENGTH_ORDER[:n]:
         meta[k] = r.bits(3)
-    code = Code(meta)
+    if not meta.any():
+        raise ValueError("a prefix code is not complete")
+    mask, table = lookup(meta, _PLAIN[:19])
     left = size
     if r.bits(1):
         left = 2 + r.bits(2 + 2 * r.bits(3))
-    s, prev = 0, 8
+    s, prev, data, at = 0, 8, r.data, r.at
     while s < size and left:
         left -= 1
-        x = code.read(r)
+        w = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        e = table[w & mask]
+        x = e >> 6
+        at += e & 63
         if x < 16:
             lengths[s] = x
             prev = x or prev
             s += 1
             continue
-        again = 3 + r.bits(2) if x == 16 else 3 + r.bits(3) if x == 17 else 11 + r.bits(7)
+        w >>= e & 63
+        if x == 16:
+            again = 3 + (w & 3)
+            at += 2
+        elif x == 17:
+            again = 3 + (w & 7)
+            at += 3
+        else:
+            again = 11 + (w & 127)
+            at += 7
         if s + again > size:
             raise ValueError("code lengths run over")
         if x == 16:
             lengths[s : s + again] = [prev] * again
         s += again
-    return Code(lengths)
-
-
-def _value(r: Reader, symbol: int) -> int:
-    if symbol < 4:
-        return symbol + 1
-    extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + r.bits(extra) + 1
-
-
-def _tables(code: Code) -> tuple[int, np.ndarray, np.ndarray]:
-    """(most bits, symbol and length by the next bits, first bit lowest)."""
-    if code.only is not None:
-        return 0, np.array([code.only]), np.zeros(1, np.int64)
-    most = max(code.lengths)
-    symbol, length = np.zeros(1 << most, np.int64), np.zeros(1 << most, np.int64)
-    for (n, c), s in code.table.items():
-        first = int(f"{c:0{n}b}"[::-1], 2)
-        symbol[first :: 1 << n] = s
-        length[first :: 1 << n] = n
-    return most, symbol, length
-
-
-def _value_at(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """_value() of symbols before bits: (values, extra bits)."""
-    extra = np.where(symbol < 4, 0, symbol - 2 >> 1)
-    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + (window & ((1 << extra) - 1)) + 1), extra
+    r.at = at
+    if at > r.end:
+        raise ValueError("the stream ends early")
+    return np.array(lengths)
 
 
-def _green_tokens(r: Reader, codes: list[Code], width: int, total: int) -> np.ndarray:
-    """Green of an image whose other channels are constant, with literals and back-references.
-
-    What a symbol would be and where the next begins is looked up for every bit; a walk then finds where symbols are.
-    """
-    (gm, gs, gl), (dm, ds, dl) = _tables(codes[0]), _tables(codes[4])
-    end = len(r.data) * 8
-    near = np.array([max(dx + dy * width, 1) for dx, dy in NEAR])
-    kinds, lengths, fars, done = [], [], [], 0
-    while done < total:
-        if r.at >= end:
-            raise ValueError("the stream ends early")
-        first = r.at >> 3
-        raw = np.frombuffer(r.data[first : first + STRETCH + 16] + bytes(24), np.uint8).astype(np.uint32)
-        words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-        window = (words[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << 25) - 1)).astype(np.int32).ravel()
-        stop = min(STRETCH * 8, end - first * 8)
-        low = window[:stop] & ((1 << gm) - 1)
-        kind, step = gs[low], gl[low]
-        i = np.flatnonzero(kind >= 256)
-        length, e1 = _value_at(kind[i] - 256, window[i + step[i]])
-        at = i + step[i] + e1
-        d = window[at] & ((1 << dm) - 1)
-        far, e2 = _value_at(ds[d], window[at + dl[d]])
-        step[i] += e1 + dl[d] + e2
-        nxt = (np.arange(stop) + step).tolist()
-        here, at = [], r.at - first * 8
-        while at < stop:
-            here.append(at)
-            at = nxt[at]
-        here = np.array(here)
-        k = kind[here]
-        n, f = np.ones(len(here), np.int64), np.zeros(len(here), np.int64)
-        copy = k >= 256
-        w = np.searchsorted(i, here[copy])
-        n[copy] = length[w]
-        f[copy] = np.where(far[w] > 120, far[w] - 120, near[np.minimum(far[w], 120) - 1])
-        sums = done + np.cumsum(n)
-        used = int(np.searchsorted(sums, total)) + 1
-        kinds.append(k[:used])
-        lengths.append(n[:used])
-        fars.append(f[:used])
-        done = int(sums[min(used, len(sums)) - 1])
-        r.at = first * 8 + (nxt[here[used - 1]] if used <= len(here) else at)
-    if r.at > end:
-        raise ValueError("the stream ends early")
-    kinds, lengths, fars = (np.concatenate(x) for x in (kinds, lengths, fars))
-    start = np.cumsum(lengths) - lengths
-    if done > total or (fars > start).any():
-        raise ValueError("a back-reference leaves the image")
-    out = bytearray(total)
-    literal = kinds < 256
-    np.frombuffer(out, np.uint8)[start[literal]] = kinds[literal]
-    copy = ~literal
-    for s, n, f in zip(start[copy].tolist(), lengths[copy].tolist(), fars[copy].tolist(), strict=True):
-        out[s : s + n] = out[s - f : s - f + n] if f >= n else (out[s - f : s] * (n // f + 1))[:n]
-    return np.frombuffer(bytes(out), np.uint8)
+def _windows(data: bytes, first: int, twice: bool) -> list[int]:
+    """The next 64 (or 128) bits at each byte of a stretch."""
+    raw = data[first : first + STRETCH + 16]
+    raw += bytes(32)
+    n = min(STRETCH, len(raw) - 16)
+    low = np.ndarray((n + 8,), "<u8", raw, strides=(1,))
+    if not twice:
+        return low[:n].tolist()
+    return [a | b << 64 for a, b in zip(low[:n].tolist(), low[8:].tolist(), strict=True)]
 
 
 def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
@@ -221,52 +182,88 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         tile = r.bits(3) + 2
         tiles = read_image(r, -(-width >> tile), -(-height >> tile), False) >> 8 & 0xFFFF
         groups = int(tiles.max()) + 1
-    sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[read_code(r, n) for n in sizes] for _ in range(groups)]
+    n_green = 280 + (1 << cache_bits if cache_bits else 0)
+    books, most = [], 0
+    for _ in range(groups):
+        lengths = [read_lengths(r, n) for n in (n_green, 256, 256, 256, 40)]
+        books.append([x for n, v in zip(lengths, (_GREEN, _RED, _BLUE, _ALPHA, _PLAIN), strict=True) for x in lookup(n, v)])
+        deep = [int(n.max()) for n in lengths]
+        most = max(most, sum(deep[:4]), deep[0] + deep[4] + 28)
     total = width * height
-    if tiles is None and not cache_bits and total > 256 and codes[0][0].only is None and all(c.only is not None for c in codes[0][1:4]):
-        g = _green_tokens(r, codes[0], width, total).astype(np.uint32)
-        red, blue, alpha = (c.only for c in codes[0][1:4])
-        return (np.uint32(alpha << 24 | red << 16 | blue) | g << np.uint32(8)).reshape(height, width)
-    if tiles is None and not cache_bits and all(c.only is not None for c in codes[0][:4]) and codes[0][0].only < 256:
-        g, red, blue, alpha = (c.only for c in codes[0][:4])
-        return np.full((height, width), alpha << 24 | red << 16 | g << 8 | blue, np.uint32)
+    first = books[0]
+    if tiles is None and not any(first[k] for k in (0, 2, 4, 6)) and first[1][0] < MARK:
+        # one pixel value, no bits
+        return np.full((height, width), sum(first[k][0] for k in (1, 3, 5, 7)) >> 6, np.uint32)
+    near = [max(dx + dy * width, 1) for dx, dy in NEAR]
+    cache, shift, literal = [0] * (1 << cache_bits), 32 - cache_bits, MARK << 6
     out: list[int] = []
-    cache = [0] * (1 << cache_bits)
-    shift, seen = 32 - cache_bits, 0
-
-    def remember() -> None:
-        nonlocal seen
-        if cache_bits:
-            for p in out[seen:]:
-                cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
-            seen = len(out)
-
-    while len(out) < total:
-        at = len(out)
-        c = codes[int(tiles[(at // width) >> tile, (at % width) >> tile]) if tiles is not None else 0]
-        s = c[0].read(r)
-        if s < 256:
-            red = c[1].read(r)
-            blue = c[2].read(r)
-            out.append(c[3].read(r) << 24 | red << 16 | s << 8 | blue)
-        elif s < 280:
-            length = _value(r, s - 256)
-            far = _value(r, c[4].read(r))
-            if far > 120:
-                far -= 120
-            else:
-                dx, dy = NEAR[far - 1]
-                far = max(dx + dy * width, 1)
-            if far > at or at + length > total:
-                raise ValueError("a back-reference leaves the image")
-            for _ in range(length):
-                out.append(out[-far])
-        else:
-            remember()
-            out.append(cache[s - 280])
-        if cache_bits:
-            remember()
+    push, n, at, data = out.append, 0, r.at, r.data
+    gm, gt, rm, rt, bm, bt, am, alphas, dm, dt = first
+    while n < total:
+        if at >= r.end and any(b[k] for b in books for k in (0, 2, 4, 6)):
+            raise ValueError("the stream ends early")
+        base = at >> 3
+        words = _windows(data, base, most > 57)
+        p, stop = at - base * 8, len(words) * 8
+        while n < total and p < stop:
+            upto = total
+            if tiles is not None:
+                y, x = divmod(n, width)
+                gm, gt, rm, rt, bm, bt, am, alphas, dm, dt = books[tiles[y >> tile, x >> tile]]
+                upto = y * width + min(((x >> tile) + 1) << tile, width)
+            while n < upto and p < stop:
+                w = words[p >> 3] >> (p & 7)
+                e = gt[w & gm]
+                if e < literal:
+                    w >>= e & 63
+                    f = rt[w & rm]
+                    w >>= f & 63
+                    g = bt[w & bm]
+                    e += f + g + alphas[w >> (g & 63) & am]
+                    p += e & 63
+                    e >>= 6
+                    push(e)
+                    n += 1
+                    if cache_bits:
+                        cache[(e * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = e
+                    continue
+                k = (e >> 6) - MARK
+                if k >= 24:
+                    # the pixel is where the cache has it already
+                    push(cache[k - 24])
+                    p += e & 63
+                    n += 1
+                    continue
+                w >>= e & 63
+                p += e & 63
+                length = k + 1
+                if k > 3:
+                    x = (k - 2) >> 1
+                    length = ((2 + (k & 1)) << x) + (w & ((1 << x) - 1)) + 1
+                    w >>= x
+                    p += x
+                k = dt[w & dm]
+                w >>= k & 63
+                p += k & 63
+                k >>= 6
+                far = k + 1
+                if k > 3:
+                    x = (k - 2) >> 1
+                    far = ((2 + (k & 1)) << x) + (w & ((1 << x) - 1)) + 1
+                    p += x
+                far = far - 120 if far > 120 else near[far - 1]
+                if far > n or n + length > total:
+                    raise ValueError("a back-reference leaves the image")
+                part = out[n - far : n - far + length] if far >= length else (out[n - far :] * (length // far + 1))[:length]
+                out += part
+                n += length
+                if cache_bits:
+                    for e in part:
+                        cache[(e * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = e
+        at = base * 8 + p
+    if at > r.end:
+        raise ValueError("the stream ends early")
+    r.at = at
     return np.array(out, np.uint32).reshape(height, width)
 
 
@@ -279,63 +276,80 @@ def _packed(planes: np.ndarray) -> np.ndarray:
     return p[..., 0] << 24 | p[..., 1] << 16 | p[..., 2] << 8 | p[..., 3]
 
 
-def _predict(mode: int, left, top, top_left, top_right):  # noqa: ANN001, ANN202
-    """The predicted pixel of one of 14 modes, from lists of four channels."""
-    mean = lambda a, b: [(x + y) >> 1 for x, y in zip(a, b, strict=True)]
-    clamp = lambda v: 0 if v < 0 else 255 if v > 255 else v
+def _predict(mode: int, left: np.ndarray, top: np.ndarray, top_left: np.ndarray, top_right: np.ndarray) -> np.ndarray:
+    """The pixels that one of 14 modes predicts, from neighbours with four channels last."""
     if mode == 0:
-        return [255, 0, 0, 0]
+        return np.broadcast_to(np.array([255, 0, 0, 0]), top.shape)
     if mode <= 4:
         return (left, top, top_right, top_left)[mode - 1]
     if mode == 5:
-        return mean(mean(left, top_right), top)
-    if mode == 6:
-        return mean(left, top_left)
-    if mode == 7:
-        return mean(left, top)
-    if mode == 8:
-        return mean(top_left, top)
-    if mode == 9:
-        return mean(top, top_right)
+        return ((left + top_right >> 1) + top) >> 1
+    if mode <= 9:
+        a, b = ((left, top_left), (left, top), (top_left, top), (top, top_right))[mode - 6]
+        return a + b >> 1
     if mode == 10:
-        return mean(mean(left, top_left), mean(top, top_right))
+        return ((left + top_left >> 1) + (top + top_right >> 1)) >> 1
     if mode == 11:
-        to_left = sum(abs(t - c) for t, c in zip(top, top_left, strict=True))
-        to_top = sum(abs(a - c) for a, c in zip(left, top_left, strict=True))
-        return left if to_left < to_top else top
+        to_left = np.abs(top - top_left).sum(axis=-1, keepdims=True)
+        to_top = np.abs(left - top_left).sum(axis=-1, keepdims=True)
+        return np.where(to_left < to_top, left, top)
     if mode == 12:
-        return [clamp(a + t - c) for a, t, c in zip(left, top, top_left, strict=True)]
-    half = mean(left, top)
-    return [clamp(m + int((m - c) / 2)) for m, c in zip(half, top_left, strict=True)]
+        return np.clip(left + top - top_left, 0, 255)
+    half = left + top >> 1
+    step = half - top_left
+    return np.clip(half + np.sign(step) * (np.abs(step) >> 1), 0, 255)
 
 
-def _through_predictor(argb: np.ndarray, modes: np.ndarray, tile: int, inverse: bool) -> np.ndarray:
-    """Residuals to pixels (inverse) or pixels to residuals."""
+def _residuals(argb: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
+    """Pixels less what the modes of their tiles predict."""
     h, w = argb.shape
-    if inverse and modes.flat[0] in (1, 2) and (modes == modes.flat[0]).all():
-        # left or top everywhere: sums along one edge, then away from it
-        p = _planes(argb)
-        p[0, 0, 0] += 255
-        edge = p[:, 0] if modes.flat[0] == 1 else p[0]
-        edge[:] = np.cumsum(edge, axis=0)
-        return _packed(np.cumsum(p, axis=1 if modes.flat[0] == 1 else 0))
-    src = _planes(argb).tolist()
-    out = [[None] * w for _ in range(h)]
-    whole = out if inverse else src
-    for y in range(h):
-        for x in range(w):
-            if x == 0 and y == 0:
-                p = [255, 0, 0, 0]
-            elif y == 0:
-                p = whole[0][x - 1]
-            elif x == 0:
-                p = whole[y - 1][0]
-            else:
-                # the pixel right of the row's end is the first of the current row
-                right = whole[y - 1][x + 1] if x + 1 < w else whole[y][0]
-                p = _predict(int(modes[y >> tile, x >> tile]), whole[y][x - 1], whole[y - 1][x], whole[y - 1][x - 1], right)
-            out[y][x] = [(a + b if inverse else a - b) & 255 for a, b in zip(src[y][x], p, strict=True)]
-    return _packed(np.array(out))
+    p = _planes(argb)
+    left, top = np.zeros_like(p), np.zeros_like(p)
+    left[:, 1:], top[1:] = p[:, :-1], p[:-1]
+    top_left = np.zeros_like(p)
+    top_left[1:, 1:] = p[:-1, :-1]
+    top_right = np.zeros_like(p)
+    # the pixel right of the row's end is the first of the current row
+    top_right[1:, :-1], top_right[1:, -1] = p[:-1, 1:], p[1:, 0]
+    of = modes[np.arange(h)[:, None] >> tile, np.arange(w)[None] >> tile]
+    guess = np.zeros_like(p)
+    for mode in np.unique(of).tolist():
+        here = of == mode
+        guess[here] = _predict(mode, *(x[here] for x in (left, top, top_left, top_right)))
+    guess[0], guess[:, 0] = left[0], top[:, 0]
+    guess[0, 0] = 255, 0, 0, 0
+    return _packed(p - guess)
+
+
+#: Modes that need no pixel of the current row.
+_ABOVE = {0, 2, 3, 4, 8, 9}
+
+
+def _restored(argb: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
+    """Inverts _residuals(): whole rows at once where a row's modes look up only, or left only; else pixel by pixel."""
+    h, w = argb.shape
+    p = _planes(argb)
+    p[0, 0, 0] += 255
+    p[0] = np.cumsum(p[0], axis=0) & 255
+    p[1:, 0] = np.cumsum(p[:, 0], axis=0)[1:] & 255
+    for y in range(1, h):
+        row = modes[y >> tile]
+        kinds = set(row.tolist())
+        up, now = p[y - 1], p[y]
+        if kinds == {1}:
+            p[y] = np.cumsum(now, axis=0) & 255
+        elif kinds <= _ABOVE:
+            right = np.concatenate((up[2:], now[:1])) if w > 1 else up[:0]
+            of = row[np.arange(1, w) >> tile]
+            for mode in kinds:
+                here = of == mode
+                now[1:][here] += _predict(mode, up[1:][here], up[1:][here], up[:-1][here], right[here])
+            now &= 255
+        else:
+            for x in range(1, w):
+                guess = _predict(int(row[x >> tile]), now[x - 1], up[x], up[x - 1], up[x + 1] if x + 1 < w else now[0])
+                now[x] = now[x] + guess & 255
+    return _packed(p)
 
 
 def _through_cross(argb: np.ndarray, elements: np.ndarray, tile: int, inverse: bool) -> np.ndarray:
@@ -355,6 +369,13 @@ def _through_cross(argb: np.ndarray, elements: np.ndarray, tile: int, inverse: b
     return _packed(np.stack([p[..., 0], red, green, blue], -1))
 
 
+def _through_green(argb: np.ndarray, sign: int) -> np.ndarray:
+    p = _planes(argb)
+    p[..., 1] += sign * p[..., 2]
+    p[..., 3] += sign * p[..., 2]
+    return _packed(p)
+
+
 def _palette_bits(size: int) -> int:
     return 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
 
@@ -389,14 +410,11 @@ def decode(data: bytes) -> np.ndarray:
     argb = read_image(r, wide, height, True)
     for kind, n, x, wide in reversed(undo):
         if kind == PREDICTOR:
-            argb = _through_predictor(argb, x >> 8 & 15, n, True)
+            argb = _restored(argb, (x >> 8 & 15).astype(np.int64), n)
         elif kind == CROSS:
             argb = _through_cross(argb, x, n, True)
         elif kind == GREEN:
-            p = _planes(argb)
-            p[..., 1] += p[..., 2]
-            p[..., 3] += p[..., 2]
-            argb = _packed(p)
+            argb = _through_green(argb, 1)
         else:
             index = argb >> np.uint32(8) & np.uint32(255)
             if n:
@@ -411,65 +429,91 @@ def decode(data: bytes) -> np.ndarray:
 # --- writing ---------------------------------------------------------------------------------------------------
 
 
-def _huffman(counts: Counter, most: int = 15) -> dict[int, int]:
-    """Code lengths of the symbols that occur, of at most so many bits."""
-    import heapq
-
-    floor = 0
+def code_lengths(counts: np.ndarray, most: int = DEEPEST) -> np.ndarray:
+    """Huffman code lengths of at most so many bits; a symbol that is alone gets 1."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    n, floor = len(used), 0
+    if n < 2:
+        out[used] = 1
+        return out
     while True:
-        heap = [(max(n, floor), i, (s,)) for i, (s, n) in enumerate(sorted(counts.items()))]
-        heapq.heapify(heap)
-        depth, fresh = dict.fromkeys(counts, 0), len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], fresh, a[2] + b[2]))
-            fresh += 1
-        if max(depth.values(), default=0) <= most:
-            return depth
-        floor = max(floor * 2, sum(counts.values()) >> most, 1)
-
-
-def _runs(lengths: list[int]) -> list[tuple[int, int, int]]:
+        raised = np.maximum(counts[used], floor)
+        order = np.argsort(raised, kind="stable")
+        # leaves by weight, then inner nodes as they come: both are sorted, so the two least are at the heads
+        weight, parent = raised[order].tolist(), [0] * (2 * n - 1)
+        i, j = 0, n
+        for k in range(n, 2 * n - 1):
+            if i < n and (j >= k or weight[i] <= weight[j]):
+                a, i = i, i + 1
+            else:
+                a, j = j, j + 1
+            if i < n and (j >= k or weight[i] <= weight[j]):
+                b, i = i, i + 1
+            else:
+                b, j = j, j + 1
+            weight.append(weight[a] + weight[b])
+            parent[a] = parent[b] = k
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth) <= most:
+            out[used[order]] = depth[:n]
+            return out
+        floor = max(floor * 2, int(counts.sum()) >> most, 1)
+
+
+def codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, how many) by symbol, as written; none for a symbol that is alone."""
+    used, n = _sorted_code(lengths)
+    bits, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    if len(used) > 1:
+        most = int(n[-1])
+        many = 1 << (most - n)
+        # a code's first leaf at full depth, turned, is the code turned
+        bits[used] = _turned(most)[np.cumsum(many) - many]
+        size[used] = n
+    return bits, size
+
+
+def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     """Code lengths as (symbol, extra value, extra bits)."""
-    out, i, prev = [], 0, 8
-    while i < len(lengths):
-        j = i
-        while j < len(lengths) and lengths[j] == lengths[i]:
-            j += 1
-        n, x = j - i, lengths[i]
-        if x == 0 and n >= 3:
-            n = min(n, 138)
-            out.append((17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
-        elif x and x == prev and n >= 3:
-            n = min(n, 6)
-            out.append((16, n - 3, 2))
+    edges = np.flatnonzero(np.diff(lengths, prepend=-1, append=-1)).tolist()
+    out, prev, values = [], 8, lengths.tolist()
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        x, n = values[i], j - i
+        if x == 0:
+            while n >= 3:
+                m = min(n, 138)
+                out.append((17, m - 3, 3) if m <= 10 else (18, m - 11, 7))
+                n -= m
         else:
-            n = 1
-            out.append((x, 0, 0))
-        prev = x or prev
-        i += n
+            if x != prev:
+                out.append((x, 0, 0))
+                n -= 1
+            while n >= 3:
+                m = min(n, 6)
+                out.append((16, m - 3, 2))
+                n -= m
+            prev = x
+        out += [(x, 0, 0)] * n
     return out
 
 
-def write_code(w: Writer, lengths: list[int]) -> None:
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and all(s < 256 for s in used) and all(lengths[s] == 1 for s in used):
+def write_lengths(w: Writer, lengths: np.ndarray) -> None:
+    used = np.flatnonzero(lengths).tolist()
+    if len(used) <= 2 and all(s < 256 for s in used):
         used = used or [0]
-        w.put(1, 1)
-        w.put(len(used) - 1, 1)
-        small = used[0] < 2
-        w.put(0 if small else 1, 1)
-        w.put(used[0], 1 if small else 8)
+        w.put(1 | len(used) - 1 << 1, 2)
+        few = used[0] < 2
+        w.put(0 if few else 1, 1)
+        w.put(used[0], 1 if few else 8)
         if len(used) == 2:
             w.put(used[1], 8)
         return
     runs = _runs(lengths)
-    meta = _huffman(Counter(s for s, _, _ in runs), 7)
-    if len(meta) == 1:
-        meta = dict.fromkeys(meta, 1)
-    order = [meta.get(k, 0) for k in LENGTH_ORDER]
+    meta = code_lengths(np.bincount([s for s, _, _ in runs], minlength=19), 7)
+    order = meta[list(LENGTH_ORDER)].tolist()
     while len(order) > 4 and not order[-1]:
         order.pop()
     w.put(0, 1)
@@ -477,89 +521,136 @@ def write_code(w: Writer, lengths: list[int]) -> None:
     for n in order:
         w.put(n, 3)
     w.put(0, 1)
-    codes = canonical([meta.get(k, 0) for k in range(19)])
+    bits, size = (x.tolist() for x in codes(meta))
     for s, x, n in runs:
-        if len(meta) > 1:
-            _put(w, codes[s])
-        w.put(x, n)
+        w.put(bits[s] | x << size[s], size[s] + n)
 
 
-def _put(w: Writer, code: tuple[int, int]) -> None:
-    n, c = code
-    w.put(int(f"{c:0{n}b}"[::-1], 2) if n else 0, n)
+def _prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths or distances as (symbol, extra value, extra bits)."""
+    x = v - 1
+    less = np.maximum(np.frexp(np.maximum(x, 1).astype(np.float64))[1].astype(np.int64) - 2, 0)
+    second = x >> less & 1
+    short = v <= 4
+    return np.where(short, x, 2 * less + 2 + second), np.where(short, 0, x - ((2 + second) << less)), np.where(short, 0, less)
 
 
-def _prefixed(v: int) -> tuple[int, int, int]:
-    """A length or distance as (symbol, extra value, extra bits)."""
-    if v <= 4:
-        return v - 1, 0, 0
-    v -= 1
-    high = v.bit_length() - 1
-    second = v >> (high - 1) & 1
-    return 2 * high + second, v - ((2 + second) << (high - 1)), high - 1
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> np.ndarray:
+    """Distance codes of short distances, 0 where there is none."""
+    near = {max(dx + dy * width, 1): k + 1 for k, (dx, dy) in reversed(list(enumerate(NEAR)))}
+    out = np.zeros(max(near) + 1, np.int64)
+    out[list(near)] = list(near.values())
+    return out
 
 
-def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, matches: bool = False) -> None:
-    """Pixels with prefix codes of their own; matches: back-references to earlier pixels, found by hashes of four."""
-    w.put(1 if cache_bits else 0, 1)
-    if cache_bits:
-        w.put(cache_bits, 4)
+def _copies(pix: np.ndarray) -> np.ndarray:
+    """(place, length, distance) of back-references, greedily: to the latest place with the same LEAST pixels."""
+    n = len(pix) - LEAST + 1
+    if n < 2:
+        return np.zeros((0, 3), np.int64)
+    x = pix.astype(np.uint64)
+    key = x[:n] * np.uint64(0x9E3779B97F4A7C15) + x[1 : n + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2 : n + 2] * np.uint64(0x165667B19E3779F9)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return np.zeros((0, 3), np.int64)
+    a, b = order[:-1][same], order[1:][same]
+    good = (pix[a] == pix[b]) & (pix[a + 1] == pix[b + 1]) & (pix[a + 2] == pix[b + 2]) & (b - a <= FAR)
+    prev = np.full(n + 1, -1)
+    prev[b[good]] = a[good]
+    # a match goes on while the next place has the match after it
+    ends = np.flatnonzero((np.diff(prev) != 1) | (prev[:-1] < 0))
+    length = LEAST + ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    has = np.flatnonzero(prev[:n] >= 0)
+    if not len(has):
+        return np.zeros((0, 3), np.int64)
+    long, prev, length = has.tolist(), prev[has].tolist(), length[has].tolist()
+    out, upto = [], 0
+    for k, i in enumerate(long):
+        if i >= upto:
+            m = min(length[k], 4096)
+            out.append((i, m, i - prev[k]))
+            upto = i + m
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _hits(pix: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, whether the cache holds a pixel when its turn comes): the last one before it in its slot is its equal."""
+    slot = (pix * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(pix), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pix[order[1:]] == pix[order[:-1]])
+    return slot, hit
+
+
+def _bits(counts: np.ndarray) -> float:
+    """About what symbols and the lengths of their codes take."""
+    n = counts[counts > 0]
+    return float((n * np.log2(n.sum() / n)).sum()) + 4.0 * len(n) if len(n) else 0.0
+
+
+def _channel_bits(pix: np.ndarray) -> float:
+    b = pix.view(np.uint8).reshape(-1, 4)
+    return sum(_bits(np.bincount(b[:, k])) for k in range(4))
+
+
+def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int | None = 0, matches: bool = False) -> None:
+    """Pixels with prefix codes of their own; matches: with back-references; cache_bits None: a cache if it pays."""
+    pix, width = np.ascontiguousarray(argb, np.uint32).ravel(), argb.shape[1]
+    at, n, far = (_copies(pix) if matches else np.zeros((0, 3), np.int64)).T
+    cover = np.zeros(len(pix) + 1, np.int64)
+    cover[at] += 1
+    np.subtract.at(cover, at + n, 1)
+    single = np.cumsum(cover[:-1]) == 0
+    literal = np.flatnonzero(single)
+    slot, hit = np.zeros(0, np.int64), np.zeros(len(pix), bool)
+    if cache_bits is None:
+        cache_bits = min(max(len(literal).bit_length() - 1, 1), CACHE)
+        slot, hit = _hits(pix, cache_bits)
+        missed = pix[literal[~hit[literal]]]
+        held = np.concatenate((np.bincount(missed >> np.uint32(8) & np.uint32(255), minlength=256), np.bincount(slot[literal[hit[literal]]])))
+        other = sum(_bits(np.bincount(missed >> np.uint32(s) & np.uint32(255))) for s in (0, 16, 24))
+        if not hit.any() or _bits(held) + other >= _channel_bits(pix[literal]):
+            cache_bits, hit = 0, np.zeros(len(pix), bool)
+    elif cache_bits:
+        slot, hit = _hits(pix, cache_bits)
+    w.put(cache_bits << 1 | 1 if cache_bits else 0, 5 if cache_bits else 1)
     if main:
         w.put(0, 1)
-    pix = argb.ravel().tolist()
-    width = argb.shape[1]
-    steps, i, at, cache = [], 0, {}, [0] * (1 << cache_bits)
-    near = {max(dx + dy * width, 1): k + 1 for k, (dx, dy) in reversed(list(enumerate(NEAR)))}
-    while i < len(pix):
-        n = 0
-        if matches and i + 4 <= len(pix):
-            back = at.get(tuple(pix[i : i + 4]))
-            at[tuple(pix[i : i + 4])] = i
-            if back is not None:
-                while n < 4096 and i + n < len(pix) and pix[back + n] == pix[i + n]:
-                    n += 1
-        p = pix[i]
-        slot = (CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-        if n >= 4:
-            far = i - back
-            steps.append(("copy", _prefixed(n), _prefixed(near.get(far, far + 120))))
-        elif cache_bits and cache[slot] == p:
-            steps.append(("cache", slot))
-        else:
-            steps.append(("pixel", p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24))
-        for k in range(max(n, 1) if n >= 4 else 1):
-            if cache_bits:
-                q = pix[i + k]
-                cache[(CACHE_FACTOR * q & 0xFFFFFFFF) >> (32 - cache_bits)] = q
-        i += n if n >= 4 else 1
-    counts = [Counter() for _ in range(5)]
-    for s in steps:
-        if s[0] == "pixel":
-            for k in range(4):
-                counts[k][s[1 + k]] += 1
-        elif s[0] == "cache":
-            counts[0][280 + s[1]] += 1
-        else:
-            counts[0][256 + s[1][0]] += 1
-            counts[4][s[2][0]] += 1
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = []
-    for c, size in zip(counts, sizes, strict=True):
-        depth = _huffman(c) if len(c) > 1 else dict.fromkeys(c, 1)
-        lengths = [depth.get(s, 0) for s in range(size)]
-        write_code(w, lengths)
-        codes.append(canonical(lengths) if len(c) > 1 else dict.fromkeys(c, (0, 0)))
-    for s in steps:
-        if s[0] == "pixel":
-            for k in range(4):
-                _put(w, codes[k][s[1 + k]])
-        elif s[0] == "cache":
-            _put(w, codes[0][280 + s[1]])
-        else:
-            _put(w, codes[0][256 + s[1][0]])
-            w.put(s[1][1], s[1][2])
-            _put(w, codes[4][s[2][0]])
-            w.put(s[2][1], s[2][2])
+    # four fields a token: green, red, blue, alpha, or length and distance with their extra bits, or a slot
+    starts = single.copy()
+    starts[at] = True
+    starts = np.flatnonzero(starts)
+    is_copy = np.zeros(len(starts), bool)
+    is_copy[np.searchsorted(starts, at)] = True
+    is_hit = hit[starts] & ~is_copy
+    plain = ~(is_copy | is_hit)
+    p = pix[starts[plain]]
+    alpha, red, green, blue = ((p >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (24, 16, 8, 0))
+    symbol = np.zeros(len(starts), np.int64)
+    symbol[plain] = green
+    near = _near_codes(width)
+    code = near[np.minimum(far, len(near) - 1)]
+    code = np.where((far < len(near)) & (code > 0), code, far + 120)
+    (ls, lx, lb), (fs, fx, fb) = _prefixed(n), _prefixed(code)
+    symbol[is_copy] = 256 + ls
+    if cache_bits:
+        symbol[is_hit] = 280 + slot[starts[is_hit]]
+    books = []
+    for symbols, size in ((symbol, 280 + (1 << cache_bits if cache_bits else 0)), (red, 256), (blue, 256), (alpha, 256), (fs, 40)):
+        lengths = code_lengths(np.bincount(symbols, minlength=size))
+        write_lengths(w, lengths)
+        books.append(codes(lengths))
+    value, size = np.zeros((len(starts), 4), np.int64), np.zeros((len(starts), 4), np.int64)
+    for k, (symbols, rows) in enumerate(((symbol, slice(None)), (red, plain), (blue, plain), (alpha, plain))):
+        bits, length = books[k]
+        value[rows, k], size[rows, k] = bits[symbols], length[symbols]
+    if len(at):
+        bits, length = books[4]
+        value[is_copy, 1:] = np.stack((lx, bits[fs], fx), 1)
+        size[is_copy, 1:] = np.stack((lb, length[fs], fb), 1)
+    w.extend(value.ravel(), size.ravel())
 
 
 def _file(body: bytes) -> bytes:
@@ -572,27 +663,23 @@ def _head(width: int, height: int) -> Writer:
     w.put(0x2F, 8)
     w.put(width - 1, 14)
     w.put(height - 1, 14)
-    w.put(0, 4)
+    w.put(1, 4)  # alpha is used; version 0
     return w
 
 
-def encode_argb(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, matches: bool = False) -> bytes:
+def encode_argb(argb: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0, matches: bool = False) -> bytes:
     """Any pixels. transforms, in order: (PREDICTOR, tile bits, modes), (CROSS, tile bits, elements), (GREEN,), (PALETTE,)."""
     h, width = argb.shape
     w = _head(width, h)
     for kind, *more in transforms:
-        w.put(1, 1)
-        w.put(kind, 2)
+        w.put(1 | kind << 1, 3)
         if kind in (PREDICTOR, CROSS):
             tile, x = more
             w.put(tile - 2, 3)
             write_image(w, x.astype(np.uint32) << np.uint32(8) if kind == PREDICTOR else x, False)
-            argb = _through_predictor(argb, x, tile, False) if kind == PREDICTOR else _through_cross(argb, x, tile, False)
+            argb = _residuals(argb, x, tile) if kind == PREDICTOR else _through_cross(argb, x, tile, False)
         elif kind == GREEN:
-            p = _planes(argb)
-            p[..., 1] -= p[..., 2]
-            p[..., 3] -= p[..., 2]
-            argb = _packed(p)
+            argb = _through_green(argb, -1)
         else:
             colours, index = np.unique(argb, return_inverse=True)
             if len(colours) > 256:
@@ -602,7 +689,7 @@ def encode_argb(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, m
             argb = _bundled(index.reshape(argb.shape).astype(np.uint32), len(colours)) << np.uint32(8) | np.uint32(0xFF000000)
     w.put(0, 1)
     write_image(w, argb, True, cache_bits, matches)
-    return _file(w.acc.to_bytes((w.n + 7) // 8, "little"))
+    return _file(w.bytes())
 
 
 def _bundled(index: np.ndarray, size: int) -> np.ndarray:
@@ -616,155 +703,89 @@ def _bundled(index: np.ndarray, size: int) -> np.ndarray:
     return (full.reshape(h, wide, 1 << n) << (np.arange(1 << n) * (8 >> n)).astype(np.uint32)).sum(axis=2, dtype=np.uint32)
 
 
-@lru_cache(maxsize=64)
-def _near_codes(width: int) -> np.ndarray:
-    """Distance codes of short distances, 0 where there is none."""
-    near = {max(dx + dy * width, 1): k + 1 for k, (dx, dy) in reversed(list(enumerate(NEAR)))}
-    out = np.zeros(max(near) + 1, np.int64)
-    out[list(near)] = list(near.values())
-    return out
+def _slope(x: np.ndarray, y: np.ndarray) -> int:
+    """The multiple of a channel, in 32nds, that takes most off another one, as 8 signed bits."""
+    x, y = (v.astype(np.int8).astype(np.float64) for v in (x, y))
+    x -= x.mean()
+    spread = float(x @ x)
+    return int(np.clip(round(32 * float(x @ y) / spread), -128, 127)) if spread else 0
 
 
-def _prefixed_at(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """_prefixed() of many."""
-    x = v - 1
-    less = np.maximum(np.frexp(np.maximum(x, 1).astype(np.float64))[1].astype(np.int64) - 2, 0)
-    second = x >> less & 1
-    short = v <= 4
-    return np.where(short, x, 2 * less + 2 + second), np.where(short, 0, x - ((2 + second) << less)), np.where(short, 0, less)
-
-
-def _copies(v: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of back-references, greedily: to the latest place with the same LEAST values."""
-    if len(v) < 2 * LEAST:
-        return []
-    n = len(v) - LEAST + 1
-    x = v.astype(np.uint64)
-    key = sum(x[k : k + n] << np.uint64(8 * k) for k in range(LEAST))
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    prev = np.full(n + 1, -1)
-    prev[order[1:][same]] = order[:-1][same]
-    prev[np.arange(n + 1) - prev > FAR] = -1
-    # a match goes on while the next place has the match after it
-    ends = np.flatnonzero((np.diff(prev) != 1) | (prev[:-1] < 0))
-    length = LEAST + ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    has = np.flatnonzero(prev[:n] >= 0)
-    nxt = np.append(has, n)[np.searchsorted(has, np.arange(n + 1))].tolist()
-    out, i, prev, length = [], 0, prev.tolist(), length.tolist()
-    while i < n and (i := nxt[i]) < n:
-        m = min(length[i], 4096)
-        out.append((i, m, i - prev[i]))
-        i += m
+def best_transforms(argb: np.ndarray) -> tuple:
+    """None, subtract-green, cross-colour or a predictor: what leaves channels of the fewest bits, by their counts."""
+    h, width = argb.shape
+    b = np.ascontiguousarray(argb).view(np.uint8).reshape(-1, 4)  # blue, green, red, alpha
+    alone = [_bits(np.bincount(b[:, k])) for k in range(4)]
+    best, least = (), sum(alone)
+    blue, green, red = b[:, 0], b[:, 1], b[:, 2]
+    bits = alone[1] + alone[3] + _bits(np.bincount(red - green)) + _bits(np.bincount(blue - green))
+    if bits < least:
+        best, least = ((GREEN,),), bits
+    to_red, to_blue = _slope(green, red), _slope(green, blue)
+    if to_red or to_blue:
+        tile = np.full((-(-h >> 9), -(-width >> 9)), 0xFF000000 | (to_blue & 255) << 8 | to_red & 255, np.uint32)
+        bits = _channel_bits(_through_cross(argb, tile, 9, False)) + 60
+        if bits < least:
+            best, least = ((CROSS, 9, tile),), bits
+    whole = np.ascontiguousarray(argb).view(np.uint8).reshape(h, width, 4)
+    for mode, (dy, dx) in ((1, (0, 1)), (2, (1, 0)), (3, (1, -1)), (4, (1, 1))):
+        if h <= dy or width <= 1:
+            continue
+        # all but the edges, which every mode treats alike
+        inner, by = whole[dy:, max(dx, 0) : width + min(dx, 0)], whole[: h - dy, max(-dx, 0) : width - max(dx, 0)]
+        rest = (inner - by).reshape(-1, 4)
+        bits = sum(_bits(np.bincount(rest[:, k])) for k in range(4)) * (h * width / len(rest)) + 60
+        if bits < least:
+            best, least = ((PREDICTOR, 9, np.full((-(-h >> 9), -(-width >> 9)), mode)),), bits
+    return best
+
+
+def encode_pixels(argb: np.ndarray) -> bytes:
+    """Pixels with whatever transform, back-references and cache promise the fewest bits; few colours also by palette."""
+    out = encode_argb(argb, best_transforms(argb), None, True)
+    colours = len(np.unique(argb)) if argb.size > 1 else 257
+    if colours <= 256 and 2 * colours <= argb.size:
+        out = min(out, encode_argb(argb, ((PALETTE,),), None, True), key=len)
     return out
 
 
-def _write_greens(w: Writer, values: np.ndarray, width: int, rest: tuple[int, int, int]) -> bytes:
-    """The whole stream: what w has, then an image of these greens and constant red, blue and alpha."""
-    at, n, far = np.array(_copies(values), np.int64).reshape(-1, 3).T
-    cover = np.zeros(len(values) + 1, np.int64)
-    cover[at] += 1
-    np.subtract.at(cover, at + n, 1)
-    literal = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-    near = _near_codes(width)
-    code = near[np.minimum(far, len(near) - 1)]
-    code = np.where((far < len(near)) & (code > 0), code, far + 120)
-    (ls, lx, lb), (fs, fx, fb) = _prefixed_at(n), _prefixed_at(code)
-    order = np.argsort(np.concatenate((literal, at)), kind="stable")
-    green = np.concatenate((values[literal].astype(np.int64), 256 + ls))[order]
-    spread = lambda x: np.concatenate((np.zeros(len(literal), np.int64), x))[order]
-    w.put(0, 2)
-    books = []
-    for symbols, size in ((green, 280), (rest[0], 256), (rest[1], 256), (rest[2], 256), (fs, 40)):
-        if isinstance(symbols, int):
-            write_code(w, [0] * symbols + [1])
-            continue
-        kinds, many = np.unique(symbols, return_counts=True)
-        depth = _huffman(Counter(dict(zip(kinds.tolist(), many.tolist(), strict=True)))) if len(kinds) > 1 else dict.fromkeys(kinds.tolist(), 1)
-        lengths = [depth.get(k, 0) for k in range(size)]
-        write_code(w, lengths)
-        bits, length = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        if len(kinds) > 1:
-            for k, (m, c) in canonical(lengths).items():
-                bits[k], length[k] = int(f"{c:0{m}b}"[::-1], 2), m
-        books.append((bits, length))
-    (gb, gl), (db, dl) = books
-    value = np.stack((gb[green], spread(lx), spread(db[fs]), spread(fx)), 1).ravel()
-    size = np.stack((gl[green], spread(lb), spread(dl[fs]), spread(fb)), 1).ravel()
-    value, size = value[size > 0], size[size > 0]
-    where = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    body = (np.repeat(value, size) >> where & 1).astype(np.uint8)
-    head = np.unpackbits(np.frombuffer(w.acc.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
-    return np.packbits(np.concatenate((head, body)), bitorder="little").tobytes()
-
-
-def _entropy(values: np.ndarray) -> float:
-    n = np.bincount(values.ravel())
-    n = n[n > 0]
-    return float((n * np.log2(values.size / n)).sum())
-
-
-def encode_samples(samples: np.ndarray) -> bytes:
-    """8-bit samples, height x width, as the green of opaque pixels, with back-references and Huffman codes.
-
-    They go behind a palette, or through the left or top predictor where the residuals promise fewer bits and the
-    file is indeed smaller. Red and blue are constant, so there is nothing for cross-colour to take away.
-    """
-    h, width = samples.shape
-    counts = np.bincount(samples.ravel(), minlength=256)
-    used = np.flatnonzero(counts)
-    w = _head(width, h)
-    w.put(1 | PALETTE << 1, 3)
-    w.put(len(used) - 1, 8)
-    steps = np.diff(used, prepend=0).tolist()
-    # the table: green steps from colour to colour; alpha 255, then no change
-    w.put(0, 1)
-    depth = _huffman(c) if len(c := Counter(steps)) > 1 else dict.fromkeys(c, 1)
-    write_code(w, lengths := [depth.get(s, 0) for s in range(280)])
-    codes = canonical(lengths) if len(c) > 1 else dict.fromkeys(c, (0, 0))
-    write_code(w, [1])
-    write_code(w, [1])
-    alpha = [0] * 256
-    alpha[255] = 1
-    alpha[0] = int(len(used) > 1)
-    write_code(w, alpha)
-    write_code(w, [1])
-    for k, s in enumerate(steps):
-        _put(w, codes[s])
-        if len(used) > 1:
-            w.put(int(k == 0), 1)
-    w.put(0, 1)
-    place = np.zeros(256, np.uint32)
-    place[used] = np.arange(len(used))
-    index = _bundled(place[samples], len(used))
-    out = _write_greens(w, index.ravel(), index.shape[1], (0, 0, 255))
-    bits, wide = _entropy(index), samples.astype(np.int16)
-    for mode in (1, 2):
-        residual = np.diff(wide, axis=2 - mode, prepend=0)
-        edge = residual[:, 0] if mode == 1 else residual[0]
-        edge[:] = np.diff(wide[:, 0] if mode == 1 else wide[0], prepend=0)
-        residual = (residual & 255).astype(np.uint8)
-        if _entropy(residual) < bits:
-            w = _head(width, h)
-            w.put(1 | PREDICTOR << 1, 3)
-            w.put(7, 3)
-            write_image(w, np.full((-(-h >> 9), -(-width >> 9)), 0xFF000000 | mode << 8, np.uint32), False)
-            w.put(0, 1)
-            out = min(out, _write_greens(w, residual.ravel(), width, (0, 0, 0)), key=len)
-    return _file(out)
+def _shape(n: int) -> tuple[int, int]:
+    """Height and width for n pixels: rows of ROW bytes, or wider ones, with room for a count, where those are too many."""
+    width = ROW // 4
+    if n <= width * MAX_SIDE:
+        return n // width, width
+    while n + 1 > width * MAX_SIDE:
+        width *= 2
+    return -(-(n + 1) // width), width
 
 
 def store(payload: bytes) -> bytes:
-    """A payload of a positive multiple of ROW bytes as WebP files, rows of ROW samples; one file for each MAX_SIDE rows."""
-    a = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    return b"".join(encode_samples(a[i : i + MAX_SIDE]) for i in range(0, len(a), MAX_SIDE))
+    """A payload of a positive multiple of ROW bytes as one WebP image, four bytes a pixel: red, green, blue, alpha.
+
+    Images wider than ROW bytes are filled up with zeros, and their last pixel is the number of pixels before that.
+    Beyond the format's 16384 x 16384 pixels, which is 1 GiB, files follow one another.
+    """
+    most, out = 4 * (MAX_SIDE * MAX_SIDE - 1) // ROW * ROW, []
+    for i in range(0, len(payload), most):
+        rgba = np.frombuffer(payload[i : i + most], np.uint32)
+        argb = rgba & np.uint32(0xFF00FF00) | rgba >> np.uint32(16) & np.uint32(255) | (rgba & np.uint32(255)) << np.uint32(16)
+        h, width = _shape(len(argb))
+        if h * width > len(argb):
+            argb = np.concatenate((argb, np.zeros(h * width - len(argb) - 1, np.uint32), np.array([len(argb)], np.uint32)))
+        out.append(encode_pixels(argb.reshape(h, width)))
+    return b"".join(out)
 
 
 def load(media: bytes) -> np.ndarray:
-    """Samples of all files of a stored payload, rows of ROW."""
+    """Samples of a stored payload, rows of ROW."""
     out, at = [], 0
     while at < len(media):
         n = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        out.append((decode(media[at : at + n]) >> np.uint32(8)).astype(np.uint8))
+        argb = decode(media[at : at + n])
+        flat = argb.ravel()
+        if argb.shape[1] > ROW // 4:
+            flat = flat[: flat[-1]]
+        rgba = flat & np.uint32(0xFF00FF00) | flat >> np.uint32(16) & np.uint32(255) | (flat & np.uint32(255)) << np.uint32(16)
+        out.append(rgba.view(np.uint8).reshape(-1, ROW))
         at += n
     return np.concatenate(out)
