@@ -205,6 +205,34 @@ def test_packing_is_lossless(spark, tmp_path):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_long_white_space_keeps_its_ids(seed):
+    rng, enc = random.Random(seed), packing.encoding(packing.DEFAULT_RANKS)
+    runs = [" ", "\n", "\t", "\u2003", "\u3000", "\x1c", "\x85"]
+    text = "".join(rng.choice(runs) * rng.randint(1, 2500) if rng.random() < 0.5 else rng.choice(["a", "palabra", "1", "...", "'s", "é"]) for _ in range(30))
+    assert packing.encode_text(enc, text) == enc.encode_ordinary(text)
+
+
+def test_packing_survives_very_long_runs(spark):
+    rows = [(1, "\n" * 1_500_000), (2, "a" + " " * 1_500_000 + "b"), (3, "x" * 300_000), (4, "1.") ]
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_ids", "offsets", "cu_seqlens", "ids").collect()
+    enc, parts = packing.encoding(packing.DEFAULT_RANKS), {}
+    for r in packed:
+        for k, at in enumerate(zip(r["doc_ids"], r["offsets"], strict=True)):
+            parts[at] = r["ids"][r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]]
+    for doc, text in rows:
+        ids = [x for (d, _), v in sorted(parts.items()) if d == doc for x in v]
+        assert ids[-1] == packing.END and enc.decode(ids[:-1]) == text
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 150), "palabra " * rng.randint(0, 300)) for _ in range(200)] + [(None, "nada")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(str, packing.pack_documents(df.repartition(n), length=128, window_bytes=60_000).collect())) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) > 100
+
+
 def marginals_by_sums(unary, pair, parent):
     n = len(unary)
     total, on = 0.0, np.zeros(n)
