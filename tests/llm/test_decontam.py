@@ -29,6 +29,25 @@ def brute(docs, items):
                     hit.update(range(k, k + n))
                     its |= wins[g]
         out.append((d, len(w), len(hit), len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(), bool(hit)))
+    return [a + b for a, b in zip(out, near(docs, items), strict=True)]
+
+
+def near(docs, items, slop=3):
+    """(document, items that match by proximity), by trying every start."""
+    out = []
+    for d, t in docs:
+        w, its = words(t), set()
+        for i, text in items:
+            b = words(text)
+            for k in range(max(len(b) - 9, 1) if b else 0):
+                g = b[k : k + 10]
+                for s in range(-slop, len(w) + slop):
+                    at = lambda j: w[max(s + j - slop, 0) : max(s + j + slop + 1, 0)]  # noqa: B023, E731
+                    stretch = w[max(s - slop, 0) : max(s + len(g) + slop, 0)]
+                    if all(x in at(j) for j, x in enumerate(g)) and all(stretch.count(x) >= g.count(x) for x in g):
+                        its.add(str(i))
+                        break
+        out.append((len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest()))
     return out
 
 
@@ -68,32 +87,45 @@ def test_empty_sides(spark):
 
 def test_shuffled_joins_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontam, "small", lambda df, rows, limit=0: df)
-    docs, items = [(1, "x y z one two three four five six seven eight nine ten x")], [(1, "one two three four five six seven eight nine ten eleven"), (2, "y z")]
+    monkeypatch.setattr(decontam.common, "BROADCAST_ROWS", -1)
+    docs, items = [(1, "x y z"), (1, "x y z"), (None, "y z"), (1, "x y z one two three four five six seven eight nine ten x")], [(1, "one two three four five six seven eight nine ten eleven"), (2, "y z")]
     assert order(run(spark, docs, items)) == order(brute(docs, items))
 
 
-def test_proximity_allows_inserted_words(spark):
-    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
-    docs = spark.createDataFrame([(1, item), (2, item.replace("beta", "beta so very")), (3, "alpha beta")], "doc_id long, text string")
-    ix = decontam.index(docs, spark.createDataFrame([(5, item)], "item_id long, text string"), "doc_id", "text")
-    assert {r["_id"] for r in decontam.exact(ix).collect()} == {1}
-    assert {1, 2} <= {r["_id"] for r in decontam.proximity(ix).collect()}
+ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+
+
+def test_proximity_allows_inserted_words_and_swaps_but_needs_every_word(spark):
+    docs = [
+        (1, ITEM), (2, ITEM.replace("beta", "beta so very")), (3, "alpha beta"), (4, "kappa only"), (5, "alpha " * 5), (6, "rose x rose"), (7, "rose"), (8, ITEM.replace("gamma delta", "delta gamma")),
+        (9, ITEM.replace("delta", "other")), (10, ITEM.replace("epsilon", "epsilon " + "so " * 12)), (11, "kappa " + ITEM[:-6]), (12, "rose rose"), (13, " ".join(reversed(ITEM.split()))),
+        *[(20 + k, "beta gamma delta epsilon zeta eta theta iota kappa") for k in range(9)],
+    ]
+    items = [(5, ITEM), (6, "rose rose"), (7, ITEM.replace("delta", "absent").replace("eta", "missing"))]
+    got = run(spark, docs, items)
+    assert order(got) == order(brute(docs, items))
+    by = {r[0]: r for r in got}
+    assert {d for d, r in by.items() if r[6]} == {1, 2, 6, 8, 12} and {d for d, r in by.items() if r[5]} == {1, 12}
+
 
+def test_proximity_of_random_texts(spark):
+    rng = random.Random(2)
+    say = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, say(rng.choice([1, 2, 4, 6, 12]))) for i in range(14)]
+    docs = [(i, say(rng.randint(0, 30))) for i in range(60)]
+    got = run(spark, docs, items)
+    assert order(got) == order(brute(docs, items)) and any(r[6] > r[3] for r in got)
 
-def test_proximity_needs_two_places(spark):
-    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
-    docs = [(1, item), (2, item.replace("beta", "beta so very")), (3, "alpha beta"), (4, "kappa"), (5, "alpha " * 5), (6, "rose x rose"), (7, "rose")]
-    docs += [(10 + k, "beta gamma delta epsilon zeta eta theta iota kappa") for k in range(9)]
-    items = [(5, item), (6, "rose rose"), (7, item.replace("delta", "absent").replace("eta", "missing"))]
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: r for r in decontam.near_contamination(d, b).collect()}
-    assert len(got) == len(docs) and got[1]["n_near"] >= 1 and got[2]["n_near"] >= 1
-    assert got[4]["n_near"] == got[7]["n_near"] == 0 and got[6]["n_near"] == 1
-    assert got[5]["n_near"] == 0
 
+def test_both_results_equal_the_sql(spark):
+    import duckdb
+    import pandas as pd
 
-def test_a_shared_rare_word_is_no_proximity_match(spark):
-    item = "quark beta gamma delta epsilon zeta eta theta iota kappa"
-    docs = [(1, item), (2, "a quark alone"), *[(10 + k, "beta gamma delta epsilon zeta eta theta iota kappa") for k in range(9)]]
-    ix = decontam.index(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"), "doc_id", "text", near=True)
-    assert {r["_id"] for r in decontam.proximity(ix).collect()} == {1}
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(i, say(rng.choice([2, 5, 12]))) for i in range(12)] + [(20, None), (21, "a a b")]
+    docs = [(i, say(rng.randint(0, 60))) for i in range(50)] + [(60, items[2][1] + " x " + items[3][1]), (61, None)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    assert sorted(con.execute(decontam.SQL).fetchall()) == sorted(run(spark, docs, items))

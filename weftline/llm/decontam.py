@@ -2,8 +2,9 @@
 
 Each item gives windows of consecutive words. The frequency of every benchmark word is counted over the whole
 corpus; a window's two rarest words are its anchors. Postings (word, document, position) of the anchors are
-stored, those of a window's rarest word with the words around it. Lists are intersected after each position is
-moved back by the word's offset in the window, and a match counts once the words around it equal the window.
+stored, those of a window's rarest word with the words around it, which are the entries that the lists of all other
+words have there. Lists are intersected after each position is moved back by the word's offset in the window: a phrase
+match has every word at its place, a proximity match has every word within SLOP words of it.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import ascii_lower, cut, small
 
 #: What separates words: ASCII other than digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WINDOW, ANCHORS = 10, 2
+WINDOW, ANCHORS, SLOP = 10, 2, 3
 #: A window's second list is merged only if at most so many times as long as its first; beyond that
 #: the phrase check settles a match more cheaply than the merge.
 SKIP = 2
@@ -44,17 +46,17 @@ def windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text",
     return pairs.select("wid", "w").distinct(), pairs.select("wid", "item")
 
 
-def index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, size: int = WINDOW, near: bool = False) -> dict:
-    """The stored index: postings of the anchors, the windows with their anchors, and the item pairs.
+def index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, size: int = WINDOW, slop: int = SLOP) -> dict:
+    """The stored index: the texts' words, postings of the anchors, the windows with their anchors, and the item pairs.
 
-    near: for proximity(), every window of two words or more keeps both anchors, however frequent, and may have
-    words that the corpus lacks. Anchors are different words wherever a window has two.
+    Anchors are different words wherever a window has two.
     """
     wins, pairs = windows(items, text_col=text_col, size=size)
     terms = cut(wins.select("wid", F.posexplode("w").alias("off", "term")).withColumn("t", F.xxhash64("term")), "bench-terms")
     vocab = terms.select("t").distinct()
     n_vocab = vocab.count()
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), words(F.col(text_col)).alias("_w"))
+    texts = cut(texts, "bench-words")
     # how often the corpus has each benchmark word; a partial sum for each task is all that moves
     freq = texts.select(F.explode("_w").alias("term")).select(F.xxhash64("term").alias("t")).join(small(vocab, n_vocab), "t").groupBy("t").agg(F.count("*").alias("cf"))
     by_window = Window.partitionBy("wid")
@@ -63,111 +65,108 @@ def index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, size: i
         .withColumn("least", F.min(F.coalesce("cf", F.lit(0))).over(by_window))
         .withColumn("again", F.row_number().over(Window.partitionBy("wid", "t").orderBy("off")) > 1)
     )
-    # for exact matches, a word that the corpus lacks rules its windows out
-    known = known.filter("cf > 0" if near else "least > 0").withColumn("rank", F.row_number().over(by_window.orderBy("again", "cf", "off")))
-    held = known.filter(F.col("rank") <= ANCHORS) if near else known.filter((F.col("rank") == 1) | ((F.col("rank") <= ANCHORS) & (F.col("cf") <= SKIP * F.col("least"))))
+    # a word that the corpus lacks rules its windows out
+    known = known.filter("least > 0").withColumn("rank", F.row_number().over(by_window.orderBy("again", "cf", "off")))
+    held = known.filter((F.col("rank") == 1) | ((F.col("rank") <= ANCHORS) & ~F.col("again") & (F.col("cf") <= SKIP * F.col("least"))))
     anchors = cut(
         held.join(wins, "wid").select("wid", "t", "off", "rank", F.size("w").alias("len"), F.when(F.col("rank") == 1, F.col("w")).alias("w"),
                                       F.count("*").over(by_window).alias("need")),
         "bench-anchors",
     )
-    lookup = anchors.groupBy("t").agg(F.min("rank").alias("best"))
-    n_lookup = lookup.count()
-    postings = cut(
-        texts.select("_id", "_h", "_w", F.posexplode("_w").alias("pos", "term"))
-        .select("_id", "_h", "_w", "pos", F.xxhash64("term").alias("t"))
-        .join(small(lookup, n_lookup), "t")
-        .select(
-            "_id", "_h", "t", "pos",
-            F.when(F.col("best") == 1, F.slice("_w", F.greatest(F.col("pos") - size + 2, F.lit(1)), F.least(F.col("pos"), F.lit(size - 1)) + size)).alias("around"),
-        ),
-        "bench-postings",
-    )
-    return {"texts": texts, "postings": postings, "anchors": anchors, "n_anchors": anchors.count(), "pairs": pairs, "size": size}
+    lookup = cut(anchors.groupBy("t").agg(F.min("rank").alias("best")), "bench-lookup")
+    n_lookup, reach = lookup.count(), size - 1 + 2 * slop
+    # 'around' begins reach words before the posting, or at the text's first word
+    around = F.when(F.col("best") == 1, F.slice("_w", F.greatest(F.col("pos") - reach + 1, F.lit(1)), F.least(F.col("pos"), F.lit(reach)) + reach + 1))
+    if n_lookup <= common.BROADCAST_ROWS:
+        placed = texts.select("_id", "_h", "_w", F.posexplode("_w").alias("pos", "term")).withColumn("t", F.xxhash64("term")).join(F.broadcast(lookup), "t")
+    else:
+        # words alone meet the lookup; places come back to their text, which moves once
+        found = texts.select("_id", "_h", F.posexplode("_w").alias("pos", "term")).select("_id", "_h", "pos", F.xxhash64("term").alias("t")).distinct().join(lookup, "t")
+        found = found.groupBy(F.col("_id").alias("_i2"), F.col("_h").alias("_h2")).agg(F.collect_list(F.struct("pos", "t", "best")).alias("p"))
+        once = texts.dropDuplicates(["_id", "_h"])
+        placed = once.join(found, once["_id"].eqNullSafe(found["_i2"]) & (once["_h"] == found["_h2"])).select("_id", "_h", "_w", F.inline("p"))
+    postings = cut(placed.select("_id", "_h", "t", "pos", around.alias("around")), "bench-postings")
+    return {"texts": texts, "postings": postings, "anchors": anchors, "n_anchors": anchors.count(), "pairs": pairs, "size": size, "slop": slop}
+
+
+def _moved(ix: dict) -> DataFrame:
+    """Postings with the windows of their words; start is where a window would begin, at its place within 'around'."""
+    reach = F.lit(ix["size"] - 1 + 2 * ix["slop"])
+    joined = ix["postings"].join(small(ix["anchors"], ix["n_anchors"]), "t")
+    return joined.withColumn("start", F.col("pos") - F.col("off")).withColumn("at", F.least(F.col("pos"), reach) - F.col("off"))
 
 
 def exact(ix: dict) -> DataFrame:
     """(_id, _h, wid, start, len) of every occurrence of a window."""
-    size = ix["size"]
-    moved = (
-        ix["postings"].join(small(ix["anchors"], ix["n_anchors"]), "t")
-        .withColumn("start", F.col("pos") - F.col("off"))
-        # 'around' begins size-1 words before the posting, or at the text's first word
-        .withColumn("at", F.least(F.col("pos"), F.lit(size - 1)) - F.col("off") + 1)
-        .filter((F.col("start") >= 0) & ((F.col("rank") > 1) | ((F.col("at") >= 1) & F.slice("around", F.greatest("at", F.lit(1)), F.col("len")).eqNullSafe(F.col("w")))))
-    )
+    phrase = (F.col("at") >= 0) & F.slice("around", F.greatest("at", F.lit(0)) + 1, F.col("len")).eqNullSafe(F.col("w"))
     return (
-        moved.groupBy("_id", "_h", "wid", "start", "len", "need")
+        _moved(ix).filter((F.col("start") >= 0) & ((F.col("rank") > 1) | phrase))
+        .groupBy("_id", "_h", "wid", "start", "len", "need")
         .agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"))
         .filter("bit_count(met) = need")
         .drop("need", "met")
-    )
+    )
 
 
-def proximity(ix: dict, slop: int = 3) -> DataFrame:
-    """(_id, _h, item, start, spread): windows whose anchors all lie within slop words of where the phrase has them.
+def proximity(ix: dict) -> DataFrame:
+    """(_id, _h, wid) of the windows that a text has within slop words, exact ones among them.
 
-    ix is an index with near set. start is the least moved position in the neighbourhood, spread the most that two of
-    them differ. Two anchors are two places in the text; a window of two words or more with one anchor matches nothing.
+    For some start, every word of the window stands at most slop words from its place, and the stretch from slop words
+    before the first place to slop words behind the last has each word as often as the window has it.
     """
-    both = ix["anchors"].filter(F.col("need") >= F.least("len", F.lit(ANCHORS)))
-    moved = ix["postings"].join(small(both, ix["n_anchors"]), "t").withColumn("start", F.col("pos") - F.col("off"))
-    # each posting serves its own cell and the one before, so any group within slop meets in one cell
-    cells = moved.withColumn("cell", F.explode(F.array(F.floor(F.col("start") / (slop + 1)), F.floor(F.col("start") / (slop + 1)) - 1)))
-    near = (
-        cells.groupBy("_id", "_h", "wid", "cell", "need")
-        .agg(
-            F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"), F.min("start").alias("start"), (F.max("start") - F.min("start")).alias("spread"),
-            (F.max("pos") > F.min("pos")).alias("apart"),
-        )
-        .filter((F.expr("bit_count(met)") == F.col("need")) & (F.col("apart") | (F.col("need") == 1)) & (F.col("spread") <= 2 * slop + 1))
-    )
-    return near.join(ix["pairs"], "wid").groupBy("_id", "_h", "item").agg(F.min("start").alias("start"), F.min("spread").alias("spread"))
-
-
-def near_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, slop: int = 3) -> DataFrame:
-    """One row for each row of docs: id, n_near (items that match by proximity), near_sha256 of their sorted ids, spread (the least, or null)."""
-    ix = index(docs, items, id_col, text_col, size, near=True)
-    found = proximity(ix, slop).groupBy(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).agg(F.sort_array(F.collect_list("item")).alias("items"), F.min("spread").alias("spread"))
-    out = ix["texts"].select("_id", "_h").join(found, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
-    items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(F.col("_id").alias(id_col), F.size(items_).cast("long").alias("n_near"), F.sha2(F.array_join(items_, ","), 256).alias("near_sha256"), F.col("spread").cast("long").alias("spread"))
+    slop = ix["slop"]
+    all_there = F.size(F.array_except("w", "around")) == 0
+    near = F.expr(
+        f"""exists(sequence({-slop}, {slop}), d ->
+              forall(sequence(0, len - 1), k -> array_contains(slice(around, greatest(at + d + k - {slop}, 0) + 1, greatest(least({2 * slop + 1}, at + d + k + {slop + 1}), 0)), w[k]))
+              AND (size(array_distinct(w)) = len OR forall(w, x ->
+                size(filter(slice(around, greatest(at + d - {slop}, 0) + 1, greatest(least(len + {2 * slop}, at + d + len + {slop}), 0)), y -> y = x)) >= size(filter(w, y -> y = x)))))"""
+    )
+    rarest = _moved(ix).filter(F.col("rank") == 1)
+    return rarest.filter(F.when(all_there, near).otherwise(F.lit(False))).select("_id", "_h", "wid").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, near_sha256.
 
-    Null and empty texts have no words. Items without words, or null ones, match nothing; an empty benchmark hits
-    nothing. Rows that repeat id and text get equal results.
+    The last two count items with a window that matches by proximity, exact matches among them, and digest their
+    sorted ids. Null and empty texts have no words. Items without words, or null ones, match nothing; an empty benchmark
+    hits nothing. Rows that repeat id and text get equal results.
     """
-    ix = index(docs, items, id_col, text_col, size)
+    ix = index(docs, items, id_col, text_col, size, slop)
     hits = cut(exact(ix), "bench-hits")
     key = ["_id", "_h"]
+
+    def by_item(found: DataFrame, name: str) -> DataFrame:
+        each = found.select(*key, "wid").distinct().join(ix["pairs"], "wid").select(*key, "item").distinct()
+        return each.groupBy(*key).agg(F.sort_array(F.collect_list("item")).alias(name))
+
     n_hit = (
         hits.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p"))
         .distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
     )
-    by_item = (
-        hits.select(*key, "wid").distinct().join(ix["pairs"], "wid").select(*key, "item").distinct()
-        .groupBy(*key).agg(F.sort_array(F.collect_list("item")).alias("items"))
-    )
-    found = n_hit.join(by_item, reduce(lambda a, b: a & b, [n_hit[k].eqNullSafe(by_item[k]) for k in key])).select(
-        n_hit["_id"].alias("_id2"), n_hit["_h"].alias("_h2"), "n_hit", "items"
-    )
+    near, items_ = by_item(proximity(ix), "near"), by_item(hits, "items")
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in key])
+    found = n_hit.join(items_, same(n_hit, items_)).select(n_hit["_id"], n_hit["_h"], "n_hit", "items")
+    # what matches exactly matches by proximity
+    found = near.join(found, same(near, found), "left").select(near["_id"].alias("_id2"), near["_h"].alias("_h2"), "n_hit", "items", "near")
     all_docs = ix["texts"].select(*key, n_words(F.col("_w")).alias("n_words"))
     out = all_docs.join(found, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
-    items_ = F.coalesce("items", F.array().cast("array<string>"))
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     return out.select(
         F.col("_id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(items_).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"),
+        F.size(some("items")).cast("long").alias("n_items"),
+        F.sha2(F.array_join(some("items"), ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.size(some("near")).cast("long").alias("n_near"),
+        F.sha2(F.array_join(some("near"), ","), 256).alias("near_sha256"),
     )
 
 
-#: DuckDB: every word sequence of a document as long as some window, joined with the windows.
+#: DuckDB: every word sequence of a document as long as some window, joined with the windows; for proximity, the windows
+#: whose words a document all has, then the starts that each word's places allow.
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -178,8 +177,18 @@ dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
        FROM d, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) WHERE len(w) >= n),
 hit AS (SELECT dw.doc_id, dw.i, dw.n, bw.item FROM dw JOIN bw USING (n, g)),
 pos AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) FROM hit) GROUP BY 1),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1),
+ww AS (SELECT g, n, unnest(range(0, n)) AS k, unnest(string_split(g, ' ')) AS t FROM (SELECT DISTINCT g, n FROM bw)),
+wc AS (SELECT *, count(*) OVER (PARTITION BY g) AS kinds FROM (SELECT g, t, count(*) AS m FROM ww GROUP BY 1, 2)),
+dp AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM d),
+dt AS (SELECT DISTINCT doc_id, t FROM dp),
+likely AS (SELECT doc_id, g FROM dt JOIN wc USING (t) GROUP BY 1, 2 HAVING count(*) = min(kinds)),
+starts AS (SELECT doc_id, g, n, k, unnest(range(p - k - 3, p - k + 4)) AS s FROM likely JOIN ww USING (g) JOIN dp USING (doc_id, t)),
+st AS (SELECT doc_id, g, n, s FROM starts GROUP BY ALL HAVING count(DISTINCT k) = n),
+often AS (SELECT st.doc_id, st.g, st.s, wc.t, wc.m, wc.kinds, count(*) AS c FROM st JOIN wc USING (g) JOIN dp ON dp.doc_id = st.doc_id AND dp.t = wc.t AND dp.p BETWEEN st.s - 3 AND st.s + st.n + 2 GROUP BY ALL),
+matched AS (SELECT doc_id, g, s FROM often GROUP BY doc_id, g, s HAVING bool_and(c >= m) AND count(*) = min(kinds)),
+near AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near FROM (SELECT DISTINCT doc_id, item FROM matched JOIN bw USING (g)) GROUP BY 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)
 """

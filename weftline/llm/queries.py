@@ -49,10 +49,6 @@ def op9_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op9_proximity(spark, sf_dir):
-    return decontam.near_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
 def op10_html(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmltree.extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
