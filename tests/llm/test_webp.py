@@ -277,7 +277,7 @@ def test_a_stream_with_a_reference_and_a_cache():
     far = np.zeros(40, np.int64)
     far[[0, 1]] = 1  # one row up; one pixel left
     webp.write_lengths(w, far)
-    (green, n), (distance, m) = webp.codes(lengths), webp.codes(far)
+    (green, n), (distance, m) = ((x[0] for x in webp.codes(v[None])) for v in (lengths, far))
     for s, d in ((5, None), (258, 1), (9, None), (280 + slot, None), (257, 0)):
         w.put(int(green[s]), int(n[s]))
         if d is not None:
@@ -317,3 +317,25 @@ def test_fields_of_the_media_columns(spark):
         feature = f"{int(flags, 2):016x}:{a.mean():.3f}:{a.std():.3f}"
         wanted.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
     assert sorted(tuple(r) for r in got) == sorted(wanted)
+
+
+def test_code_lengths_are_complete_and_near_the_best():
+    rng = np.random.default_rng(3)
+    counts = np.stack([np.where(rng.random(300) < rng.random(), rng.integers(0, 4, 300) ** rng.integers(1, 9, 300), 0) for _ in range(60)])
+    counts[:3] = 0
+    counts[1, 7], counts[2, [3, 9]] = 5, (1, 100)
+    lengths = webp.code_lengths(counts)
+    assert ((lengths > 0) == (counts > 0)).all() and lengths.max() <= 13
+    for c, n in zip(counts, lengths, strict=True):
+        if (c > 0).sum() > 1:
+            assert (2.0 ** -n[n > 0]).sum() == 1
+            share = c[c > 0] / c.sum()
+            assert (c * n).sum() <= 1.12 * (c[c > 0] * -np.log2(share)).sum() + c.sum()
+        else:
+            assert n.sum() == (c > 0).sum()
+
+
+def test_files_do_not_depend_on_their_neighbours():
+    rng = random.Random(8)
+    payloads = [media.payload(words(rng, n)) for n in (0, 1, 3, 50, 50, 700, 12, 900)] + [media.payload(b"ab" * 500), media.payload(b"")]
+    assert webp.store_many(payloads) == [webp.store(p) for p in payloads]

@@ -33,8 +33,7 @@ def feature(samples: np.ndarray) -> str:
 FIELDS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def _describe(text: bytes, with_media: bool) -> tuple:
-    media = webp.store(payload(text))
+def _describe(text: bytes, media: bytes, with_media: bool) -> tuple:
     samples = webp.load(media)
     back = samples.tobytes()
     return (
@@ -46,15 +45,16 @@ def _describe(text: bytes, with_media: bool) -> tuple:
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
     """One row for each row of df: id and FIELDS, computed from the pixels read back; with_media adds the files.
 
-    Null and empty texts are one row of zeros. A text is one image; only beyond 1 GiB do files follow one another.
+    Null and empty texts are one row of zeros. A text is one image; only beyond 32 MiB do files follow one another.
     """
 
     bound_batches(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                ids, texts = batch.column(0)[i : i + 256], batch.column(1)[i : i + 256].cast(pa.binary()).to_pylist()
-                rows = list(zip(*(_describe(t or b"", with_media) for t in texts), strict=True))
+            for i in range(0, batch.num_rows, 512):
+                ids, texts = batch.column(0)[i : i + 512], batch.column(1)[i : i + 512].cast(pa.binary()).to_pylist()
+                texts = [t or b"" for t in texts]
+                rows = list(zip(*(_describe(t, m, with_media) for t, m in zip(texts, webp.store_many([payload(t) for t in texts]), strict=True)), strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 names = [id_col, *(f.split()[0] for f in FIELDS.split(", ")), "media"][: 1 + len(rows)]
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(rows, kinds, strict=False))], names=names)

@@ -29,8 +29,11 @@ NEAR = (
 CACHE_FACTOR = 0x1E35A7BD
 MAX_SIDE, ROW = 16384, 64
 #: Bytes of a stream that are looked at at once; the least length of a back-reference in stored files, the farthest,
-#: the most bits of their codes and of their caches; tokens that are written at once.
-STRETCH, LEAST, FAR, DEEPEST, CACHE, RUN = 1 << 17, 3, (1 << 20) - 120, 13, 10, 1 << 16
+#: the most bits of their caches; bytes that one file takes at most; bytes of payloads that are stored together.
+STRETCH, LEAST, FAR, CACHE, FILE, TOGETHER = 1 << 17, 3, (1 << 20) - 120, 10, 1 << 25, 1 << 20
+#: The code that stored files write code lengths with, by symbol: lengths of 5 to 7, no length and runs of none are the
+#: most frequent. Stored lengths are 13 at most, and repeats (16) are not used.
+META = np.array([3, 7, 7, 5, 4, 3, 3, 3, 4, 4, 5, 5, 7, 7, 0, 0, 0, 3, 4])
 #: Table entries are a symbol's value above 6 bits of code length. Values of a pixel's channels lie where the
 #: channels do, so that four entries add up to a pixel; green symbols from 256 on are marked by MARK.
 MARK = 1 << 40
@@ -40,7 +43,7 @@ _RED, _BLUE, _ALPHA, _PLAIN = (np.arange(256) << k for k in (22, 6, 30, 6))
 
 class Reader:
     def __init__(self, data: bytes):
-        self.data, self.at, self.end = data, 0, len(data) * 8
+        self.data, self.at, self.end, self.words, self.base = data, 0, len(data) * 8, [], 0
 
     def bits(self, n: int) -> int:
         if not n:
@@ -52,33 +55,55 @@ class Reader:
             raise ValueError("the stream ends early")
         return x
 
+    def view(self, ahead: int = 0) -> tuple[list[int], int]:
+        """(windows, their first byte) from here on: the next 64 bits at each byte of a stretch, for so many bytes or to the end."""
+        first = self.at >> 3
+        upto = min(first + ahead, len(self.data))
+        if not self.base <= first < self.base + len(self.words) or self.base + len(self.words) < upto:
+            self.words, self.base = _windows(self.data, first, False), first
+        return self.words, self.base
+
 
 class Writer:
-    """Bits, the lowest first: put() for single values, extend() for many."""
+    """Values and how many bits each takes, in the order of the stream, the lowest bit first."""
 
     def __init__(self):
-        self.acc, self.n, self.parts = 0, 0, []
+        self.values, self.sizes = [], []
 
     def put(self, x: int, n: int) -> None:
-        self.acc |= x << self.n
-        self.n += n
-
-    def _close(self) -> None:
-        if self.n:
-            self.parts.append(np.unpackbits(np.frombuffer(self.acc.to_bytes((self.n + 7) // 8, "little"), np.uint8), bitorder="little")[: self.n])
-            self.acc = self.n = 0
-
-    def extend(self, value: np.ndarray, size: np.ndarray) -> None:
-        self._close()
-        for i in range(0, len(value), 4 * RUN):
-            v, s = value[i : i + 4 * RUN], size[i : i + 4 * RUN]
-            ends = np.cumsum(s)
-            where = np.arange(ends[-1]) - np.repeat(ends - s, s)
-            self.parts.append((np.repeat(v, s) >> where & 1).astype(np.uint8))
+        while n > 24:
+            self.put(x & 0xFFFFFF, 24)
+            x, n = x >> 24, n - 24
+        self.values.append(np.array([x]))
+        self.sizes.append(np.array([n]))
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values.append(values)
+        self.sizes.append(sizes)
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(self.values).astype(np.int64), np.concatenate(self.sizes).astype(np.int64)
 
     def bytes(self) -> bytes:
-        self._close()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        values, sizes = self.tokens()
+        return packed_bits(values, sizes)[: int(sizes.sum() + 7) // 8]
+
+
+def packed_bits(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Values of at most 24 bits one after another, and zeros to the end of a word."""
+    some = sizes > 0
+    values, sizes = values[some].astype(np.uint64), sizes[some]
+    if not len(values):
+        return b""
+    at = np.cumsum(sizes) - sizes
+    word = at >> 5
+    # values do not overlap, so the sum of those that begin in a word is all of them; what runs over is carried
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    sums = np.add.reduceat(values << (at & 31).astype(np.uint64), first)
+    out = np.zeros(int(word[-1]) + 2, np.uint64)
+    out[word[first]] = sums & np.uint64(0xFFFFFFFF)
+    out[word[first] + 1] |= sums >> np.uint64(32)
+    return out.astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=16)
@@ -109,6 +134,16 @@ def lookup(lengths: np.ndarray, values: np.ndarray) -> tuple[int, list[int]]:
     return (1 << most) - 1, np.repeat(values[used] + n, many)[_turned(most)].tolist()
 
 
+@lru_cache(maxsize=256)
+def _meta_lookup(lengths: tuple) -> tuple[int, list[int]]:
+    """The table of the code that code lengths are written with, from its lengths in their order."""
+    meta = np.zeros(19, np.int64)
+    meta[list(LENGTH_ORDER[: len(lengths)])] = lengths
+    if not meta.any():
+        raise ValueError("a prefix code is not complete")
+    return lookup(meta, _PLAIN[:19])
+
+
 def read_lengths(r: Reader, size: int) -> np.ndarray:
     """Code lengths of a prefix code."""
     lengths = [0] * size
@@ -119,19 +154,17 @@ def read_lengths(r: Reader, size: int) -> np.ndarray:
             lengths[r.bits(8)] = 1
         return np.array(lengths)
     n = 4 + r.bits(4)
-    meta = np.zeros(19, np.int64)
-    for k in LENGTH_ORDER[:n]:
-        meta[k] = r.bits(3)
-    if not meta.any():
-        raise ValueError("a prefix code is not complete")
-    mask, table = lookup(meta, _PLAIN[:19])
+    x = r.bits(3 * n)
+    mask, table = _meta_lookup(tuple(x >> 3 * k & 7 for k in range(n)))
     left = size
     if r.bits(1):
         left = 2 + r.bits(2 + 2 * r.bits(3))
-    s, prev, data, at = 0, 8, r.data, r.at
+    # a length takes 14 bits at most
+    words, base = r.view(2 * size + 8)
+    s, prev, at = 0, 8, r.at - base * 8
     while s < size and left:
         left -= 1
-        w = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        w = words[at >> 3] >> (at & 7)
         e = table[w & mask]
         x = e >> 6
         at += e & 63
@@ -155,8 +188,8 @@ def read_lengths(r: Reader, size: int) -> np.ndarray:
         if x == 16:
             lengths[s : s + again] = [prev] * again
         s += again
-    r.at = at
-    if at > r.end:
+    r.at = at + base * 8
+    if r.at > r.end:
         raise ValueError("the stream ends early")
     return np.array(lengths)
 
@@ -197,13 +230,13 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     near = [max(dx + dy * width, 1) for dx, dy in NEAR]
     cache, shift, literal = [0] * (1 << cache_bits), 32 - cache_bits, MARK << 6
     out: list[int] = []
-    push, n, at, data = out.append, 0, r.at, r.data
+    push, n, at = out.append, 0, r.at
     gm, gt, rm, rt, bm, bt, am, alphas, dm, dt = first
     while n < total:
         if at >= r.end and any(b[k] for b in books for k in (0, 2, 4, 6)):
             raise ValueError("the stream ends early")
-        base = at >> 3
-        words = _windows(data, base, most > 57)
+        r.at = at
+        words, base = r.view() if most <= 57 else (_windows(r.data, at >> 3, True), at >> 3)
         p, stop = at - base * 8, len(words) * 8
         while n < total and p < stop:
             upto = total
@@ -429,101 +462,109 @@ def decode(data: bytes) -> np.ndarray:
 # --- writing ---------------------------------------------------------------------------------------------------
 
 
-def code_lengths(counts: np.ndarray, most: int = DEEPEST) -> np.ndarray:
-    """Huffman code lengths of at most so many bits; a symbol that is alone gets 1."""
-    out = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts)
-    n, floor = len(used), 0
-    if n < 2:
-        out[used] = 1
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Code lengths of the symbols of each row, of 13 bits at most; complete codes, but 1 for a symbol that is alone.
+
+    A symbol first takes as many bits as its share asks for, rounded up; what that leaves of the code's room then
+    shortens symbols by one bit at a time, the frequent ones first, until nothing is left.
+    """
+    out = np.zeros(counts.shape, np.int64)
+    many = (counts > 0).sum(axis=1)
+    out[(counts > 0) & (many == 1)[:, None]] = 1
+    rows = np.flatnonzero(many > 1)
+    if not len(rows):
         return out
-    while True:
-        raised = np.maximum(counts[used], floor)
-        order = np.argsort(raised, kind="stable")
-        # leaves by weight, then inner nodes as they come: both are sorted, so the two least are at the heads
-        weight, parent = raised[order].tolist(), [0] * (2 * n - 1)
-        i, j = 0, n
-        for k in range(n, 2 * n - 1):
-            if i < n and (j >= k or weight[i] <= weight[j]):
-                a, i = i, i + 1
-            else:
-                a, j = j, j + 1
-            if i < n and (j >= k or weight[i] <= weight[j]):
-                b, i = i, i + 1
-            else:
-                b, j = j, j + 1
-            weight.append(weight[a] + weight[b])
-            parent[a] = parent[b] = k
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        if max(depth) <= most:
-            out[used[order]] = depth[:n]
-            return out
-        floor = max(floor * 2, int(counts.sum()) >> most, 1)
+    c = counts[rows].astype(np.float64)
+    order = np.argsort(-c, axis=1, kind="stable")[:, : int(many.max())]
+    c = np.take_along_axis(c, order, 1)
+    used = c > 0
+    c = np.where(used, np.maximum(c, c.sum(axis=1, keepdims=True) / 2048), 0)
+    share = np.divide(c.sum(axis=1, keepdims=True), c, out=np.ones_like(c), where=used)
+    n = np.ascontiguousarray(np.clip(np.ceil(np.log2(share)), 1, 13).astype(np.int64).T)
+    used = np.ascontiguousarray(used.T)
+    room = 8192 - np.where(used, 8192 >> n, 0).sum(axis=0)
+    open_ = np.flatnonzero(room > 0)
+    while len(open_):
+        m, u, left = n[:, open_], used[:, open_], room[open_]
+        for k in range(len(m)):
+            cost = 8192 >> m[k]
+            less = u[k] & (cost <= left)
+            m[k] -= less
+            left -= cost * less
+        n[:, open_], room[open_] = m, left
+        open_ = open_[left > 0]
+    sorted_lengths = np.zeros(order.shape, np.int64)
+    sorted_lengths[:] = np.where(used, n, 0).T
+    part = np.zeros((len(rows), counts.shape[1]), np.int64)
+    np.put_along_axis(part, order, sorted_lengths, 1)
+    out[rows] = part
+    return out
 
 
 def codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, how many) by symbol, as written; none for a symbol that is alone."""
-    used, n = _sorted_code(lengths)
-    bits, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    if len(used) > 1:
-        most = int(n[-1])
-        many = 1 << (most - n)
-        # a code's first leaf at full depth, turned, is the code turned
-        bits[used] = _turned(most)[np.cumsum(many) - many]
-        size[used] = n
+    """(bits, how many) by row and symbol, as written; none for a symbol that is alone."""
+    bits, size = np.zeros(lengths.shape, np.int64), lengths.copy()
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol]
+    order = np.argsort((row << 4 | n) << 11 | symbol, kind="stable")
+    row, symbol, n = row[order], symbol[order], n[order]
+    leaves = 1 << (15 - n)
+    before = np.cumsum(leaves) - leaves
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    before -= np.repeat(before[first], np.diff(np.append(first, len(row))))
+    # a code's first leaf at full depth, turned, is the code turned
+    bits[row, symbol] = _turned(15)[before]
+    alone = (lengths > 0).sum(axis=1) == 1
+    bits[alone], size[alone] = 0, 0
     return bits, size
 
 
-def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    """Code lengths as (symbol, extra value, extra bits)."""
-    edges = np.flatnonzero(np.diff(lengths, prepend=-1, append=-1)).tolist()
-    out, prev, values = [], 8, lengths.tolist()
-    for i, j in zip(edges[:-1], edges[1:], strict=True):
-        x, n = values[i], j - i
-        if x == 0:
-            while n >= 3:
-                m = min(n, 138)
-                out.append((17, m - 3, 3) if m <= 10 else (18, m - 11, 7))
-                n -= m
-        else:
-            if x != prev:
-                out.append((x, 0, 0))
-                n -= 1
-            while n >= 3:
-                m = min(n, 6)
-                out.append((16, m - 3, 2))
-                n -= m
-            prev = x
-        out += [(x, 0, 0)] * n
-    return out
-
-
-def write_lengths(w: Writer, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths).tolist()
-    if len(used) <= 2 and all(s < 256 for s in used):
-        used = used or [0]
-        w.put(1 | len(used) - 1 << 1, 2)
-        few = used[0] < 2
-        w.put(0 if few else 1, 1)
-        w.put(used[0], 1 if few else 8)
-        if len(used) == 2:
-            w.put(used[1], 8)
-        return
-    runs = _runs(lengths)
-    meta = code_lengths(np.bincount([s for s, _, _ in runs], minlength=19), 7)
-    order = meta[list(LENGTH_ORDER)].tolist()
-    while len(order) > 4 and not order[-1]:
-        order.pop()
-    w.put(0, 1)
-    w.put(len(order) - 4, 4)
-    for n in order:
-        w.put(n, 3)
-    w.put(0, 1)
-    bits, size = (x.tolist() for x in codes(meta))
-    for s, x, n in runs:
-        w.put(bits[s] | x << size[s], size[s] + n)
+def length_tokens(lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value, bits) that write each row's code lengths, of so many symbols."""
+    used = lengths > 0
+    many, symbols = used.sum(axis=1), np.arange(lengths.shape[1])
+    first = np.where(many > 0, used.argmax(axis=1), 0)
+    last = np.where(many > 0, len(symbols) - 1 - used[:, ::-1].argmax(axis=1), 0)
+    short = (many <= 2) & (last < 256)
+    rows, values, bits = [], [], []
+
+    def add(r: np.ndarray, v: np.ndarray | int, n: np.ndarray | int) -> None:
+        rows.append(r)
+        values.append(np.broadcast_to(v, r.shape))
+        bits.append(np.broadcast_to(n, r.shape))
+
+    r = np.flatnonzero(short)
+    few = first[r] < 2
+    add(r, 1 | (many[r] == 2) << 1 | ~few << 2, 3)
+    add(r, first[r], np.where(few, 1, 8))
+    r = np.flatnonzero(short & (many == 2))
+    add(r, last[r], 8)
+    # the head: that it is a normal code, how many lengths of the code for lengths, these, that all symbols follow
+    r = np.flatnonzero(~short)
+    head, at = 0 | 15 << 1, 5
+    for k in LENGTH_ORDER:
+        head, at = head | int(META[k]) << at, at + 3
+    for k in range(0, at + 1, 21):
+        add(r, head >> k & 0x1FFFFF, min(21, at + 1 - k))
+    if len(r):
+        # runs of equal lengths, row by row: lengths one by one, none in runs of up to 138
+        inside = symbols < sizes[r, None]
+        flat, of = lengths[r][inside], np.repeat(r, sizes[r])
+        start = np.flatnonzero((np.diff(flat, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0) | (flat > 0))
+        run = np.diff(np.append(start, len(flat)))
+        zero = flat[start] == 0
+        rest = run % 138
+        pieces = np.where(zero, run // 138 + np.where(rest >= 3, 1, rest), 1)
+        which = np.repeat(np.arange(len(start)), pieces)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        n = np.where(k < run[which] // 138, 138, np.where(rest[which] >= 3, rest[which], 1))
+        symbol = np.where(zero[which], np.where(n >= 11, 18, np.where(n >= 3, 17, 0)), flat[start][which])
+        code, size = (x[0] for x in codes(META[None]))
+        extra, more = np.where(n >= 11, n - 11, n - 3), np.where(symbol == 18, 7, np.where(symbol == 17, 3, 0))
+        add(of[start][which], code[symbol] | np.where(more > 0, extra << size[symbol], 0), size[symbol] + more)
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return row[order], np.concatenate(values)[order], np.concatenate(bits)[order]
 
 
 def _prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -544,84 +585,93 @@ def _near_codes(width: int) -> np.ndarray:
     return out
 
 
-def _copies(pix: np.ndarray) -> np.ndarray:
-    """(place, length, distance) of back-references, greedily: to the latest place with the same LEAST pixels."""
-    n = len(pix) - LEAST + 1
+def _copies(pix: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(place, length, distance) of back-references within images that end at ends, greedily: to the latest place with
+    the same LEAST pixels."""
+    n, none = len(pix) - LEAST + 1, np.zeros((0, 3), np.int64)
     if n < 2:
-        return np.zeros((0, 3), np.int64)
+        return none
     x = pix.astype(np.uint64)
     key = x[:n] * np.uint64(0x9E3779B97F4A7C15) + x[1 : n + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2 : n + 2] * np.uint64(0x165667B19E3779F9)
     order = np.argsort(key, kind="stable")
     same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    if not len(same):
-        return np.zeros((0, 3), np.int64)
     a, b = order[:-1][same], order[1:][same]
-    good = (pix[a] == pix[b]) & (pix[a + 1] == pix[b + 1]) & (pix[a + 2] == pix[b + 2]) & (b - a <= FAR)
+    image = np.searchsorted(ends, np.arange(len(pix)), side="right")
+    good = (image[a] == image[b + 2]) & (pix[a] == pix[b]) & (pix[a + 1] == pix[b + 1]) & (pix[a + 2] == pix[b + 2]) & (b - a <= FAR)
     prev = np.full(n + 1, -1)
     prev[b[good]] = a[good]
     # a match goes on while the next place has the match after it
-    ends = np.flatnonzero((np.diff(prev) != 1) | (prev[:-1] < 0))
-    length = LEAST + ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    has = np.flatnonzero(prev[:n] >= 0)
-    if not len(has):
-        return np.zeros((0, 3), np.int64)
-    long, prev, length = has.tolist(), prev[has].tolist(), length[has].tolist()
+    stop = np.flatnonzero((np.diff(prev) != 1) | (prev[:-1] < 0))
+    has = np.flatnonzero(prev >= 0)
+    length = LEAST + stop[np.searchsorted(stop, has)] - has
     out, upto = [], 0
-    for k, i in enumerate(long):
+    for i, p, m in zip(has.tolist(), prev[has].tolist(), length.tolist(), strict=True):
         if i >= upto:
-            m = min(length[k], 4096)
-            out.append((i, m, i - prev[k]))
+            m = min(m, 4096)
+            out.append((i, m, i - p))
             upto = i + m
-    return np.array(out, np.int64).reshape(-1, 3)
+    return np.array(out, np.int64).reshape(-1, 3) if out else none
 
 
-def _hits(pix: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _hits(pix: np.ndarray, image: np.ndarray, cache_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slots, whether the cache holds a pixel when its turn comes): the last one before it in its slot is its equal."""
-    slot = (pix * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
-    order = np.argsort(slot, kind="stable")
+    slot = (pix * np.uint32(CACHE_FACTOR) >> (32 - cache_bits[image]).astype(np.uint32)).astype(np.int64)
+    key = image << 11 | slot
+    order = np.argsort(key, kind="stable")
     hit = np.zeros(len(pix), bool)
-    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pix[order[1:]] == pix[order[:-1]])
+    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (pix[order[1:]] == pix[order[:-1]])
     return slot, hit
 
 
-def _bits(counts: np.ndarray) -> float:
-    """About what symbols and the lengths of their codes take."""
-    n = counts[counts > 0]
-    return float((n * np.log2(n.sum() / n)).sum()) + 4.0 * len(n) if len(n) else 0.0
+_TIMES_LOG = np.arange(1 << 16) * np.log2(np.maximum(np.arange(1 << 16), 1))
 
 
-def _channel_bits(pix: np.ndarray) -> float:
-    b = pix.view(np.uint8).reshape(-1, 4)
-    return sum(_bits(np.bincount(b[:, k])) for k in range(4))
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """About what symbols, counted along the last axis, and the lengths of their codes take."""
+    n = counts.sum(axis=-1)
+    big = counts.max(initial=0) >= len(_TIMES_LOG)
+    each = counts * np.log2(np.maximum(counts, 1)) if big else _TIMES_LOG[counts]
+    return n * np.log2(np.maximum(n, 1)) - each.sum(axis=-1) + 4.0 * (counts > 0).sum(axis=-1)
 
 
-def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int | None = 0, matches: bool = False) -> None:
-    """Pixels with prefix codes of their own; matches: with back-references; cache_bits None: a cache if it pays."""
-    pix, width = np.ascontiguousarray(argb, np.uint32).ravel(), argb.shape[1]
-    at, n, far = (_copies(pix) if matches else np.zeros((0, 3), np.int64)).T
+def _channels(pix: np.ndarray, image: np.ndarray, images: int) -> np.ndarray:
+    """Counts of values by image and channel: green, red, blue, alpha."""
+    return np.stack([np.bincount(image << 8 | (pix >> np.uint32(s) & np.uint32(255)), minlength=images << 8).reshape(images, 256) for s in (8, 16, 0, 24)], 1)
+
+
+def image_tokens(images: list[np.ndarray], main: bool, cache_bits: int | None = 0, matches: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, value, bits) that write images, each with prefix codes of its own; all are coded together.
+
+    matches: with back-references; cache_bits None: a cache where it pays.
+    """
+    many = len(images)
+    sizes = np.array([x.size for x in images])
+    pix, image, ends = np.concatenate([np.ravel(x) for x in images]).astype(np.uint32), np.repeat(np.arange(many), sizes), np.cumsum(sizes)
+    at, n, far = (_copies(pix, ends) if matches else np.zeros((0, 3), np.int64)).T
     cover = np.zeros(len(pix) + 1, np.int64)
     cover[at] += 1
     np.subtract.at(cover, at + n, 1)
     single = np.cumsum(cover[:-1]) == 0
     literal = np.flatnonzero(single)
-    slot, hit = np.zeros(0, np.int64), np.zeros(len(pix), bool)
+    cached, hit, slot = np.full(many, cache_bits or 0), np.zeros(len(pix), bool), np.zeros(len(pix), np.int64)
     if cache_bits is None:
-        cache_bits = min(max(len(literal).bit_length() - 1, 1), CACHE)
-        slot, hit = _hits(pix, cache_bits)
-        missed = pix[literal[~hit[literal]]]
-        held = np.concatenate((np.bincount(missed >> np.uint32(8) & np.uint32(255), minlength=256), np.bincount(slot[literal[hit[literal]]])))
-        other = sum(_bits(np.bincount(missed >> np.uint32(s) & np.uint32(255))) for s in (0, 16, 24))
-        if not hit.any() or _bits(held) + other >= _channel_bits(pix[literal]):
-            cache_bits, hit = 0, np.zeros(len(pix), bool)
+        cached = np.clip(np.frexp(np.bincount(image[literal], minlength=many).astype(np.float64))[1] - 1, 1, CACHE).astype(np.int64)
+        slot, hit = _hits(pix, image, cached)
+        # what all literals take, against what is left of them and their slots
+        held, missed = literal[hit[literal]], literal[~hit[literal]]
+        whole = _bits(_channels(pix[literal], image[literal], many)).sum(axis=1)
+        part = _channels(pix[missed], image[missed], many)
+        slots = np.bincount(image[held] << CACHE | slot[held], minlength=many << CACHE).reshape(many, 1 << CACHE)
+        less = _bits(np.concatenate((part[:, 0], slots), axis=1)) + _bits(part[:, 1:]).sum(axis=1) < whole
+        cached = np.where(less, cached, 0)
+        hit &= less[image]
     elif cache_bits:
-        slot, hit = _hits(pix, cache_bits)
-    w.put(cache_bits << 1 | 1 if cache_bits else 0, 5 if cache_bits else 1)
-    if main:
-        w.put(0, 1)
+        slot, hit = _hits(pix, image, cached)
     # four fields a token: green, red, blue, alpha, or length and distance with their extra bits, or a slot
     starts = single.copy()
     starts[at] = True
     starts = np.flatnonzero(starts)
+    of = image[starts]
     is_copy = np.zeros(len(starts), bool)
     is_copy[np.searchsorted(starts, at)] = True
     is_hit = hit[starts] & ~is_copy
@@ -630,27 +680,60 @@ def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int | None
     alpha, red, green, blue = ((p >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (24, 16, 8, 0))
     symbol = np.zeros(len(starts), np.int64)
     symbol[plain] = green
-    near = _near_codes(width)
-    code = near[np.minimum(far, len(near) - 1)]
-    code = np.where((far < len(near)) & (code > 0), code, far + 120)
+    widths = np.array([x.shape[1] for x in images])
+    code = far + 120
+    for width in np.unique(widths).tolist():
+        near = _near_codes(width)
+        close = (widths[image[at]] == width) & (far < len(near))
+        close[close] = near[far[close]] > 0
+        code[close] = near[far[close]]
     (ls, lx, lb), (fs, fx, fb) = _prefixed(n), _prefixed(code)
     symbol[is_copy] = 256 + ls
-    if cache_bits:
-        symbol[is_hit] = 280 + slot[starts[is_hit]]
-    books = []
-    for symbols, size in ((symbol, 280 + (1 << cache_bits if cache_bits else 0)), (red, 256), (blue, 256), (alpha, 256), (fs, 40)):
-        lengths = code_lengths(np.bincount(symbols, minlength=size))
-        write_lengths(w, lengths)
-        books.append(codes(lengths))
+    symbol[is_hit] = 280 + slot[starts[is_hit]]
+    wide = 280 + (1 << int(cached.max()) if cached.any() else 0)
+    rows = of[plain]
+    count = lambda r, v, m: np.bincount(r * m + v, minlength=many * m).reshape(many, m)
+    greens, fars = code_lengths(count(of, symbol, wide)), code_lengths(count(image[at], fs, 40))
+    others = code_lengths(np.stack([count(rows, v, 256) for v in (red, blue, alpha)], 1).reshape(-1, 256))
+    # codes come as green, red, blue, alpha, distance of each image in turn
+    lists = [
+        (length_tokens(greens, 280 + np.where(cached > 0, 1 << cached, 0)), lambda r: 5 * r),
+        (length_tokens(others, np.full(3 * many, 256)), lambda r: r // 3 * 5 + r % 3 + 1),
+        (length_tokens(fars, np.full(many, 40)), lambda r: 5 * r + 4),
+    ]
+    head_row = np.concatenate([f(r) for (r, _, _), f in lists])
+    order = np.argsort(head_row, kind="stable")
+    head = head_row[order] // 5, np.concatenate([v for (_, v, _), _ in lists])[order], np.concatenate([b for (_, _, b), _ in lists])[order]
     value, size = np.zeros((len(starts), 4), np.int64), np.zeros((len(starts), 4), np.int64)
-    for k, (symbols, rows) in enumerate(((symbol, slice(None)), (red, plain), (blue, plain), (alpha, plain))):
-        bits, length = books[k]
-        value[rows, k], size[rows, k] = bits[symbols], length[symbols]
+    bits, length = codes(greens)
+    value[:, 0], size[:, 0] = bits[of, symbol], length[of, symbol]
+    bits, length = codes(others)
+    for k, v in enumerate((red, blue, alpha)):
+        value[plain, k + 1], size[plain, k + 1] = bits[rows * 3 + k, v], length[rows * 3 + k, v]
     if len(at):
-        bits, length = books[4]
-        value[is_copy, 1:] = np.stack((lx, bits[fs], fx), 1)
-        size[is_copy, 1:] = np.stack((lb, length[fs], fb), 1)
-    w.extend(value.ravel(), size.ravel())
+        bits, length = codes(fars)
+        value[is_copy, 1:] = np.stack((lx, bits[image[at], fs], fx), 1)
+        size[is_copy, 1:] = np.stack((lb, length[image[at], fs], fb), 1)
+    # whether there is a cache, of what size, and that there is no meta image
+    flags = np.where(cached > 0, cached << 1 | 1, 0), np.where(cached > 0, 5, 1) + main
+    return joined_tokens(many, (np.arange(many), *flags), head, (np.repeat(of, 4), value.ravel(), size.ravel()))
+
+
+def joined_tokens(many: int, *lists: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of (owner, value, bits), each sorted by owner, as one: all of the first owner's in the order of the lists."""
+    owner = np.concatenate([x[0] for x in lists])
+    order = np.argsort(owner.astype(np.uint16) if many <= 1 << 16 else owner, kind="stable")
+    return owner[order], np.concatenate([x[1] for x in lists])[order], np.concatenate([x[2] for x in lists])[order]
+
+
+def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int | None = 0, matches: bool = False) -> None:
+    _, values, sizes = image_tokens([argb], main, cache_bits, matches)
+    w.extend(values, sizes)
+
+
+def write_lengths(w: Writer, lengths: np.ndarray) -> None:
+    _, values, sizes = length_tokens(lengths[None], np.array([len(lengths)]))
+    w.extend(values, sizes)
 
 
 def _file(body: bytes) -> bytes:
@@ -667,10 +750,8 @@ def _head(width: int, height: int) -> Writer:
     return w
 
 
-def encode_argb(argb: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0, matches: bool = False) -> bytes:
-    """Any pixels. transforms, in order: (PREDICTOR, tile bits, modes), (CROSS, tile bits, elements), (GREEN,), (PALETTE,)."""
-    h, width = argb.shape
-    w = _head(width, h)
+def _through(w: Writer, argb: np.ndarray, transforms: tuple) -> np.ndarray:
+    """Writes transforms and returns what they leave of the pixels."""
     for kind, *more in transforms:
         w.put(1 | kind << 1, 3)
         if kind in (PREDICTOR, CROSS):
@@ -688,6 +769,13 @@ def encode_argb(argb: np.ndarray, transforms: tuple = (), cache_bits: int | None
             write_image(w, _packed(np.diff(_planes(colours[None]), axis=1, prepend=0)), False)
             argb = _bundled(index.reshape(argb.shape).astype(np.uint32), len(colours)) << np.uint32(8) | np.uint32(0xFF000000)
     w.put(0, 1)
+    return argb
+
+
+def encode_argb(argb: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0, matches: bool = False) -> bytes:
+    """Any pixels. transforms, in order: (PREDICTOR, tile bits, modes), (CROSS, tile bits, elements), (GREEN,), (PALETTE,)."""
+    w = _head(argb.shape[1], argb.shape[0])
+    argb = _through(w, argb, transforms)
     write_image(w, argb, True, cache_bits, matches)
     return _file(w.bytes())
 
@@ -703,49 +791,80 @@ def _bundled(index: np.ndarray, size: int) -> np.ndarray:
     return (full.reshape(h, wide, 1 << n) << (np.arange(1 << n) * (8 >> n)).astype(np.uint32)).sum(axis=2, dtype=np.uint32)
 
 
-def _slope(x: np.ndarray, y: np.ndarray) -> int:
-    """The multiple of a channel, in 32nds, that takes most off another one, as 8 signed bits."""
-    x, y = (v.astype(np.int8).astype(np.float64) for v in (x, y))
-    x -= x.mean()
-    spread = float(x @ x)
-    return int(np.clip(round(32 * float(x @ y) / spread), -128, 127)) if spread else 0
-
-
-def best_transforms(argb: np.ndarray) -> tuple:
-    """None, subtract-green, cross-colour or a predictor: what leaves channels of the fewest bits, by their counts."""
-    h, width = argb.shape
-    b = np.ascontiguousarray(argb).view(np.uint8).reshape(-1, 4)  # blue, green, red, alpha
-    alone = [_bits(np.bincount(b[:, k])) for k in range(4)]
-    best, least = (), sum(alone)
-    blue, green, red = b[:, 0], b[:, 1], b[:, 2]
-    bits = alone[1] + alone[3] + _bits(np.bincount(red - green)) + _bits(np.bincount(blue - green))
-    if bits < least:
-        best, least = ((GREEN,),), bits
-    to_red, to_blue = _slope(green, red), _slope(green, blue)
-    if to_red or to_blue:
-        tile = np.full((-(-h >> 9), -(-width >> 9)), 0xFF000000 | (to_blue & 255) << 8 | to_red & 255, np.uint32)
-        bits = _channel_bits(_through_cross(argb, tile, 9, False)) + 60
-        if bits < least:
-            best, least = ((CROSS, 9, tile),), bits
-    whole = np.ascontiguousarray(argb).view(np.uint8).reshape(h, width, 4)
-    for mode, (dy, dx) in ((1, (0, 1)), (2, (1, 0)), (3, (1, -1)), (4, (1, 1))):
-        if h <= dy or width <= 1:
-            continue
-        # all but the edges, which every mode treats alike
-        inner, by = whole[dy:, max(dx, 0) : width + min(dx, 0)], whole[: h - dy, max(-dx, 0) : width - max(dx, 0)]
-        rest = (inner - by).reshape(-1, 4)
-        bits = sum(_bits(np.bincount(rest[:, k])) for k in range(4)) * (h * width / len(rest)) + 60
-        if bits < least:
-            best, least = ((PREDICTOR, 9, np.full((-(-h >> 9), -(-width >> 9)), mode)),), bits
-    return best
-
-
-def encode_pixels(argb: np.ndarray) -> bytes:
-    """Pixels with whatever transform, back-references and cache promise the fewest bits; few colours also by palette."""
-    out = encode_argb(argb, best_transforms(argb), None, True)
-    colours = len(np.unique(argb)) if argb.size > 1 else 257
-    if colours <= 256 and 2 * colours <= argb.size:
-        out = min(out, encode_argb(argb, ((PALETTE,),), None, True), key=len)
+def _whole(argb: np.ndarray, x: int) -> np.ndarray:
+    """One value for the whole image, in tiles as large as they come."""
+    return np.full((-(-argb.shape[0] >> 9), -(-argb.shape[1] >> 9)), x)
+
+
+def best_transforms(images: list[np.ndarray]) -> list[list[tuple]]:
+    """For each image the transforms to try: that which leaves channels of the fewest bits, by their counts (none,
+    subtract-green, cross-colour or a predictor), and the palette where colours are few."""
+    many = len(images)
+    sizes = np.array([x.size for x in images])
+    pix, image = np.concatenate([x.ravel() for x in images]), np.repeat(np.arange(many), sizes)
+    width = np.array([x.shape[1] for x in images])
+    bits = _bits(_channels(pix, image, many))
+    costs, options = [bits.sum(axis=1)], [lambda k: ()]
+    green, red, blue = ((pix >> np.uint32(s)).astype(np.uint8).astype(np.int8) for s in (8, 16, 0))
+    less = pix & np.uint32(0xFF00FF00) | (red - green).view(np.uint8).astype(np.uint32) << np.uint32(16) | (blue - green).view(np.uint8)
+    costs.append(_bits(_channels(less, image, many)).sum(axis=1))
+    options.append(lambda k: ((GREEN,),))
+    # cross-colour with the slopes of red and blue on green, in 32nds
+    total = lambda v: np.bincount(image, v, many)
+    g = green - (total(green) / sizes)[image]
+    spread = np.maximum(total(g * g), 1e-9)
+    slopes = [np.clip(np.rint(32 * total(g * c) / spread), -128, 127).astype(np.int64) for c in (red, blue)]
+    delta = [t[image] * green >> 5 for t in slopes]
+    less = pix & np.uint32(0xFF00FF00) | ((red - delta[0]) & 255).astype(np.uint32) << np.uint32(16) | ((blue - delta[1]) & 255).astype(np.uint32)
+    costs.append(_bits(_channels(less, image, many)).sum(axis=1) + 60)
+    options.append(lambda k: ((CROSS, 9, _whole(images[k], 0xFF000000 | int(slopes[1][k] & 255) << 8 | int(slopes[0][k] & 255)).astype(np.uint32)),))
+    # predictors that take a neighbour as it is; first pixels of rows are left out, as every mode treats them alike
+    place = np.arange(len(pix)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    column = place % width[image]
+    raw = pix[:, None].view(np.uint8)
+    for mode, back in ((1, np.ones(many, np.int64)), (2, width), (3, width - 1), (4, width + 1)):
+        step = back[image]
+        inner = np.flatnonzero((place >= np.where(mode == 1, 1, width[image])) & (column > 0))
+        rest = (raw[inner] - raw[inner - step[inner]]).view(np.uint32).ravel()
+        kept = np.bincount(image[inner], minlength=many)
+        scale = sizes / np.maximum(kept, 1)
+        costs.append(np.where(kept > 0, _bits(_channels(rest, image[inner], many)).sum(axis=1) * scale + 60, np.inf))
+        options.append(lambda k, m=mode: ((PREDICTOR, 9, _whole(images[k], m)),))
+    # different colours, by their order within each image
+    key = np.sort(image << 32 | pix.astype(np.int64))
+    colours = np.bincount(key[np.diff(key, prepend=-1) != 0] >> 32, minlength=many)
+    out = []
+    for k, best in enumerate(np.argmin(costs, axis=0).tolist()):
+        out.append([options[best](k)])
+        if colours[k] <= 256 and 2 * colours[k] <= sizes[k] and sizes[k] > 1:
+            out[k].append(((PALETTE,),))
+    return out
+
+
+def encode_pixels(images: list[np.ndarray]) -> list[bytes]:
+    """Files of pixels, each with the transform, back-references and cache that promise the fewest bits."""
+    owner, heads, rest = [], [], []
+    for k, tries in enumerate(best_transforms(images)):
+        for transforms in tries:
+            w = _head(images[k].shape[1], images[k].shape[0])
+            rest.append(_through(w, images[k], transforms))
+            heads.append(w.tokens())
+            owner.append(k)
+    of = np.repeat(np.arange(len(heads)), [len(v) for v, _ in heads])
+    head = of, np.concatenate([v for v, _ in heads]), np.concatenate([n for _, n in heads])
+    of, values, sizes = joined_tokens(len(heads), head, image_tokens(rest, True, None, True))
+    # each file ends with a whole word, so that all are packed at once
+    n_bits = np.bincount(of, sizes, len(heads)).astype(np.int64)
+    fill = (-n_bits % 32)[:, None] - np.array([24, 0])
+    fill = np.stack((np.clip(fill[:, 0], 0, 8), np.minimum(fill[:, 1], 24)), 1)
+    ids = np.repeat(np.arange(len(heads)), 2)
+    _, values, sizes = joined_tokens(len(heads), (of, values, sizes), (ids, np.zeros(len(ids), np.int64), fill.ravel()))
+    raw = packed_bits(values, sizes)
+    at = np.concatenate(([0], np.cumsum((n_bits + 31) // 32 * 4)))
+    out: list[bytes | None] = [None] * len(images)
+    for j, k in enumerate(owner):
+        made = _file(raw[at[j] : at[j] + (int(n_bits[j]) + 7) // 8])
+        out[k] = made if out[k] is None else min(out[k], made, key=len)
     return out
 
 
@@ -759,21 +878,36 @@ def _shape(n: int) -> tuple[int, int]:
     return -(-(n + 1) // width), width
 
 
-def store(payload: bytes) -> bytes:
-    """A payload of a positive multiple of ROW bytes as one WebP image, four bytes a pixel: red, green, blue, alpha.
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """Payloads of positive multiples of ROW bytes, each as one WebP image, four bytes a pixel: red, green, blue, alpha.
 
     Images wider than ROW bytes are filled up with zeros, and their last pixel is the number of pixels before that.
-    Beyond the format's 16384 x 16384 pixels, which is 1 GiB, files follow one another.
+    A payload beyond FILE bytes, 32 MiB, takes several files, one after another, so that memory stays bounded.
     """
-    most, out = 4 * (MAX_SIDE * MAX_SIDE - 1) // ROW * ROW, []
-    for i in range(0, len(payload), most):
-        rgba = np.frombuffer(payload[i : i + most], np.uint32)
-        argb = rgba & np.uint32(0xFF00FF00) | rgba >> np.uint32(16) & np.uint32(255) | (rgba & np.uint32(255)) << np.uint32(16)
-        h, width = _shape(len(argb))
-        if h * width > len(argb):
-            argb = np.concatenate((argb, np.zeros(h * width - len(argb) - 1, np.uint32), np.array([len(argb)], np.uint32)))
-        out.append(encode_pixels(argb.reshape(h, width)))
-    return b"".join(out)
+    images, owner = [], []
+    for k, payload in enumerate(payloads):
+        for i in range(0, len(payload), FILE):
+            rgba = np.frombuffer(payload[i : i + FILE], np.uint32)
+            argb = rgba & np.uint32(0xFF00FF00) | rgba >> np.uint32(16) & np.uint32(255) | (rgba & np.uint32(255)) << np.uint32(16)
+            h, width = _shape(len(argb))
+            if h * width > len(argb):
+                argb = np.concatenate((argb, np.zeros(h * width - len(argb) - 1, np.uint32), np.array([len(argb)], np.uint32)))
+            images.append(argb.reshape(h, width))
+            owner.append(k)
+    out, at = [b""] * len(payloads), 0
+    while at < len(images):
+        stop, held = at, 0
+        while stop < len(images) and (stop == at or held + images[stop].nbytes <= TOGETHER) and stop - at < 512:
+            held += images[stop].nbytes
+            stop += 1
+        for k, made in zip(owner[at:stop], encode_pixels(images[at:stop]), strict=True):
+            out[k] += made
+        at = stop
+    return out
+
+
+def store(payload: bytes) -> bytes:
+    return store_many([payload])[0]
 
 
 def load(media: bytes) -> np.ndarray:
