@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -32,7 +33,7 @@ MAX_SIDE, ROW = 16384, 64
 #: Bytes of a stream that are looked at at once; the least length of a back-reference in stored files, the farthest,
 #: the most bits of their caches; bytes that one file takes at most; bytes of payloads that are stored together; rows that
 #: the choice of transforms looks at.
-STRETCH, LEAST, FAR, CACHE, FILE, TOGETHER, SAMPLE = 1 << 17, 3, (1 << 20) - 120, 11, 1 << 25, 1 << 19, 32
+STRETCH, LEAST, FAR, CACHE, FILE, TOGETHER, SAMPLE = 1 << 17, 3, (1 << 20) - 120, 7, 1 << 25, 1 << 19, 16
 #: The code that stored files write code lengths with, by symbol: lengths of 5 to 7, no length and runs of none are the
 #: most frequent. Stored lengths are 13 at most, and repeats (16) are not used.
 META = np.array([3, 7, 7, 5, 4, 3, 3, 3, 4, 4, 5, 5, 7, 7, 0, 0, 0, 3, 4])
@@ -101,7 +102,7 @@ class Writer:
 
 def packed_bits(values: np.ndarray, sizes: np.ndarray, fresh: np.ndarray | None = None) -> bytes:
     """Values of at most 24 bits one after another, those at the places fresh from a new word of 32 on; zeros fill the last."""
-    at = np.cumsum(sizes) - sizes
+    at = np.cumsum(sizes, dtype=np.int64) - sizes
     if fresh is not None and len(fresh):
         stop = np.append(fresh, len(sizes))
         length = np.diff(np.append(at[fresh], at[-1] + sizes[-1]), prepend=0)
@@ -271,7 +272,7 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
                 upto = y * width + min(((x >> tile) + 1) << tile, width)
             # so many tokens certainly stay within the pixels and the windows; a copy starts the count anew
             while n < upto and p < stop:
-                for i in range(min(upto - n, (stop - p - 1) // 60 + 1)):
+                for _ in repeat(None, min(upto - n, (stop - p - 1) // 60 + 1)):
                     w = words[p >> 3] >> (p & 7)
                     e = gt[w & gm]
                     if e < literal:
@@ -290,7 +291,7 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
                         push(cache[(e - slots) >> 6])
                         p += e & 63
                     else:
-                        n += i
+                        n = len(out)
                         k = (e >> 6) - MARK
                         w >>= e & 63
                         p += e & 63
@@ -531,7 +532,7 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
 
 def codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bits, how many) by row and symbol, as written; none for a symbol that is alone."""
-    bits, size = np.zeros(lengths.shape, np.int64), lengths.copy()
+    bits, size = np.zeros(lengths.shape, np.int32), lengths.astype(np.int32)
     row, symbol = np.nonzero(lengths)
     n = lengths[row, symbol]
     order = np.argsort((row << 4 | n) << 12 | symbol, kind="stable")
@@ -713,7 +714,7 @@ def image_tokens(images: list[np.ndarray], main: bool, cache_bits: int | None =
     is_copy = np.zeros(len(starts), bool)
     is_copy[np.searchsorted(starts, at)] = True
     is_hit = hit[starts] & ~is_copy
-    plain = ~(is_copy | is_hit)
+    plain = np.flatnonzero(~(is_copy | is_hit))
     p = pix[starts[plain]]
     alpha, red, green, blue = ((p >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (24, 16, 8, 0))
     symbol = np.zeros(len(starts), np.int64)
@@ -749,16 +750,19 @@ def image_tokens(images: list[np.ndarray], main: bool, cache_bits: int | None =
     head_row = np.concatenate([f(r) for (r, _, _), f in lists])
     order = np.argsort(head_row, kind="stable")
     head = head_row[order] // 5, np.concatenate([v for (_, v, _), _ in lists])[order], np.concatenate([b for (_, _, b), _ in lists])[order]
-    value, size = np.zeros((len(starts), 4), np.int64), np.zeros((len(starts), 4), np.int64)
+    value, size = np.zeros((len(starts), 4), np.int32), np.zeros((len(starts), 4), np.int32)
     bits, length = codes(greens)
-    value[:, 0], size[:, 0] = bits[of, symbol], length[of, symbol]
-    bits, length = codes(others)
+    which = of * wide + symbol
+    value[:, 0], size[:, 0] = bits.ravel()[which], length.ravel()[which]
+    bits, length = (x.ravel() for x in codes(others))
     for k, v in enumerate((red, blue, alpha)):
-        value[plain, k + 1], size[plain, k + 1] = bits[rows * 3 + k, v], length[rows * 3 + k, v]
+        which = (rows * 3 + k) * 256 + v
+        value[plain, k + 1], size[plain, k + 1] = bits[which], length[which]
     if len(at):
         bits, length = codes(fars)
-        value[is_copy, 1:] = np.stack((lx, bits[image[at], fs], fx), 1)
-        size[is_copy, 1:] = np.stack((lb, length[image[at], fs], fb), 1)
+        copied = np.flatnonzero(is_copy)
+        value[copied, 1:] = np.stack((lx, bits[image[at], fs], fx), 1)
+        size[copied, 1:] = np.stack((lb, length[image[at], fs], fb), 1)
     # whether there is a cache, of what size, and that there is no meta image
     flags = np.where(cached > 0, cached << 1 | 1, 0), np.where(cached > 0, 5, 1) + main
     return joined_tokens(many, *before, (np.arange(many), *flags), head, (np.repeat(of, 4), value.ravel(), size.ravel()))
@@ -769,7 +773,7 @@ def joined_tokens(many: int, *lists: tuple) -> tuple[np.ndarray, np.ndarray, np.
     counts = np.stack([np.bincount(owner, minlength=many) for owner, _, _ in lists], 1)
     start = (np.cumsum(counts) - counts.ravel()).reshape(many, -1)
     total = int(counts.sum())
-    value, size = np.empty(total, np.int64), np.empty(total, np.int64)
+    value, size = np.empty(total, np.int32), np.empty(total, np.int32)
     for k, (_, v, n) in enumerate(lists):
         at = np.arange(len(v)) + np.repeat(start[:, k] - (np.cumsum(counts[:, k]) - counts[:, k]), counts[:, k])
         value[at], size[at] = v, n
