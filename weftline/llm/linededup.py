@@ -1,13 +1,15 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are compared after case folding and trimming; edits insert, delete or replace a word. Equal lines are
-grouped by hash first. Two different lines are within one edit exactly if one is the other without a word, or
-both agree after the word at the same place is deleted from each. So a line is posted under the hash of each
-variant with its length and place (replacements), under its own hash, and under the hash of each variant alone
-(insertions): equal keys join, and the earliest line of a key is all that a group has to carry. A line with an
-earlier partner is compared with it by edit distance and goes; the earliest line of all stays.
-
-Variants are many, so lines are screened without loss: an edit spares the first or the last words of a line.
+Lines are compared after case folding and trimming; equal ones go at any length. An edit inserts, deletes or replaces
+one unit: a word in lines of four words or more; in shorter ones of twenty code points or more, which one word would
+change altogether, a code point. Lines below both have no edits. Equal lines are grouped by hash first. Two different
+lines are within one edit exactly if one is the other without a unit, or both agree after the unit at the same place is
+deleted from each. So a line is posted under the hash of each variant with its length and place (replacements), under
+its own hash, and under the hash of each variant alone (insertions): equal keys join, and the earliest line of a key is
+all that a group has to carry. A line with an earlier partner is compared with it by edit distance and goes; the
+earliest line of all stays.
+
+Variants are many, so lines are screened without loss: an edit spares the first or the last units of a line.
 Lines that share neither of these parts with another line have no partner and emit nothing.
 """
 
@@ -23,46 +25,59 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut, drop_cut, small
 from .textgrams import BASE, U, give_back, mix, powers, span_hashes
 
-#: Shorter lines (code points after folding) carry too little evidence and always stay; lines of fewer words than
-#: LEAST_WORDS go only if an earlier line is equal.
-MIN_CHARS, LEAST_WORDS = 20, 4
+#: Lines that are empty after folding stay; an edit is a word in lines of so many words, else a code point in lines of so many.
+MIN_CHARS, LEAST_WORDS, LEAST_CHARS = 1, 4, 20
+#: What folding trims.
+WHITE = " \t\r\x0b\x0c"
 INV = U(pow(int(BASE), -1, 2**64))
 
 
 def fold(line: Column) -> Column:
-    return F.trim(F.lower(line))
+    return F.btrim(F.lower(line), F.lit(WHITE))
 
 
-def _parts(w: Column) -> Column:
-    """Hashes of the outer words that a line shares with a partner of as many words, one fewer or one more.
+def _parts(f: Column) -> Column:
+    """Hashes of the outer units that a line shares with a partner of as many units, one fewer or one more.
 
-    Of two partners the longer has n words, or both have; their first or their last (n - 1) div 2 words agree. Each
+    Of two partners the longer has n units, or both have; their first or their last (n - 1) div 2 units agree. Each
     line is the longer one at its own length and the shorter one at the next.
     """
-    n = F.size(w)
+    w = F.split(f, " ")
+    words, chars = F.size(w), F.length(f)
+    half = lambda size: F.floor((size - 1) / 2).cast("int")
 
-    def at(size: Column) -> Column:
-        m = F.floor((size - 1) / 2).cast("int")
+    def by_words(size: Column) -> Column:
+        m = half(size)
         return F.array(F.xxhash64(F.lit("<"), size, F.slice(w, F.lit(1), m)), F.xxhash64(F.lit(">"), size, F.slice(w, -m, m)))
 
-    return F.when(n >= LEAST_WORDS, F.concat(at(n), at(n + 1)))
+    def by_chars(size: Column) -> Column:
+        m = half(size)
+        return F.array(F.xxhash64(F.lit("[<"), size, F.substring(f, F.lit(1), m)), F.xxhash64(F.lit("[>"), size, F.substring(f, chars - m + 1, m)))
 
+    return F.when(words >= LEAST_WORDS, F.concat(by_words(words), by_words(words + 1))).when(chars >= LEAST_CHARS, F.concat(by_chars(chars), by_chars(chars + 1)))
 
-def word_hashes(line: str) -> np.ndarray:
+
+def units(line: str) -> list[str]:
     words = line.split(" ")
-    raw = " ".join(words).encode() + b" "
-    buf = np.frombuffer(raw, np.uint8)
+    return words if len(words) >= LEAST_WORDS else list(line)
+
+
+def unit_hashes(line: str) -> np.ndarray:
+    """Hashes of a line's words; of its code points, apart from those of words, if it has few."""
+    if line.count(" ") + 1 < LEAST_WORDS:
+        return mix(np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(U) + U(0xC0DE << 32)) + U(1)
+    buf = np.frombuffer(line.encode() + b" ", np.uint8)
     ends = np.flatnonzero(buf == 32)
     starts = np.concatenate(([0], ends[:-1] + 1))
     return span_hashes(buf, starts, ends) + U(1)
 
 
 def variants(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a line from its words' hashes, and their sorts: 0 variants by place, 1 variants alone, 2 the line itself."""
+    """Keys of a line from its units' hashes, and their sorts: 0 variants by place, 1 variants alone, 2 the line itself."""
     n = len(h)
     up, _ = powers(n + 1)
     head = np.concatenate((np.zeros(1, U), np.cumsum(h * up[:n], dtype=U)))
-    # without word i, those behind it move down by one place
+    # without unit i, those behind it move down by one place
     cuts = mix(head[:-1] + (head[-1] - head[1:]) * INV)
     place = mix(cuts + np.arange(1, n + 1, dtype=U) * U(0xD6E8FEB86659FD93) + U(n << 32))
     alone = np.unique(cuts)
@@ -74,7 +89,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts, size = [], 0
         for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys, kind = variants(word_hashes(line))
+            keys, kind = variants(unit_hashes(line))
             parts.append((np.full(len(keys), h, np.int64), keys, kind))
             size += len(keys)
             if size > 200_000:
@@ -103,38 +118,36 @@ def within_one(a: list, b: list) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [within_one(a.split(" "), b.split(" ")) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        keep = [within_one(units(a), units(b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["h"])
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(_id, _h, pos) of every line that goes, from docs (_id, _h, _t)."""
+    """(_id, _h, pos) of every line that goes, from docs (_id, _h, _t). A line is known by 128 bits of hash."""
     bound_batches(docs.sparkSession)
     place = ["_id", "_h", "pos"]
     order = F.struct(*place)
     folded = docs.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line")).select(*place, fold(F.col("line")).alias("f"))
-    keyed = cut(
-        folded.filter(F.length("f") >= min_chars).withColumn("w", F.split("f", " ")).select(*place, F.xxhash64("f").alias("h"), _parts(F.col("w")).alias("k")),
-        "line-hashes",
-    )
+    keyed = cut(folded.filter(F.length("f") >= min_chars).select(*place, F.xxhash64("f").alias("a"), F.xxhash64(F.lit(1), "f").alias("b"), _parts(F.col("f")).alias("k")), "line-hashes")
     # the earliest place of each different line, by a partial minimum in each task
-    first = cut(keyed.groupBy("h").agg(F.min(order).alias("at")), "line-first")
-    # lines that share an outer part with another line
-    parts = keyed.select("h", F.explode("k").alias("key"))
-    shared = cut(parts.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"), "line-parts")
-    likely = cut(parts.join(shared, "key").select("h").distinct().join(first, "h").select("h", "at.*", "at"), "line-likely")
+    first = cut(keyed.groupBy("a", "b").agg(F.min(order).alias("at"), F.count("*").alias("n"), F.first("k").alias("k")), "line-first")
+    # different lines that share an outer part with another one; each gets a number
+    parts = first.select("a", "b", F.explode("k").alias("key"))
+    shared = cut(parts.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select("key"), "line-parts")
+    met = parts.join(shared, "key").select("a", "b").distinct()
+    likely = cut(met.join(first, ["a", "b"]).select("a", "b", "at.*", "at", F.monotonically_increasing_id().alias("h")), "line-likely")
     drop_cut(shared)
     homes = likely.select(F.col("_id").alias("_i2"), F.col("_h").alias("_h2")).distinct()
     at_home = docs.join(small(homes, likely.count()), F.col("_id").eqNullSafe(F.col("_i2")) & (F.col("_h") == F.col("_h2")), "left_semi")
     lines = at_home.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line")).select(*place, fold(F.col("line")).alias("f"))
     texts = lines.join(likely.select(*(F.col(c).alias(f"{c}2") for c in place), "h"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")) & (F.col("pos") == F.col("pos2")))
     texts = cut(texts.select("h", "f"), "line-texts")
-    every = cut(texts.mapInArrow(_emit, "h bigint, key bigint, kind tinyint"), "line-variants")
+    # cheap to make again, and larger than what follows
+    every = texts.mapInArrow(_emit, "h bigint, key bigint, kind tinyint")
     # keys of a single line join nothing
     met = cut(every.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"), "line-keys")
     dated = cut(every.join(met, "key").join(likely.select("h", "at"), "h"), "line-postings")
-    # nothing later reads these
-    drop_cut(every)
+    # nothing later reads this
     drop_cut(met)
     whole = F.col("kind") != 1
     groups = cut(dated.groupBy("key").agg(F.min(F.when(whole, F.struct("at", "h"))).alias("a"), F.min(F.when(~whole, F.struct("at", "h"))).alias("b")), "line-groups")
@@ -145,26 +158,33 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     drop_cut(groups)
     drop_cut(dated)
     near = pairs.join(texts, "h").join(texts.select(F.col("h").alias("ph"), F.col("f").alias("pf")), "ph").select("h", "f", "pf").mapInArrow(_verify, "h bigint").distinct()  # rows that repeat a document repeat its lines
-    late = cut(first.join(near.withColumn("near", F.lit(True)), "h", "left"), "line-late")
-    return keyed.join(late, "h").filter(F.col("near").isNotNull() | (order != F.col("at"))).select(*place)
+    near = near.join(likely, "h").select("a", "b", F.lit(True).alias("near"))
+    # lines of which something goes
+    late = cut(first.drop("k").join(near, ["a", "b"], "left").filter("near OR n > 1").select("a", "b", "at", "near"), "line-late")
+    return keyed.join(small(late, late.count()), ["a", "b"]).filter(F.col("near").isNotNull() | (order != F.col("at"))).select(*place)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """df with text_col without its repeated lines, and the long columns n_lines, n_removed.
 
     Lines are ordered by id (nulls first), then by hash of the text, then by place. A line goes if any earlier line
-    is within one word edit of it after folding; lines of fewer than min_chars folded characters stay. Null texts stay
-    null with no lines; an empty text is one empty line. Rows that repeat id and text lose the same lines, and
-    keep the earliest ones in each copy. Other columns stay, whatever their names.
+    is within one edit of it after folding; lines of fewer than min_chars folded characters, by default the blank ones,
+    stay. Null texts stay null with no lines; an empty text is one empty line. Rows that repeat id and text lose the same
+    lines, and keep the earliest ones in each copy. Other columns stay, whatever their names.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = df.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"))
     gone = cut(duplicate_lines(base, min_chars).groupBy(F.col("_id").alias("_i2"), F.col("_h").alias("_h2")).agg(F.collect_set("pos").alias("_gone")), "line-gone")
+    # rows of 30 bytes and 4 for each place: what a broadcast would hold, in rows of 30
+    held = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("_gone")), F.lit(0)) / 7).first()[0]
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_i"), F.xxhash64(text).alias("_hh"))
-    j = whole.join(small(gone, gone.count()), F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_hh") == F.col("_h2")), "left")
+    j = whole.join(small(gone, held), F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_hh") == F.col("_h2")), "left")
     old = F.col("_row")[text_col]
     lines = F.split(old, "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), old).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
+    # places that stay, by a set difference; lines are bound once by an array of one
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    kept = F.transform(F.array(lines), lambda a: F.array_join(F.transform(left, lambda i: F.get(a, i)), "\n"))[0]
+    kept = F.when(F.col("_gone").isNull(), old).otherwise(kept)
     names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     return j.select(
         *[kept.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names],
@@ -173,13 +193,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     )
 
 
-#: DuckDB: each different line against the earlier ones that share its first or its last word.
+#: DuckDB: each different line against the earlier ones that share its first or its last unit.
 SQL = f"""
-WITH l AS (SELECT doc_id, i - 1 AS pos, a[i] AS line, trim(lower(a[i])) AS f FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)),
+WITH l AS (SELECT doc_id, i - 1 AS pos, a[i] AS line, trim(lower(a[i]), concat(' ', chr(9), chr(13), chr(11), chr(12))) AS f
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)),
 u AS (SELECT f, min((doc_id, pos)) AS at, string_split(f, ' ') AS w FROM l WHERE length(f) >= {MIN_CHARS} GROUP BY f),
-k AS (SELECT *, len(w) AS n FROM u WHERE len(w) >= {LEAST_WORDS}),
-p AS (SELECT x.w AS xw, y.w AS yw, x.n AS xn, y.n AS yn, y.f FROM k x JOIN k y ON x.w[1] = y.w[1] WHERE abs(x.n - y.n) <= 1 AND x.at < y.at
-  UNION ALL SELECT x.w, y.w, x.n, y.n, y.f FROM k x JOIN k y ON x.w[-1] = y.w[-1] AND x.w[1] <> y.w[1] WHERE abs(x.n - y.n) <= 1 AND x.at < y.at),
+k AS (SELECT f, u.at, w, len(w) AS n, 0 AS kind FROM u WHERE len(w) >= {LEAST_WORDS}
+  UNION ALL SELECT f, u.at, list_transform(range(1, length(f) + 1), lambda i: f[i]), length(f), 1 FROM u WHERE len(w) < {LEAST_WORDS} AND length(f) >= {LEAST_CHARS}),
+p AS (SELECT x.w AS xw, y.w AS yw, x.n AS xn, y.n AS yn, y.f FROM k x JOIN k y ON x.w[1] = y.w[1] AND x.kind = y.kind WHERE abs(x.n - y.n) <= 1 AND x.at < y.at
+  UNION ALL SELECT x.w, y.w, x.n, y.n, y.f FROM k x JOIN k y ON x.w[-1] = y.w[-1] AND x.w[1] <> y.w[1] AND x.kind = y.kind WHERE abs(x.n - y.n) <= 1 AND x.at < y.at),
 q AS (SELECT f, xw, yw, xn, yn, coalesce(list_position(list_transform(range(1, least(xn, yn) + 1), lambda i: xw[i] <> yw[i]), true), least(xn, yn) + 1) AS c FROM p),
 near AS (SELECT DISTINCT f FROM q WHERE CASE WHEN xn = yn THEN xw[c + 1:] = yw[c + 1:] WHEN xn > yn THEN xw[c + 1:] = yw[c:] ELSE xw[c:] = yw[c + 1:] END),
 t AS (SELECT l.*, u.f IS NOT NULL AND (u.at <> (l.doc_id, l.pos) OR near.f IS NOT NULL) AS gone FROM l LEFT JOIN u ON u.f = l.f LEFT JOIN near ON near.f = l.f)
