@@ -81,6 +81,18 @@ def test_chain_is_one_component_and_blocks_find_what_hubs_miss(spark, monkeypatc
     assert near(spark, docs) == groups(docs)
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_a_large_group_of_near_copies_and_the_exact_setting(spark, monkeypatch, exact):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(60)]
+    docs = [(i, " ".join(w if rng.random() > 0.03 else f"x{rng.randrange(9)}" for w in base)) for i in range(150)]
+    docs += [(200 + i, " ".join(f"z{rng.randrange(500)}" for _ in range(50))) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["_id"], r["n_shingles"], r["component"]) for r in minhash.near_duplicates(df, exact=exact).collect())
+    assert got == groups(docs)
+
+
 def test_shingle_hashes_follow_the_texts():
     texts = ["a b c d e f", "A B  c d\te f", "x y", "", "é ü ñ a b c"]
     got = textgrams.shingle_sets([t.encode() for t in texts])
@@ -94,10 +106,11 @@ def lines_brute(docs, least=linededup.MIN_CHARS):
     for k, (i, t) in enumerate(docs):
         kept = []
         for line in [] if t is None else t.split("\n"):
-            f = line.lower().strip(" ")
+            f = line.lower().strip(linededup.WHITE)
             w = f.split(" ")
             if len(f) >= least:
-                dup = any(f == g or len(w) >= 4 and len(v) >= 4 and linededup.within_one(w, v) for g, v in seen)
+                near = lambda g, v: linededup.within_one(w, v) if min(len(w), len(v)) >= 4 else max(len(w), len(v)) < 4 and min(len(f), len(g)) >= 20 and linededup.within_one(f, g)  # noqa: B023, E731
+                dup = any(f == g or near(g, v) for g, v in seen)
                 seen.append((f, w))
                 if dup:
                     continue
@@ -124,7 +137,14 @@ def test_lines_equal_brute_force(spark):
             del w[k]
         return " ".join(w) if rng.random() < 0.8 else " ".join(w).upper() + " "
 
-    docs = [(i, "\n".join(some() for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(60, None), (61, ""), (62, "corta\ncorta"), (63, "\n\n")]
+    def code():
+        w = list(rng.choice(codes))
+        k = rng.randrange(len(w))
+        w[k] = rng.choice(["", w[k], "x", "éx", w[k] + "1"])
+        return "".join(w)
+
+    codes = ["https://ejemplo.es/ruta/12345", "参考资料：第一章的标题以及其他内容在这里列出来", "abcd", "uno dos palabras-largas-aquí", "1", "dos tres"]
+    docs = [(i, "\n".join(rng.choice([some, some, code])() for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(60, None), (61, ""), (62, "corta\ncorta"), (63, "\n\n"), (64, " \t\n\r\n"), (65, "1\n2\n1")]
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in docs], "doc_id long, text string, _gone string, pos int")
     got = linededup.dedup_lines(df)
     assert got.columns == ["doc_id", "text", "_gone", "pos", "n_lines", "n_removed"]
@@ -147,6 +167,34 @@ def test_lines_of_empty_tables_repeats_and_long_lines(spark):
     assert by[1] == [long] and by[2] == [""] and by[3] == ["", ""] and by[None] == ["UNA línea repetida aquí mismo"]
 
 
+def test_lines_equal_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(11)
+    vocab = ["sol", "mar", "luz", "río", "a"]
+    line = lambda: rng.choice(["", " ", "\t"]) + rng.choice([" ", "-", "/"]).join(rng.choice(vocab) for _ in range(rng.randint(0, 9)))
+    docs = [(i, "\n".join(line() for _ in range(rng.randint(1, 6)))) for i in range(80)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(linededup.SQL).fetchall())
+
+
+def test_many_lines_of_one_text_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "una misma línea\n" * n + "otra")], "doc_id long, text string")
+        began = time.perf_counter()
+        r = linededup.dedup_lines(df).first()
+        assert r["n_removed"] == n - 1 and r["text"] == "una misma línea\notra"
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(200_000) < 12 * max(seconds(20_000), 1)
+
+
 def test_within_one():
     one = linededup.within_one
     assert one("abc", "abc") and one("abc", "abx") and one("abc", "ab") and one("ab", "xab") and one("", "a") and one("", "")

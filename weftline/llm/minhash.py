@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,14 +61,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()).to_pylist()
         at = 0
         for run in chunks(t or b"" for t in texts):
-            n, cid, sig = [], [], []
+            n, c1, c2, sig = [], [], [], []
             for s in shingle_sets(run):
                 n.append(len(s))
-                cid.append(int(mix(s).sum(dtype=U).astype(np.int64)) if len(s) else None)
+                for c, salt in ((c1, U(0)), (c2, U(0x5851F42D4C957F2D))):
+                    c.append(int(mix(s ^ salt).sum(dtype=U).astype(np.int64)) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [ids[at : at + len(run)], hashes[at : at + len(run)], pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary())],
-                names=["_id", "_h", "n", "cid", "sig"],
+                [ids[at : at + len(run)], hashes[at : at + len(run)], pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sig, pa.binary())],
+                names=["_id", "_h", "n", "c1", "c2", "sig"],
             )
             at += len(run)
         give_back()
@@ -95,25 +95,29 @@ def coordinates(df: DataFrame, upto: int) -> DataFrame:
     return df.select("cid", "sig").mapInArrow(lambda it: _unpack(it, upto), "cid bigint, key bigint")
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for i in range(0, len(pdf), 256):
-            part = pdf.iloc[i : i + 256]
-            texts = {t: None for c in ("ta", "tb") for t in part[c]}
-            for run in chunks((t.encode() for t in texts), 1 << 20):
-                for t, s in zip(run, shingle_sets(run), strict=True):
-                    texts[t.decode()] = s
-            keep = []
-            for x, y in zip(part["ta"], part["tb"], strict=True):
-                a, b = texts[x], texts[y]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(a) + len(b) - both))
-            yield part.loc[keep, ["a", "b"]]
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) similar enough on full sets, from rows (a, block, role, b, text) in that order: role 0 brings a's text, 1 b's."""
+    now, hub = None, None
+    for batch in batches:
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True))
+        kept, at = [], 0
+        for run in chunks(t.encode() for t in batch.column(4).to_pylist()):
+            for (a, block, role, b), s in zip(keys[at : at + len(run)], shingle_sets(run), strict=True):
+                if role == 0:
+                    now, hub = (a, block), s
+                    continue
+                if now != (a, block):
+                    raise RuntimeError("a block without its first text")
+                both = len(np.intersect1d(hub, s, assume_unique=True))
+                if 100 * both >= 75 * (len(hub) + len(s) - both):
+                    kept.append((a, b))
+            at += len(run)
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
         give_back()
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in one group (key, i, j) that agree on T coordinates at least and are in no earlier list together.
+def _open_pairs(batches: Iterator[pa.RecordBatch], t: int, fine_t: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in one group (key, i, j) that agree on t coordinates at least and are in no earlier list together.
 
     Rows come sorted by group. A group has no more than the members of two blocks; its pairs are made and compared
     in bounded runs, first by size and the lower bytes of signatures.
@@ -147,14 +151,14 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, other = rows[ok], other[ok]
             for c in range(0, len(rows), 16384):
                 r, o = rows[c : c + 16384], other[c : c + 16384]
-                hit = (low[r] == low[o]).sum(axis=1) >= T
+                hit = (low[r] == low[o]).sum(axis=1) >= t
                 r, o = r[hit], o[hit]
                 agree = sig[r] == sig[o]
-                hit = (agree.sum(axis=1) >= T) & ((agree & posted[r] & posted[o]).argmax(axis=1) == coord[r])
+                hit = (agree.sum(axis=1) >= t) & ((agree & posted[r] & posted[o]).argmax(axis=1) == coord[r])
                 r, o = r[hit], o[hit]
                 if len(r):
                     x = finer[r] ^ finer[o]
-                    hit = ((x & 15 == 0).sum(axis=1) + (x & 240 == 0).sum(axis=1)) >= FINE_T
+                    hit = ((x & 15 == 0).sum(axis=1) + (x & 240 == 0).sum(axis=1)) >= fine_t
                     r, o = r[hit], o[hit]
                 if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[r], cid[o])), pa.array(np.maximum(cid[r], cid[o]))], names=["a", "b"])
@@ -191,36 +195,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """One row for each row of df: _id, _h (xxhash64 of the text), n_shingles, component (least id of the group, itself included).
 
     Null texts and texts without words have no shingles and stay alone; so does a row with a null id, unless its
-    set equals or links with others'. Rows with equal sets are one group. An empty table gives no rows.
+    set equals or links with others'. Rows with equal sets (by size and 128 bits of hash) are one group. An empty table
+    gives no rows. exact: no screen and no threshold of matches, so that every pair that shares one of the K coordinates
+    is confirmed; a pair at 0.75 shares none once in 10**77, but lists are merged whole, which suits small tables.
     """
+    screen, least, t, fine_t = (K, 1, 1, 0) if exact else (SCREEN, LEAST, T, FINE_T)
     bound_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"))
     id_type = docs.schema["_id"].dataType.simpleString()
-    signed = cut(docs.mapInArrow(_sign, f"_id {id_type}, _h bigint, n bigint, cid bigint, sig binary"), "minhash-signatures")
-    # one row for each distinct set; its least row stands for it
-    classes = cut(signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct("_id", "_h")).alias("rep")).select("cid", "rep.*"), "minhash-classes")
-    reps = signed.filter("cid IS NOT NULL").join(classes.withColumnsRenamed({"cid": "c2", "_id": "_id2", "_h": "_h2"}), (F.col("cid") == F.col("c2")) & F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2"))).select("cid", "_id", "_h", "n", "sig").dropDuplicates(["cid"])
-    reps = cut(reps, "minhash-reps")
+    signed = cut(docs.mapInArrow(_sign, f"_id {id_type}, _h bigint, n bigint, c1 bigint, c2 bigint, sig binary"), "minhash-signatures")
+    # one row and one number for each distinct set; its least row stands for it
+    classes = signed.filter("c1 IS NOT NULL").groupBy("n", "c1", "c2").agg(F.min(F.struct("_id", "_h")).alias("rep"))
+    classes = cut(classes.select("n", "c1", "c2", F.monotonically_increasing_id().alias("cid"), "rep.*"), "minhash-classes")
+    c = classes.withColumnsRenamed({"n": "n2", "c1": "d1", "c2": "d2", "_id": "_id2", "_h": "_h2"})
+    reps = signed.join(c, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("n") == F.col("n2")) & F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")))
+    reps = cut(reps.select("cid", "_id", "_h", "n", "sig").dropDuplicates(["cid"]), "minhash-reps")
 
     def shared(source: DataFrame, upto: int) -> tuple[DataFrame, DataFrame]:
         keys = coordinates(source, upto)
         freq = cut(keys.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "minhash-df")
         return keys, freq
 
-    keys, freq = shared(reps, SCREEN)
-    met = keys.join(freq, "key").groupBy("cid").agg(F.count("*").alias("m")).filter(F.col("m") >= LEAST).select("cid")
+    keys, freq = shared(reps, screen)
+    met = keys.join(freq, "key").groupBy("cid").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("cid")
     left = cut(reps.join(met, "cid"), "minhash-screened")
     keys, freq = shared(left, K)
     bits = lambda base: F.expr(f"aggregate(p, 0L, (m, x) -> m | if(shiftright(x.key, 32) div 64 = {base}, shiftleft(1L, CAST(shiftright(x.key, 32) % 64 AS INT)), 0L))")
     prefix = (
         keys.join(freq, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("k"))
-        .filter(F.size("k") >= T)
-        .select("cid", F.expr("aggregate(k, 0L, (s, x) -> s + x.df)").alias("held"), F.slice("k", F.lit(1), F.size("k") - T + 1).alias("p"))
+        .filter(F.size("k") >= t)
+        .select("cid", F.expr("aggregate(k, 0L, (s, x) -> s + x.df)").alias("held"), F.slice("k", F.lit(1), F.size("k") - t + 1).alias("p"))
         .select("cid", "held", bits(0).alias("m0"), bits(1).alias("m1"), F.explode("p.key").alias("key"))
     )
     postings = cut(prefix, "minhash-postings")
@@ -240,8 +249,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        with_texts = pairs.join(pool.withColumnsRenamed({"cid": "a", "_t": "ta"}), "a").join(pool.withColumnsRenamed({"cid": "b", "_t": "tb"}), "b")
-        return cut(with_texts.select("a", "b", "ta", "tb").mapInPandas(_confirm, "a bigint, b bigint"), name)
+        """Pairs, a's partners in blocks: its text goes once to each block, that of b once to each of its pairs."""
+        blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+        dealt = cut(pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "nb").alias("block"), "b"), f"{name}-pairs")
+        hubs = dealt.select("a", "block").distinct().join(pool.withColumnRenamed("cid", "a"), "a").select("a", "block", F.lit(0).alias("role"), F.col("a").alias("b"), "_t")
+        others = dealt.join(pool.withColumnRenamed("cid", "b"), "b").select("a", "block", F.lit(1).alias("role"), "b", "_t")
+        rows = hubs.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", "role")
+        return cut(rows.mapInArrow(_confirm, "a bigint, b bigint"), name)
 
     # every class has one hub that ranks above it, so these links are trees: pointers are halved until roots
     links = confirmed(star, "minhash-links")
@@ -268,18 +282,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cid", "comp", "n", "m0", "m1", "sig", "fine")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     )
-    found = dealt.mapInArrow(_open_pairs, "a bigint, b bigint")
+    found = dealt.mapInArrow(lambda it: _open_pairs(it, t, fine_t), "a bigint, b bigint")
     more = confirmed(found, "minhash-more-links")
     root = nodes
     if more.limit(1).count():
         ends = more.join(nodes.withColumnsRenamed({"cid": "a", "comp": "ca"}), "a").join(nodes.withColumnsRenamed({"cid": "b", "comp": "cb"}), "b")
         merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         root = nodes.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("cid", F.coalesce("top", "comp").alias("comp"))
-    ids = classes.select("cid", "_id").join(root, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    ids = classes.select("cid", "n", "c1", "c2", "_id").join(root, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids = cut(ids, "minhash-components")
-    least = cut(ids.groupBy("comp").agg(F.min("_id").alias("component")), "minhash-least")
-    answer = cut(ids.join(least, "comp").select("cid", "component"), "minhash-answer")
-    out = signed.select("_id", "_h", "n", "cid").join(answer, "cid", "left")
+    lowest = cut(ids.groupBy("comp").agg(F.min("_id").alias("component")), "minhash-least")
+    answer = cut(ids.join(lowest, "comp").select("n", "c1", "c2", "component"), "minhash-answer")
+    out = signed.select("_id", "_h", "n", "c1", "c2").join(answer, ["n", "c1", "c2"], "left")
     return out.select("_id", "_h", F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component"))
 
 
