@@ -99,6 +99,7 @@ def parse(source: str) -> Page:
     """The tree of blocks. Open elements close as HTML implies; inline elements do not become nodes, but links are told apart."""
     page = Page()
     stack: list[tuple[str, int]] = [("html", 0)]
+    opened: dict[str, list[int]] = {}  # where the stack has a tag, so that no search walks it
     run: list[str] = []
     linked = [0, 0]
     links = 0
@@ -113,6 +114,14 @@ def parse(source: str) -> Page:
             run = []
         linked[0] = linked[1] = 0
 
+    def last(tags: set[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+    def cut_at(k: int) -> None:
+        for t, _ in stack[k:]:
+            opened[t].pop()
+        del stack[k:]
+
     def say(text: str) -> None:
         if text:
             run.append(text)
@@ -148,14 +157,11 @@ def parse(source: str) -> Page:
             elif tag == "br":
                 say("\n")
             elif tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        flush()
-                        del stack[k:]
-                        break
-                else:
-                    if tag == "p":
-                        flush()
+                k = last({tag})
+                if k or tag == "p":
+                    flush()
+                if k:
+                    cut_at(k)
             continue
         if tag in RAW:
             if attrs.endswith("/") and tag in ("svg", "math"):
@@ -181,22 +187,13 @@ def parse(source: str) -> Page:
             continue
         if tag == "head":
             continue
-        if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("td", "th", "button", "table"):
-                    break
-        if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in HOLDERS[tag]:
-                    break
-                if stack[k][0] in SIBLINGS[tag]:
-                    del stack[k:]
-                    break
+        if tag in CLOSES_P and (k := last({"p"})) > last({"td", "th", "button", "table"}):
+            cut_at(k)
+        if tag in SIBLINGS and (k := last(SIBLINGS[tag])) > last(HOLDERS[tag]):
+            cut_at(k)
         if tag == "hr" or attrs.endswith("/") and tag in VOID:
             continue
+        opened.setdefault(tag, []).append(len(stack))
         stack.append((tag, page.add(stack[-1][1], tag, attrs)))
     flush()
     return page
