@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 from .textgrams import SPACE, chunks, give_back, span_hashes, word_bounds
 
-#: Words of a passage; labelled documents that a model is fitted on at most; decision threshold.
-PASSAGE, TRAIN_DOCS, THRESHOLD = 64, 2000, 0.3
+#: Words of a passage; labelled documents that a model is fitted on at most, and passages of each; decision threshold.
+PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES, THRESHOLD = 64, 2000, 256, 0.3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 16, 30, 128, 0.01, 1e-4
 
 _CLASS = np.full(256, 6, np.int64)  # other ASCII symbols
@@ -83,6 +83,18 @@ def forward(p: dict, x: np.ndarray, at: np.ndarray) -> dict:
     return {"x": x, "h": h, "t": t, "g": g, "a": a, "bag": bag, "z": z, "y": _sigmoid(z @ p["c"] + p["d"])}
 
 
+def gradient(p: dict, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict:
+    """Derivatives of the mean log loss of bags by each weight."""
+    f = forward(p, x, at)
+    dy = (f["y"] - y) / len(y)
+    dz = dy[:, None] * p["c"]
+    da = (dz[f["bag"]] * f["h"]).sum(axis=1)
+    de = f["a"] * (da - np.add.reduceat(f["a"] * da, at[:-1])[f["bag"]])
+    dt, dg = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+    dh = (f["a"][:, None] * dz[f["bag"]] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+    return {"W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ dy, "d": dy.sum()}
+
+
 def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 6) -> dict:
     """Weights by Adam on the mean log loss of bags."""
     rng = np.random.default_rng(seed)
@@ -96,14 +108,7 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 6) -> dict:
             docs = order[i : i + BATCH]
             rows = np.concatenate([np.arange(at[k], at[k + 1]) for k in docs])
             sub = np.concatenate(([0], np.cumsum(at[docs + 1] - at[docs])))
-            f = forward(p | fixed, x[rows], sub)
-            dy = (f["y"] - y[docs]) / len(docs)
-            dz = dy[:, None] * p["c"]
-            da = (dz[f["bag"]] * f["h"]).sum(axis=1)
-            de = f["a"] * (da - np.add.reduceat(f["a"] * da, sub[:-1])[f["bag"]])
-            dt, dg = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = (f["a"][:, None] * dz[f["bag"]] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ dy, "d": dy.sum()}
+            grad = gradient(p | fixed, x[rows], sub, y[docs])
             step += 1
             for k in p:
                 g = grad[k] + DECAY * p[k]
@@ -113,12 +118,19 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 6) -> dict:
     return p | fixed
 
 
+def training_bag(text: bytes) -> np.ndarray:
+    """A text's passages, or TRAIN_PASSAGES of them at equal distances; scoring takes them all."""
+    x = passages([text])[0]
+    return x if len(x) <= TRAIN_PASSAGES else x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
+
+
 def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
-    """Model fitted on at most TRAIN_DOCS labelled documents, those of the least hashes of their ids.
+    """Model fitted on at most TRAIN_DOCS labelled documents, those of the least hashes of their ids, each with at most
+    TRAIN_PASSAGES passages; of several rows of an id, one (the text of the least hash) counts.
 
     Rows whose crc32(id) mod 5 is 0 and null labels are left out; an id with several labels takes the largest.
     With labels of one class, or none, the model is their smoothed share (one half without labels).
@@ -129,9 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     )
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
-    bags = F.arrow_udf(lambda t: pa.array([passages([s or b""])[0].tobytes() for s in t.cast(pa.binary()).to_pylist()], pa.binary()), "binary")
+    bags = F.arrow_udf(lambda t: pa.array([training_bag(s or b"").tobytes() for s in t.cast(pa.binary()).to_pylist()], pa.binary()), "binary")
     joined = docs.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(sample), F.col("_i") == F.col("_id"))
-    rows = joined.select("_i", "_y", bags("_t").alias("bag")).collect()  # bounded by TRAIN_DOCS documents
+    one = joined.groupBy("_i", "_y").agg(F.min(F.struct(F.xxhash64("_t"), "_t"))["_t"].alias("_t"))
+    rows = one.select("_i", "_y", bags("_t").alias("bag")).collect()  # bounded by TRAIN_DOCS times TRAIN_PASSAGES passages
     rows.sort(key=lambda r: (str(r["_i"]), bytes(r["bag"])))
     y = np.array([float(r["_y"]) for r in rows])
     if len(set(y)) < 2:
