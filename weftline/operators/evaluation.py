@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..session import small, stored
 
 
 def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
-    """df with label_index: place among the sorted labels. The labels are few, so they are broadcast."""
-    known = df.select(label).distinct().withColumn("label_index", F.row_number().over(Window.orderBy(label)) - 1)
-    return df.join(F.broadcast(known), label)
+    """df with label_index: place among the sorted labels, which are counted before they are broadcast."""
+    labels = df.select(label).distinct()
+    known = labels.withColumn("label_index", F.row_number().over(Window.orderBy(label)) - 1)
+    return df.join(small(known, labels.count()), label)
 
 
 def _shuffled(df: DataFrame, label: str, key: str) -> DataFrame:
@@ -100,6 +102,19 @@ def clustering_agreement(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame
     )
 
 
+def in_order(df: DataFrame, order: str, value: str) -> DataFrame:
+    """One row: n, breaks (rows whose value is below that of the row before by order), ordered. Neighbours are compared
+    within range partitions, then the partitions' ends with one another."""
+    p = df.select(F.col(order).alias("_o"), F.col(value).alias("_v")).repartitionByRange("_o").sortWithinPartitions("_o", "_v").withColumn("_p", F.spark_partition_id())
+    p = stored(p, "ordered")
+    w = Window.partitionBy("_p").orderBy("_o", "_v")
+    inside = p.withColumn("_b", F.lag("_v").over(w) > F.col("_v")).groupBy("_p").agg(
+        F.count("*").alias("n"), F.count_if("_b").alias("b"), F.min_by("_v", F.struct("_o", "_v")).alias("first"), F.max_by("_v", F.struct("_o", "_v")).alias("last")
+    )
+    ends = inside.withColumn("e", F.coalesce((F.lag("last").over(Window.orderBy("_p")) > F.col("first")).cast("long"), F.lit(0)))  # one row for each partition
+    return ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("b") + F.col("e")), F.lit(0)).alias("breaks")).withColumn("ordered", F.col("breaks") == 0)
+
+
 def drift_alert(test_score: float, fold_scores: list[float], n_test: int) -> dict:
     """Whether a test score is further from the folds' mean than twice the larger of their deviation and the sampling error."""
     m = sum(fold_scores) / len(fold_scores)

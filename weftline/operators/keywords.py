@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..config import DEFAULT, Config
 from ..functions import text, vectors
-from ..session import stored
+from ..session import small, stored
 
 
 def frequency_keywords(df: DataFrame, title: str = "title", body: str = "body", key: str = "doc_id", k: int = 5) -> DataFrame:
@@ -39,13 +39,33 @@ def known_counts(df: DataFrame, key: str, text_col: str, low: int, high: int, vo
     return counts.join(F.broadcast(vocab), "term")
 
 
-def vocabulary(tf: DataFrame, n_docs: Column | int, cfg: Config = DEFAULT) -> DataFrame:
-    """(term, df, idf): terms within the limits of document frequency, at most max_features by corpus count, ties by term."""
+def _kept(by_term: DataFrame, n: int, cfg: Config) -> DataFrame:
     c = cfg.tfidf
-    by_term = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    kept = by_term.filter((F.col("df") >= c.min_df) & (F.col("df") <= c.max_df * n)).orderBy(F.desc("total"), "term").limit(c.max_features)
-    return kept.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    return by_term.filter((F.col("df") >= c.min_df) & (F.col("df") <= c.max_df * F.lit(n))).orderBy(F.desc("total"), "term").limit(c.max_features)
+
+
+def vocabulary(df: DataFrame, key: str, text_col: str, low: int, high: int, cfg: Config = DEFAULT) -> DataFrame:
+    """(term, df, idf): terms within the limits of document frequency, at most max_features by corpus count, ties by term.
+
+    Words are counted first. A phrase is no more frequent than its rarest word, so where words alone fill the vocabulary,
+    phrases with a word below its last count are dropped before they are counted.
+    """
+    n = df.count()
+    summed = lambda tf: tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    found = stored(summed(term_counts(df, key, text_col, 1, 1)), "word-counts")
+    if high > 1:
+        last = _kept(found, n, cfg).agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
+        least = last["least"] if last["n"] >= cfg.tfidf.max_features else 0
+        phrases = df.select(key, text.tokens(F.col(text_col)).alias("_t")).select(key, F.explode(text.ngrams(F.col("_t"), max(low, 2), high)).alias("term"))
+        if least > 1:
+            frequent = stored(found.filter(F.col("total") >= least).select("term"), "frequent-words")
+            f = small(frequent, frequent.count())
+            for k in range(high):
+                word = F.try_element_at(F.split("term", " "), F.lit(k + 1))
+                phrases = phrases.join(f.select(F.col("term").alias("_f")), F.coalesce(word, F.element_at(F.split("term", " "), 1)) == F.col("_f"), "left_semi")
+        phrases = summed(phrases.groupBy(key, "term").agg(F.count("*").alias("tf")))
+        found = phrases if low > 1 else found.unionByName(phrases)
+    return _kept(found, n, cfg).select("term", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf(df: DataFrame, key: str = "doc_id", text_col: str = "text", cfg: Config = DEFAULT, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -55,7 +75,7 @@ def tfidf(df: DataFrame, key: str = "doc_id", text_col: str = "text", cfg: Confi
     """
     c = cfg.tfidf
     low, high = low or c.ngram_min, high or c.ngram_max
-    vocab = stored(vocabulary(term_counts(df, key, text_col, low, high), df.count(), cfg), "vocabulary")
+    vocab = stored(vocabulary(df, key, text_col, low, high, cfg), "vocabulary")
     w = known_counts(df, key, text_col, low, high, vocab).withColumn("w", ((1 + F.log("tf")) if c.sublinear else F.col("tf")) * F.col("idf"))
     return w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).select(key, "term", "weight")
 

@@ -11,22 +11,25 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..config import DEFAULT, Config
 from ..functions import text
-from ..session import stored
+from ..session import small, stored
 from . import evaluation, keywords, reporting
 
 
 def sparse_features(weights: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, features): sparse vectors of (key, term, weight) over (term, index); the vocabulary is bounded, so it is broadcast."""
     size = vocab.count()
-    build = F.udf(lambda pairs: Vectors.sparse(size, sorted((p[0], p[1]) for p in pairs)), VectorUDT())
-    j = weights.join(F.broadcast(vocab), "term").groupBy(key).agg(F.collect_list(F.struct("index", "weight")).alias("p"))
-    return j.select(key, build("p").alias("features"))
+    j = weights.join(F.broadcast(vocab), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("p"))
+    # the fields of a sparse vector, written as such and read as vectors: no row passes Python
+    fields = [F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform("p", lambda x: x["index"].cast("int")).alias("indices"), F.transform("p", lambda x: x["weight"].cast("double")).alias("values")]
+    rows = j.select(key, F.struct(*fields).alias("features"))
+    return stored(rows, "features", StructType([rows.schema[key], StructField("features", VectorUDT())]))
 
 
 def index_terms(vocab: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def balanced_weights(df: DataFrame, label: str = "label_index") -> DataFrame:
     per = df.groupBy(label).agg(F.count("*").alias("_n"))
     total = per.agg(F.sum("_n").alias("_t"), F.count("*").alias("_k"))
     w = per.crossJoin(total).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("class_weight"))
-    return df.join(F.broadcast(w), label)
+    return df.join(small(w, w.count()), label)
 
 
 def train(df: DataFrame, features: str = "features", label: str = "label_index", cfg: Config = DEFAULT) -> LogisticRegressionModel:
@@ -112,7 +115,7 @@ def global_explanation(model: LogisticRegressionModel, vocab: DataFrame, labels:
     """(label, rank, term, coefficient): greatest coefficients of each class; the matrix is classes by a bounded vocabulary."""
     spark = vocab.sparkSession
     m = model.coefficientMatrix.toArray()
-    rows = spark.createDataFrame([(labels[i], int(j), float(m[i, j])) for i in range(m.shape[0]) for j in m[i].argsort()[::-1][: 4 * k]], "label string, index int, coefficient double")
+    rows = spark.createDataFrame([(labels[i], int(j), float(m[i, j])) for i in range(m.shape[0]) for j in m[i].argsort()[::-1]], "label string, index int, coefficient double")
     r = rows.join(F.broadcast(vocab), "index").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("coefficient"), "term")))
     return r.filter(F.col("rank") <= k).select("label", "rank", "term", "coefficient")
 

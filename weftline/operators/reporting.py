@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..session import small
 
 
 def value_counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -90,9 +91,9 @@ def cluster_vote(df: DataFrame, cluster: str = "cluster", topic: str = "topic")
 
 
 def rescue_outliers(df: DataFrame, cluster: str = "cluster", topic: str = "topic") -> DataFrame:
-    """df with topic_final and approximate: outliers take the vote of their cluster; one vote a cluster is broadcast."""
-    vote = F.broadcast(cluster_vote(df, cluster, topic))
-    j = df.join(vote, cluster, "left")
+    """df with topic_final and approximate: outliers take the vote of their cluster; votes are counted before they are broadcast."""
+    vote = cluster_vote(df, cluster, topic)
+    j = df.join(small(vote, vote.count()), cluster, "left")
     return j.withColumns({"topic_final": F.when(F.col(topic) == -1, F.coalesce("voted", F.lit(-1))).otherwise(F.col(topic)), "approximate": (F.col(topic) == -1) & F.col("voted").isNotNull()}).drop("voted")
 
 
@@ -101,13 +102,31 @@ def lexical_reduction(df: DataFrame) -> DataFrame:
     return df.agg(F.avg("n_words").alias("raw"), F.avg("n_tokens").alias("without_stop_words"), F.avg(F.size("lemmas_pos")).alias("by_pos"))
 
 
+def outcomes(df: DataFrame, failed: Column, positive: Column) -> DataFrame:
+    """One row: errors, total, positive (share of the rows where it holds)."""
+    return df.agg(F.sum(failed.cast("long")).alias("errors"), F.count("*").alias("total"), F.avg(positive.cast("int")).alias("positive"))
+
+
+def hit_rate(df: DataFrame, group: str, hit: str) -> DataFrame:
+    """(group, total, hits, pct to 1 place)."""
+    g = df.groupBy(group).agg(F.count("*").alias("total"), F.sum(hit).alias("hits"))
+    return g.withColumn("pct", F.round(100.0 * F.col("hits") / F.col("total"), 1))
+
+
+def frequent_keywords(df: DataFrame, keyword: str = "keyword", k: int = 10) -> DataFrame:
+    """(keyword, documents): most frequent first, ties by keyword. df has one row for each document and keyword."""
+    return df.groupBy(keyword).agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), keyword).limit(k)
+
+
 def dataset_hash(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row, digest: SHA-256 over the rows' digests in order of key.
 
-    Rows are digested in parallel; what is ordered is 64 characters a row, within buckets of the key's hash that are
-    digested first, so no task holds more than a bucket of digests.
+    A row is its columns in order of name, each as name=length in bytes:text, or name=null. Rows are digested in
+    parallel; what is ordered is 64 characters a row, within 4096 buckets by the key's MD5, which are digested first.
     """
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    b = df.select(F.pmod(F.xxhash64(key), F.lit(4096)).alias("b"), F.col(key).alias("k"), row.alias("d"))
+    cell = lambda c: F.coalesce(F.concat(F.lit(f"{c}="), F.octet_length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit(f"{c}=null"))
+    row = F.sha2(F.concat_ws(";", *[cell(c) for c in sorted(df.columns)]), 256)
+    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 3), 16, 10).cast("int")
+    b = df.select(bucket.alias("b"), F.col(key).alias("k"), row.alias("d"))
     per = b.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
     return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))

@@ -165,18 +165,6 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(exact).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
-def near_dup_survivors(spark, d):
-    exact = stored(dedup.exact_dedup(table(spark, d, "documents")).select("doc_id", "text"), "exact")
-    gone = dedup.near_survivors(exact, stored(dedup.near_pairs(exact), "pairs"))
-    return exact.join(gone, exact["doc_id"] == gone["id"], "left_anti").select("doc_id")
-
-
-@query()
-def dedup_report(spark, d):
-    return dedup.deduplicate(table(spark, d, "documents").select("doc_id", "text"))[1]
-
-
 @query("SELECT doc_id, printf('DOC-%04d', row_number() OVER (ORDER BY length(text) DESC, doc_id)) AS seq_id FROM documents")
 def sequential_ids(spark, d):
     return dedup.with_sequential_ids(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "seq_id")
@@ -279,22 +267,6 @@ sql_query(
     "top_orders",
     "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
 )
-sql_query(
-    "customers_without_orders",
-    "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-)
-
-
-@query("SELECT keyword, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS keyword FROM documents) GROUP BY 1 ORDER BY documents DESC, keyword LIMIT 10")
-def keyword_df_top10(spark, d):
-    t = corpus(spark, d).select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("body")))).alias("keyword"))
-    return t.groupBy("keyword").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "keyword").limit(10)
-
-
-@query("SELECT lang AS category, count(*) AS total, sum(quality)::BIGINT AS hits, round(100.0 * sum(quality) / count(*), 1) AS pct FROM documents JOIN labels USING (doc_id) GROUP BY 1")
-def hit_rate(spark, d):
-    j = corpus(spark, d).join(table(spark, d, "labels"), "doc_id")
-    return j.groupBy("category").agg(F.count("*").alias("total"), F.sum("quality").alias("hits"), F.round(100.0 * F.sum("quality") / F.count("*"), 1).alias("pct"))
 
 
 @query("SELECT source, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM documents GROUP BY 1")
@@ -358,11 +330,6 @@ def distinct_counts(spark, d):
     return table(spark, d, "documents").agg(F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("languages"), F.count_distinct("text").alias("texts"))
 
 
-@query("SELECT count(*) FILTER (event_type = 'error') AS errors, count(*) AS total, count(*) FILTER (value > 0)::DOUBLE / count(*) AS positive FROM events")
-def outcome_counters(spark, d):
-    return table(spark, d, "events").agg(F.sum((F.col("event_type") == "error").cast("long")).alias("errors"), F.count("*").alias("total"), F.avg((F.col("value") > 0).cast("int")).alias("positive"))
-
-
 # --- terms and keywords ------------------------------------------------------------------------------------------
 
 FREQUENT = ", ".join(f"'{w}'" for w in fixed.FREQUENCY_STOP_WORDS)
@@ -424,11 +391,6 @@ def ctfidf_labels(spark, d):
     return keywords.topic_labels(corpus(spark, d).withColumnRenamed("category", "topic"), "topic", "body")
 
 
-@query()
-def entities(spark, d):
-    return corpus(spark, d).select("doc_id", keywords.entities(F.concat(F.col("body"), F.lit(" Docker y API REST con Node.js"))).alias("entities"))
-
-
 @query()
 def local_keywords(spark, d):
     return keywords.local_keywords(table(spark, d, "documents")).withColumn("score", F.round("score", 9))
@@ -447,6 +409,32 @@ def preprocessed(spark, d):
     return keywords.preprocess(corpus(spark, d), "body").select("doc_id", "n_tokens", F.size("lemmas_pos").alias("n_pos"), "text_pos")
 
 
+@query("SELECT keyword, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS keyword FROM documents) GROUP BY 1 ORDER BY documents DESC, keyword LIMIT 10")
+def keyword_df_top10(spark, d):
+    return reporting.frequent_keywords(corpus(spark, d).select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("body")))).alias("keyword")))
+
+
+@query("SELECT lang AS category, count(*) AS total, sum(quality)::BIGINT AS hits, round(100.0 * sum(quality) / count(*), 1) AS pct FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def hit_rate(spark, d):
+    return reporting.hit_rate(corpus(spark, d).join(table(spark, d, "labels"), "doc_id"), "category", "quality")
+
+
+@query("SELECT count(*) FILTER (event_type = 'error') AS errors, count(*) AS total, count(*) FILTER (value > 0)::DOUBLE / count(*) AS positive FROM events")
+def outcome_counters(spark, d):
+    return reporting.outcomes(table(spark, d, "events"), F.col("event_type") == "error", F.col("value") > 0)
+
+
+@query(
+    """SELECT avg(len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> ''))) AS raw,
+    avg(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))) AS without_stop_words, avg(len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda w: length(w) > 4))) AS by_pos FROM documents"""
+)
+def lexical_reduction(spark, d):
+    """Long tokens stand for those that the parts of speech keep."""
+    t = text.tokens(F.col("body"))
+    c = corpus(spark, d).select(F.size(text.words(F.col("body"))).alias("n_words"), F.size(t).alias("n_tokens"), F.filter(t, lambda w: F.length(w) > 4).alias("lemmas_pos"))
+    return reporting.lexical_reduction(c)
+
+
 # --- vectors -----------------------------------------------------------------------------------------------------
 
 COSINE = "round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) / sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])), 4)"
@@ -462,17 +450,6 @@ def knn(spark, d):
     return retrieval.search(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")))
 
 
-@query(
-    f"""SELECT query_id, doc_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM (
-    SELECT q.vec_id AS query_id, i.vec_id AS doc_id, {COSINE.format(a='q.embedding', b='i.embedding')} AS similarity FROM embeddings q, embeddings i WHERE i.vec_id <> q.vec_id)) WHERE rank <= 3"""
-)
-def related(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    q = e.select(F.col("doc_id").alias("query_id"), "vector")
-    found = retrieval.search(q, e, DEFAULT.vectors.related + 1).filter("query_id <> doc_id")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("rank <= 3")
-
-
 CENTRES = "(SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"
 
 
@@ -496,17 +473,29 @@ def text_embeddings(spark, d):
     return retrieval.embed(keywords.tfidf(table(spark, d, "documents")), dimension=DEFAULT.embeddings.dimension).select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
+@query(
+    f"""SELECT query_id, doc_id, rank, similarity, category, title, extract FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, i.vec_id AS doc_id, i.label AS category, substr(repeat('title ' || i.vec_id || ' ', 20), 1, 70) AS title, substr(repeat('text ' || i.vec_id || ' ', 40), 1, 120) || '...' AS extract,
+    {COSINE.format(a='q.embedding', b='i.embedding')} AS similarity FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0 AND i.label = 3)) WHERE rank <= 5"""
+)
+def filtered_search(spark, d):
+    many = lambda word, n: F.repeat(F.concat(F.lit(word + " "), F.col("vec_id").cast("string"), F.lit(" ")), F.lit(n))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").alias("category"), many("title", 20).alias("title"), many("text", 40).alias("text"))
+    q = e.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    return retrieval.semantic_search(q, e, category=3).select("query_id", "doc_id", "rank", "similarity", "category", "title", "extract")
+
+
 KNOWN = "(SELECT text FROM documents JOIN labels USING (doc_id))"
 
 
-@query(f"SELECT count(*) FILTER (text IN {KNOWN}) AS hits, count(*) FILTER (text NOT IN {KNOWN}) AS misses FROM documents")
+@query(f"SELECT hits, misses, round(hits::DOUBLE / (hits + misses), 4) AS hit_rate FROM (SELECT count(*) FILTER (text IN {KNOWN}) AS hits, count(*) FILTER (text NOT IN {KNOWN}) AS misses FROM documents)")
 def embedding_cache(spark, d):
     """The texts of labelled documents are cached already."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     encode = lambda m: m.select("cache_key", F.array(F.length("text").cast("double")).alias("vector"))
     known = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
     cache = encode(known.select(retrieval.cache_key("text").alias("cache_key"), "text").groupBy("cache_key").agg(F.min("text").alias("text")))
-    return retrieval.through_cache(docs, cache, encode)[2].select("hits", "misses")
+    return retrieval.through_cache(docs, cache, encode)[2]
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------
@@ -608,14 +597,6 @@ def outlier_rescue(spark, d):
     return reporting.rescue_outliers(t).select("vec_id", "topic_final", "approximate")
 
 
-@query(
-    "SELECT 'v' || (event_id % 12) AS version, max(ts)::DATE::VARCHAR AS fecha, count(*) AS n FROM events GROUP BY 1 ORDER BY max(ts) DESC, version LIMIT 10"
-)
-def version_history(spark, d):
-    e = table(spark, d, "events").groupBy(F.concat(F.lit("v"), (F.col("event_id") % 12).cast("string")).alias("version")).agg(F.max("ts").alias("ts"), F.count("*").alias("n"))
-    return e.orderBy(F.desc("ts"), "version").limit(10).select("version", F.date_format("ts", "yyyy-MM-dd").alias("fecha"), "n")
-
-
 @query("SELECT json_extract_string(props, '$.' || k) AS value, count(*) AS n FROM (SELECT props, json_keys(props)[1] AS k FROM events WHERE props IS NOT NULL) GROUP BY 1")
 def json_metrics(spark, d):
     e = table(spark, d, "events").filter("props IS NOT NULL").select("props", F.json_object_keys("props")[0].alias("k"))
@@ -661,23 +642,6 @@ def dictionary_extension(spark, d):
     return keywords.extend_dictionary(docs.filter("lang = 'en'").select(F.col("source").alias("term")).distinct(), docs.select(F.col("source").alias("term")))
 
 
-@query(
-    """SELECT avg(len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> ''))) AS raw,
-    avg(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))) AS tokens FROM documents"""
-)
-def lexical_reduction(spark, d):
-    c = corpus(spark, d)
-    return c.agg(F.avg(F.size(text.words(F.col("body")))).alias("raw"), F.avg(F.size(text.tokens(F.col("body")))).alias("tokens"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE source END AS titulo FROM documents UNION ALL SELECT -1, 'new'")
-def store_upsert(spark, d):
-    """The final state of an upsert by key: rows of labelled documents and a new one replace, others stay."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("titulo"))
-    new = table(spark, d, "labels").select("doc_id").distinct().withColumn("titulo", F.lit("new")).unionByName(spark.createDataFrame([(-1, "new")], "doc_id bigint, titulo string"))
-    return new.unionByName(docs.join(new.select("doc_id"), "doc_id", "left_anti"))
-
-
 @query("SELECT list_sort(list_intersect(list_distinct(list(lang) FILTER (source < 'src2')), list_distinct(list(lang) FILTER (source > 'src1')))) AS shared, len(list_distinct(list(source))) AS sources FROM documents")
 def vocabulary_sets(spark, d):
     docs = table(spark, d, "documents")
@@ -685,36 +649,6 @@ def vocabulary_sets(spark, d):
     return docs.agg(F.array_sort(both).alias("shared"), F.size(F.collect_set("source")).cast("long").alias("sources"))
 
 
-@query(
-    f"""SELECT query_id, doc_id, rank, similarity, category FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM (
-    SELECT q.vec_id AS query_id, i.vec_id AS doc_id, i.label AS category, {COSINE.format(a='q.embedding', b='i.embedding')} AS similarity FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0 AND i.label = 3)) WHERE rank <= 5"""
-)
-def filtered_search(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").alias("category"), F.lit("t").alias("title"), F.lit("x").alias("text"))
-    q = e.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
-    return retrieval.semantic_search(q, e, category=3).select("query_id", "doc_id", "rank", "similarity", "category")
-
-
-@query("SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS fecha, event_type AS categoria, (value < 0.25)::INT AS confianza_baja FROM events")
-def prediction_log(spark, d):
-    e = table(spark, d, "events")
-    low = (F.col("value") < DEFAULT.classification.low_confidence).cast("int")
-    return e.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("fecha"), F.col("event_type").alias("categoria"), low.alias("confianza_baja"))
-
-
-@query()
-def dataset_hash(spark, d):
-    return reporting.dataset_hash(table(spark, d, "documents"))
-
-
-@query()
-def language_id(spark, d):
-    from ..operators.language_id import LanguageId
-
-    docs = table(spark, d, "documents")
-    return LanguageId.fit(docs).detect(docs).groupBy("lang", "language").agg(F.count("*").alias("n"))
-
-
 # --- learning (rows only: iterative algorithms) --------------------------------------------------------------------
 
 
@@ -766,12 +700,7 @@ def predict_batch(spark, d):
     return Analyzer.fit(labelled).predict(corpus(spark, d)).select("doc_id", "category", "probability", F.col("keywords").cast("string").alias("keywords"), "error")
 
 
-@query()
-def reports_of_store(spark, d):
-    """The four reports, over views made from the corpus and the labels."""
-    docs = table(spark, d, "documents")
-    docs.select(F.col("doc_id").cast("string"), F.col("source").alias("titulo"), F.col("lang").alias("categoria"), F.size(text.words(F.col("text"))).alias("n_tokens")).createOrReplaceTempView("documentos")
-    return spark.sql(sinks.REPORTS["documents_by_category"])
+from . import records  # noqa: E402, F401  registers its queries, which use the definitions above
 
 
 def queries() -> dict:

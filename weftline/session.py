@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def session(name: str = "weftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,8 +52,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing before it."""
+#: Rows a side may have, as counted, before a broadcast hint is given; beyond it the join shuffles.
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if its counted rows are within the limit."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again (by another schema, if given): lineage ends there, and a
+    lost executor costs nothing before it."""
     path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

@@ -104,6 +104,22 @@ def select(root: Node, selector: str) -> Node | None:
     return None
 
 
+def text_lengths(root: Node) -> dict[int, int]:
+    """Length of text() by node identity, summed from the leaves up."""
+    order, parts = list(root.walk()), {}
+    for n in reversed(order):
+        # characters of the trimmed texts, and how many there are
+        chars = count = 0
+        for k in n.kids:
+            if isinstance(k, str):
+                s = k.strip()
+                chars, count = chars + len(s), count + bool(s)
+            else:
+                chars, count = chars + parts[id(k)][0], count + parts[id(k)][1]
+        parts[id(n)] = chars, count
+    return {k: chars + max(count - 1, 0) for k, (chars, count) in parts.items()}
+
+
 def page_text(source: str, selector: str = "", drop_code: bool = True) -> str:
     tree = Tree(drop_code)
     tree.feed(source or "")
@@ -112,7 +128,8 @@ def page_text(source: str, selector: str = "", drop_code: bool = True) -> str:
     for s in ([selector] if selector else []) + ["article", "main", "[role=main]", "div.content", "div.body"]:
         found = found or select(tree.root, s)
     if found is None:
-        found = max((n for n in tree.root.walk() if n.tag == "div"), key=lambda n: len(n.text()), default=tree.root)
+        size = text_lengths(tree.root)
+        found = max((n for n in tree.root.walk() if n.tag == "div"), key=lambda n: size[id(n)], default=tree.root)
     parts = []
     for n in found.walk():
         if n.tag in TAKEN and n is not found and (t := n.text()):

@@ -15,13 +15,17 @@ NAMES = {"categoria": "category", "titulo": "title", "fuente": "source", "idioma
 
 
 def read_seeds(spark: SparkSession, *paths: str) -> DataFrame:
-    """CSV seed files of either shape as one table; columns that a file lacks are null, each row has its place seq."""
+    """CSV seed files of either shape as one table; columns that a file lacks are null.
+
+    Each row has its place seq, unique over all files and rising in their order.
+    """
     out = None
     for p in paths:
         header = spark.read.option("header", True).csv(p)
-        df = header.select(*[F.col(c).alias(NAMES.get(c, c)) for c in header.columns]).withColumn("seq", F.monotonically_increasing_id())
+        df = header.select(*[F.col(f"`{c}`").alias(NAMES.get(c, c)) for c in header.columns])
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    # partitions of a union follow one another, so the numbers do as well
+    return out.withColumn("seq", F.monotonically_increasing_id())
 
 
 def _cell(df: DataFrame, name: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import platform
 import time
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,18 +26,24 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, name: str) -> list[int]:
+    def _whole(self, name: str) -> list[str]:
+        """Names of the folders of a table that are written out: vN for versions, vN-batch for what was appended to one."""
         jvm, fs = self._fs()
         p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         if not fs.exists(p):
             return []
-        done = [s.getPath() for s in fs.listStatus(p)]
-        return sorted(int(x.getName()[1:]) for x in done if x.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+        found = [s.getPath() for s in fs.listStatus(p)]
+        return [x.getName() for x in found if x.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+
+    def _versions(self, name: str) -> list[int]:
+        return sorted(int(x[1:]) for x in self._whole(name) if x[1:].isdigit())
 
     def read(self, name: str) -> DataFrame:
-        schema = schemas.TABLES[name]
-        v = self._versions(name)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{v[-1]}") if v else self.spark.createDataFrame([], schema)
+        """The newest version of a table and what was appended to it."""
+        schema, v = schemas.TABLES[name], self._versions(name)
+        now = f"v{v[-1]}" if v else "v0"
+        paths = [f"{self.root}/{name}/{x}" for x in self._whole(name) if x == now or x.startswith(now + "-")]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _cast(self, name: str, df: DataFrame) -> DataFrame:
         fields = self.spark.createDataFrame([], schemas.TABLES[name]).schema
@@ -47,21 +54,27 @@ class Store:
         v = self._versions(name)
         self._cast(name, df).write.parquet(f"{self.root}/{name}/v{(v[-1] if v else 0) + 1}")
 
-    def upsert(self, name: str, df: DataFrame, key: str = "doc_id") -> None:
-        """Rows of df replace those of the same key."""
+    def upsert(self, name: str, df: DataFrame, key: str = "doc_id", order: str | None = None) -> None:
+        """Rows of df replace those of the same key. Of several rows of a key in df the last by order stays, ties and
+        batches without order by the greatest JSON."""
+        names = [f"`{c}`" for c in df.columns]
+        row = F.struct(*names)
+        rank = F.struct(F.col(order), F.to_json(row)) if order else F.to_json(row)
+        new = self._cast(name, df.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, rank).alias("_row")).select("_row.*"))
         old = self.read(name)
-        self.replace(name, self._cast(name, df).unionByName(old.join(df.select(key).distinct(), key, "left_anti")))
+        self.replace(name, new.unionByName(old.join(new.select(key), key, "left_anti")))
 
-    def append(self, name: str, df: DataFrame) -> None:
+    def append(self, name: str, df: DataFrame, batch: str | None = None) -> None:
+        """Adds rows as a folder of their own. A batch with a name replaces what an earlier try of that name left."""
         v = self._versions(name)
-        self._cast(name, df).write.mode("append").parquet(f"{self.root}/{name}/v{v[-1] if v else 1}")
+        self._cast(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v{v[-1] if v else 0}-{batch or uuid.uuid4().hex}")
 
     def register_views(self) -> None:
         for name in schemas.TABLES:
             self.read(name).createOrReplaceTempView(name)
 
 
-# The four reports that ship with the store, over its views.
+# The five reports that ship with the store, over its views; names and rounding are part of the format.
 REPORTS = {
     "documents_by_category": "SELECT categoria, count(*) AS documentos, round(avg(n_tokens), 1) AS tokens_medios FROM documentos GROUP BY categoria ORDER BY documentos DESC, categoria",
     "frequent_keywords": "SELECT keyword, count(*) AS documentos FROM keywords_documento GROUP BY keyword ORDER BY documentos DESC, keyword LIMIT 10",
