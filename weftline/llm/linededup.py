@@ -36,13 +36,12 @@ def fold(line: Column) -> Column:
     return F.btrim(F.lower(line), F.lit(WHITE))
 
 
-def _parts(f: Column) -> Column:
-    """Hashes of the outer units that a line shares with a partner of as many units, one fewer or one more.
+def _parts(f: Column, w: Column) -> Column:
+    """Hashes of the outer units that a line f of words w shares with a partner of as many units, one fewer or one more.
 
     Of two partners the longer has n units, or both have; their first or their last (n - 1) div 2 units agree. Each
     line is the longer one at its own length and the shorter one at the next.
     """
-    w = F.split(f, " ")
     words, chars = F.size(w), F.length(f)
     half = lambda size: F.floor((size - 1) / 2).cast("int")
 
@@ -128,15 +127,18 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     place = ["_id", "_h", "pos"]
     order = F.struct(*place)
     folded = docs.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line")).select(*place, fold(F.col("line")).alias("f"))
-    keyed = cut(folded.filter(F.length("f") >= min_chars).select(*place, F.xxhash64("f").alias("a"), F.xxhash64(F.lit(1), "f").alias("b"), _parts(F.col("f")).alias("k")), "line-hashes")
+    lines = folded.filter(F.length("f") >= min_chars).withColumn("w", F.split("f", " "))
+    lines = lines.select(*place, F.xxhash64("f").alias("a"), F.xxhash64(F.lit(1), "f").alias("b"), _parts(F.col("f"), F.col("w")).alias("k"))
+    keyed = cut(lines.drop("k"), "line-hashes")
     # the earliest place of each different line, by a partial minimum in each task
-    first = cut(keyed.groupBy("a", "b").agg(F.min(order).alias("at"), F.count("*").alias("n"), F.first("k").alias("k")), "line-first")
-    # different lines that share an outer part with another one; each gets a number
+    first = cut(lines.groupBy("a", "b").agg(F.min(order).alias("at"), F.count("*").alias("n"), F.first("k").alias("k")), "line-first")
+    # different lines that share an outer part with another one
     parts = first.select("a", "b", F.explode("k").alias("key"))
     shared = cut(parts.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select("key"), "line-parts")
-    met = parts.join(shared, "key").select("a", "b").distinct()
-    likely = cut(met.join(first, ["a", "b"]).select("a", "b", "at.*", "at", F.monotonically_increasing_id().alias("h")), "line-likely")
+    likely = cut(parts.join(small(shared, shared.count()), "key").select("a", "b").distinct().join(first, ["a", "b"]).select("a", "b", "at"), "line-met")
     drop_cut(shared)
+    # their numbers follow the order of places, so the least number of a key is its earliest line
+    likely = cut(likely.select("a", "b", "at.*").repartitionByRange(*place).sortWithinPartitions(*place).withColumn("h", F.monotonically_increasing_id()), "line-likely")
     homes = likely.select(F.col("_id").alias("_i2"), F.col("_h").alias("_h2")).distinct()
     at_home = docs.join(small(homes, likely.count()), F.col("_id").eqNullSafe(F.col("_i2")) & (F.col("_h") == F.col("_h2")), "left_semi")
     lines = at_home.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line")).select(*place, fold(F.col("line")).alias("f"))
@@ -144,19 +146,15 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     texts = cut(texts.select("h", "f"), "line-texts")
     # cheap to make again, and larger than what follows
     every = texts.mapInArrow(_emit, "h bigint, key bigint, kind tinyint")
-    # keys of a single line join nothing
-    met = cut(every.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"), "line-keys")
-    dated = cut(every.join(met, "key").join(likely.select("h", "at"), "h"), "line-postings")
-    # nothing later reads this
-    drop_cut(met)
     whole = F.col("kind") != 1
-    groups = cut(dated.groupBy("key").agg(F.min(F.when(whole, F.struct("at", "h"))).alias("a"), F.min(F.when(~whole, F.struct("at", "h"))).alias("b")), "line-groups")
+    groups = every.groupBy("key").agg(F.min(F.when(whole, F.col("h"))).alias("a"), F.min(F.when(~whole, F.col("h"))).alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    # keys of a single line join nothing
+    groups = cut(groups.filter("lo <> hi").select("key", "a", "b"), "line-groups")
     # lines that meet by place, or are the variant itself, are partners; a variant alone only meets the line it is
     partner = F.when(F.col("kind") == 2, F.least("a", "b")).otherwise(F.col("a"))
-    pairs = dated.join(groups, "key").withColumn("p", partner).filter("p IS NOT NULL AND p.h <> h").filter(F.col("p.at") < F.col("at")).groupBy("h").agg(F.min("p").alias("p"))
-    pairs = cut(pairs.select("h", F.col("p.h").alias("ph")), "line-pairs")
+    pairs = every.join(small(groups, groups.count()), "key").select("h", partner.alias("ph")).filter("ph < h").groupBy("h").agg(F.min("ph").alias("ph"))
+    pairs = cut(pairs, "line-pairs")
     drop_cut(groups)
-    drop_cut(dated)
     near = pairs.join(texts, "h").join(texts.select(F.col("h").alias("ph"), F.col("f").alias("pf")), "ph").select("h", "f", "pf").mapInArrow(_verify, "h bigint").distinct()  # rows that repeat a document repeat its lines
     near = near.join(likely, "h").select("a", "b", F.lit(True).alias("near"))
     # lines of which something goes
