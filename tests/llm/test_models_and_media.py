@@ -37,13 +37,100 @@ def test_quality_without_usable_labels(spark):
     assert quality.score_documents(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 0
 
 
-def test_gradients_of_the_bag_model():
+def plain_passages(text):
+    """Features of each passage, word by word and byte by byte."""
+    kinds = []
+    for c in range(256):
+        ch = chr(c)
+        kinds.append(
+            8 if ch == "!" else 7 if c > 127 else 0 if ch.islower() else 1 if ch.isupper() else 2 if ch.isdigit() else 4 if ch == "\n" else 3 if ch in " \t\x0b\x0c\r" else 5 if ch in ".,;:'\"-?()" else 6
+        )
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", text)]
+    n = max(-(-len(found) // quality.PASSAGE), 1)
+    out = np.zeros((n, quality.N_FEATURES))
+    padded = text + b" "
+    for k in range(n):
+        w = found[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]
+        if not w:
+            continue
+        pairs = np.zeros((quality.C, quality.C))
+        end = found[(k + 1) * quality.PASSAGE][0] if len(found) > (k + 1) * quality.PASSAGE else len(padded)
+        for i in range(w[0][0], min(end, len(padded) - 1)):
+            pairs[kinds[padded[i]], kinds[padded[i + 1]]] += 1
+        out[k, : quality.C**2] = (pairs / max(pairs.sum(), 1)).ravel()
+        said, last = set(), None
+        for a, z in w:
+            x = text[a:z]
+            first, final, second = kinds[x[0]], kinds[x[-1]], kinds[x[min(1, len(x) - 1)]]
+            row = (len(x) / 10, len(x) <= 3, x == last, x in said, final in (6, 8), first == 6 and final == 6, first == 1 and second == 1, final == 5)
+            out[k, quality.C**2 :] += np.array(row, float) / len(w)
+            said.add(x)
+            last = x
+    return out
+
+
+def plain_score(p, bag):
+    """The score of one bag, passage by passage."""
+    hidden, logits = [], []
+    for x in bag:
+        h = np.tanh((x - p["mean"]) / p["std"] @ p["W"] + p["b"])
+        gate = 1 / (1 + np.exp(-(h @ p["U"])))
+        hidden.append(h)
+        logits.append((np.tanh(h @ p["V"]) * gate) @ p["w"])
+    weights = np.exp(logits) / np.exp(logits).sum()
+    z = sum(a * h for a, h in zip(weights, hidden, strict=True))
+    return 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))
+
+
+def bag_model(rng):
+    size = lambda *s: rng.normal(size=s) / 2
+    h = quality.HIDDEN
+    return {
+        "W": size(quality.N_FEATURES, h), "b": size(h), "V": size(h, h), "U": size(h, h), "w": size(h), "c": size(h), "d": np.array(0.3),
+        "mean": size(quality.N_FEATURES), "std": np.abs(size(quality.N_FEATURES)) + 0.5,
+    }
+
+
+def test_gradients_equal_finite_differences():
     rng = np.random.default_rng(1)
     x, at, y = rng.normal(size=(9, quality.N_FEATURES)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
-    p = quality.fit(np.repeat(x, 30, 0)[: 9 * 30], np.arange(0, 271, 30), np.array([1.0, 0.0] * 4 + [1.0]))
-    assert quality.forward(p, x, at)["y"].shape == y.shape
-    f = quality.forward(p, x, at)
-    assert np.allclose(np.add.reduceat(f["a"], at[:-1]), 1)
+    p = bag_model(rng)
+
+    def loss(p):
+        s = quality.forward(p, x, at)["y"]
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    grad = quality.gradient(p, x, at, y)
+    for name, g in grad.items():
+        for _ in range(6):
+            i = tuple(int(rng.integers(0, n)) for n in p[name].shape)
+            up, down = ({**p, name: p[name].copy()} for _ in range(2))
+            up[name][i] += 1e-6
+            down[name][i] -= 1e-6
+            assert np.isclose((loss(up) - loss(down)) / 2e-6, g[i], rtol=1e-4, atol=1e-8), name
+
+
+def test_scores_equal_a_plain_evaluation():
+    rng, word = np.random.default_rng(2), random.Random(2)
+    p = bag_model(rng)
+    texts = [b"", b" ", b"uno", "¡Hola! (ñandú) A1 b2 -- fin.".encode(), b"\n".join(b"x y z" for _ in range(90))]
+    texts += [" ".join(word.choice(["la", "Casa", "!", "%%", "12", "fin.", "OK!", "é"]) for _ in range(word.randint(1, 300))).encode() for _ in range(12)]
+    x, at = quality.passages(texts)
+    got = quality.forward(p, x.astype(float), at)
+    assert np.allclose(np.add.reduceat(got["a"], at[:-1]), 1)
+    for k, t in enumerate(texts):
+        plain = plain_passages(t)
+        assert np.allclose(x[at[k] : at[k + 1]], plain, atol=1e-6), t
+        assert np.isclose(got["y"][k], plain_score(p, plain), atol=1e-6)
+
+
+def test_training_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_PASSAGES", 5)
+    bag = quality.training_bag(b"uno dos tres. " * 2000)
+    assert len(bag) == 5 and len(quality.training_bag(b"")) == 1
+    rows = [(1, "uno dos tres")] * 50 + [(2, "%% !! %%")] * 50 + [(2, "otra fila")]
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert "W" in model or "constant" in model
 
 
 @pytest.fixture(scope="module")
@@ -287,6 +374,36 @@ def test_deep_and_wide_pages():
     assert htmltree.extract("<article>" + "<p>uno dos.</p>" * 3000 + "</article>", w).count("uno") == 3000
 
 
+def test_generated_pages_give_their_articles():
+    import pyarrow.parquet as pq
+
+    w, total, right = htmltree.weights(), 0, 0
+    for source in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        m = re.search(r"<article[^>]*>(.*?)</article>", source or "", re.S)
+        if m is None:
+            continue
+        inside = re.sub(r"(?s)<(aside|nav|footer|form|script|style|figure)\b.*?</\1>", "\n", m[1])
+        words = set(re.findall(r"\w+", html.unescape(re.sub(r"<[^>]+>", " ", inside))))
+        got = set(re.findall(r"\w+", htmltree.extract(source, w)))
+        total, right = total + 1, right + (got <= words and len(got) >= 0.9 * len(words))
+    assert total > 50 and right / total > 0.95
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    w = htmltree.weights()
+
+    def seconds(n):
+        page = "<ul>" + "<div>" * n + "<article>" + "<li>uno dos.</section>" * n + "</article>"
+        began = time.perf_counter()
+        htmltree.extract(page, w)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(20_000) < 25 * max(seconds(2_000), 0.02)
+
+
 def test_page_table(spark):
     rows = [(1, "u", "<article><p>Hola.</p></article>", "z"), (2, None, None, "z"), (2, None, None, "z"), (None, "u", "", "z")]
     got = htmltree.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, x string")).collect()

@@ -46,9 +46,12 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # bytes from one word's start to the next one's belong to the passage of the word
     kind = _CLASS[buf]
     span = np.diff(np.concatenate((starts, [len(buf)])))
-    byte_pass = np.repeat(word_pass, span)
+    byte_pass, word_doc = np.repeat(word_pass, span)[:-1], np.repeat(doc, span)[:-1]
     body = kind[starts[0] :]
-    pairs = np.bincount(byte_pass[:-1] * (C * C) + body[:-1] * C + body[1:], minlength=at[-1] * C * C).reshape(-1, C * C)
+    # pairs within the text of the word; a text's last byte is paired with the space behind it
+    text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[starts[0] :]
+    own = np.flatnonzero((text_of[:-1] == word_doc) & (text_of[1:] == word_doc))
+    pairs = np.bincount(byte_pass[own] * (C * C) + body[own] * C + body[own + 1], minlength=at[-1] * C * C).reshape(-1, C * C)
     out[:, : C * C] = pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1)
     h = span_hashes(buf, starts, ends)
     size = ends - starts
