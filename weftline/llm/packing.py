@@ -115,6 +115,16 @@ def segments(ids: np.ndarray, length: int) -> list[np.ndarray]:
     return [ids[i : i + length] for i in range(0, len(ids), length)]
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where they fit, else in four; the first byte says which."""
+    size = 2 if ids.max() < 1 << 16 else 4
+    return bytes([size]) + ids.astype(f"<u{size}").tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
+
+
 def pack_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, ranks: str = DEFAULT_RANKS, end: int = END, window_bytes: int = WINDOW_BYTES
 ) -> DataFrame:
@@ -140,7 +150,7 @@ def pack_documents(
                     for j, part in enumerate(segments(np.array([*encode_text(enc, text), end], np.int32), length)):
                         row.append(i + k)
                         off.append(j * length)
-                        seg.append(part.tobytes())
+                        seg.append(_narrow(part))
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(off, pa.int64()), pa.array(seg, pa.binary())], names=["_id", "_h", "off", "seg"])
             give_back()
@@ -155,8 +165,9 @@ def pack_documents(
                     yield from _packed_rows(held, length, end, id_type)
                     held, n = [], 0
                 now = window
-                held.append((doc, off, np.frombuffer(seg, np.int32)))
-                n += len(seg) >> 2
+                ids = _wide(seg)
+                held.append((doc, off, ids))
+                n += len(ids)
             give_back()
         if held:
             yield from _packed_rows(held, length, end, id_type)
