@@ -77,3 +77,25 @@ def test_index_and_comparison(spark):
     a, b = (spark.createDataFrame(x, "doc_id int, rank int, term string") for x in ([(1, 1, "x"), (1, 2, "y")], [(1, 1, "z")]))
     rows = keywords.compare_keywords("doc_id", one=a, two=b).orderBy("rank").collect()
     assert [(r["one"], r["two"]) for r in rows] == [("x", "z"), ("y", None)]
+
+
+def test_diverse_keywords_equal_a_plain_choice(spark):
+    import numpy as np
+
+    from weftline.config import DEFAULT
+
+    rng, lam = np.random.default_rng(6), DEFAULT.keywords.diversity
+    docs = {i: rng.normal(size=4) for i in range(6)}
+    cand = {i: {f"t{k}": rng.normal(size=4) for k in range(int(rng.integers(1, 25)))} for i in docs}
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    got = keywords.semantic_keywords(
+        spark.createDataFrame([(i, t, v.tolist()) for i, c in cand.items() for t, v in c.items()], "doc_id int, term string, vector array<double>"),
+        spark.createDataFrame([(i, v.tolist()) for i, v in docs.items()], "doc_id int, vector array<double>"),
+    ).collect()
+    for i, c in cand.items():
+        picked = []
+        while len(picked) < min(DEFAULT.keywords.candidates, len(c)):
+            worth = lambda t: (1 - lam) * cos(c[t], docs[i]) - lam * max((cos(c[t], c[p]) for p in picked), default=0.0)  # noqa: B023, E731
+            picked.append(max((t for t in c if t not in picked), key=worth))
+        rows = sorted((r["rank"], r["term"], r["score"]) for r in got if r["doc_id"] == i)
+        assert [t for _, t, _ in rows] == picked and all(abs(s - cos(c[t], docs[i])) < 1e-9 for _, t, s in rows)

@@ -396,3 +396,70 @@ def language_id(spark, d):
     docs = table(spark, d, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return LanguageId.fit(docs.filter(~held)).detect(docs.filter(held)).groupBy("lang", "language").agg(F.count("*").alias("n"))
+
+
+# --- fitted models: rows only, as iterations are not SQL; tests hold them against plain evaluations ----------------------
+
+
+def folded(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings with their label, dealt into folds."""
+    from .catalog import vectors_of
+
+    v = vectors_of(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("label"), "features")
+    return evaluation.folds(evaluation.encode_labels(v), "label", "doc_id")
+
+
+def names_of(df: DataFrame) -> list[str]:
+    return [r[0] for r in df.select("label").distinct().orderBy("label").collect()]  # one row a class
+
+
+@query()
+def cross_validation(spark, d):
+    f = folded(spark, d).cache()
+    scores = learning.cross_validate(f, names_of(f))
+    return spark.createDataFrame(list(enumerate(scores)), "fold int, f1_macro double")
+
+
+@query()
+def calibration(spark, d):
+    """Brier scores before and after sigmoids that were fitted on the other folds' predictions, and whether they are adopted."""
+    f = folded(spark, d).cache()
+    held = learning.out_of_fold(f, names_of(f)).cache()
+    after = learning.calibrated(held, learning.calibrate(held))
+    before, then = (evaluation.brier(x).first()["brier"] for x in (held, after))
+    return spark.createDataFrame([(before, then, learning.adopt_calibration(held, after))], "before double, after double, adopted boolean")
+
+
+@query()
+def drift(spark, d):
+    """Whether the score on the test split is further from the folds' than chance explains."""
+    f = folded(spark, d).cache()
+    names = names_of(f)
+    split = evaluation.stratified_split(f, "label")
+    test = split.filter("split = 'test'").select("doc_id", F.col("label").alias("actual"), "features")
+    s = learning.scores(learning.train(split.filter("split = 'train'")), test, names)
+    best = s.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "label"))).filter("r = 1")
+    found = evaluation.metrics(best.select("actual", F.col("label").alias("predicted"))).first()["f1_macro"]
+    alert = evaluation.drift_alert(found, learning.cross_validate(f, names), test.count())
+    return spark.createDataFrame([(float(alert["gap"]), float(alert["limit"]), bool(alert["alert"]))], "gap double, limit double, alert boolean")
+
+
+@query()
+def diverse_keywords(spark, d):
+    """Maximal marginal relevance over each document's terms of most weight, by hashed vectors."""
+    weights = keywords.tfidf(table(spark, d, "documents"))
+    documents = retrieval.embed(weights, dimension=64)
+    top = keywords.tfidf_keywords(weights, k=3 * DEFAULT.keywords.candidates)
+    terms = top.select("term").distinct().select(F.col("term").alias("doc_id"), "term", F.lit(1.0).alias("weight"))
+    candidates = top.join(retrieval.embed(terms, dimension=64).withColumnRenamed("doc_id", "term"), "term").select("doc_id", "term", "vector")
+    return keywords.semantic_keywords(candidates, documents).withColumn("score", F.round("score", 9))
+
+
+@query()
+def class_terms(spark, d):
+    """The terms that speak most for each class of the lexical classifier."""
+    from ..operators.predict import Analyzer
+
+    labelled = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
+    a = Analyzer.fit(labelled)
+    return learning.global_explanation(a.model, a.vocab, a.labels).withColumn("coefficient", F.round("coefficient", 6))
