@@ -455,3 +455,22 @@ def extract_pages(df: DataFrame, html_col: str = "html", out_col: str = "text",
         return pa.array([extract(p or "", w) for p in pages.to_pylist()], pa.string())
 
     return df.withColumn(out_col, F.arrow_udf(texts, "string")(F.col(html_col)))
+
+
+def sql_blocks(text: str) -> str:
+    """DuckDB: a column of markup without tags and with the references that the supplied pages have."""
+    out = f"regexp_replace({text}, '<[^>]+>', '', 'g')"
+    for name, sign in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{sign}')"
+    return out
+
+
+#: DuckDB, for pages as the supplied table has them, whose articles are an element of that name with headings and
+#: paragraphs, some of them left open up to a line break: the blocks of that element.
+SQL = rf"""
+WITH b AS (SELECT page_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS raw
+  FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<(?:h1|p)>.*?(?:</h1>|</p>|<br>)') AS a FROM pages)),
+t AS (SELECT page_id, i, trim(regexp_replace({sql_blocks('raw')}, '\s+', ' ', 'g')) AS t FROM b),
+x AS (SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM t WHERE t <> '' GROUP BY 1)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM pages LEFT JOIN x USING (page_id)
+"""

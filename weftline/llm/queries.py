@@ -65,4 +65,5 @@ def oracle_sql():
         "op4_line_dedup": linededup.SQL,
         "op8_minhash": minhash.SQL,
         "op9_decontamination": decontam.SQL,
+        "op10_html": htmltree.SQL,
     }
