@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..config import DEFAULT, Config
 
-WHITE = r"(?U)\s+"
+#: White space that is not a single space already.
+WHITE = r"(?U)\s{2,}|[\s&&[^ ]]"
 #: Characters that NFKC leaves alone whatever stands beside them; a text of these alone needs no normalisation.
 STABLE = r"[^\x00-\x9F\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{FF}]"
 ENTITY = r"&[#A-Za-z]"
@@ -39,6 +40,19 @@ def _decoded(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", html.unescape(re.sub(r"<[^>]+>", " ", t))) for t in texts.to_pylist()], pa.string())
 
 
+def _replaced(t: Column, pattern: str, signs: list[str]) -> Column:
+    """Matches become a space; only texts that have one of the signs, without which nothing matches, are searched."""
+
+    def of(x: Column) -> Column:
+        some = x.contains(signs[0])
+        for sign in signs[1:]:
+            some = some | x.contains(sign)
+        return F.when(some, F.regexp_replace(x, pattern, " ")).otherwise(x)
+
+    # the text is bound once by an array of one, so that it is not computed again for each use
+    return F.transform(F.array(t), of)[0]
+
+
 def clean(c: Column, rare: bool = True) -> Column:
     """Plain prose: no markup, addresses, reference marks, trivial parentheses or odd symbols; null becomes ''.
 
@@ -46,12 +60,12 @@ def clean(c: Column, rare: bool = True) -> Column:
     reach it as nulls, so nothing of them leaves the JVM.
     """
     t = F.coalesce(c, F.lit(""))
-    t = F.regexp_replace(t, r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", " ")
+    t = _replaced(t, r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", ["<"])
     if rare:
         t = F.coalesce(F.arrow_udf(_decoded, "string")(F.when(t.rlike(ENTITY) | t.rlike(STABLE), t)), t)
-    for pattern in (fixed.TAG, fixed.URL, fixed.REFERENCE, fixed.TRIVIAL_PARENTHESIS, "(?U)" + fixed.NOISE):
-        t = F.regexp_replace(t, pattern, " ")
-    return collapsed(t)
+    for pattern, signs in ((fixed.TAG, "<"), (fixed.URL, "://|www."), (fixed.REFERENCE, "["), (fixed.TRIVIAL_PARENTHESIS, "(")):
+        t = _replaced(t, pattern, signs.split("|"))
+    return collapsed(F.regexp_replace(t, "(?U)" + fixed.NOISE, " "))
 
 
 def model_text(title: Column, body: Column, cfg: Config = DEFAULT) -> Column:

@@ -213,7 +213,18 @@ def url_title(spark, d):
     return p.select("page_id", seeds.host(F.col("url")).alias("host"), seeds.readable_title(p).alias("title"))
 
 
-@query()
+MARKUP = """replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]+>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
+
+
+# a paragraph that is left open holds what follows it in the article as well, so its text has that too
+@query(
+    rf"""WITH b AS (SELECT page_id, a, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS raw
+      FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<(?:h1|p)>.*?(?:</h1>|</p>|<br>)') AS a FROM pages)),
+    t AS (SELECT page_id, i, raw, trim({MARKUP}, concat(' ', chr(10), chr(9), chr(13))) AS t FROM b), l AS (SELECT page_id, list(t ORDER BY i) AS ts FROM t GROUP BY 1),
+    x AS (SELECT page_id, string_agg(CASE WHEN raw LIKE '<h1%' THEN chr(10) || '== ' || t || ' ==' || chr(10) WHEN raw LIKE '%<br>' THEN array_to_string(list_filter(ts[i:], lambda y: y <> ''), ' ') ELSE t END, chr(10) ORDER BY i) AS text
+      FROM t JOIN l USING (page_id) WHERE t <> '' OR raw LIKE '%<br>' GROUP BY 1)
+    SELECT page_id, trim(coalesce(text, ''), concat(' ', chr(10))) AS text FROM pages LEFT JOIN x USING (page_id)"""
+)
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", html.extract(F.col("html")).alias("text"))
 
@@ -404,7 +415,18 @@ def fused_keywords(spark, d):
     return keywords.select_keywords(keywords.fuse(s))
 
 
-@query()
+EXTRA = ", ".join(f"'{w}'" for w in fixed.EXTRA_STOP_WORDS)
+LEMMA = r"""CASE WHEN length(w) <= 5 THEN w WHEN regexp_matches(regexp_replace(w, 'ces$', 'z'), '[lnrdsjzxc]es$') THEN regexp_replace(regexp_replace(w, 'ces$', 'z'), 'es$', '')
+  ELSE regexp_replace(regexp_replace(w, 'ces$', 'z'), '([aeiouáéíóú])s$', '\1') END"""
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_+#]+'), lambda x: lower(x)), lambda x: length(x) >= 3 AND x NOT IN ({STOPS}) AND NOT regexp_matches(x, '^\p{{N}}+$')) AS t FROM documents),
+    w AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS w FROM t), l AS (SELECT doc_id, i, w, {LEMMA} AS l FROM w), k AS (SELECT * FROM l WHERE l NOT IN ({EXTRA})),
+    p AS (SELECT doc_id, i, l, NOT (length(w) > 4 AND regexp_matches(w, '(?:{keywords.ADVERB_SUFFIX}|{keywords.VERB_SUFFIXES})$')) AS kept FROM k)
+    SELECT doc_id, coalesce(n, 0)::INTEGER AS n_tokens, coalesce(m, 0)::INTEGER AS n_pos, coalesce(s, '') AS text_pos FROM documents
+    LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (kept) AS m, string_agg(l, ' ' ORDER BY i) FILTER (kept) AS s FROM p GROUP BY 1) USING (doc_id)"""
+)
 def preprocessed(spark, d):
     return keywords.preprocess(corpus(spark, d), "body").select("doc_id", "n_tokens", F.size("lemmas_pos").alias("n_pos"), "text_pos")
 
@@ -468,9 +490,13 @@ def nearest_centroid(spark, d):
     return retrieval.nearest_centroids(e, retrieval.centroids(e, "label", "embedding"), item_id="vec_id", vector="embedding")
 
 
-@query()
+@query(
+    TFIDF + """, coordinate AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 7))::BIGINT % 384 AS i, sum(CASE WHEN substr(md5(term), 8, 1) < '8' THEN weight ELSE -weight END) AS x FROM x GROUP BY 1, 2),
+    norm AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM coordinate GROUP BY 1) SELECT doc_id, i::INTEGER AS i, round(x / l, 6) AS x FROM coordinate JOIN norm USING (doc_id) WHERE round(x / l, 6) <> 0"""
+)
 def text_embeddings(spark, d):
-    return retrieval.embed(keywords.tfidf(table(spark, d, "documents")), dimension=DEFAULT.embeddings.dimension).select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    e = retrieval.embed(keywords.tfidf(table(spark, d, "documents")), dimension=DEFAULT.embeddings.dimension)
+    return e.select("doc_id", F.posexplode("vector").alias("i", "x")).withColumn("x", F.round("x", 6)).filter("x <> 0")
 
 
 @query(
