@@ -83,3 +83,17 @@ def test_round_robin(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, category string")
     assert [r["id"] for r in sections.round_robin(df).orderBy("turn", "category").collect()] == [1, 3, 2]
     assert sections.round_robin(df).agg(F.max("turn")).first()[0] == 1
+
+
+def test_rounds_drop_what_the_greedy_rule_drops(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(40)]
+    group = {100 + i: " ".join(w if rng.random() > 0.06 else f"x{rng.randrange(5)}" for w in base) for i in range(60)}
+    for rounds, docs in ((0, corpus(3)), (1, corpus(4)), (6, corpus(5) | group), (2, group | {7: "", 8: "a", 9: "a b c"})):
+        monkeypatch.setattr(dedup, "ROUNDS", rounds)
+        df = spark.createDataFrame(list(docs.items()), "doc_id int, text string")
+        assert {r["id"] for r in dedup.near_dropped(df).collect()} == greedy(docs)
+        kept, report = dedup.deduplicate(df)
+        r = report.first()
+        assert r["exact_removed"] + r["near_removed"] == len(greedy(docs)) and r["kept"] == kept.count() and kept.count() == len(docs) - len(greedy(docs))
+    assert dedup.near_dropped(spark.createDataFrame([], "doc_id int, text string")).count() == 0
