@@ -49,7 +49,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     byte_pass, word_doc = np.repeat(word_pass, span)[:-1], np.repeat(doc, span)[:-1]
     body = kind[starts[0] :]
     # pairs within the text of the word; a text's last byte is paired with the space behind it
-    text_of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[starts[0] :]
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])[starts[0] :]
     own = np.flatnonzero((text_of[:-1] == word_doc) & (text_of[1:] == word_doc))
     pairs = np.bincount(byte_pass[own] * (C * C) + body[own] * C + body[own + 1], minlength=at[-1] * C * C).reshape(-1, C * C)
     out[:, : C * C] = pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1)
@@ -162,7 +162,7 @@ def scorer(model: dict):
 
     def score(texts: pa.Array) -> pa.Array:
         out = []
-        for run in chunks(t or b"" for t in texts.cast(pa.binary()).to_pylist()):
+        for run in chunks((t or b"" for t in texts.cast(pa.binary()).to_pylist()), 1 << 18):
             if "constant" in model:
                 out += [float(model["constant"])] * len(run)
             else:
