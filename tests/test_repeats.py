@@ -147,3 +147,19 @@ def test_the_largest_container_of_nested_ones():
 
     began = time.perf_counter()
     assert html.page_text(page).startswith("uno dos") and time.perf_counter() - began < 5
+
+
+def test_large_groups_are_ranked_by_ranges(spark, monkeypatch):
+    from weftline import session
+    from weftline.operators import sections
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 40)) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id int, label string, v int").repartition(6)
+    by = lambda: [
+        sorted(map(str, f.collect()))
+        for f in (sections.round_robin(df, "label", "doc_id"), evaluation.stratified_split(df), evaluation.folds(df), session.ranked(df, "label", -F.col("v"), "doc_id").withColumn("_n", F.col("_n").cast("long")))
+    ]
+    want = by()
+    monkeypatch.setattr(session, "WINDOW_ROWS", 10)
+    assert by() == want and session.ranked(df.limit(0), "label", "doc_id").count() == 0

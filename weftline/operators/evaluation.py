@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..session import small, stored
+from ..session import ranked, small, stored
 
 
 def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
@@ -17,8 +17,7 @@ def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def _shuffled(df: DataFrame, label: str, key: str) -> DataFrame:
-    w = Window.partitionBy(label)
-    return df.withColumns({"_r": F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string")), key)), "_n": F.count("*").over(w)})
+    return ranked(df, label, F.md5(F.col(key).cast("string")), key)
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "doc_id", cfg: Config = DEFAULT) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..session import ranked
 
 
 def round_robin(df: DataFrame, category: str = "category", order: str = "id") -> DataFrame:
     """df with turn: each row's 0-based place within its category. Sorting by (turn, category) takes categories in turn."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(category).orderBy(order)) - 1)
+    return ranked(df, category, order).withColumn("turn", F.col("_r") - 1).drop("_r", "_n")
 
 
 def split_sections(df: DataFrame, title: str = "title", body: str = "body", key: str = "id", cfg: Config = DEFAULT) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -61,6 +61,32 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Rows of a group that one window may sort, as counted; larger groups are ranked by ranges.
+WINDOW_ROWS = 5_000_000
+
+
+def ranked(df: DataFrame, group: str, *order: Column | str, rank: str = "_r", total: str = "_n") -> DataFrame:
+    """df with each row's 1-based rank within its group by rising order, and the group's rows.
+
+    Groups that one task can sort are sorted by a window. Where one is larger, rows are range-partitioned by group and
+    order, counted by partition, and numbered within each from where the partitions before it end.
+    """
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    if largest <= WINDOW_ROWS:
+        w = Window.partitionBy(group)
+        return df.withColumns({rank: F.row_number().over(w.orderBy(*order)), total: F.count("*").over(w)})
+    keys = [f"_o{i}" for i in range(len(order))]
+    placed = df.withColumns(dict(zip(keys, order, strict=True)))
+    placed = stored(placed.repartitionByRange(group, *keys).sortWithinPartitions(group, *keys).withColumn("_p", F.spark_partition_id()), "ranked")
+    counts = placed.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.count("*").alias("_c"))  # a row for each group in a partition
+    w = Window.partitionBy("_g")
+    before = counts.select("_g", "_q", F.coalesce(F.sum("_c").over(w.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_c").over(w).alias("_t"))
+    inside = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p", group).orderBy(*keys)))
+    j = inside.join(small(before, before.count()), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return j.select(*df.columns, (F.col("_b") + F.col("_i")).cast("int" if largest < 1 << 31 else "long").alias(rank), F.col("_t").alias(total))
+
+
 def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again (by another schema, if given): lineage ends there, and a
     lost executor costs nothing before it."""
