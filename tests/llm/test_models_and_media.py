@@ -320,6 +320,16 @@ def test_packing_does_not_depend_on_partitions(spark):
     assert got[0] == got[1] and len(got[0]) > 100
 
 
+def test_shipped_model_files(spark, tmp_path):
+    import shutil
+
+    shutil.copy(packing.DEFAULT_RANKS, tmp_path / "own.tiktoken")
+    spark.sparkContext.addFile(str(tmp_path / "own.tiktoken"))
+    df = spark.createDataFrame([(1, "uno dos")], "doc_id long, text string")
+    got = packing.pack_documents(df, ranks="/nowhere/own.tiktoken").first()
+    assert got["ids"] == packing.pack_documents(df).first()["ids"]
+
+
 def marginals_by_sums(unary, pair, parent):
     n = len(unary)
     total, on = 0.0, np.zeros(n)

@@ -45,6 +45,15 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(8 << 20))
 
 
+def model_file(path: str) -> str:
+    """path where it exists on this node, else the file of its name that was shipped with SparkContext.addFile()."""
+    import os
+
+    from pyspark import SparkFiles
+
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df

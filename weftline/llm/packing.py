@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, model_file
 from .textgrams import give_back
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -42,7 +42,7 @@ def encoding(path: str):  # noqa: ANN201
     if path not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(model_file(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path]
@@ -132,8 +132,8 @@ def pack_documents(
 
     cu_seqlens[k] is where segment k begins; resets are those places as well, without the total at the end; each
     doc_ids[k] and offsets[k] say which ids of which document segment k is. Null and empty texts are one end token.
-    Rows that repeat an id are packed as often as they occur. An empty table gives no rows. The file at ranks must be
-    readable at the same path on every node.
+    Rows that repeat an id are packed as often as they occur. An empty table gives no rows. The file at ranks lies
+    at that path on every node or was shipped with SparkContext.addFile().
     """
     bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()

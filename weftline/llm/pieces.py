@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, model_file
 from .textgrams import U, chunks, give_back, mix, span_hashes
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -33,7 +33,7 @@ class Pieces:
     def __init__(self, path: str, alpha: float = 1.0):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=model_file(path))
         size = sp.get_piece_size()
         self.text: list[bytes] = [b""] * size
         self.byte_id = np.full(256, sp.unk_id(), np.int32)
@@ -216,7 +216,8 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each row of df: id, n_bytes, n_pieces, ids, lossless.
 
     The row key is the xxhash64 of id, so rows with equal ids and texts get equal pieces. Null and empty texts
-    have no pieces. lossless says that decoding gave back the text's bytes.
+    have no pieces. lossless says that decoding gave back the text's bytes. The model lies at its path on every node or
+    was shipped with SparkContext.addFile().
     """
 
     bound_batches(df.sparkSession)
