@@ -26,16 +26,30 @@ def frequency_keywords(df: DataFrame, title: str = "title", body: str = "body",
     return ranked.filter(F.col("rank") <= k).select(key, "rank", F.col("first.word").alias("keyword"), "n")
 
 
-def term_counts(df: DataFrame, key: str, text_col: str, low: int, high: int) -> DataFrame:
-    """(key, term, tf)."""
-    t = df.select(F.col(key), text.tokens(F.col(text_col)).alias("_t"))
-    return t.select(key, F.explode(text.ngrams(F.col("_t"), low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def grams_of(df: DataFrame, key: str, text_col: str, low: int, high: int, words: DataFrame) -> DataFrame:
+    """(key, term) of the n-grams whose words are all in words (term, distinct).
+
+    A row is a token with those that follow it; words are looked up before any phrase is put together.
+    """
+    t = df.select(F.col(key), text.tokens(F.col(text_col)).alias("_t")).filter(F.size("_t") > 0)
+    cols = [f"_w{k}" for k in range(high)]
+    each = F.transform(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.struct(*[F.get("_t", i + k).alias(c) for k, c in enumerate(cols)]))
+    rows = t.select(key, F.explode(each).alias("_x")).select(key, "_x.*")
+    for k, c in enumerate(cols):
+        rows = rows.join(words.select(F.col("term").alias(f"_f{k}")), F.col(c) == F.col(f"_f{k}"), "inner" if k < low else "left")
+    terms, ok = [], F.lit(True)
+    for n in range(1, high + 1):
+        ok = ok & F.col(f"_f{n - 1}").isNotNull()
+        if n >= low:
+            terms.append(F.when(ok, F.concat_ws(" ", *cols[:n])))
+    return rows.select(key, F.explode(F.array_compact(F.array(*terms))).alias("term"))
 
 
 def known_counts(df: DataFrame, key: str, text_col: str, low: int, high: int, vocab: DataFrame) -> DataFrame:
     """(key, term, tf and the columns of vocab) of the terms in a bounded vocabulary: the others are dropped before rows move."""
-    t = df.select(F.col(key), text.tokens(F.col(text_col)).alias("_t")).select(key, F.explode(text.ngrams(F.col("_t"), low, high)).alias("term"))
-    counts = t.join(F.broadcast(vocab.select("term")), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    words = stored(vocab.select(F.explode(F.split("term", " ")).alias("term")).distinct(), "vocabulary-words")  # no more than n words a term
+    found = grams_of(df, key, text_col, low, high, F.broadcast(words))
+    counts = found.join(F.broadcast(vocab.select("term")), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
     return counts.join(F.broadcast(vocab), "term")
 
 
@@ -44,28 +58,38 @@ def _kept(by_term: DataFrame, n: int, cfg: Config) -> DataFrame:
     return by_term.filter((F.col("df") >= c.min_df) & (F.col("df") <= c.max_df * F.lit(n))).orderBy(F.desc("total"), "term").limit(c.max_features)
 
 
-def vocabulary(df: DataFrame, key: str, text_col: str, low: int, high: int, cfg: Config = DEFAULT) -> DataFrame:
-    """(term, df, idf): terms within the limits of document frequency, at most max_features by corpus count, ties by term.
+def fitted_terms(df: DataFrame, key: str, text_col: str, low: int, high: int, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """((term, df, idf), (key, term, tf)): the vocabulary, and the counts by row of its terms among others.
 
-    Words are counted first. A phrase is no more frequent than its rarest word, so where words alone fill the vocabulary,
-    phrases with a word below its last count are dropped before they are counted.
+    Terms are within the limits of document frequency, at most max_features by corpus count, ties by term. Words are
+    counted first, by sums that each task combines. A phrase is no more frequent than its rarest word and in no more
+    documents than it has places, so phrases are dropped, before they are put together, where a word is rarer than the
+    last one that could enter; counts by row are made only of terms that are frequent enough.
     """
-    n = df.count()
-    summed = lambda tf: tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    found = stored(summed(term_counts(df, key, text_col, 1, 1)), "word-counts")
+    n, c = df.count(), cfg.tfidf
+    t = df.select(text.tokens(F.col(text_col)).alias("_t"))
+    one = lambda x, total, rows: t.select(F.explode(x).alias("term"), F.lit(total).alias("total"), F.lit(rows).alias("df"))
+    words = one("_t", 1, 0).unionByName(one(F.array_distinct("_t"), 0, 1)).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+    words = stored(words, "word-counts")
+    last = _kept(words, n, cfg).agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
+    least = max(c.min_df, last["least"] if low == 1 and last["n"] >= c.max_features else 0)
+    common = stored(words.filter(F.col("total") >= least).select("term"), "frequent-words")
+    common = small(common, common.count())
+    likely = words.filter((F.col("total") >= least) & (F.col("df") <= c.max_df * F.lit(n))).select("term") if low == 1 else words.select("term").limit(0)
     if high > 1:
-        last = _kept(found, n, cfg).agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
-        least = last["least"] if last["n"] >= cfg.tfidf.max_features else 0
-        phrases = df.select(key, text.tokens(F.col(text_col)).alias("_t")).select(key, F.explode(text.ngrams(F.col("_t"), max(low, 2), high)).alias("term"))
-        if least > 1:
-            frequent = stored(found.filter(F.col("total") >= least).select("term"), "frequent-words")
-            f = small(frequent, frequent.count())
-            for k in range(high):
-                word = F.try_element_at(F.split("term", " "), F.lit(k + 1))
-                phrases = phrases.join(f.select(F.col("term").alias("_f")), F.coalesce(word, F.element_at(F.split("term", " "), 1)) == F.col("_f"), "left_semi")
-        phrases = summed(phrases.groupBy(key, "term").agg(F.count("*").alias("tf")))
-        found = phrases if low > 1 else found.unionByName(phrases)
-    return _kept(found, n, cfg).select("term", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+        phrases = grams_of(df, key, text_col, max(low, 2), high, common).groupBy("term").agg(F.count("*").alias("total")).filter(F.col("total") >= least)
+        likely = likely.unionByName(phrases.select("term"))
+    likely = stored(likely, "frequent-terms")
+    counts = grams_of(df, key, text_col, low, high, common).join(small(likely, likely.count()), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = stored(counts, "term-counts")
+    kept = _kept(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), n, cfg)
+    vocab = stored(kept.select("term", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
+    return vocab, counts
+
+
+def vocabulary(df: DataFrame, key: str, text_col: str, low: int, high: int, cfg: Config = DEFAULT) -> DataFrame:
+    """(term, df, idf) of fitted_terms()."""
+    return fitted_terms(df, key, text_col, low, high, cfg)[0]
 
 
 def tfidf(df: DataFrame, key: str = "doc_id", text_col: str = "text", cfg: Config = DEFAULT, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -74,9 +98,8 @@ def tfidf(df: DataFrame, key: str = "doc_id", text_col: str = "text", cfg: Confi
     The vocabulary has at most max_features terms, so it is broadcast.
     """
     c = cfg.tfidf
-    low, high = low or c.ngram_min, high or c.ngram_max
-    vocab = stored(vocabulary(df, key, text_col, low, high, cfg), "vocabulary")
-    w = known_counts(df, key, text_col, low, high, vocab).withColumn("w", ((1 + F.log("tf")) if c.sublinear else F.col("tf")) * F.col("idf"))
+    vocab, counts = fitted_terms(df, key, text_col, low or c.ngram_min, high or c.ngram_max, cfg)
+    w = counts.join(F.broadcast(vocab), "term").withColumn("w", ((1 + F.log("tf")) if c.sublinear else F.col("tf")) * F.col("idf"))
     return w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).select(key, "term", "weight")
 
 
