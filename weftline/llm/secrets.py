@@ -120,9 +120,10 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # spans follow from id and text alone, however many rows or repositories have both
     every = some.select("_id", "_h", F.explode(F.concat("_base", "_more")).alias("x")).distinct()
     is_base = F.col("x.k") < len(BASE)
-    by_start = Window.partitionBy("_id", "_h").orderBy("x.s")
-    ends = F.max(F.when(is_base, F.col("x.e"))).over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(F.when(is_base, F.col("x.s"))).over(by_start.rangeBetween(1, Window.unboundedFollowing))
+    # frames that grow from an end are one pass each; what follows a span is what precedes it from the other side
+    by_start = lambda order: Window.partitionBy("_id", "_h").orderBy(order)
+    ends = F.max(F.when(is_base, F.col("x.e"))).over(by_start(F.asc("x.s")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(is_base, F.col("x.s"))).over(by_start(F.desc("x.s")).rangeBetween(Window.unboundedPreceding, -1))
     apart = (F.coalesce(ends, F.lit(0)) <= F.col("x.s")) & (F.coalesce(after, F.col("x.e")) >= F.col("x.e"))
     spans = cut(every.withColumn("_apart", apart).filter(is_base | F.col("_apart")).drop("_apart"), "secret-candidates")
     # distinct values by repository first, so that a value copied everywhere is one row for each repository
