@@ -199,7 +199,7 @@ def report_frequent_keywords(spark, d):
 
 @query("SELECT * REPLACE (aciertos::BIGINT AS aciertos) FROM (" + STORED + sinks.REPORTS["hit_rate_by_category"] + ")")
 def report_hit_rate(spark, d):
-    return report(spark, d, "hit_rate_by_category")
+    return report(spark, d, "hit_rate_by_category").withColumn("pct_acierto", F.col("pct_acierto").cast("double"))
 
 
 @query(STORED + sinks.REPORTS["confident_errors"])
