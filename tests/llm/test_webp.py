@@ -339,3 +339,10 @@ def test_files_do_not_depend_on_their_neighbours():
     rng = random.Random(8)
     payloads = [media.payload(words(rng, n)) for n in (0, 1, 3, 50, 50, 700, 12, 900)] + [media.payload(b"ab" * 500), media.payload(b"")]
     assert webp.store_many(payloads) == [webp.store(p) for p in payloads]
+
+
+def test_larger_payloads_are_several_images(monkeypatch):
+    monkeypatch.setattr(webp, "FILE", 1 << 12)
+    p = media.payload(words(random.Random(2), 4000))
+    data = webp.store(p)
+    assert webp.load(data).tobytes() == p and data.count(b"WEBPVP8L") == -(-len(p) // (1 << 12))

@@ -49,7 +49,7 @@ def _describe(text: bytes, media: bytes, with_media: bool) -> tuple:
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
     """One row for each row of df: id and FIELDS, computed from the pixels read back; with_media adds the files.
 
-    Null and empty texts are one row of zeros. A text is one image; only beyond 32 MiB do files follow one another.
+    Null and empty texts are one row of zeros. A text is one image; only beyond 8 MiB do files follow one another.
     """
 
     bound_batches(df.sparkSession)

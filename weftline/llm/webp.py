@@ -33,7 +33,7 @@ MAX_SIDE, ROW = 16384, 64
 #: Bytes of a stream that are looked at at once; the least length of a back-reference in stored files, the farthest,
 #: the most bits of their caches; bytes that one file takes at most; bytes of payloads that are stored together; rows that
 #: the choice of transforms looks at.
-STRETCH, LEAST, FAR, CACHE, FILE, TOGETHER, SAMPLE = 1 << 17, 3, (1 << 20) - 120, 7, 1 << 25, 1 << 19, 16
+STRETCH, LEAST, FAR, CACHE, FILE, TOGETHER, SAMPLE = 1 << 17, 3, (1 << 20) - 120, 7, 1 << 23, 1 << 19, 16
 #: The code that stored files write code lengths with, by symbol: lengths of 5 to 7, no length and runs of none are the
 #: most frequent. Stored lengths are 13 at most, and repeats (16) are not used.
 META = np.array([3, 7, 7, 5, 4, 3, 3, 3, 4, 4, 5, 5, 7, 7, 0, 0, 0, 3, 4])
@@ -938,7 +938,7 @@ def store_many(payloads: list[bytes]) -> list[bytes]:
     """Payloads of positive multiples of ROW bytes, each as one WebP image, four bytes a pixel: red, green, blue, alpha.
 
     Images wider than ROW bytes are filled up with zeros, and their last pixel is the number of pixels before that.
-    A payload beyond FILE bytes, 32 MiB, takes several files, one after another, so that memory stays bounded.
+    A payload beyond FILE bytes, 8 MiB, takes several files, one after another, so that memory stays bounded.
     """
     images, owner = [], []
     for k, payload in enumerate(payloads):
