@@ -250,8 +250,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs, a's partners in blocks: its text goes once to each block, that of b once to each of its pairs."""
-        blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-        dealt = cut(pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "nb").alias("block"), "b"), f"{name}-pairs")
+        pairs = cut(pairs, f"{name}-pairs")
+        # only those of many partners, at most one in BLOCK of the pairs, need several blocks
+        many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("nb")).filter("nb > 1"), f"{name}-blocks")
+        dealt = pairs.join(small(many, many.count()), "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("nb", F.lit(1))).alias("block"), "b")
         hubs = dealt.select("a", "block").distinct().join(pool.withColumnRenamed("cid", "a"), "a").select("a", "block", F.lit(0).alias("role"), F.col("a").alias("b"), "_t")
         others = dealt.join(pool.withColumnRenamed("cid", "b"), "b").select("a", "block", F.lit(1).alias("role"), "b", "_t")
         rows = hubs.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", "role")
