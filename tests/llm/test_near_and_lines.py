@@ -84,6 +84,7 @@ def test_chain_is_one_component_and_blocks_find_what_hubs_miss(spark, monkeypatc
 @pytest.mark.parametrize("exact", [False, True])
 def test_a_large_group_of_near_copies_and_the_exact_setting(spark, monkeypatch, exact):
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "TOGETHER", 16)
     rng = random.Random(7)
     base = [f"b{i}" for i in range(60)]
     docs = [(i, " ".join(w if rng.random() > 0.03 else f"x{rng.randrange(9)}" for w in base)) for i in range(150)]

@@ -26,6 +26,8 @@ from .textgrams import U, chunks, give_back, mix, shingle_sets
 #: fewer than T agree in about 2 of a million such pairs. SCREEN of them are merged first; LEAST must be shared
 #: (missed by 3 of ten million pairs at 0.75).
 K, T, SCREEN, LEAST, BLOCK = 128, 73, 16, 3, 256
+#: Partners of one document that are confirmed together.
+TOGETHER = 64
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 2**64, K, dtype=U) | U(1)
 _B = _RNG.integers(0, 2**64, K, dtype=U)
@@ -251,8 +253,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs, a's partners in blocks: its text goes once to each block, that of b once to each of its pairs."""
         pairs = cut(pairs, f"{name}-pairs")
-        # only those of many partners, at most one in BLOCK of the pairs, need several blocks
-        many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("nb")).filter("nb > 1"), f"{name}-blocks")
+        # only those of many partners, at most one in TOGETHER of the pairs, need several blocks
+        many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("nb")).filter("nb > 1"), f"{name}-blocks")
         dealt = pairs.join(small(many, many.count()), "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("nb", F.lit(1))).alias("block"), "b")
         hubs = dealt.select("a", "block").distinct().join(pool.withColumnRenamed("cid", "a"), "a").select("a", "block", F.lit(0).alias("role"), F.col("a").alias("b"), "_t")
         others = dealt.join(pool.withColumnRenamed("cid", "b"), "b").select("a", "block", F.lit(1).alias("role"), "b", "_t")
