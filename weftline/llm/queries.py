@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, htmltree, linededup, media, minhash, packing, pieces, quality, secrets, sharding
+from . import collocations, decontam, htmltree, linededup, media, minhash, packing, pieces, quality, resampling, secrets, sharding, urlfilter
 from .common import table
 
 SHARD_BYTES = 1 << 20
+#: The rules of op11.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -54,6 +56,20 @@ def op10_html(spark, sf_dir):
     return htmltree.extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_url_filter(spark, sf_dir):
+    judged = urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+    return judged.withColumnRenamed("_id", "page_id")
+
+
+def op12_resampling(spark, sf_dir):
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("_id", "doc_id")
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.best_phrases(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -66,4 +82,7 @@ def oracle_sql():
         "op8_minhash": minhash.SQL,
         "op9_decontamination": decontam.SQL,
         "op10_html": htmltree.SQL,
+        "op11_url_filter": urlfilter.sql(URL_RULES),
+        "op12_resampling": resampling.SQL,
+        "op13_collocations": collocations.SQL,
     }
