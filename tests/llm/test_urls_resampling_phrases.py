@@ -158,8 +158,7 @@ def plain_phrases(docs, longest, least, inside, top):
 
 
 @pytest.mark.parametrize(("longest", "top"), [(2, 2000), (3, 2000), (3, 5), (4, 2000)])
-def test_phrases_against_a_plain_version(spark, monkeypatch, longest, top):
-    monkeypatch.setattr(collocations, "PART_ROWS", 20)
+def test_phrases_against_a_plain_version(spark, longest, top):
     rng = random.Random(longest)
     words = ["New", "york", "city", "of", "the", "é\u00a0x", "a"]
     docs = [("".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t", ". ", "\n", " ,"]) for _ in range(rng.randint(0, 60))), rng.choice(["en", "de", None, ""])) for _ in range(120)]
@@ -173,5 +172,5 @@ def test_phrases_against_a_plain_version(spark, monkeypatch, longest, top):
 def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 3_000_000_019, 5_000_000_087, 7_000_000_001
     below = spark.createDataFrame([(1, "en", "x", left, [], []), (2, "en", "y", right, [], [])], "id bigint, lang string, phrase string, f bigint, pre array<bigint>, suf array<bigint>")
-    named = collocations._named(spark.createDataFrame([(9, 1, 2, a)], "id bigint, c0 bigint, c1 bigint, f bigint"), below, 2)
+    named = collocations._named(spark.createDataFrame([(9, 1, 2, a)], "id bigint, c0 bigint, c1 bigint, f bigint"), below)
     assert named.select(collocations.cut_scores().alias("x")).first()["x"].score == 1_000_000 * a * a // (left * right)

@@ -3,39 +3,48 @@
 Every frequent word gets an id. The ids of neighbouring words form pairs; frequent pairs get ids of their own and replace
 their two words at each place, so that neighbouring pairs, which share a word, form three words, and so on. A name's
 two parts are its parents: phrases, the counts of every cut and the phrases that lie inside a longer one are looked up
-along them. All counts are partial sums before they move; texts are read twice, and what moves for each word is its
-place and id.
+along them. All counts are partial sums before they move. Texts are read twice and move once; for the second level
+and beyond, what moves for each place is its ids, packed two in a number where they fit.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, small
+from .common import ascii_lower, cut, numbered, small
 
 #: What ends a piece, and what a word is within one.
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 TOKEN = r"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+"
-#: Candidates of one language that one task sorts, about, before the best of all parts are sorted together.
-PART_ROWS = 1_000_000
 
 
-def tokens(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(_u, lang, _p, word): rows, and places that skip one at the end of a piece."""
+def tokens(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dealt: bool = False) -> DataFrame:
+    """(_u, lang, _p, word): rows, and places that skip one at the end of a piece. dealt: rows of one _u are in one partition."""
     found = F.regexp_extract_all(F.coalesce(F.col("_t"), F.lit("")), F.lit(TOKEN), F.lit(0))
-    numbered = docs.select(F.monotonically_increasing_id().alias("_u"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("_t"))
-    rows = numbered.select("_u", "lang", F.posexplode(found).alias("_p", "word"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_u"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("_t"))
+    rows = (rows.repartition("_u") if dealt else rows).select("_u", "lang", F.posexplode(found).alias("_p", "word"))
     return rows.filter(~F.col("word").isin(*BREAKS)).withColumn("word", ascii_lower(F.col("word")))
 
 
-def _named(pairs: DataFrame, below: DataFrame, n_below: int) -> DataFrame:
-    """(id, c0, c1, lang, phrase, f, pre, suf) of pairs (c0, c1, f) of names below: pre has the counts of the first 1, 2, ...
+def _pair(a: str | Column, b: str | Column, ids: int) -> Column:
+    """Two ids of so many as one key."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.shiftleft(a, 32).bitwiseOR(b) if ids < 1 << 31 else F.struct(a.alias("a"), b.alias("b"))
+
+
+def _parts(key: str, ids: int) -> tuple[Column, Column]:
+    return (F.shiftright(key, 32), F.col(key).bitwiseAND((1 << 32) - 1)) if ids < 1 << 31 else (F.col(f"{key}.a"), F.col(f"{key}.b"))
+
+
+def _named(pairs: DataFrame, below: DataFrame) -> DataFrame:
+    """(id, c0, c1, lang, phrase, f, pre, suf) of pairs (id, c0, c1, f) of names below: pre has the counts of the first 1, 2, ...
     words, suf those of what follows each."""
-    left = small(below.select(F.col("id").alias("c0"), "lang", F.col("phrase").alias("lp"), F.col("f").alias("lf"), F.col("pre").alias("lpre")), n_below)
-    right = small(below.select(F.col("id").alias("c1"), F.substring_index("phrase", " ", -1).alias("rw"), F.col("f").alias("rf"), F.col("suf").alias("rsuf")), n_below)
+    left = below.select(F.col("id").alias("c0"), "lang", F.col("phrase").alias("lp"), F.col("f").alias("lf"), F.col("pre").alias("lpre"))
+    right = below.select(F.col("id").alias("c1"), F.substring_index("phrase", " ", -1).alias("rw"), F.col("f").alias("rf"), F.col("suf").alias("rsuf"))
     return pairs.join(left, "c0").join(right, "c1").select(
         "id", "c0", "c1", "lang", F.concat_ws(" ", "lp", "rw").alias("phrase"), "f",
         F.concat("lpre", F.array("lf")).alias("pre"), F.concat(F.array("rf"), "rsuf").alias("suf"),
@@ -60,32 +69,38 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longes
     beyond them is more frequent. Null texts have no words; a null language is 'und'. Repeated rows count each.
     An empty table gives no rows.
     """
-    words = tokens(docs, text_col, lang_col)
-    every = cut(words.groupBy("lang", "word").agg(F.count("*").alias("f")), "phrases-words")
+    every = cut(tokens(docs, text_col, lang_col).groupBy("lang", "word").agg(F.count("*").alias("f")), "phrases-words")
     totals = cut(every.groupBy("lang").agg(F.sum("f").alias("n")), "phrases-totals")
     empty = F.array().cast("array<bigint>")
-    level = cut(every.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "f", empty.alias("pre"), empty.alias("suf")), "phrases-1")
-    n_level = level.count()
-    ids = words.join(small(level.select("lang", F.col("phrase").alias("word"), "id"), n_level), ["lang", "word"]).select("_u", "_p", "id")
+    first = every.filter(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), "f", empty.alias("pre"), empty.alias("suf"))
+    # the most frequent have the least ids, which are short
+    level = cut(numbered(first, "phrases-order", F.desc("f"), F.asc("lang"), F.asc("phrase"), number="id"), "phrases-1")
+    ids = level.count()
+    words = tokens(docs, text_col, lang_col, dealt=True).join(small(level.select("lang", F.col("phrase").alias("word"), "id"), ids), ["lang", "word"])
     w = Window.partitionBy("_u").orderBy("_p")
-    near = [F.col("id").alias("c0"), *[F.when(F.lead("_p", j).over(w) == F.col("_p") + j, F.lead("id", j).over(w)).alias(f"c{j}") for j in range(1, longest)]]
-    rows = cut(ids.select(*near).filter("c1 IS NOT NULL"), "phrases-places")
+    near = [F.when(F.lead("_p", j).over(w) == F.col("_p") + j, F.lead("id", j).over(w)).alias(f"c{j}") for j in range(1, longest)]
+    rows = words.select(F.col("id").alias("c0"), *near).filter("c1 IS NOT NULL")
+    rows = cut(rows.select(_pair("c0", "c1", ids).alias("k"), *[f"c{j}" for j in range(2, longest)]), "phrases-places")
     levels = []
     for k in range(2, longest + 1):
-        counted = rows.filter("c1 IS NOT NULL").groupBy("c0", "c1").agg(F.count("*").alias("f")).filter(F.col("f") >= least)
-        pairs = cut(counted.withColumn("id", F.monotonically_increasing_id()), f"phrases-pairs-{k}")
-        named = cut(_named(pairs, level, n_level), f"phrases-{k}")
-        n_level, level = named.count(), named
-        levels.append(named)
+        counted = cut(rows.groupBy("k").agg(F.count("*").alias("f")).filter(F.col("f") >= least), f"phrases-pairs-{k}")
+        pairs = cut(numbered(counted, f"phrases-order-{k}", F.desc("f"), F.asc("k"), number="id"), f"phrases-ids-{k}")
+        c0, c1 = _parts("k", ids)
+        level = cut(_named(pairs.select("id", c0.alias("c0"), c1.alias("c1"), "f"), level), f"phrases-{k}")
+        levels.append(level)
         if k == longest:
             break
-        # neighbouring names meet: the pair at each place replaces its first part, where both it and the next are frequent
-        ahead = rows.filter("c2 IS NOT NULL")
-        for j in range(longest - k + 1):
-            name = named.select(F.col("c0").alias("x"), F.col("c1").alias("y"), F.col("id").alias(f"q{j}"))
-            ahead = ahead.join(small(name, n_level), (F.col(f"c{j}") == F.col("x")) & (F.col(f"c{j + 1}") == F.col("y")), "inner" if j < 2 else "left").drop("x", "y")
-        renamed = ahead.select(*[F.col(f"q{j}").alias(f"c{j}") for j in range(longest - k + 1)])
-        rows = cut(renamed, f"phrases-places-{k}") if k + 1 < longest else renamed
+        # the pair at each place replaces its first part, where both it and the next one are frequent
+        ahead, more = rows.filter("c2 IS NOT NULL"), longest - k
+        for j in range(more + 1):
+            name = pairs.select("k", F.col("id").alias(f"q{j}"))
+            rest = [F.col(f"c{i}") for i in range(j + 2, more + 2)]
+            known = [F.col(f"q{i}") for i in range(j + 1)]
+            following = [_pair(_parts("k", ids)[1], f"c{j + 2}", ids).alias("k")] if j < more else []
+            ahead = ahead.join(name, "k", "inner" if j < 2 else "left").select(*known, *following, *rest[1:])
+        ids = pairs.count()
+        rows = ahead.select(_pair("q0", "q1", ids).alias("k"), *[F.col(f"q{j}").alias(f"c{j}") for j in range(2, more + 1)])
+        rows = cut(rows, f"phrases-places-{k}") if k + 1 < longest else rows
     kept = []
     for k, named in enumerate(levels, 2):
         if k < longest:
@@ -103,7 +118,7 @@ def best_phrases(docs: DataFrame, top: int = 2000, text_col: str = "text", lang_
     """
     found, totals = mine(docs, text_col, lang_col, longest, least, inside)
     found = cut(found, "phrases-found")
-    parts = max(1, found.count() // PART_ROWS)
+    parts = max(1, math.isqrt(found.count() // top))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order)
     first = found.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= top)

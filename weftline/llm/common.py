@@ -73,3 +73,18 @@ def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
         c = left[a].eqNullSafe(right[b])
         out = c if out is None else out & c
     return out
+
+
+def numbered(df: DataFrame, name: str, *order: Column, number: str = "_n") -> DataFrame:
+    """df, stored, with a running number from 1 in the given order, which must tell rows apart where the numbers are to be stable.
+
+    Rows are dealt by range and numbered within; a range begins where those before it end, so no task sees them all.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), name)
+    before, starts = 0, []
+    for r in placed.groupBy(F.shiftright("_m", 33).alias("p")).count().orderBy("p").collect():  # a row for each partition
+        starts.append((r["p"], before))
+        before += r["count"]
+    starts = df.sparkSession.createDataFrame(starts, "_p bigint, _s bigint")
+    joined = placed.join(F.broadcast(starts), F.shiftright("_m", 33) == F.col("_p"))
+    return joined.select(*df.columns, (F.col("_s") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).alias(number))

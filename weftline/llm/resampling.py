@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, drop_cut
+from .common import ascii_lower, cut, drop_cut, numbered
 
 #: A word: letters a-z in either case, digits, and all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -20,11 +20,12 @@ def ngram_buckets(df: DataFrame, text_col: str = "text", orders: int = 2, bucket
     """(_u, keep..., b1..bN): a row for each word of each row of df, with the buckets of the n-grams that begin there.
 
     _u tells rows apart, equal ones too. An n-gram that would pass the text's end is null; a text without words
-    gives one row of nulls. The words of a text meet in one window, so a task holds no more than the longest text.
+    gives one row of nulls. Texts are dealt by _u before their words are laid out, so the words stay where they are and
+    meet in one window.
     """
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))
-    numbered = df.withColumn("_u", F.monotonically_increasing_id())  # before words are laid out
-    placed = numbered.select("_u", *keep, F.posexplode_outer(words).alias("_p", "_w")).withColumn("_w", ascii_lower(F.col("_w")))
+    dealt = df.withColumn("_u", F.monotonically_increasing_id()).repartition("_u")
+    placed = dealt.select("_u", *keep, F.posexplode_outer(words).alias("_p", "_w")).withColumn("_w", ascii_lower(F.col("_w")))
     w = Window.partitionBy("_u").orderBy("_p")
     follows = [F.col("_w"), *[F.lead("_w", n).over(w) for n in range(1, orders)]]
     grams = placed.select("_u", *keep, *[x.alias(f"w{n}") for n, x in enumerate(follows, 1)])
@@ -66,17 +67,8 @@ def resample(
     sums = cut(sums.withColumn("in", F.col("n_words") >= least_words).drop("g"), "resample-scores")
     drop_cut(rows)
     n = sums.filter("in").count() * percent // 100
-    # rows are dealt by range and numbered within; where a range begins follows from how many rows those before it have
-    order = [F.desc("in"), F.desc("score"), F.asc_nulls_last("_id"), F.asc("_u")]
-    placed = cut(sums.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "resample-order")
-    before, starts = 0, []
-    for r in placed.groupBy(F.shiftright("_m", 33).alias("p")).count().orderBy("p").collect():  # a row for each partition
-        starts.append((r["p"], before))
-        before += r["count"]
-    starts = sums.sparkSession.createDataFrame(starts, "p bigint, s bigint")
-    numbered = placed.withColumn("p", F.shiftright("_m", 33)).join(F.broadcast(starts), "p")
-    rank = F.col("s") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1
-    return numbered.select("_id", "n_words", "n_features", "weight", "score", F.when(rank <= n, rank).alias("rank"))
+    ranks = numbered(sums, "resample-order", F.desc("in"), F.desc("score"), F.asc_nulls_last("_id"), F.asc("_u"))
+    return ranks.select("_id", "n_words", "n_features", "weight", "score", F.when(F.col("_n") <= n, F.col("_n")).alias("rank"))
 
 
 #: DuckDB: the same, with a CRC over the bytes of each different feature.
