@@ -1,12 +1,13 @@
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT
-from weftline.operators import evaluation, learning, reporting, retrieval
+from weftline.operators import evaluation, latent, learning, reporting, retrieval
 from weftline.operators.language_id import LanguageId, Registry
 from weftline.operators.predict import Analyzer
 
@@ -46,6 +47,72 @@ def test_explanation(spark, analyzer):
     assert analyzer.health()["categories"] == ["Backend", "Datos", "DevOps"]
 
 
+def test_whole_response_before_and_after_reload(spark, docs, analyzer, tmp_path):
+    analyzer.fit_topics(least=8, samples=3)
+    good = "El servidor de la api en java con spring que responde la petición para los usuarios con una api por el servidor."
+    rows = [(1, "Servicio", good, "abc-123"), (2, "Servicio", good, None), (3, "Título", "corto", "x"), (4, "Contenedores", "El despliegue de docker en kubernetes con el contenedor para la tubería de los que se despliegan una por una.", None)]
+    df = spark.createDataFrame(rows, "doc_id int, title string, body string, external_id string")
+    got = {r["doc_id"]: r for r in analyzer.respond(df).collect()}
+    assert got[1]["response_id"] == "abc-123" and got[2]["response_id"] == got[2]["short_id"] and got[3]["error"] == "longitud_insuficiente"
+    assert [x["category"] for x in got[1]["related"]] == ["Backend"] * 3 and [x["similarity"] for x in got[1]["related"]] == sorted((x["similarity"] for x in got[1]["related"]), reverse=True)
+    assert got[1]["explanation"]["centroids"][0]["label"] == "Backend" and got[4]["explanation"]["centroids"][0]["label"] == "DevOps"
+    assert got[3]["explanation"] is None and got[3]["related"] is None and got[3]["topic"] is None
+    signs = [t["sign"] for t in got[1]["explanation"]["terms"]]
+    assert signs == sorted(signs, key=lambda s: s != "for")
+    topics = {r["topic"]: r["label"] for r in analyzer.topic_labels.collect()}
+    assert len([t for t in topics if t >= 0]) == 3 and got[1]["topic"]["id"] >= 0 and got[1]["topic"]["label"] == topics[got[1]["topic"]["id"]] != got[4]["topic"]["label"]
+    own = {r["query_id"]: r["topic"] for r in analyzer.topics.assign(analyzer.items.withColumnRenamed("doc_id", "query_id")).collect()}
+    assert own == {r["id"]: r["topic"] for r in analyzer.topics.labels.collect()}
+    analyzer.save(f"file://{tmp_path}/engine")
+    again = Analyzer.load(spark, f"file://{tmp_path}/engine")
+    assert again.cfg == analyzer.cfg and again.health() == analyzer.health()
+    assert {r["doc_id"]: r for r in again.respond(df).collect()} == got
+    analyzer.topics = analyzer.topic_labels = None
+    plain = {r["doc_id"]: r for r in analyzer.respond(df, explain=False, related=False).collect()}
+    assert plain[1]["topic"]["id"] == -1 and plain[1]["explanation"] is None and plain[1]["related"] is None
+
+
+def test_learned_vectors_against_an_exact_decomposition(spark):
+    rng = np.random.default_rng(5)
+    a = (rng.random((150, 70)) < 0.15) * rng.random((150, 70)) + np.outer(np.arange(150) % 3 == 0, np.arange(70) < 20) * 0.5 + np.outer(np.arange(150) % 3 == 1, np.arange(70) > 50) * 0.4
+    w = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "doc_id bigint, index int, weight double").repartition(4)
+    rows = latent.weight_rows(w).cache()
+    v, s = latent.factorise(rows, 70, 12)
+    exact = np.linalg.svd(a, compute_uv=False)[:12]
+    assert np.abs(s / exact - 1).max() < 0.01 and np.abs(v.T @ v - np.eye(12)).max() < 1e-6
+    got = {r["doc_id"]: np.array(r["vector"]) for r in latent.project(rows, v).collect()}
+    for i in got:
+        want = a[i] @ v
+        assert np.abs(got[i] - want / np.linalg.norm(want)).max() < 1e-9
+    full, all_values = latent.factorise(rows, 70, 384)
+    assert full.shape[1] <= 70 and np.abs(all_values[:5] / np.linalg.svd(a, compute_uv=False)[:5] - 1).max() < 1e-6
+    assert latent.factorise(rows.limit(0), 70, 5)[0].shape[1] == 0
+
+    def plain(doc, k, diversity, candidates):
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        near = {int(j): round(float(unit[j] @ got[doc]), 10) for j in sorted(np.flatnonzero(a[doc]), key=lambda j: (-a[doc, j], j))[:candidates]}
+        picked = []
+        while near and len(picked) < k:
+            worth = {j: round((1 - diversity) * x - diversity * max(float(unit[j] @ unit[p]) for p in picked), 10) if picked else x for j, x in near.items()}
+            j = min(worth, key=lambda j: (-worth[j], j))
+            picked.append(j)
+            del near[j]
+        return picked
+
+    found = {}
+    for r in latent.key_terms(rows, v, 6, 0.5, 9).orderBy("rank").collect():
+        found.setdefault(r["doc_id"], []).append(r["index"])
+    assert all(found[i] == plain(i, 6, 0.5, 9) for i in list(got)[:40])
+
+
+def test_learned_neighbours_share_labels_oftener_than_hashed_ones(docs, analyzer):
+    words = analyzer._weights(docs.withColumn("text", F.regexp_replace("text", "[.]", "")), analyzer.vocab, DEFAULT)
+    label = {r["doc_id"]: r["label"] for r in docs.collect()}
+    share = lambda df: np.mean([label[r["query_id"]] == label[r["doc_id"]] for r in retrieval.related(df, n=5).collect()])
+    learned, hashed = share(latent.project(latent.weight_rows(words), analyzer.terms[:, :8])), share(retrieval.embed(words))
+    assert learned >= hashed and learned > 0.9
+
+
 def test_calibration_and_folds(spark, docs, analyzer):
     feats = Analyzer._features(docs, analyzer.vocab, DEFAULT)
     cfg = replace(DEFAULT, classification=replace(DEFAULT.classification, folds=2))
@@ -67,6 +134,8 @@ def test_clusters_topics_and_projection(spark):
     assert learning.kmeans_sweep(v, cfg=cfg)[1] == 3
     _, shares = learning.project(v)
     assert shares[0] > 0.9
+    empty = learning.kmeans_sweep(v.limit(2))
+    assert empty[0].count() == 0 and empty[1] == 0
     t = learning.cluster(v, 3).drop("features").join(learning.topics(v).select("doc_id", "topic"), "doc_id")
     assert reporting.rescue_outliers(t).filter("topic_final = -1").count() <= t.filter("topic = -1").count()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, is_dataclass
 
 
 # Thresholds that results depend on.
@@ -143,6 +143,16 @@ class Config:
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True, ensure_ascii=False)
 
+    @classmethod
+    def from_json(cls, settings: str) -> Config:
+        """The settings that to_json() wrote."""
+        made = {}
+        for name, value in json.loads(settings).items():
+            part = getattr(DEFAULT, name)
+            fields = lambda d: {k: tuple(v) if isinstance(v, list) else v for k, v in d.items()}
+            made[name] = type(part)(**fields(value)) if is_dataclass(part) else tuple(value) if isinstance(value, list) else value
+        return cls(**made)
+
     def fingerprint(self) -> str:
         """SHA-256 of the settings as JSON with sorted keys."""
         return hashlib.sha256(self.to_json().encode()).hexdigest()

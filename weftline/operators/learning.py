@@ -20,6 +20,7 @@ from ..config import DEFAULT, Config
 from ..functions import text
 from ..session import small, stored
 from . import evaluation, keywords, reporting
+from .density import DensityTopics
 
 
 def sparse_features(weights: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -255,7 +256,8 @@ def _silhouettes(centres: dict, stats: dict):  # noqa: ANN202
 
 
 def kmeans_sweep(df: DataFrame, features: str = "features", cfg: Config = DEFAULT) -> tuple[DataFrame, int]:
-    """((k, inertia, silhouette), best k): every k the settings allow, the best of n_init seeds by inertia.
+    """((k, inertia, silhouette), best k): every k the settings allow, the best of n_init seeds by inertia; none, and 0, for
+    tables of fewer than three rows.
 
     The fits of all k and seeds take their steps in the same scans, each until its centres rest or 300 steps are done.
     """
@@ -293,7 +295,8 @@ def kmeans_sweep(df: DataFrame, features: str = "features", cfg: Config = DEFAUL
         total = _added(_partials(x, _silhouettes(best, stats)))[0]
         rows = [(k, inertia[k], float(t / n)) for k, t in zip(ks, total, strict=True)]
     x.unpersist()
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double"), max(rows, key=lambda r: r[2])[0]
+    best_k = max(rows, key=lambda r: r[2])[0] if rows else 0
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double"), best_k
 
 
 def cluster(df: DataFrame, k: int, features: str = "features", cfg: Config = DEFAULT) -> DataFrame:
@@ -307,25 +310,17 @@ def project(df: DataFrame, k: int = 2, features: str = "features") -> tuple[Data
     return m.transform(centred).drop("_c"), [float(x) for x in m.explainedVariance]
 
 
-def topics(df: DataFrame, features: str = "features", cfg: Config = DEFAULT) -> DataFrame:
-    """df with topic: clusters of a reduced space whose sparse members and small clusters are outliers (-1).
+def topics(df: DataFrame, features: str = "features", cfg: Config = DEFAULT, key: str = "doc_id") -> DataFrame:
+    """df with topic: density clusters in a space of few components; what lies outside of all is -1.
 
-    A row is an outlier if it lies further from its centre than the mean of its cluster by two deviations.
+    Topics are numbered from 0 by falling size; the least size follows the rows, within the settings.
     """
     c = cfg.clustering
     n = df.count()
-    least = max(c.topic_size_floor, n // c.topic_size_divisor)
-    reduced, _ = project(df, c.components, features)
-    k = min(c.k_max, max(2, n // max(4 * least, 1)))
-    m = KMeans(k=k, seed=cfg.seed, featuresCol="pca", maxIter=50).fit(reduced)
-    centres = df.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m.clusterCenters())], "_k int, _v array<double>")
-    placed = m.transform(reduced).withColumnRenamed("prediction", "_k").join(F.broadcast(centres), "_k")
-    far = F.sqrt(F.aggregate(F.zip_with(vector_to_array("pca"), "_v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    placed = placed.withColumn("_d", far)
-    stats = placed.groupBy("_k").agg(F.avg("_d").alias("_m"), F.stddev_pop("_d").alias("_s"), F.count("*").alias("_n"))
-    out = placed.join(F.broadcast(stats), "_k")
-    topic = F.when((F.col("_n") < least) | (F.col("_d") > F.col("_m") + 2 * F.col("_s")), -1).otherwise(F.col("_k"))
-    return out.withColumn("topic", topic).drop("_k", "_v", "_d", "_m", "_s", "_n", "pca")
+    reduced = project(df, min(c.components, df.first()[features].size), features)[0] if n > 1 else df.withColumn("pca", F.col(features))
+    found = DensityTopics.fit(reduced.select(key, vector_to_array("pca").alias("vector")), max(c.topic_size_floor, n // c.topic_size_divisor), item_id=key, seed=cfg.seed)
+    labels = found.labels.select(F.col("id").alias(key), "topic")
+    return df.join(labels, key, "left").withColumn("topic", F.coalesce("topic", F.lit(-1)))
 
 
 def describe_topics(df: DataFrame, cluster_col: str = "cluster", topic_col: str = "topic", text_col: str = "text", cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -708,7 +708,7 @@ def pca(spark, d):
 
 @query()
 def topics(spark, d):
-    return learning.topics(vectors_of(spark, d)).groupBy("topic").agg(F.count("*").alias("n"))
+    return learning.topics(vectors_of(spark, d), key="vec_id").groupBy("topic").agg(F.count("*").alias("n"))
 
 
 @query()

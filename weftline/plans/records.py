@@ -11,7 +11,8 @@ from .. import fixed
 from ..config import DEFAULT
 from ..functions import language, text, vectors
 from ..operators import dedup, evaluation, keywords, learning, reporting, retrieval, validation
-from ..session import workspace
+from ..operators.vector_index import VectorIndex, recall
+from ..session import stored, workspace
 from ..sources import corpus as collection
 from ..sources import seeds, sinks
 from .catalog import BODY, CLEAN, FREQUENCY, NON_ALPHA, SCORES, SHINGLES, TFIDF, UPPER, WHITE, class_scores, corpus, lang_sql, query, table
@@ -463,3 +464,27 @@ def class_terms(spark, d):
     labelled = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
     a = Analyzer.fit(labelled)
     return learning.global_explanation(a.model, a.vocab, a.labels).withColumn("coefficient", F.round("coefficient", 6))
+
+
+@query("SELECT count(*) AS queries, 5 * count(*) AS links, true AS enough FROM embeddings")
+def vector_index(spark, d):
+    """Every vector's five nearest others by the index, and whether nine tenths of the exact ones, asked for by every 20th id, are among them."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    found = stored(VectorIndex.fit(e).related(5), "index-found")
+    asked = e.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    exact = retrieval.search(asked, e, 6).filter("query_id <> doc_id").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("r <= 5")
+    share = recall(found, exact)
+    return found.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("links"), F.lit(share >= 0.9).alias("enough"))
+
+
+@query()
+def responses(spark, d):
+    """The whole response to every document, by an engine that was saved and loaded."""
+    from ..operators.predict import Analyzer
+
+    docs = table(spark, d, "documents")
+    labelled = docs.join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
+    path = f"{workspace(spark)}/engine-{uuid.uuid4().hex}"
+    Analyzer.fit(labelled).fit_topics().save(path)
+    got = Analyzer.load(spark, path).respond(corpus(spark, d).withColumn("external_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x-"), F.col("doc_id")))))
+    return got.select("doc_id", "response_id", "category", "probability", F.array_join("keywords", ", ").alias("keywords"), "topic.id", "topic.label", F.to_json("explanation").alias("explanation"), F.to_json("related").alias("related"), "error")

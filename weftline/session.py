@@ -92,4 +92,14 @@ def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFr
     lost executor costs nothing before it."""
     path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+    out = df.sparkSession.read.schema(schema or df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files behind a stored() table that no later plan reads."""
+    path = getattr(df, "_weftline_path", None)
+    if path:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
