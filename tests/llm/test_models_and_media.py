@@ -2,6 +2,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,8 +127,8 @@ def test_scores_equal_a_plain_evaluation():
 
 def test_training_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(quality, "TRAIN_PASSAGES", 5)
-    bag = quality.training_bag(b"uno dos tres. " * 2000)
-    assert len(bag) == 5 and len(quality.training_bag(b"")) == 1
+    bag = quality.training_bag(b"uno dos tres. " * 2000, 5)
+    assert len(bag) == 5 and len(quality.training_bag(b"")) == 1 and len(quality.training_bag(b"uno dos tres. " * 9000, None)) == 422
     rows = [(1, "uno dos tres")] * 50 + [(2, "%% !! %%")] * 50 + [(2, "otra fila")]
     model = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
     assert "W" in model or "constant" in model
@@ -420,3 +421,37 @@ def test_page_table(spark):
     assert sorted(r["text"] for r in got) == ["", "", "", "Hola."]
     assert re.fullmatch(r"\S+", got[0].asDict()["x"])
     assert htmltree.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def block_f1(pairs):
+    """F1 of blocks over (expected, found) lists."""
+    hit = sum(sum((Counter(a) & Counter(b)).values()) for a, b in pairs)
+    return 2 * hit / max(sum(len(a) + len(b) for a, b in pairs), 1)
+
+
+@pytest.mark.parametrize(("opening", "closing"), [("<section>", "</section>"), ("<div>", "</div>"), ("<main>", "</main>"), ("<table><tr><td>", "</td></tr></table>"), ("<blockquote>", "</blockquote>"), ("<div class=related-post>", "</div>"), ("<section id=zq7>", "</section>")])
+def test_supplied_articles_in_other_containers(opening, closing):
+    import pyarrow.parquet as pq
+
+    w = htmltree.weights()
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    split = lambda t: t.split("\n\n") if t else []
+    pairs = [(split(htmltree.extract(h, w)), split(htmltree.extract(h.replace("<article>", opening).replace("</article>", closing), w))) for h in pages]
+    kept = sum(sum((Counter(a) & Counter(b)).values()) for a, b in pairs) / sum(len(a) for a, _ in pairs)
+    assert kept >= 0.99 and block_f1(pairs) >= 0.99
+
+
+def test_layouts_with_names_that_the_fit_did_not_see():
+    w = htmltree.weights()
+    rng = random.Random(3)
+    known = re.compile(r"\b(" + "|".join(htmltree.WORD_GROUPS) + r")\b")
+    unseen = "lede hentry blurb copyblock zone panel box grid wrapper shell mod unit tile strip".split()
+
+    def renamed(page):
+        return re.sub(r"((?:class|id)=)([\"'])([^\"']*)\2", lambda m: m[1] + m[2] + known.sub(lambda _: rng.choice(unseen), m[3]) + m[2], page)
+
+    pages = htmltree.labelled_pages(150, seed=77)
+    f1 = lambda change: block_f1([(blocks, [t for t in htmltree.extract(change(page), w).split("\n\n") if t]) for page, blocks in pages])
+    assert f1(lambda p: p) >= 0.97
+    # without any name, adverts of one sentence within an article look like its paragraphs
+    assert f1(renamed) >= 0.9

@@ -35,7 +35,7 @@ def groups(docs):
     for k, (i, _) in enumerate(docs):
         r = find(k)
         least[r] = min(x for x in (least.get(r), i) if x is not None) if (least.get(r), i) != (None, None) else None
-    return sorted((i, len(s[k]), least[find(k)]) for k, (i, _) in enumerate(docs))
+    return sorted(((i, len(s[k]), least[find(k)]) for k, (i, _) in enumerate(docs)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def near(spark, docs):
@@ -200,3 +200,27 @@ def test_within_one():
     one = linededup.within_one
     assert one("abc", "abc") and one("abc", "abx") and one("abc", "ab") and one("ab", "xab") and one("", "a") and one("", "")
     assert not one("abc", "acb") and not one("abc", "a") and not one("ab", "cd")
+
+
+def test_null_ids_in_linked_sets_do_not_hide_the_least_id(spark):
+    x = " ".join(f"w{i}" for i in range(60))
+    near = x + " extra"
+    docs = [(None, x), (5, x), (9, near), (None, "alone but for itself in this table"), (None, near), (12, "other words that nobody else has at all"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = groups(docs)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for exact in (False, True):
+        got = sorted(((r["_id"], r["n_shingles"], r["component"]) for r in minhash.near_duplicates(df, exact=exact).collect()), key=key)
+        assert got == sorted(want, key=key)
+        assert {(i, c) for i, _, c in got} >= {(5, 5), (9, 5), (None, 5), (12, 12), (None, None)}
+
+
+def test_short_lines_by_code_points_and_columns_of_the_same_names(spark):
+    docs = [(1, "Accept all cookies\nab\nthe quick brown fox jumps", 7, "a"), (2, "Accept all cookie\nac\nthe quick brown fax jumps\nthe quick red fox jumps high", 8, "b")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, n_lines int, N_removed string")
+    plain = {r["doc_id"]: r for r in linededup.dedup_lines(df).collect()}
+    assert plain[2]["text"] == "Accept all cookie\nac\nthe quick red fox jumps high" and (plain[2]["n_lines"], plain[2]["N_removed"], plain[2]["n_lines_"], plain[2]["n_removed_"]) == (8, "b", 4, 1)
+    exact = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df, least_words=1 << 30, least_chars=1).collect()}
+    assert exact == {1: docs[0][1], 2: "the quick red fox jumps high"}
+    three = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df, least_words=3).collect()}
+    assert three[2] == "ac\nthe quick red fox jumps high"

@@ -66,6 +66,14 @@ def ascii_lower(c: Column) -> Column:
     )
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or that with as many underscores behind it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
     """Null-safe equality on the pairs of columns, as a join condition."""
     out = None

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, free
 
 # Elements of HTML by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -201,7 +201,7 @@ def parse(source: str) -> Page:
 
 N_KIND, N_GROUP = len(KINDS), len(GROUPS)
 VAGUE = np.array([k in ("div", "section", "other", "cell", "list", "table") for k in KINDS])
-N_UNARY = N_KIND + 2 * N_GROUP + 8
+N_UNARY = N_KIND + 2 * N_GROUP + 10
 N_PAIR = 2  # child's state equal to the parent's: content with content, other with other; for each kind of child
 WEIGHTS = N_UNARY + N_PAIR * N_KIND
 
@@ -239,6 +239,12 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # lengths speak for containers that tags leave open; a short paragraph is content where its container is
     x[:, [b + 2, b + 3, b + 4, b + 6]] *= VAGUE[kind][:, None]
     x[:, b + 7] = 1
+    # a heading of the page or its parts, and paragraphs, beneath a container
+    beneath = np.stack([np.isin(kind, (KINDS.index("h1"), KINDS.index("h"))), kind == KINDS.index("p")], 1).astype(float)
+    for i in range(n - 1, 0, -1):
+        beneath[page.parent[i]] += beneath[i]
+    x[:, b + 8] = (beneath[:, 0] > 0) * VAGUE[kind]
+    x[:, b + 9] = np.log1p(np.minimum(beneath[:, 1], 8)) / 2 * VAGUE[kind]
     return x, kind, np.array(page.parent)
 
 
@@ -358,11 +364,16 @@ def labelled_pages(n: int = 240, seed: int = 10) -> list[tuple[str, list[str]]]:
             else:
                 body.append(junk(pick("ad", "note", "share", "talk")))
         inner = "".join(body)
-        good = pick(*WORDS["good"].split())
-        main = pick(
-            f"<article>{inner}</article>", f"<article>{inner}</article>", f"<article class='{good}'>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>",
-            f"<div class='{good}'>{inner}</div>", f"<div id='{good}-{word()}'>{inner}</div>", f"<div>{inner}</div>", f"<section class='{good}'>{inner}</section>", f"<div role='main'>{inner}</div>",
-        )
+        # container and name are drawn apart from each other; a name may mislead
+        roll = rng.random()
+        name = word() if roll < 0.15 else pick(*WORDS[pick(*GROUPS[1:])].split()) + f"-{word()}" if roll < 0.3 else pick(*WORDS["good"].split()) + pick("", f"-{word()}")
+        attr = pick("", f" class='{name}'", f" id='{name}'", f" class='{word()} {name}'") if rng.random() < 0.65 else ""
+        tag = pick("article", "article", "article", "main", "div", "div", "section", "section", "td", "blockquote")
+        main = f"<{tag}{attr}>{inner}</{tag}>"
+        if tag == "td":
+            main = f"<table><tr>{main}</tr></table>"
+        elif rng.random() < 0.15:
+            main = f"<main{pick('', ' role=main')}>{main}</main>"
         before = [junk(k) for k in ("top", "menu", "note", "ad", "share", "side") if rng.random() < 0.45]
         after = [junk(k) for k in ("talk", "side", "ad", "foot", "menu", "note") if rng.random() < 0.45]
         whole = "".join(before) + main + "".join(after)
@@ -426,7 +437,7 @@ _fitted: list[np.ndarray] = []
 def weights() -> np.ndarray:
     """The default model, fitted once for each process on labelled_pages()."""
     if not _fitted:
-        _fitted.append(fit(labelled_pages()))
+        _fitted.append(fit(labelled_pages(400), rounds=60))
     return _fitted[0]
 
 
@@ -447,14 +458,18 @@ def extract(source: str, w: np.ndarray) -> str:
 
 
 def extract_pages(df: DataFrame, html_col: str = "html", out_col: str = "text", w: np.ndarray | None = None) -> DataFrame:
-    """df with the main text of html_col in out_col: '' for null, empty and text-free pages. Every row is kept."""
+    """df with the main text of html_col in out_col: '' for null, empty and text-free pages. Every row is kept.
+
+    Where df has a column of out_col's name, the text's has underscores behind it. What stands in svg, math, canvas, object, audio, video
+    and other elements that show no running text is not read, within an article either.
+    """
     bound_batches(df.sparkSession)
     w = weights() if w is None else w
 
     def texts(pages: pa.Array) -> pa.Array:
         return pa.array([extract(p or "", w) for p in pages.to_pylist()], pa.string())
 
-    return df.withColumn(out_col, F.arrow_udf(texts, "string")(F.col(html_col)))
+    return df.withColumn(free(df, out_col), F.arrow_udf(texts, "string")(F.col(html_col)))
 
 
 def sql_blocks(text: str) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, drop_cut, small
+from .common import bound_batches, cut, drop_cut, free, small
 from .textgrams import BASE, U, give_back, mix, powers, span_hashes
 
 #: Lines that are empty after folding stay; an edit is a word in lines of so many words, else a code point in lines of so many.
@@ -36,7 +36,7 @@ def fold(line: Column) -> Column:
     return F.btrim(F.lower(line), F.lit(WHITE))
 
 
-def _parts(f: Column, w: Column) -> Column:
+def _parts(f: Column, w: Column, least_words: int, least_chars: int) -> Column:
     """Hashes of the outer units that a line f of words w shares with a partner of as many units, one fewer or one more.
 
     Of two partners the longer has n units, or both have; their first or their last (n - 1) div 2 units agree. Each
@@ -53,17 +53,17 @@ def _parts(f: Column, w: Column) -> Column:
         m = half(size)
         return F.array(F.xxhash64(F.lit("[<"), size, F.substring(f, F.lit(1), m)), F.xxhash64(F.lit("[>"), size, F.substring(f, chars - m + 1, m)))
 
-    return F.when(words >= LEAST_WORDS, F.concat(by_words(words), by_words(words + 1))).when(chars >= LEAST_CHARS, F.concat(by_chars(chars), by_chars(chars + 1)))
+    return F.when(words >= least_words, F.concat(by_words(words), by_words(words + 1))).when(chars >= least_chars, F.concat(by_chars(chars), by_chars(chars + 1)))
 
 
-def units(line: str) -> list[str]:
+def units(line: str, least_words: int = LEAST_WORDS) -> list[str]:
     words = line.split(" ")
-    return words if len(words) >= LEAST_WORDS else list(line)
+    return words if len(words) >= least_words else list(line)
 
 
-def unit_hashes(line: str) -> np.ndarray:
+def unit_hashes(line: str, least_words: int = LEAST_WORDS) -> np.ndarray:
     """Hashes of a line's words; of its code points, apart from those of words, if it has few."""
-    if line.count(" ") + 1 < LEAST_WORDS:
+    if line.count(" ") + 1 < least_words:
         return mix(np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(U) + U(0xC0DE << 32)) + U(1)
     buf = np.frombuffer(line.encode() + b" ", np.uint8)
     ends = np.flatnonzero(buf == 32)
@@ -84,11 +84,11 @@ def variants(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.astype(np.int64), np.concatenate((np.zeros(n, np.int8), np.ones(len(alone), np.int8), np.full(1, 2, np.int8)))
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts, size = [], 0
         for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys, kind = variants(unit_hashes(line))
+            keys, kind = variants(unit_hashes(line, least_words))
             parts.append((np.full(len(keys), h, np.int64), keys, kind))
             size += len(keys)
             if size > 200_000:
@@ -115,20 +115,20 @@ def within_one(a: list, b: list) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [within_one(units(a), units(b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        keep = [within_one(units(a, least_words), units(b, least_words)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["h"])
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(_id, _h, pos) of every line that goes, from docs (_id, _h, _t). A line is known by 128 bits of hash."""
     bound_batches(docs.sparkSession)
     place = ["_id", "_h", "pos"]
     order = F.struct(*place)
     folded = docs.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line")).select(*place, fold(F.col("line")).alias("f"))
     lines = folded.filter(F.length("f") >= min_chars).withColumn("w", F.split("f", " "))
-    lines = lines.select(*place, F.xxhash64("f").alias("a"), F.xxhash64(F.lit(1), "f").alias("b"), _parts(F.col("f"), F.col("w")).alias("k"))
+    lines = lines.select(*place, F.xxhash64("f").alias("a"), F.xxhash64(F.lit(1), "f").alias("b"), _parts(F.col("f"), F.col("w"), least_words, least_chars).alias("k"))
     keyed = cut(lines.drop("k"), "line-hashes")
     # the earliest place of each different line, by a partial minimum in each task
     first = cut(lines.groupBy("a", "b").agg(F.min(order).alias("at"), F.count("*").alias("n"), F.first("k").alias("k")), "line-first")
@@ -145,7 +145,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     texts = lines.join(likely.select(*(F.col(c).alias(f"{c}2") for c in place), "h"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")) & (F.col("pos") == F.col("pos2")))
     texts = cut(texts.select("h", "f"), "line-texts")
     # cheap to make again, and larger than what follows
-    every = texts.mapInArrow(_emit, "h bigint, key bigint, kind tinyint")
+    every = texts.mapInArrow(lambda it: _emit(it, least_words), "h bigint, key bigint, kind tinyint")
     whole = F.col("kind") != 1
     groups = every.groupBy("key").agg(F.min(F.when(whole, F.col("h"))).alias("a"), F.min(F.when(~whole, F.col("h"))).alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi"))
     # keys of a single line join nothing
@@ -155,15 +155,20 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     pairs = every.join(small(groups, groups.count()), "key").select("h", partner.alias("ph")).filter("ph < h").groupBy("h").agg(F.min("ph").alias("ph"))
     pairs = cut(pairs, "line-pairs")
     drop_cut(groups)
-    near = pairs.join(texts, "h").join(texts.select(F.col("h").alias("ph"), F.col("f").alias("pf")), "ph").select("h", "f", "pf").mapInArrow(_verify, "h bigint").distinct()  # rows that repeat a document repeat its lines
+    near = pairs.join(texts, "h").join(texts.select(F.col("h").alias("ph"), F.col("f").alias("pf")), "ph").select("h", "f", "pf").mapInArrow(lambda it: _verify(it, least_words), "h bigint").distinct()  # rows that repeat a document repeat its lines
     near = near.join(likely, "h").select("a", "b", F.lit(True).alias("near"))
     # lines of which something goes
     late = cut(first.drop("k").join(near, ["a", "b"], "left").filter("near OR n > 1").select("a", "b", "at", "near"), "line-late")
     return keyed.join(small(late, late.count()), ["a", "b"]).filter(F.col("near").isNotNull() | (order != F.col("at"))).select(*place)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """df with text_col without its repeated lines, and the long columns n_lines, n_removed.
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """df with text_col without its repeated lines, and the long columns n_lines, n_removed (with underscores behind them
+    where df has such columns).
+
+    An edit inserts, deletes or replaces a word in lines of least_words words or more, a code point in other lines of
+    least_chars code points or more; lines shorter still go only if they equal an earlier one. least_words beyond every
+    line and least_chars of 1 compare all lines by code points.
 
     Lines are ordered by id (nulls first), then by hash of the text, then by place. A line goes if any earlier line
     is within one edit of it after folding; lines of fewer than min_chars folded characters, by default the blank ones,
@@ -172,7 +177,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = df.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"))
-    gone = cut(duplicate_lines(base, min_chars).groupBy(F.col("_id").alias("_i2"), F.col("_h").alias("_h2")).agg(F.collect_set("pos").alias("_gone")), "line-gone")
+    gone = cut(duplicate_lines(base, min_chars, least_words, least_chars).groupBy(F.col("_id").alias("_i2"), F.col("_h").alias("_h2")).agg(F.collect_set("pos").alias("_gone")), "line-gone")
     # rows of 30 bytes and 4 for each place: what a broadcast would hold, in rows of 30
     held = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("_gone")), F.lit(0)) / 7).first()[0]
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_i"), F.xxhash64(text).alias("_hh"))
@@ -183,11 +188,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     kept = F.transform(F.array(lines), lambda a: F.array_join(F.transform(left, lambda i: F.get(a, i)), "\n"))[0]
     kept = F.when(F.col("_gone").isNull(), old).otherwise(kept)
-    names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     return j.select(
-        *[kept.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names],
-        F.when(old.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        *[kept.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns],
+        F.when(old.isNull(), 0).otherwise(F.size(lines)).cast("long").alias(free(df, "n_lines")),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias(free(df, "n_removed")),
     )
 
 

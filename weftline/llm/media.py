@@ -47,12 +47,14 @@ def _describe(text: bytes, media: bytes, with_media: bool) -> tuple:
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
-    """One row for each row of df: id and FIELDS, computed from the pixels read back; with_media adds the files.
+    """One row for each row of df: id (_id if it is named like one of the others) and FIELDS, computed from the pixels read back; with_media adds the files.
 
     Null and empty texts are one row of zeros. A text is one image; only beyond 8 MiB do files follow one another.
     """
 
     bound_batches(df.sparkSession)
+    own = "_id" if id_col in (*(f.split()[0] for f in FIELDS.split(", ")), "media") else id_col
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -60,8 +62,8 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts = [t or b"" for t in texts]
                 rows = list(zip(*(_describe(t, m, with_media) for t, m in zip(texts, webp.store_many([payload(t) for t in texts]), strict=True)), strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                names = [id_col, *(f.split()[0] for f in FIELDS.split(", ")), "media"][: 1 + len(rows)]
+                names = [own, *(f.split()[0] for f in FIELDS.split(", ")), "media"][: 1 + len(rows)]
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(rows, kinds, strict=False))], names=names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, {FIELDS}" + ", media binary" * with_media)
+    return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).mapInArrow(run, f"`{own}` {kind}, {FIELDS}" + ", media binary" * with_media)

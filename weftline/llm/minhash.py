@@ -201,7 +201,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of df: _id, _h (xxhash64 of the text), n_shingles, component (least id of the group, itself included).
 
     Null texts and texts without words have no shingles and stay alone; so does a row with a null id, unless its
-    set equals or links with others'. Rows with equal sets (by size and 128 bits of hash) are one group. An empty table
+    set equals or links with others': then it has their least id. Rows with equal sets (by size and 128 bits of hash) are one group. An empty table
     gives no rows. exact: no screen and no threshold of matches, so that every pair that shares one of the K coordinates
     is confirmed; a pair at 0.75 shares none once in 10**77, but lists are merged whole, which suits small tables.
     """
@@ -211,10 +211,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"))
     id_type = docs.schema["_id"].dataType.simpleString()
     signed = cut(docs.mapInArrow(_sign, f"_id {id_type}, _h bigint, n bigint, c1 bigint, c2 bigint, sig binary"), "minhash-signatures")
-    # one row and one number for each distinct set; its least row stands for it
-    classes = signed.filter("c1 IS NOT NULL").groupBy("n", "c1", "c2").agg(F.min(F.struct("_id", "_h")).alias("rep"))
-    classes = cut(classes.select("n", "c1", "c2", F.monotonically_increasing_id().alias("cid"), "rep.*"), "minhash-classes")
-    c = classes.withColumnsRenamed({"n": "n2", "c1": "d1", "c2": "d2", "_id": "_id2", "_h": "_h2"})
+    # one row and one number for each distinct set; its least row, nulls first, stands for it
+    classes = signed.filter("c1 IS NOT NULL").groupBy("n", "c1", "c2").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.min("_id").alias("least"))
+    classes = cut(classes.select("n", "c1", "c2", F.monotonically_increasing_id().alias("cid"), "rep.*", "least"), "minhash-classes")
+    c = classes.drop("least").withColumnsRenamed({"n": "n2", "c1": "d1", "c2": "d2", "_id": "_id2", "_h": "_h2"})
     reps = signed.join(c, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("n") == F.col("n2")) & F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")))
     reps = cut(reps.select("cid", "_id", "_h", "n", "sig").dropDuplicates(["cid"]), "minhash-reps")
 
@@ -293,9 +293,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ends = more.join(nodes.withColumnsRenamed({"cid": "a", "comp": "ca"}), "a").join(nodes.withColumnsRenamed({"cid": "b", "comp": "cb"}), "b")
         merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         root = nodes.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("cid", F.coalesce("top", "comp").alias("comp"))
-    ids = classes.select("cid", "n", "c1", "c2", "_id").join(root, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    # the least id of a group is that of its rows which have one, whichever rows stand for its sets
+    ids = classes.select("cid", "n", "c1", "c2", "least").join(root, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids = cut(ids, "minhash-components")
-    lowest = cut(ids.groupBy("comp").agg(F.min("_id").alias("component")), "minhash-least")
+    lowest = cut(ids.groupBy("comp").agg(F.min("least").alias("component")), "minhash-least")
     answer = cut(ids.join(lowest, "comp").select("n", "c1", "c2", "component"), "minhash-answer")
     out = signed.select("_id", "_h", "n", "c1", "c2").join(answer, ["n", "c1", "c2"], "left")
     return out.select("_id", "_h", F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component"))

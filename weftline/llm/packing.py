@@ -132,7 +132,8 @@ def pack_documents(
 
     cu_seqlens[k] is where segment k begins; resets are those places as well, without the total at the end; each
     doc_ids[k] and offsets[k] say which ids of which document segment k is. Null and empty texts are one end token.
-    Rows that repeat an id are packed as often as they occur. An empty table gives no rows. The file at ranks lies
+    Rows that repeat an id are packed as often as they occur; equal rows share a window, which is packed in parts of
+    2**23 ids, so that no task holds more. An empty table gives no rows. The file at ranks lies
     at that path on every node or was shipped with SparkContext.addFile().
     """
     bound_batches(df.sparkSession)

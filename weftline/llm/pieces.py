@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, model_file
+from .common import bound_batches, free, model_file
 from .textgrams import U, chunks, give_back, mix, span_hashes
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -213,7 +213,7 @@ def load(path: str, alpha: float) -> Pieces:
 
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, alpha: float = 1.0, seed: int = 5) -> DataFrame:
-    """One row for each row of df: id, n_bytes, n_pieces, ids, lossless.
+    """One row for each row of df: id, n_bytes, n_pieces, ids, lossless. An id column of one of these names becomes _id.
 
     The row key is the xxhash64 of id, so rows with equal ids and texts get equal pieces. Null and empty texts
     have no pieces. lossless says that decoding gave back the text's bytes. The model lies at its path on every node or
@@ -221,6 +221,8 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
 
     bound_batches(df.sparkSession)
+    own = "_id" if id_col in ("n_bytes", "n_pieces", "ids", "lossless") else id_col
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model, alpha)
         for batch in batches:
@@ -236,18 +238,18 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         batch.column(0)[at : at + len(part)], pa.array([len(t) for t in part], pa.int64()), pa.array(np.diff(to)),
                         pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(ids)), pa.array(ok),
                     ],
-                    names=[id_col, "n_bytes", "n_pieces", "ids", "lossless"],
+                    names=[own, "n_bytes", "n_pieces", "ids", "lossless"],
                 )
                 at += len(part)
             give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.xxhash64(F.col(id_col)).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).mapInArrow(
-        run, f"`{id_col}` {kind}, n_bytes bigint, n_pieces bigint, ids array<int>, lossless boolean"
+        run, f"`{own}` {kind}, n_bytes bigint, n_pieces bigint, ids array<int>, lossless boolean"
     )
 
 
 def decode_documents(df: DataFrame, ids_col: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:
-    """df with a column text that its ids spell; null ids give null."""
+    """df with a column text that its ids spell, with underscores behind its name where df has one; null ids give null."""
     spell = F.arrow_udf(lambda ids: pa.array([None if x is None else load(model, 1.0).decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string()), "string")
-    return df.withColumn("text", spell(F.col(ids_col)))
+    return df.withColumn(free(df, "text"), spell(F.col(ids_col)))

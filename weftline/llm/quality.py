@@ -121,19 +121,19 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 6) -> dict:
     return p | fixed
 
 
-def training_bag(text: bytes) -> np.ndarray:
-    """A text's passages, or TRAIN_PASSAGES of them at equal distances; scoring takes them all."""
+def training_bag(text: bytes, most: int | None = TRAIN_PASSAGES) -> np.ndarray:
+    """A text's passages, or so many of them at equal distances; scoring takes them all."""
     x = passages([text])[0]
-    return x if len(x) <= TRAIN_PASSAGES else x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
+    return x if most is None or len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(int)]
 
 
 def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
-    """Model fitted on at most TRAIN_DOCS labelled documents, those of the least hashes of their ids, each with at most
-    TRAIN_PASSAGES passages; of several rows of an id, one (the text of the least hash) counts.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_passages: int | None = TRAIN_PASSAGES) -> dict:
+    """Model fitted on at most train_docs labelled documents, those of the least hashes of their ids, each with at most
+    train_passages passages (None: with all); of several rows of an id, one (the text of the least hash) counts.
 
     Rows whose crc32(id) mod 5 is 0 and null labels are left out; an id with several labels takes the largest.
     With labels of one class, or none, the model is their smoothed share (one half without labels).
@@ -143,11 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     )
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
-    bags = F.arrow_udf(lambda t: pa.array([training_bag(s or b"").tobytes() for s in t.cast(pa.binary()).to_pylist()], pa.binary()), "binary")
+    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
+    bags = F.arrow_udf(lambda t: pa.array([training_bag(s or b"", train_passages).tobytes() for s in t.cast(pa.binary()).to_pylist()], pa.binary()), "binary")
     joined = docs.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(sample), F.col("_i") == F.col("_id"))
     one = joined.groupBy("_i", "_y").agg(F.min(F.struct(F.xxhash64("_t"), "_t"))["_t"].alias("_t"))
-    rows = one.select("_i", "_y", bags("_t").alias("bag")).collect()  # bounded by TRAIN_DOCS times TRAIN_PASSAGES passages
+    rows = one.select("_i", "_y", bags("_t").alias("bag")).collect()  # bounded by train_docs times train_passages
     rows.sort(key=lambda r: (str(r["_i"]), bytes(r["bag"])))
     y = np.array([float(r["_y"]) for r in rows])
     if len(set(y)) < 2:
@@ -157,7 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scorer(model: dict):
-    """An Arrow function of a text column that returns scores from 0 to 1."""
+    """An Arrow function of a text column that returns scores from 0 to 1, to 5 places.
+
+    The last digits of a product of matrices depend on how many texts are scored together; rounding keeps equal texts equal
+    but for scores within 1e-7 of half a place.
+    """
     model = {k: np.asarray(v, np.float32) for k, v in model.items()}
 
     def score(texts: pa.Array) -> pa.Array:
@@ -166,7 +170,7 @@ def scorer(model: dict):
             if "constant" in model:
                 out += [float(model["constant"])] * len(run)
             else:
-                out += forward(model, *passages(run))["y"].tolist()
+                out += np.round(forward(model, *passages(run))["y"].astype(float), 5).tolist()
         give_back()
         return pa.array(out, pa.float64())
 
