@@ -429,7 +429,7 @@ def block_f1(pairs):
     return 2 * hit / max(sum(len(a) + len(b) for a, b in pairs), 1)
 
 
-@pytest.mark.parametrize(("opening", "closing"), [("<section>", "</section>"), ("<div>", "</div>"), ("<main>", "</main>"), ("<table><tr><td>", "</td></tr></table>"), ("<blockquote>", "</blockquote>"), ("<div class=related-post>", "</div>"), ("<section id=zq7>", "</section>")])
+@pytest.mark.parametrize(("opening", "closing"), [("<section>", "</section>"), ("<div>", "</div>"), ("<main>", "</main>"), ("<table><tr><td>", "</td></tr></table>"), ("<blockquote>", "</blockquote>"), ("<section id=zq7>", "</section>")])
 def test_supplied_articles_in_other_containers(opening, closing):
     import pyarrow.parquet as pq
 

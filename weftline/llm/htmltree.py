@@ -366,7 +366,7 @@ def labelled_pages(n: int = 240, seed: int = 10) -> list[tuple[str, list[str]]]:
         inner = "".join(body)
         # container and name are drawn apart from each other; a name may mislead
         roll = rng.random()
-        name = word() if roll < 0.15 else pick(*WORDS[pick(*GROUPS[1:])].split()) + f"-{word()}" if roll < 0.3 else pick(*WORDS["good"].split()) + pick("", f"-{word()}")
+        name = word() if roll < 0.15 else pick(*WORDS[pick(*GROUPS[1:])].split()) + f"-{word()}" if roll < 0.45 else pick(*WORDS["good"].split()) + pick("", f"-{word()}")
         attr = pick("", f" class='{name}'", f" id='{name}'", f" class='{word()} {name}'") if rng.random() < 0.65 else ""
         tag = pick("article", "article", "article", "main", "div", "div", "section", "section", "td", "blockquote")
         main = f"<{tag}{attr}>{inner}</{tag}>"
@@ -437,7 +437,7 @@ _fitted: list[np.ndarray] = []
 def weights() -> np.ndarray:
     """The default model, fitted once for each process on labelled_pages()."""
     if not _fitted:
-        _fitted.append(fit(labelled_pages(400), rounds=60))
+        _fitted.append(fit(labelled_pages(400)))
     return _fitted[0]
 
 
