@@ -163,3 +163,18 @@ def test_large_groups_are_ranked_by_ranges(spark, monkeypatch):
     want = by()
     monkeypatch.setattr(session, "WINDOW_ROWS", 10)
     assert by() == want and session.ranked(df.limit(0), "label", "doc_id").count() == 0
+
+
+def test_a_batch_retried_after_an_upsert_is_not_doubled(spark, tmp_path):
+    from weftline.sources.sinks import Store
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    one = spark.createDataFrame([("a", "x-1")], "doc_id string, keyword string")
+    store.append("keywords_documento", one, "run-7")
+    store.append("keywords_documento", one, "run-7")
+    assert store.read("keywords_documento").count() == 1
+    store.upsert("keywords_documento", spark.createDataFrame([("b", "y")], "doc_id string, keyword string"))
+    store.append("keywords_documento", one, "run-7")
+    assert store.read("keywords_documento").count() == 2
+    store.append("keywords_documento", one, "7")
+    assert store.read("keywords_documento").count() == 3

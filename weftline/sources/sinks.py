@@ -51,8 +51,13 @@ class Store:
 
     def replace(self, name: str, df: DataFrame) -> None:
         """The table becomes df; readers see the old version until the new one is whole."""
+        self._write(name, df, set())
+
+    def _write(self, name: str, df: DataFrame, folded: set[str]) -> None:
         v = self._versions(name)
-        self._cast(name, df).write.parquet(f"{self.root}/{name}/v{(v[-1] if v else 0) + 1}")
+        new = (v[-1] if v else 0) + 1
+        self.spark.createDataFrame([(b,) for b in sorted(folded)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/folded-v{new}")
+        self._cast(name, df).write.parquet(f"{self.root}/{name}/v{new}")
 
     def upsert(self, name: str, df: DataFrame, key: str = "doc_id", order: str | None = None) -> None:
         """Rows of df replace those of the same key. Of several rows of a key in df the last by order stays, ties and
@@ -62,12 +67,27 @@ class Store:
         rank = F.struct(F.col(order), F.to_json(row)) if order else F.to_json(row)
         new = self._cast(name, df.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, rank).alias("_row")).select("_row.*"))
         old = self.read(name)
-        self.replace(name, new.unionByName(old.join(new.select(key), key, "left_anti")))
+        v = self._versions(name)
+        now = v[-1] if v else 0
+        folded = self._folded(name, now) | {x.split("-", 1)[1] for x in self._whole(name) if x.startswith(f"v{now}-")}
+        self._write(name, new.unionByName(old.join(new.select(key), key, "left_anti")), folded)
 
     def append(self, name: str, df: DataFrame, batch: str | None = None) -> None:
-        """Adds rows as a folder of their own. A batch with a name replaces what an earlier try of that name left."""
+        """Adds rows as a folder of their own. A batch with a name replaces what an earlier try of that name left, and is
+        not written again once an upsert has folded it in; a replace begins anew."""
         v = self._versions(name)
-        self._cast(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v{v[-1] if v else 0}-{batch or uuid.uuid4().hex}")
+        now = v[-1] if v else 0
+        if batch and batch in self._folded(name, now):
+            return
+        self._cast(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v{now}-{batch or uuid.uuid4().hex}")
+
+    def _folded(self, name: str, version: int) -> set[str]:
+        """Names of the batches that upserts have folded into a version."""
+        jvm, fs = self._fs()
+        path = f"{self.root}/{name}/folded-v{version}"
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+            return set()
+        return {r["batch"] for r in self.spark.read.schema("batch string").parquet(path).collect()}
 
     def register_views(self) -> None:
         for name in schemas.TABLES:
