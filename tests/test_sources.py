@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from weftline import schemas
 from weftline.config import DEFAULT
 from weftline.operators import reporting
-from weftline.sources import corpus, html, seeds, sinks
+from weftline.sources import corpus, html, reports, seeds, sinks
 
 
 def test_seed_files_of_both_shapes(spark, tmp_path):
@@ -57,9 +57,18 @@ def test_store(spark, tmp_path):
     store.upsert("documentos", spark.createDataFrame([row(2, "b"), row(3, "b")], schemas.DOCUMENTS))
     store.append("documentos", spark.createDataFrame([row(4, "c")], schemas.DOCUMENTS))
     store.register_views()
-    assert [(r["categoria"], r["documentos"]) for r in spark.sql(sinks.REPORTS["documents_by_category"]).collect()] == [("b", 2), ("a", 1), ("c", 1)]
-    for sql in sinks.REPORTS.values():
-        spark.sql(sql).collect()
+    assert spark.sql("SELECT count(*) FROM documentos").first()[0] == 4
+    assert [(r["categoria"], r["documentos"]) for r in reports.documents_by_category(store).collect()] == [("b", 2), ("a", 1), ("c", 1)]
+    for report in reports.REPORTS.values():
+        report(store).collect()
+
+
+def test_confident_errors_of_a_store(spark, tmp_path):
+    store = sinks.Store(spark, f"file://{tmp_path}/store")
+    store.replace("documentos", spark.createDataFrame([(str(i), f"t{i}") for i in range(9)], "doc_id string, titulo string"))
+    rows = [(str(i), "a", "b", p, hit) for i, (p, hit) in enumerate([(0.9, 0), (0.95, 1), (0.6, 0), (0.61, 0), (0.9, 0), (None, 0), (0.99, None), (0.7, 0), (0.8, 0)])] + [("77", "a", "b", 0.99, 0)]
+    store.replace("resultados_clasificacion", spark.createDataFrame(rows, "doc_id string, categoria_real string, categoria_pred string, probabilidad double, acierto int"))
+    assert [(r["doc_id"], r["titulo"]) for r in reports.confident_errors(store).collect()] == [(i, f"t{i}") for i in "04873"]
 
 
 def test_versions_manifest_and_logs(spark, tmp_path):

@@ -113,6 +113,17 @@ def hit_rate(df: DataFrame, group: str, hit: str) -> DataFrame:
     return g.withColumn("pct", F.round(100.0 * F.col("hits") / F.col("total"), 1))
 
 
+def size_and_mean(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, mean to 1 place)."""
+    return df.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 1).alias("mean"))
+
+
+def confident_errors(df: DataFrame, titles: DataFrame, hit: str, score: str, key: str = "doc_id", limit: float = 0.6, k: int = 5) -> DataFrame:
+    """The k misses with the highest scores above limit that have a title (ties by key), with their rows of titles."""
+    missed = df.filter((F.col(hit) == 0) & (F.col(score) > limit))
+    return missed.join(titles, key).orderBy(F.desc(score), key).limit(k)
+
+
 def frequent_keywords(df: DataFrame, keyword: str = "keyword", k: int = 10) -> DataFrame:
     """(keyword, documents): most frequent first, ties by keyword. df has one row for each document and keyword."""
     return df.groupBy(keyword).agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), keyword).limit(k)

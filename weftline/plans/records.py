@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..config import DEFAULT
 from ..functions import language, text, vectors
-from ..operators import dedup, evaluation, keywords, learning, reporting, retrieval, validation
+from ..operators import dedup, evaluation, keywords, learning, postings, reporting, retrieval, validation
 from ..operators.vector_index import VectorIndex, recall
 from ..session import stored, workspace
 from ..sources import corpus as collection
-from ..sources import seeds, sinks
+from ..sources import reports, seeds, sinks
 from .catalog import BODY, CLEAN, FREQUENCY, NON_ALPHA, SCORES, SHINGLES, TFIDF, UPPER, WHITE, class_scores, corpus, lang_sql, query, table
 
 
@@ -177,35 +177,33 @@ def filled_store(spark: SparkSession, d: str) -> sinks.Store:
     return store
 
 
-def report(spark: SparkSession, d: str, name: str) -> DataFrame:
-    filled_store(spark, d).register_views()
-    return spark.sql(sinks.REPORTS[name])
-
-
-STORED = f"""WITH documentos AS (SELECT doc_id::VARCHAR AS doc_id, source AS titulo, lang AS categoria, len(list_filter(string_split({WHITE.format(c='text')}, ' '), lambda w: w <> '')) AS n_tokens FROM documents),
-  keywords_documento AS (SELECT doc_id::VARCHAR AS doc_id, keyword, rank AS rango FROM {FREQUENCY}),
-  resultados_clasificacion AS (SELECT doc_id::VARCHAR AS doc_id, lang AS categoria_real, source AS categoria_pred, (doc_id % 100) / 100 AS probabilidad, quality AS acierto FROM documents JOIN labels USING (doc_id))
-"""
-
-
-@query(STORED + sinks.REPORTS["documents_by_category"])
+@query(
+    f"""SELECT lang AS categoria, count(*) AS documentos, round(sum(len(list_filter(string_split({WHITE.format(c='text')}, ' '), lambda w: w <> '')))::DOUBLE / count(*), 1) AS tokens_medios
+    FROM documents GROUP BY lang"""
+)
 def report_documents_by_category(spark, d):
-    return report(spark, d, "documents_by_category")
+    return reports.documents_by_category(filled_store(spark, d))
 
 
-@query(STORED + sinks.REPORTS["frequent_keywords"])
+@query(f"SELECT keyword, documentos FROM (SELECT keyword, count(*) AS documentos, row_number() OVER (ORDER BY count(*) DESC, keyword) AS place FROM {FREQUENCY} GROUP BY keyword) WHERE place <= 10")
 def report_frequent_keywords(spark, d):
-    return report(spark, d, "frequent_keywords")
+    return reports.frequent_keywords(filled_store(spark, d))
 
 
-@query("SELECT * REPLACE (aciertos::BIGINT AS aciertos) FROM (" + STORED + sinks.REPORTS["hit_rate_by_category"] + ")")
+@query(
+    """SELECT lang AS categoria_real, count(*) AS total, (count(*) FILTER (quality = 1))::BIGINT AS aciertos, round(100 * (count(*) FILTER (quality = 1))::DOUBLE / count(*), 1) AS pct_acierto
+    FROM labels JOIN documents USING (doc_id) GROUP BY lang"""
+)
 def report_hit_rate(spark, d):
-    return report(spark, d, "hit_rate_by_category").withColumn("pct_acierto", F.col("pct_acierto").cast("double"))
+    return reports.hit_rate_by_category(filled_store(spark, d))
 
 
-@query(STORED + sinks.REPORTS["confident_errors"])
+@query(
+    """SELECT doc_id::VARCHAR AS doc_id, source AS titulo, lang AS categoria_real, source AS categoria_pred, (doc_id % 100)::DOUBLE / 100 AS probabilidad FROM labels JOIN documents USING (doc_id)
+    WHERE quality = 0 AND doc_id % 100 > 60 QUALIFY row_number() OVER (ORDER BY doc_id % 100 DESC, doc_id::VARCHAR) <= 5"""
+)
 def report_confident_errors(spark, d):
-    return report(spark, d, "confident_errors")
+    return reports.confident_errors(filled_store(spark, d))
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new 2' ELSE source END AS titulo FROM documents UNION ALL SELECT '-1', 'b'")
@@ -250,8 +248,7 @@ def filled_versions(spark: SparkSession, d: str) -> sinks.Store:
 
 @query(f"SELECT version, fecha, 'lr' AS tipo_clasificador, n AS n_documentos, 'h' AS huella_configuracion FROM {VERSIONS} ORDER BY fecha DESC, version LIMIT 10")
 def version_history(spark, d):
-    filled_versions(spark, d).register_views()
-    return spark.sql(sinks.REPORTS["version_history"])
+    return reports.version_history(filled_versions(spark, d))
 
 
 @query(f"SELECT version, fecha, f1 FROM {VERSIONS}")
@@ -488,3 +485,37 @@ def responses(spark, d):
     Analyzer.fit(labelled).fit_topics().save(path)
     got = Analyzer.load(spark, path).respond(corpus(spark, d).withColumn("external_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x-"), F.col("doc_id")))))
     return got.select("doc_id", "response_id", "category", "probability", F.array_join("keywords", ", ").alias("keywords"), "topic.id", "topic.label", F.to_json("explanation").alias("explanation"), F.to_json("related").alias("related"), "error")
+
+
+# --- postings ----------------------------------------------------------------------------------------------------
+
+PAIRS = f"(SELECT DISTINCT lower(keyword) AS term, doc_id AS id FROM {FREQUENCY})"
+
+
+@query(
+    f"""SELECT term, block, first, last, n::INTEGER AS n, list_transform(ids, lambda x: x - first) AS offsets FROM (
+      SELECT term, block, min(id) AS first, max(id) AS last, count(*) AS n, list_sort(list(id)) AS ids FROM (
+        SELECT term, id, CASE WHEN count(*) OVER (PARTITION BY term) > 256 THEN id // 256 ELSE 0 END AS block FROM {PAIRS}) GROUP BY term, block)"""
+)
+def posting_blocks(spark, d):
+    return postings.blocks(keywords.frequency_keywords(corpus(spark, d))).drop("part")
+
+
+@query(
+    f"""WITH p AS {PAIRS}, q AS (SELECT lang, a.item AS a, b.item AS b FROM (
+        SELECT lang, term AS item, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS r FROM p JOIN documents ON id = doc_id GROUP BY lang, term) a
+      JOIN (SELECT lang, term AS item, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS r FROM p JOIN documents ON id = doc_id GROUP BY lang, term) b USING (lang)
+      WHERE a.r < b.r AND b.r <= 12)
+    SELECT q.lang || ':' || q.a || ':' || q.b AS query, x.id FROM q JOIN p x ON x.term = q.a JOIN p y ON y.term = q.b AND y.id = x.id"""
+)
+def posting_intersections(spark, d):
+    """Documents that have both of two keywords, for all pairs of each language's twelve most frequent ones, through a saved index."""
+    k = stored(keywords.frequency_keywords(corpus(spark, d)).select("doc_id", F.lower("keyword").alias("keyword")).distinct(), "posting-pairs")
+    path = folder(spark, "postings")
+    postings.save(postings.blocks(k), path)
+    n = k.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL").groupBy("lang", "keyword").count()
+    top = n.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "keyword"))).filter("r <= 12").select("lang", "r", "keyword")
+    b = top.select("lang", F.col("r").alias("r2"), F.col("keyword").alias("b"))
+    pairs = top.join(b, "lang").filter("r < r2").withColumn("query", F.concat_ws(":", "lang", "keyword", "b"))
+    queries = pairs.select("query", F.explode(F.array("keyword", "b")).alias("term"))
+    return postings.intersect(postings.load(spark, path), queries)
