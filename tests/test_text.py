@@ -17,12 +17,42 @@ def one(spark, value, column):
     return spark.createDataFrame([(value,)], "t string").select(column(F.col("t")).alias("x")).first()["x"]
 
 
+def without(t, began, ended, fits):
+    """t with a space for each leftmost stretch from began to the next ended whose inside fits."""
+    out, at = [], 0
+    while at < len(t):
+        stop = t.find(ended, at + len(began)) if t[at : at + len(began)].lower() == began else -1
+        if stop >= 0 and fits(t[at + len(began) : stop]):
+            out.append(" ")
+            at = stop + len(ended)
+        else:
+            out.append(t[at])
+            at += 1
+    return "".join(out)
+
+
+def without_addresses(t):
+    """t with a space for each run that is not white space from the sign of an address on."""
+    out, at = [], 0
+    while at < len(t):
+        sign = next((x for x in ("https://", "http://", "www.") if t.startswith(x, at)), None)
+        if sign and t[at + len(sign) : at + len(sign) + 1].strip():
+            out.append(" ")
+            while at < len(t) and not t[at].isspace():
+                at += 1
+        else:
+            out.append(t[at])
+            at += 1
+    return "".join(out)
+
+
 def plain(t):
-    t = re.sub(r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", " ", t or "")
-    t = unicodedata.normalize("NFKC", html.unescape(re.sub(r"<[^>]+>", " ", t)))
-    for p, flags in ((r"<[^>]+>", 0), (r"https?://\S+|www\.\S+", 0), (r"\[\d+\]|\[cita requerida\]|\[nota \d+\]", re.I), (r"\([^)]{0,3}\)", 0), (r"[^\w\s\.\,\;\:\-\+\#/]", 0)):
-        t = re.sub(p, " ", t, flags=flags)
-    return re.sub(r"\s+", " ", t).strip()
+    """Cleaning as a scanner that reads character by character. Markup here is tags without comments and scripts."""
+    tags = lambda x: without(x, "<", ">", bool)
+    t = without_addresses(tags(unicodedata.normalize("NFKC", html.unescape(tags(t or "")))))
+    note = lambda x: x.isdigit() or x.lower() == "cita requerida" or x.lower().startswith("nota ") and x[5:].isdigit()
+    t = without(without(t, "[", "]", note), "(", ")", lambda x: len(x) <= 3)
+    return " ".join("".join(c if c.isalnum() or c == "_" or c in ".,;:-+#/" else " " for c in t).split())
 
 
 @pytest.mark.parametrize(
