@@ -51,6 +51,28 @@ def validation_battery(spark, d):
     return v.select("doc_id", "reason", F.array_join(F.transform("errors", lambda e: e["code"]), ",").alias("codes"), "valid", (F.size("warnings") > 0).alias("warned"))
 
 
+@query(
+    f"""SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2) THEN 'codificacion_invalida' WHEN text IS NULL THEN 'campo_faltante' WHEN {BODY.format(c='text')} = '' THEN 'campo_vacio' END AS fault FROM documents"""
+)
+def undecodable_bodies(spark, d):
+    """Bodies as bytes: some end within a character, some begin with a byte that no character has; the others decode."""
+    whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    body = F.when(F.col("doc_id") % 7 == 1, F.concat(whole, F.lit(b"\xc3"))).when(F.col("doc_id") % 7 == 2, F.concat(F.lit(b"\xff"), whole)).otherwise(F.encode("text", "UTF-8"))
+    v = validation.validate(table(spark, d, "documents").select("doc_id", F.lit("Un título").alias("title"), body.alias("body")))
+    told = F.col("reason").isin(fixed.ENCODING, fixed.MISSING, fixed.EMPTY)
+    return v.select("doc_id", F.when(told, F.col("reason")).alias("fault"))
+
+
+@query(
+    """SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'campo_faltante' END, CASE WHEN text IS NULL THEN 'campo_faltante' END, CASE WHEN doc_id % 5 <> 0 THEN 'tipo_invalido' END) AS codes FROM documents"""
+)
+def numbers_as_titles(spark, d):
+    """Titles of the wrong type, or missing; every error of the first group of checks is told."""
+    title = F.when(F.col("doc_id") % 5 != 0, F.length(F.coalesce("text", F.lit(""))))
+    v = validation.validate(table(spark, d, "documents").select("doc_id", title.alias("title"), F.col("text").alias("body")))
+    return v.select("doc_id", F.array_join(F.transform("errors", lambda e: e["code"]), ",").alias("codes"))
+
+
 @query("SELECT doc_id, coalesce(s, '') AS cell FROM (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN NULL WHEN 2 THEN '' ELSE regexp_replace(concat('  ', source, chr(9)), '^\\s+|\\s+$', '', 'g') END AS s FROM documents)")
 def safe_cells(spark, d):
     cell = F.when(F.col("doc_id") % 4 == 1, F.lit(None)).when(F.col("doc_id") % 4 == 2, "NaN").otherwise(F.concat(F.lit("  "), F.col("source"), F.lit("\t")))
