@@ -89,3 +89,9 @@ def test_versions_manifest_and_logs(spark, tmp_path):
     assert reporting.timing(t.to_df(spark)).first()["calls"] == 1
     a, b = (reporting.dataset_hash(spark.createDataFrame(x, "doc_id int, t string").repartition(3)).first()[0] for x in ([(1, "a"), (2, "b")], [(2, "b"), (1, "a")]))
     assert a == b
+
+
+def test_reference_without_semicolon():
+    from weftline.sources.html import page_text
+
+    assert page_text("<article><h1>a&amp;&amp</h1><p>b &lt; c</p></article>") == "== a&& ==\n\nb < c"
