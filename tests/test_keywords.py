@@ -99,3 +99,28 @@ def test_diverse_keywords_equal_a_plain_choice(spark):
             picked.append(max((t for t in c if t not in picked), key=worth))
         rows = sorted((r["rank"], r["term"], r["score"]) for r in got if r["doc_id"] == i)
         assert [t for _, t, _ in rows] == picked and all(abs(s - cos(c[t], docs[i])) < 1e-9 for _, t, s in rows)
+
+
+def test_local_keywords_shuffle_nothing_and_keep_to_their_rows(spark):
+    rows = [(1, "Apache Spark runs jobs. Spark runs jobs fast!"), (2, None), (None, "Apache Spark"), (3, "the of and")]
+    got = keywords.local_keywords(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"] for r in got.collect()} == {1}
+
+
+def test_distances_equal_plain_ones():
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abñ ") for _ in range(rng.randint(1, 70))) for _ in range(2))
+        assert keywords._distance(a, b) == plain(a, b)
