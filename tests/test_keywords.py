@@ -124,3 +124,10 @@ def test_distances_equal_plain_ones():
     for _ in range(500):
         a, b = ("".join(rng.choice("abñ ") for _ in range(rng.randint(1, 70))) for _ in range(2))
         assert keywords._distance(a, b) == plain(a, b)
+
+
+def test_diverse_keywords_leave_no_interpreted_choice_in_the_plan(spark):
+    cand = spark.createDataFrame([(1, "b", [1.0, 0.0]), (1, "a", [1.0, 0.0]), (1, "a", [0.0, 1.0]), (1, "z", [0.0, 0.0])], "doc_id int, term string, vector array<double>")
+    got = keywords.semantic_keywords(cand, spark.createDataFrame([(1, [1.0, 0.0])], "doc_id int, vector array<double>"))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r["term"], r["score"]) for r in got.orderBy("rank").collect()] == [("a", 1.0), ("z", 0.0), ("b", 1.0)]
