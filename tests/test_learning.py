@@ -200,3 +200,18 @@ def test_the_sweep_fits_every_seed_of_every_k(spark):
 def test_training_has_the_configured_iterations(spark):
     v = spark.createDataFrame([(i % 2, [float(i), 1.0]) for i in range(20)], "label_index int, x array<double>").withColumn("features", array_to_vector("x"))
     assert learning.train(v).getMaxIter() == DEFAULT.classification.max_iter == 2000
+
+
+def test_fit_cleans_texts_once(spark, monkeypatch):
+    from weftline.operators import keywords
+    from weftline.operators.predict import Analyzer
+
+    class Seen(Exception):
+        pass
+
+    def vocabulary(df, *_):
+        raise Seen("regexp_replace" in df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(keywords, "vocabulary", vocabulary)
+    with pytest.raises(Seen, match="False"):
+        Analyzer.fit(spark.createDataFrame([(1, "<b>uno</b> dos", "a"), (2, "tres", "b")], "doc_id bigint, text string, label string"))
