@@ -94,6 +94,25 @@ def test_a_large_group_of_near_copies_and_the_exact_setting(spark, monkeypatch,
     assert got == groups(docs)
 
 
+def test_copies_that_just_miss_are_not_paired_beyond_their_task(spark, monkeypatch):
+    import random
+
+    # copies of one text, each with two of 52 words changed: most pairs share about 0.7 of their shingles
+    rng, base = random.Random(5), [f"w{k}" for k in range(52)]
+    docs = []
+    for i in range(120):
+        words = list(base)
+        for k in (rng.randint(4, 24), rng.randint(28, 47)):
+            words[k] = f"x{i}a{k}"
+        docs.append((i, " ".join(words)))
+    rows, cut = {}, minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df, name: rows.setdefault(name, cut(df, name)) if name.endswith("pairs") else cut(df, name))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((r["_id"], r["n_shingles"], r["component"]) for r in minhash.near_duplicates(df).collect())
+    assert got == groups(docs)
+    assert rows["minhash-more-links-pairs"].count() <= 2 * len(docs)
+
+
 def test_shingle_hashes_follow_the_texts():
     texts = ["a b c d e f", "A B  c d\te f", "x y", "", "é ü ñ a b c"]
     got = textgrams.shingle_sets([t.encode() for t in texts])

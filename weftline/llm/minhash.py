@@ -28,6 +28,9 @@ from .textgrams import U, chunks, give_back, mix, shingle_sets
 K, T, SCREEN, LEAST, BLOCK = 128, 73, 16, 3, 256
 #: Partners of one document that are confirmed together.
 TOGETHER = 64
+#: Sets of at most WHOLE shingles go with their postings, by 64 bits of hash up to SURE shingles and by 16 beyond, so that
+#: pairs of them are compared where they are found; those of at most ALONE meet no larger set and need no finer coordinates.
+SURE, ALONE, WHOLE = 64, 288, 384
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 2**64, K, dtype=U) | U(1)
 _B = _RNG.integers(0, 2**64, K, dtype=U)
@@ -88,8 +91,12 @@ def _unpack(batches: Iterator[pa.RecordBatch], upto: int) -> Iterator[pa.RecordB
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [fine(s).tobytes() for run in chunks(t.encode() for t in batch.column(1).to_pylist()) for s in shingle_sets(run)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["cid", "fine"])
+        out, whole = [], []
+        for run in chunks(t.encode() for t in batch.column(1).to_pylist()):
+            for s in shingle_sets(run):
+                out.append(fine(s).tobytes() if len(s) > ALONE else b"")
+                whole.append(s.tobytes() if len(s) <= SURE else s.astype(np.uint16).tobytes() if len(s) <= WHOLE else b"")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(whole, pa.binary())], names=["cid", "fine", "whole"])
         give_back()
 
 
@@ -119,16 +126,26 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch], t: int, fine_t: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in one group (key, i, j) that agree on t coordinates at least and are in no earlier list together.
+    """Pairs (a, b, sure) of different components in one group (key, i, j) that agree on t coordinates at least and are in no earlier list together.
 
-    Rows come sorted by group. A group has no more than the members of two blocks; its pairs are made and compared
+    Pairs whose sets are at hand are compared by them and dropped if they miss. Where the hashes are whole, the others are
+    sure, and components that such a pair links count as one from then on. Rows come sorted by group. A group has no more than the members of two blocks; its pairs are made and compared
     in bounded runs, first by size and the lower bytes of signatures.
     """
     held: list[np.ndarray] | None = None
+    linked: dict[int, int] = {}
+    none = bytes(FINE // 2)
+
+    def root(x: int) -> int:
+        while (up := linked.get(x, x)) != x:
+            linked[x] = x = linked.get(up, up)
+        return x
+
     for last, batch in _with_last(batches):
         cols = [batch.column(k).to_numpy() for k in range(9)]
         cols.append(np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint32).reshape(-1, K))
-        cols.append(np.frombuffer(b"".join(batch.column(10).to_pylist()), np.uint8).reshape(-1, FINE // 2))
+        cols.append(np.frombuffer(b"".join(x or none for x in batch.column(10).to_pylist()), np.uint8).reshape(-1, FINE // 2))
+        cols.append(np.array([*batch.column(11).to_pylist(), None], object)[:-1])
         if held is not None:
             cols = [np.concatenate((x, y)) for x, y in zip(held, cols, strict=True)]
         key, i, j = cols[:3]
@@ -136,7 +153,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], t: int, fine_t: int) -> Itera
         end = len(key) if last else new[-1]
         held = None if last else [x[end:] for x in cols]
         starts = np.append(new[new < end], end)
-        b, cid, comp, n, m0, m1, sig, finer = (x[:end] for x in cols[3:])
+        b, cid, comp, n, m0, m1, sig, finer, whole = (x[:end] for x in cols[3:])
         low = sig.astype(np.uint8)
         posted = np.unpackbits(np.stack((m0, m1), 1).view(np.uint8), axis=1, bitorder="little").astype(bool)
         coord = key[:end] >> 32
@@ -160,10 +177,29 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], t: int, fine_t: int) -> Itera
                 r, o = r[hit], o[hit]
                 if len(r):
                     x = finer[r] ^ finer[o]
-                    hit = ((x & 15 == 0).sum(axis=1) + (x & 240 == 0).sum(axis=1)) >= fine_t
+                    hit = (np.maximum(n[r], n[o]) <= WHOLE) | (((x & 15 == 0).sum(axis=1) + (x & 240 == 0).sum(axis=1)) >= fine_t)
                     r, o = r[hit], o[hit]
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[r], cid[o])), pa.array(np.maximum(cid[r], cid[o]))], names=["a", "b"])
+                kept, sure = [], []
+                for k, (x, y) in enumerate(zip(r.tolist(), o.tolist(), strict=True)):
+                    one, two = root(int(comp[x])), root(int(comp[y]))
+                    if one == two:
+                        continue
+                    most = max(n[x], n[y])
+                    if most <= WHOLE:
+                        # 16 bits may count shingles too many, never too few
+                        p, q = (np.frombuffer(whole[z], U if n[z] <= SURE else np.uint16) for z in (x, y))
+                        if most > SURE:
+                            p, q = p.astype(np.uint16), np.sort(q.astype(np.uint16))
+                        both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                        if 100 * both < 75 * int(n[x] + n[y] - both):
+                            continue
+                    if most <= SURE:
+                        linked[max(one, two)] = min(one, two)
+                    kept.append(k)
+                    sure.append(bool(most <= SURE))
+                if kept:
+                    r, o = r[kept], o[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[r], cid[o])), pa.array(np.maximum(cid[r], cid[o])), pa.array(sure)], names=["a", "b", "sure"])
             at = upto
         give_back()
 
@@ -278,16 +314,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tagged = postings.join(nodes, "cid")
     open_lists = cut(tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("len")).filter("lo <> hi").select("key", F.ceil(F.col("len") / BLOCK).alias("nb")), "minhash-open")
     open_ids = tagged.join(open_lists, "key").select("cid").distinct()
-    finer = cut(pool.join(open_ids, "cid", "left_semi").select("cid", "_t").mapInArrow(_refine, "cid bigint, fine binary"), "minhash-fine")
+    finer = cut(pool.join(open_ids, "cid", "left_semi").select("cid", "_t").mapInArrow(_refine, "cid bigint, fine binary, whole binary"), "minhash-fine")
     dealt = (
         tagged.join(open_lists, "key").join(left.select("cid", "n", "sig"), "cid").join(finer, "cid")
         .withColumn("b", F.pmod(F.xxhash64("cid"), "nb"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cid", "comp", "n", "m0", "m1", "sig", "fine")
+        .select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cid", "comp", "n", "m0", "m1", "sig", "fine", "whole")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     )
-    found = dealt.mapInArrow(lambda it: _open_pairs(it, t, fine_t), "a bigint, b bigint")
-    more = confirmed(found, "minhash-more-links")
+    found = cut(dealt.mapInArrow(lambda it: _open_pairs(it, t, fine_t), "a bigint, b bigint, sure boolean"), "minhash-found")
+    more = confirmed(found.filter("NOT sure").select("a", "b"), "minhash-more-links").unionByName(found.filter("sure").select("a", "b"))
     root = nodes
     if more.limit(1).count():
         ends = more.join(nodes.withColumnsRenamed({"cid": "a", "comp": "ca"}), "a").join(nodes.withColumnsRenamed({"cid": "b", "comp": "cb"}), "b")
