@@ -1,11 +1,12 @@
 import math
+import random
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT
-from weftline.operators import keywords, reporting
+from weftline.operators import keywords, reporting, retrieval
 
 
 def test_frequency_keywords(spark):
@@ -131,3 +132,34 @@ def test_diverse_keywords_leave_no_interpreted_choice_in_the_plan(spark):
     got = keywords.semantic_keywords(cand, spark.createDataFrame([(1, [1.0, 0.0])], "doc_id int, vector array<double>"))
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
     assert [(r["term"], r["score"]) for r in got.orderBy("rank").collect()] == [("a", 1.0), ("z", 0.0), ("b", 1.0)]
+
+
+def test_terms_of_a_document_are_counted_where_it_lies(spark):
+    rows = [(1, "Sol mar sol. El mar", "a"), (2, None, None), (3, "mar sol luz mar sol", "b"), (None, "sol mar", "c")]
+    df = spark.createDataFrame(rows, "doc_id int, body string, title string")
+    lists = keywords.tfidf_lists(df, "doc_id", "body")
+    for got in (keywords.frequency_keywords(df), keywords.tfidf_keywords(lists), retrieval.embed(lists)):
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"] for r in lists.collect()} == {1, 3, None}
+
+
+def test_rows_that_share_a_key_are_one_document(spark):
+    df = spark.createDataFrame([(1, "luna dos", "", "x"), (1, "tres Luna dos", "", "y"), (2, "luna dos tres", "", "z"), (None, "cinco", "", "x"), (None, "cinco seis", "", "x")], "doc_id int, body string, title string, t string")
+    got = [(r["doc_id"], r["rank"], r["keyword"].lower(), r["n"]) for r in keywords.frequency_keywords(df).collect()]
+    assert sorted(x[1:] for x in got if x[0] == 1) == [(1, "luna", 2), (2, "dos", 2), (3, "tres", 1)]
+    assert sorted(x[1:] for x in got if x[0] is None) == [(1, "cinco", 2), (2, "seis", 1)]
+    cfg = replace(DEFAULT, tfidf=replace(DEFAULT.tfidf, min_df=1, max_df=1.0))
+    terms = {(r["doc_id"], r["term"]) for r in keywords.tfidf(df.drop("t"), text_col="body", cfg=cfg).collect()}
+    assert (1, "dos tres") not in terms and (1, "tres luna") in terms and (2, "dos tres") in terms and (None, "cinco cinco") not in terms
+    v = {r["term"]: r["df"] for r in keywords.vocabulary(df, "doc_id", "body", 1, 3, cfg).collect()}
+    assert v["luna"] == 2 and v["luna dos"] == 2 and v["cinco"] == 1
+
+
+def test_terms_beyond_what_tasks_are_sent_are_joined(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("sol mar luz rio a1 de que la casa".split()) for _ in range(rng.randint(0, 30)))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    few = sorted((r["doc_id"], r["term"], round(r["weight"], 9)) for r in keywords.tfidf(df).collect())
+    for most in (3, 20):  # words, then phrases
+        monkeypatch.setattr(keywords, "BROADCAST_ROWS", most)
+        assert sorted((r["doc_id"], r["term"], round(r["weight"], 9)) for r in keywords.tfidf(df).collect()) == few
