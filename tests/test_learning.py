@@ -215,3 +215,11 @@ def test_fit_cleans_texts_once(spark, monkeypatch):
     monkeypatch.setattr(keywords, "vocabulary", vocabulary)
     with pytest.raises(Seen, match="False"):
         Analyzer.fit(spark.createDataFrame([(1, "<b>uno</b> dos", "a"), (2, "tres", "b")], "doc_id bigint, text string, label string"))
+
+
+def test_sums_of_tasks_are_added_before_the_driver(spark, monkeypatch):
+    x = spark.range(64).repartition(8).selectExpr("array(double(id), 1D) AS x", "id AS h")
+    seen, collect = [], type(x).collect
+    monkeypatch.setattr(type(x), "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    got = learning._added(x, lambda b, h: [b.sum(0), np.array([len(h)])])
+    assert [len(r) for r in seen] == [2] and got[0].tolist() == [2016.0, 64.0] and got[1].tolist() == [64]

@@ -6,6 +6,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
@@ -143,8 +144,12 @@ def ablation(base: DataFrame, without: DataFrame, key: str = "doc_id") -> DataFr
     return c.select(key, "term", "contribution", F.when(F.col("contribution") > 0, "for").otherwise("against").alias("sign"), F.row_number().over(w).alias("rank"))
 
 
-def _partials(df: DataFrame, work) -> list:  # noqa: ANN001
-    """work(rows as a matrix, their hashes) for blocks of df (x, h): arrays that are added up in each task; one list of arrays for each task."""
+def _added(df: DataFrame, work) -> list:  # noqa: ANN001
+    """work(rows as a matrix, their hashes) for blocks of df (x, h), a list of arrays, added up over all blocks.
+
+    Each task adds up its own, then tasks add up by place in the list, in order of the first ones' numbers: the driver gets
+    one sum, however many tasks there are.
+    """
 
     def run(batches):  # noqa: ANN001, ANN202
         total = None
@@ -155,13 +160,19 @@ def _partials(df: DataFrame, work) -> list:  # noqa: ANN001
                 part = work(x[i : i + 1024], h[i : i + 1024])
                 total = part if total is None else [p + q for p, q in zip(total, part, strict=True)]
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["p"])
-
-    return [pickle.loads(r[0]) for r in df.mapInArrow(run, "p binary").collect()]  # noqa: S301
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array([pickle.dumps(p) for p in total], pa.binary())], names=["i", "t", "p"])
 
+    def add(batches):  # noqa: ANN001, ANN202
+        found = sorted((i, t, p) for b in batches for i, t, p in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        total: dict = {}
+        for i, _, p in found:
+            p = pickle.loads(p)  # noqa: S301
+            total[i] = total[i] + p if i in total else p
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pickle.dumps(p) for p in total.values()], pa.binary())], names=["i", "p"])
 
-def _added(parts: list) -> list:
-    return [sum(p[1:], p[0]) for p in zip(*parts, strict=True)]
+    parts = df.mapInArrow(run, "i int, t int, p binary").repartition(2, "i").mapInArrow(add, "i int, p binary")  # what it moves follows tasks and models, not rows
+    return [pickle.loads(r["p"]) for r in sorted(parts.collect(), key=lambda r: r["i"])]  # noqa: S301
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -182,7 +193,7 @@ def _candidates(df: DataFrame, seeds: list[int], most: int) -> list[tuple[np.nda
     first = df.agg(*[F.min_by("x", F.xxhash64("h", F.lit(s))).alias(f"s{s}") for s in seeds]).first()
     found = [np.array([first[f"s{s}"]]) for s in seeds]
     for step in range(2):
-        cost = _added(_partials(df, lambda x, _: [np.array([_squares(x, c).min(1).sum() for c in found])]))[0]
+        cost = _added(df, lambda x, _: [np.array([_squares(x, c).min(1).sum() for c in found])])[0]
 
         def draw(x, h, step=step, cost=cost):  # noqa: ANN001, ANN202
             out = []
@@ -191,13 +202,13 @@ def _candidates(df: DataFrame, seeds: list[int], most: int) -> list[tuple[np.nda
                 out.append({x[j].tobytes() for j in np.flatnonzero(_uniform(h, 2 * s + step) * cost[i] < 2 * most * d)})
             return [_Sets(out)]
 
-        parts = _partials(df, draw)
+        drawn = _added(df, draw)[0]
         for i in range(len(seeds)):
-            more = sorted(set().union(*[p[0].sets[i] for p in parts]))
+            more = sorted(drawn.sets[i])
             if more:
                 found[i] = np.vstack([found[i], *[np.frombuffer(m) for m in more]])
     weigh = lambda x, _: [np.bincount(_squares(x, c).argmin(1), minlength=len(c)).astype(float) for c in found]
-    return list(zip(found, _added(_partials(df, weigh)), strict=True))
+    return list(zip(found, _added(df, weigh), strict=True))
 
 
 class _Sets:
@@ -227,7 +238,7 @@ def _start(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.nda
 
 
 def _assigned(centres: np.ndarray):  # noqa: ANN202
-    """Work for _partials: rows, sums, sums of squares and the inertia by cluster of (models, k, columns) centres."""
+    """Work for _added: rows, sums, sums of squares and the inertia by cluster of (models, k, columns) centres."""
     m, k, width = centres.shape
 
     def work(x, _):  # noqa: ANN001, ANN202
@@ -239,7 +250,7 @@ def _assigned(centres: np.ndarray):  # noqa: ANN202
 
 
 def _silhouettes(centres: dict, stats: dict):  # noqa: ANN202
-    """Work for _partials: the sum of squared-distance silhouettes for each k, from each cluster's rows, sum and sum of squares."""
+    """Work for _added: the sum of squared-distance silhouettes for each k, from each cluster's rows, sum and sum of squares."""
 
     def work(x, _):  # noqa: ANN001, ANN202
         out, own = [], np.arange(len(x))
@@ -280,7 +291,7 @@ def kmeans_sweep(df: DataFrame, features: str = "features", cfg: Config = DEFAUL
         if not moving:
             break
         works = [_assigned(centres[k][m]) for k, m in moving.items()]
-        got = iter(_added(_partials(x, lambda b, h, works=works: [a for w in works for a in w(b, h)])))
+        got = iter(_added(x, lambda b, h, works=works: [a for w in works for a in w(b, h)]))
         for k, m in moving.items():
             size, sums, _, _ = (next(got) for _ in range(4))
             new = np.where(size[:, :, None] > 0, sums / np.maximum(size, 1)[:, :, None], centres[k][m])
@@ -290,13 +301,13 @@ def kmeans_sweep(df: DataFrame, features: str = "features", cfg: Config = DEFAUL
     rows = []
     if len(ks):
         works = [_assigned(centres[k]) for k in ks]
-        got = iter(_added(_partials(x, lambda b, h: [a for w in works for a in w(b, h)])))
+        got = iter(_added(x, lambda b, h: [a for w in works for a in w(b, h)]))
         best, stats, inertia = {}, {}, {}
         for k in ks:
             size, sums, squares, cost = (next(got) for _ in range(4))
             i = int(cost.argmin())
             best[k], stats[k], inertia[k] = centres[k][i], (size[i], sums[i], squares[i]), float(cost[i])
-        total = _added(_partials(x, _silhouettes(best, stats)))[0]
+        total = _added(x, _silhouettes(best, stats))[0]
         rows = [(k, inertia[k], float(t / n)) for k, t in zip(ks, total, strict=True)]
     x.unpersist()
     best_k = max(rows, key=lambda r: r[2])[0] if rows else 0
