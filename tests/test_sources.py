@@ -95,3 +95,11 @@ def test_reference_without_semicolon():
     from weftline.sources.html import page_text
 
     assert page_text("<article><h1>a&amp;&amp</h1><p>b &lt; c</p></article>") == "== a&& ==\n\nb < c"
+
+
+def test_first_pages_come_from_minima(spark):
+    rows = [("a", 2, "t2", "x" * 900), ("a", 1, "t1", "corto"), ("b", None, "n", None), ("b", 5, "t5", "y"), (None, 3, "t3", "")]
+    pages = spark.createDataFrame(rows, "category string, seq int, title string, body string")
+    got = corpus.probe(pages)
+    assert sorted((str(r["category"]), r["title"], r["chars"]) for r in got.collect()) == [("None", "t3", 0), ("a", "t1", 5), ("b", "n", None)]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()

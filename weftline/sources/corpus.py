@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..operators import reporting, sections
+from ..session import small, stored
 from . import html, seeds
 
 
@@ -28,8 +29,18 @@ def seeds_with_routes(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def probe(pages: DataFrame, key: str = "category", order: str = "seq", every: bool = False, cfg: Config = DEFAULT) -> DataFrame:
-    """(key, title, chars, verdict) of the first page of each category, or of all."""
-    first = pages if every else sections.round_robin(pages, key, order).filter("turn = 0")
+    """(key, title, chars, verdict) of the first page of each category, or of all.
+
+    Places alone are aggregated, by partial minima; of pages that agree in category and place one is taken.
+    """
+    if every:
+        first = pages
+    else:
+        least = pages.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(F.col(order).isNotNull().alias("t"), F.col(order).alias("o"))).alias("_f"))
+        least = stored(least, "first-places")
+        at = F.col(key).eqNullSafe(F.col("_k")) & F.col(order).eqNullSafe(F.col("_f.o"))
+        several = pages.join(small(least, least.count()), at).select("_k", key, "title", "body")
+        first = several.groupBy("_k").agg(F.min(F.struct(key, "title", "body")).alias("p")).select("p.*")
     return first.select(key, F.substring("title", 1, 38).alias("title"), F.length("body").alias("chars"), seeds.verdict(F.col("body"), cfg).alias("verdict"))
 
 
