@@ -97,3 +97,13 @@ def test_rounds_drop_what_the_greedy_rule_drops(spark, monkeypatch):
         r = report.first()
         assert r["exact_removed"] + r["near_removed"] == len(greedy(docs)) and r["kept"] == kept.count() and kept.count() == len(docs) - len(greedy(docs))
     assert dedup.near_dropped(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_sets_of_rows_without_a_likely_pair_do_not_move(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[10 * i : 10 * i + 40])) for i in range(30)] + [(100, "uno dos tres cuatro cinco seis siete ocho"), (101, "uno dos tres cuatro cinco seis siete ocho nueve")]
+    written, stored = {}, dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, name, *a: written.setdefault(name, stored(df, name, *a)))
+    df = spark.createDataFrame([(i, t if i >= 100 else " ".join(f"{w}x{i}" for w in t.split())) for i, t in rows], "doc_id int, text string")
+    assert [(r["a"], r["b"]) for r in dedup.near_pairs(df).collect()] == [(100, 101)]
+    assert {r["id"] for r in written["near-sets"].collect()} == {100, 101}
