@@ -346,3 +346,21 @@ def test_larger_payloads_are_several_images(monkeypatch):
     p = media.payload(words(random.Random(2), 4000))
     data = webp.store(p)
     assert webp.load(data).tobytes() == p and data.count(b"WEBPVP8L") == -(-len(p) // (1 << 12))
+
+
+def test_images_of_transforms_are_coded_together(monkeypatch):
+    rng, calls, whole = random.Random(5), [], webp.image_tokens
+    payloads = [media.payload(b"".join(rng.choice([b"sol ", b"mar ", b"luz ", b"rio "]) for _ in range(200 + k))) for k in range(12)]
+    alone = [webp.store(p) for p in payloads]
+    monkeypatch.setattr(webp, "image_tokens", lambda images, *a, **k: calls.append(len(images)) or whole(images, *a, **k))
+    assert webp.store_many(payloads) == alone
+    # one call for all palettes, one for all pixels
+    assert len(calls) == 2 and calls[0] >= 12
+
+
+def test_features_of_many_images_are_those_of_each():
+    rng = np.random.default_rng(3)
+    images = [rng.integers(0, 256, (h, webp.ROW), dtype=np.uint8) for h in (1, 2, 7, 8, 9, 40, 3)]
+    assert media.features(images) == [media.feature(x) for x in images]
+    h = images[5].astype(np.float64).reshape(8, 5, 8, 8).mean(axis=(1, 3))
+    assert media.feature(images[5]).split(":")[0] == np.packbits(h > h.mean()).tobytes().hex()

@@ -140,7 +140,8 @@ def lookup(lengths: np.ndarray, *values: np.ndarray) -> tuple[int, list[list[int
     if many.sum() != 1 << most:
         raise ValueError("a prefix code is not complete")
     at = np.repeat(np.arange(len(used)), many)[_turned(most)]
-    return (1 << most) - 1, [(v[used] + n)[at].tolist() for v in values]
+    # a table repeats its symbols' numbers, so each is made once
+    return (1 << most) - 1, [(v[used] + n).astype(object)[at].tolist() for v in values]
 
 
 @lru_cache(maxsize=256)
@@ -804,14 +805,29 @@ def _head(width: int, height: int) -> Writer:
     return w
 
 
-def _through(w: Writer, argb: np.ndarray, transforms: tuple) -> np.ndarray:
-    """Writes transforms and returns what they leave of the pixels."""
+def _write_small(waiting: list[tuple[Writer, int, np.ndarray]]) -> None:
+    """Writes the images of transforms where they were left out; all are coded together."""
+    if not waiting:
+        return
+    of, values, sizes = image_tokens([x for _, _, x in waiting], False)
+    at = np.searchsorted(of, np.arange(len(waiting) + 1)).tolist()
+    for k, (w, place, _) in enumerate(waiting):
+        w.values[place], w.sizes[place] = values[at[k] : at[k + 1]], sizes[at[k] : at[k + 1]]
+
+
+def _through(w: Writer, argb: np.ndarray, transforms: tuple, waiting: list[tuple[Writer, int, np.ndarray]]) -> np.ndarray:
+    """Writes transforms and returns what they leave of the pixels; their images are left out for _write_small()."""
+
+    def later(x: np.ndarray) -> None:
+        waiting.append((w, len(w.values), x))
+        w.extend(np.zeros(0, np.int64), np.zeros(0, np.int64))
+
     for kind, *more in transforms:
         w.put(1 | kind << 1, 3)
         if kind in (PREDICTOR, CROSS):
             tile, x = more
             w.put(tile - 2, 3)
-            write_image(w, x.astype(np.uint32) << np.uint32(8) if kind == PREDICTOR else x, False)
+            later(x.astype(np.uint32) << np.uint32(8) if kind == PREDICTOR else x)
             argb = _residuals(argb, x, tile) if kind == PREDICTOR else _through_cross(argb, x, tile, False)
         elif kind == GREEN:
             argb = _through_green(argb, -1)
@@ -820,7 +836,7 @@ def _through(w: Writer, argb: np.ndarray, transforms: tuple) -> np.ndarray:
             if len(colours) > 256:
                 raise ValueError("more than 256 colours")
             w.put(len(colours) - 1, 8)
-            write_image(w, _packed(np.diff(_planes(colours[None]), axis=1, prepend=0)), False)
+            later(_packed(np.diff(_planes(colours[None]), axis=1, prepend=0)))
             argb = _bundled(index.reshape(argb.shape).astype(np.uint32), len(colours)) << np.uint32(8) | np.uint32(0xFF000000)
     w.put(0, 1)
     return argb
@@ -829,7 +845,9 @@ def _through(w: Writer, argb: np.ndarray, transforms: tuple) -> np.ndarray:
 def encode_argb(argb: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0, matches: bool = False) -> bytes:
     """Any pixels. transforms, in order: (PREDICTOR, tile bits, modes), (CROSS, tile bits, elements), (GREEN,), (PALETTE,)."""
     w = _head(argb.shape[1], argb.shape[0])
-    argb = _through(w, argb, transforms)
+    waiting: list[tuple[Writer, int, np.ndarray]] = []
+    argb = _through(w, argb, transforms, waiting)
+    _write_small(waiting)
     write_image(w, argb, True, cache_bits, matches)
     return _file(w.bytes())
 
@@ -902,13 +920,15 @@ def best_transforms(images: list[np.ndarray]) -> list[list[tuple]]:
 
 def encode_pixels(images: list[np.ndarray]) -> list[bytes]:
     """Files of pixels, each with the transform, back-references and cache that promise the fewest bits."""
-    owner, heads, rest = [], [], []
+    owner, writers, rest, waiting = [], [], [], []
     for k, tries in enumerate(best_transforms(images)):
         for transforms in tries:
             w = _head(images[k].shape[1], images[k].shape[0])
-            rest.append(_through(w, images[k], transforms))
-            heads.append(w.tokens())
+            rest.append(_through(w, images[k], transforms, waiting))
+            writers.append(w)
             owner.append(k)
+    _write_small(waiting)
+    heads = [w.tokens() for w in writers]
     of = np.repeat(np.arange(len(heads)), [len(v) for v, _ in heads])
     head = of, np.concatenate([v for v, _ in heads]), np.concatenate([n for _, n in heads])
     of, values, sizes = image_tokens(rest, True, None, True, (head,))
