@@ -223,3 +223,33 @@ def test_sums_of_tasks_are_added_before_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(x), "collect", lambda df: seen.append(collect(df)) or seen[-1])
     got = learning._added(x, lambda b, h: [b.sum(0), np.array([len(h)])])
     assert [len(r) for r in seen] == [2] and got[0].tolist() == [2016.0, 64.0] and got[1].tolist() == [64]
+
+
+def test_search_holds_ids_not_vectors():
+    import io
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, sink = np.random.default_rng(1), io.BytesIO()
+    kind = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64()))])
+    with pa.ipc.new_stream(sink, kind) as w:
+        for k in range(20):
+            v = pa.ListArray.from_arrays(pa.array(np.arange(501) * 256, pa.int32()), pa.array(rng.normal(size=500 * 256)))
+            w.write_batch(pa.RecordBatch.from_arrays([pa.array(np.arange(500) + 500 * k), v], schema=kind))
+    del v
+    sink.seek(0)
+    held = []
+
+    def batches():
+        for b in pa.ipc.open_stream(sink):
+            held.append(tracemalloc.get_traced_memory()[0])
+            yield b
+
+    q = rng.normal(size=(4, 256))
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(retrieval._best(pa.array([1, 2, 3, 4]), q / np.linalg.norm(q, axis=1, keepdims=True), 3, ["q", "id", "s"])(batches())))
+    tracemalloc.stop()
+    assert got.num_rows == 12
+    # a batch is about 1 MB; twenty of them would be 20
+    assert max(held) < 5 << 20, held
