@@ -253,3 +253,28 @@ def test_search_holds_ids_not_vectors():
     assert got.num_rows == 12
     # a batch is about 1 MB; twenty of them would be 20
     assert max(held) < 5 << 20, held
+
+
+def test_text_without_a_known_term_has_a_category(spark, analyzer):
+    body = "Zxq lo que wvk como las hjp entre los brt y porque qqz esta vvk pero sus mmx para una zzk por la del ttx."
+    df = spark.createDataFrame([(1, "Zxq", body), (2, "Zxq", "corto")], "doc_id int, title string, body string")
+    none = spark.createDataFrame([(1, "zxq wvk"), (2, None)], "doc_id int, text string")
+    assert [list(r["i"]) for r in analyzer._rows(none, analyzer.vocab, DEFAULT).collect()] == [[], []] and not analyzer.vectors(none).count()
+    assert {r["doc_id"] for r in analyzer.scores(none).collect()} == {1, 2}
+    bare = Analyzer(analyzer.vocab.withColumn("term", F.concat("term", F.lit("0"))), analyzer.model, analyzer.labels, analyzer.centres, analyzer.terms, analyzer.items, DEFAULT)
+    got = {r["doc_id"]: r for r in bare.predict(df).collect()}
+    assert got[1]["error"] is None and got[1]["category"] in analyzer.labels and got[2]["category"] is None
+
+
+def test_known_weights_move_no_rows_and_agree_with_plain_counts(spark):
+    from weftline.operators import keywords
+
+    vocab = spark.createDataFrame([("aa", 0, 1.5), ("aa bb", 1, 2.0), ("cc dd ee", 2, 3.0), ("dd ee ff", 3, 1.0), ("ff", 4, 0.5)], "term string, index int, idf double")
+    texts = ["aa bb aa bb, cc dd ee ff", "bb cc", "", None, "Cc dd EE aa"]
+    rows = keywords.known_weights(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id", "text", 1, 3, vocab)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    tf = [{0: 2, 1: 2, 2: 1, 3: 1, 4: 1}, {}, {}, {}, {0: 1, 2: 1}]
+    idf = [1.5, 2.0, 3.0, 1.0, 0.5]
+    for r in rows.collect():
+        want = {i: (1 + np.log(n)) * idf[i] for i, n in tf[r["doc_id"]].items()}
+        assert r["i"] == sorted(want) and np.allclose(r["x"], np.array([want[i] for i in sorted(want)]) / np.linalg.norm(list(want.values())))
