@@ -278,3 +278,10 @@ def test_known_weights_move_no_rows_and_agree_with_plain_counts(spark):
     for r in rows.collect():
         want = {i: (1 + np.log(n)) * idf[i] for i, n in tf[r["doc_id"]].items()}
         assert r["i"] == sorted(want) and np.allclose(r["x"], np.array([want[i] for i in sorted(want)]) / np.linalg.norm(list(want.values())))
+
+
+def test_classifier_alone_is_that_of_the_whole_fit(docs, analyzer):
+    alone = Analyzer.fit(docs, vectors=False)
+    assert alone.items is None and alone.labels == analyzer.labels
+    assert sorted(map(tuple, alone.vocab.collect())) == sorted(map(tuple, analyzer.vocab.collect()))
+    assert np.allclose(alone.model.coefficientMatrix.toArray(), analyzer.model.coefficientMatrix.toArray())
